@@ -15,6 +15,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op3_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -27,5 +33,5 @@ def op10_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op7_min_bin_slack_packing, op10_karmarkar_karp_sharding)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_super_kmer_dedup, op7_min_bin_slack_packing, op10_karmarkar_karp_sharding)}
 SQL: dict[str, str] = {}
