@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,11 +29,17 @@ def op7_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import verdicts
+
+    return verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op10_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_super_kmer_dedup, op7_min_bin_slack_packing, op10_karmarkar_karp_sharding)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_super_kmer_dedup, op7_min_bin_slack_packing, op8_adaptive_quality_rules, op10_karmarkar_karp_sharding)}
+SQL: dict[str, str] = {"op8_adaptive_quality_rules": quality_rules.oracle()}
