@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ftrl_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -23,6 +29,12 @@ def op3_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op4_naive_bayes_scaled_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -41,5 +53,5 @@ def op10_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_super_kmer_dedup, op7_min_bin_slack_packing, op8_adaptive_quality_rules, op10_karmarkar_karp_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ftrl_quality_classifier, op2_token_counts, op3_super_kmer_dedup, op4_naive_bayes_scaled_toxicity, op7_min_bin_slack_packing, op8_adaptive_quality_rules, op10_karmarkar_karp_sharding)}
 SQL: dict[str, str] = {"op8_adaptive_quality_rules": quality_rules.oracle()}
