@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_rules, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op4_naive_bayes_scaled_toxicity(spark: SparkSession, sf_dir: str) -> DataFra
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -53,5 +59,5 @@ def op10_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ftrl_quality_classifier, op2_token_counts, op3_super_kmer_dedup, op4_naive_bayes_scaled_toxicity, op7_min_bin_slack_packing, op8_adaptive_quality_rules, op10_karmarkar_karp_sharding)}
-SQL: dict[str, str] = {"op8_adaptive_quality_rules": quality_rules.oracle()}
+QUERIES = {f.__name__: f for f in (op1_ftrl_quality_classifier, op2_token_counts, op3_super_kmer_dedup, op4_naive_bayes_scaled_toxicity, op6_norm_bucketed_topk, op7_min_bin_slack_packing, op8_adaptive_quality_rules, op10_karmarkar_karp_sharding)}
+SQL: dict[str, str] = {"op8_adaptive_quality_rules": quality_rules.oracle(), "op6_norm_bucketed_topk": topk_search.oracle()}
