@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._dist import cut, dense_ranks, partitions
-from ._text import batches
+from ._text import batches, chunks
 from .wordbpe import vocabulary_path, worker_tokenizer
 
 SEQUENCE = 2048
@@ -38,11 +38,13 @@ def pieces(documents: DataFrame, path: str, capacity: int) -> DataFrame:
         tok, step = worker_tokenizer(path), 4 * capacity
         for batch in it:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tok.encode(text or "") + end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            doc_ids, items = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            for a, b in chunks(items, 1 << 20):
+                for doc_id, own in zip(doc_ids[a:b], tok.encode_many(items[a:b]), strict=True):
+                    ids = own + end
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield batches(schema, **dict(zip(schema.names, cols, strict=True)))
 

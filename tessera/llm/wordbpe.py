@@ -22,7 +22,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words that a worker remembers; beyond it the table starts anew, so that memory is bounded.
-CACHE = 500_000
+CACHE = 700_000
 #: Longer words (in characters) are encoded each time.
 LONGEST = 64
 
@@ -65,11 +65,13 @@ class WordBpe:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, by one call of the library."""
-        split = [[w] if w.isascii() and w.isalpha() else self.pattern.findall(w) for w in words]
-        ids = np.array(self.bare.encode(" ".join(" ".join(p) for p in split), add_special_tokens=False).ids, "<u4")
+        if not words:
+            return []
+        split = [[w] if w.isalpha() else self.pattern.findall(w) for w in words]
+        ids = np.array(self.bare.encode_batch_fast([" ".join([" ".join(p) for p in split])], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         counts = np.cumsum([len(p) for p in split])
-        if len(ends) != (counts[-1] if len(counts) else 0):
+        if len(ends) != counts[-1]:
             raise ValueError("the tokenizer does not end each pre-token with an end-of-word token")
         data, at, out = ids.tobytes(), 0, []
         for e in (ends[counts - 1] * 4).tolist():
@@ -77,22 +79,42 @@ class WordBpe:
             at = e
         return out
 
-    def encode(self, text: str) -> bytes:
-        """The ids, unsigned 32-bit little-endian."""
-        words = self.words(text)
-        if words is None:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Puts these words into the table; returns those that are too long for it."""
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in known})
+        new = words.difference(known)
         if len(known) + len(new) > self.cache:
             known.clear()
-            new = list(set(words))
-        met = dict(zip(new, self.encode_words(new), strict=True))
-        known.update((w, i) for w, i in met.items() if len(w) <= LONGEST)
-        return b"".join([known.get(w) or met[w] for w in words])
+            new = words
+        # letters and one mark are two pre-tokens
+        marked = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]
+        plain = new.difference(marked).union([w[:-1] for w in marked]).union(".,").difference(known)
+        long = {}
+        names = list(plain)
+        for w, i in zip(names, self.encode_words(names), strict=True):
+            (known if len(w) <= LONGEST else long)[w] = i
+        for w in marked:
+            base = w[:-1]
+            (known if len(w) <= LONGEST else long)[w] = (known.get(base) or long[base]) + known[w[-1]]
+        return long
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, unsigned 32-bit little-endian."""
+        lists = [self.words(t) for t in texts]
+        long = self.learn(set().union(*[x for x in lists if x]))
+        known = self.known
+        out = []
+        for text, words in zip(texts, lists, strict=True):
+            if words is None:
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            elif long:
+                out.append(b"".join([known.get(w) or long[w] for w in words]))
+            else:
+                out.append(b"".join([known[w] for w in words]))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
 
 @lru_cache(1)
