@@ -53,11 +53,17 @@ def op8_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op9_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
 def op10_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ftrl_quality_classifier, op2_token_counts, op3_super_kmer_dedup, op4_naive_bayes_scaled_toxicity, op6_norm_bucketed_topk, op7_min_bin_slack_packing, op8_adaptive_quality_rules, op10_karmarkar_karp_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ftrl_quality_classifier, op2_token_counts, op3_super_kmer_dedup, op4_naive_bayes_scaled_toxicity, op6_norm_bucketed_topk, op7_min_bin_slack_packing, op8_adaptive_quality_rules, op9_divide_skip_join, op10_karmarkar_karp_sharding)}
 SQL: dict[str, str] = {"op8_adaptive_quality_rules": quality_rules.oracle(), "op6_norm_bucketed_topk": topk_search.oracle()}
