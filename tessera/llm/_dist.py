@@ -8,15 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes `df` once into the reliable checkpoint folder.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The reliable checkpoint folder.
 
-    The cluster names that folder in spark.checkpoint.dir; one of our own is
-    set only where the session names none.
+    The cluster names it in spark.checkpoint.dir; one of our own is set only
+    where the session names none.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computes `df` once into the reliable checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
