@@ -37,6 +37,12 @@ def op4_naive_bayes_scaled_toxicity(spark: SparkSession, sf_dir: str) -> DataFra
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk_search import search
 
@@ -67,5 +73,5 @@ def op10_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ftrl_quality_classifier, op2_token_counts, op3_super_kmer_dedup, op4_naive_bayes_scaled_toxicity, op6_norm_bucketed_topk, op7_min_bin_slack_packing, op8_adaptive_quality_rules, op9_divide_skip_join, op10_karmarkar_karp_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ftrl_quality_classifier, op2_token_counts, op3_super_kmer_dedup, op4_naive_bayes_scaled_toxicity, op5_sentencepiece_lattice, op6_norm_bucketed_topk, op7_min_bin_slack_packing, op8_adaptive_quality_rules, op9_divide_skip_join, op10_karmarkar_karp_sharding)}
 SQL: dict[str, str] = {"op8_adaptive_quality_rules": quality_rules.oracle(), "op6_norm_bucketed_topk": topk_search.oracle()}
