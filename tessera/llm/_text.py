@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 4 << 20
+BLOCK = 1 << 20
 
 _P = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
 _PINV = pow(_P, -1, 1 << 64)
@@ -33,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(kind: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        size = max(n, CHUNK + (1 << 16))
+        size = max(n, BLOCK + (1 << 16))
         steps = np.full(size, np.uint64(base), np.uint64)
         steps[0] = 1
         have = _powers[kind] = np.multiply.accumulate(steps)
@@ -41,12 +42,23 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end] for each span, by prefix sums."""
-    n = len(values)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _power("p", _P, n), out=prefix[1:])
-    back = _power("inv", _PINV, n + 1)
-    return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64))
+    """64-bit hashes of values[start:end] for each span, by prefix sums.
+
+    Starts ascend. The hash doesn't depend on the place, so that long arrays are
+    worked on in blocks.
+    """
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        low = int(start[i])
+        j = max(i + 1, int(np.searchsorted(start, low + BLOCK)))
+        a, b = start[i:j] - low, end[i:j] - low
+        n = int(b.max())
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum((values[low : low + n].astype(np.uint64) + np.uint64(1)) * _power("p", _P, n), out=prefix[1:])
+        out[i:j] = mix((prefix[b] - prefix[a]) * _power("inv", _PINV, n + 1)[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -32,9 +32,10 @@ from ._dist import partitions
 from ._text import CHUNK, Words, batches, chunks, gather, mix, span_hashes, texts
 
 WIDTH = 35
-SEED = 6
+SEED = 3
 #: Buckets for each shuffle partition.
 BUCKETS = 4
+CODEC = pa.Codec("zstd", compression_level=6)
 _Q = 0xD6E8FEB86659FD93
 
 
@@ -106,9 +107,9 @@ def _packed(ids, keys, words: Words, found, width: int, buckets: int):
         h = head[a:b]
         lo, hi = h[0], (head[b] if b < len(head) else len(new))
         strings = gather(words.buf, start[h], size[h] + 1)
-        block = [count[h].astype("<i4"), (size[h] + 1).astype("<i4"), copies[a:b].astype("<i4"), ids[text[lo:hi]].astype("<i8"), keys[text[lo:hi]].astype("<i8"), rel[lo:hi].astype("<i4")]
+        block = [count[h].astype("<i4"), (size[h] + 1).astype("<i4"), copies[a:b].astype("<i4"), ids[text[lo:hi]].astype("<i8"), keys[text[lo:hi]].astype("<i4"), rel[lo:hi].astype("<i4")]
         raw = np.array([len(h), hi - lo, len(strings)], "<i8").tobytes() + b"".join(x.tobytes() for x in block) + strings.tobytes()
-        yield int(bucket[lo]), len(raw), pa.compress(raw, "zstd", asbytes=True)
+        yield int(bucket[lo]), len(raw), CODEC.compress(raw, asbytes=True)
 
 
 def _unpacked(blobs: list[tuple[int, bytes]]):
@@ -117,7 +118,7 @@ def _unpacked(blobs: list[tuple[int, bytes]]):
         raw = pa.decompress(blob, size, "zstd", asbytes=True)
         n, places, _ = np.frombuffer(raw, "<i8", 3).tolist()
         at = 24
-        for k, (kind, length) in enumerate((("<i4", n), ("<i4", n), ("<i4", n), ("<i8", places), ("<i8", places), ("<i4", places))):
+        for k, (kind, length) in enumerate((("<i4", n), ("<i4", n), ("<i4", n), ("<i8", places), ("<i4", places), ("<i4", places))):
             parts[k].append(np.frombuffer(raw, kind, length, at))
             at += parts[k][-1].nbytes
         parts[6].append(np.frombuffer(raw, np.uint8, -1, at))
@@ -174,7 +175,7 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED)
                     yield batches(schema, bucket=part[0], size=part[1], blob=part[2])
 
     def count(it):
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("mask", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int32()), ("first", pa.int32()), ("mask", pa.int64())])
 
         def one(blobs):
             count, size, copies, ids, keys, rel, raw = _unpacked(blobs)
@@ -200,12 +201,12 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED)
 
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
     packed = keyed.mapInArrow(spread, "bucket int, size long, blob binary")
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "doc_id long, key long, first int, mask long")
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "doc_id long, key int, first int, mask long")
 
 
 def row_key():
     """Tells rows with one doc_id, or with none, apart by their texts."""
-    return F.xxhash64(F.col("doc_id").isNull(), F.col("text"))
+    return F.hash(F.col("doc_id").isNull(), F.col("text"))
 
 
 def remove_repeats(documents: DataFrame, width: int = WIDTH, seed: int = SEED, joined: bool = False) -> DataFrame:
@@ -215,10 +216,10 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, seed: int = SEED, j
     words joined by one space.
     """
     marks = repeated_windows(documents, width, seed)
-    marks = marks.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("first").alias("_first"), F.collect_list("mask").alias("_mask"))
+    marks = marks.groupBy(F.col("doc_id").alias("__sd_id"), F.col("key").alias("__sd_key")).agg(F.collect_list("first").alias("__sd_first"), F.collect_list("mask").alias("__sd_mask"))
     own = [F.col(c) for c in documents.columns] if joined else [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
-    left = documents.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), row_key().alias("_key"))
-    both = left.join(marks.hint("shuffle_hash"), ["_id", "_key"], "left").drop("_id", "_key")
+    left = documents.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__sd_id"), row_key().alias("__sd_key"))
+    both = left.join(marks.hint("shuffle_hash"), ["__sd_id", "__sd_key"], "left").drop("__sd_id", "__sd_key")
 
     def kept(items, firsts, masks):
         for a, b in chunks(items):
@@ -253,9 +254,9 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, seed: int = SEED, j
     def rewrite(it):
         for batch in it:
             names = batch.schema.names
-            out = [t.decode("utf-8", "replace") for _, _, t in kept(texts(batch.column("text")), batch.column("_first").to_pylist(), batch.column("_mask").to_pylist())]
+            out = [t.decode("utf-8", "replace") for _, _, t in kept(texts(batch.column("text")), batch.column("__sd_first").to_pylist(), batch.column("__sd_mask").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names[:-2]], names[:-2])
 
     if joined:
-        return both.select(*documents.columns, "_first", "_mask").mapInArrow(rewrite, documents.schema)
-    return both.select("doc_id", "text", "_first", "_mask").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        return both.select(*documents.columns, "__sd_first", "__sd_mask").mapInArrow(rewrite, documents.schema)
+    return both.select("doc_id", "text", "__sd_first", "__sd_mask").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
