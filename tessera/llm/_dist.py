@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,9 +22,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes `df` once into the reliable checkpoint folder."""
+    """Computes `df` once into the reliable checkpoint folder.
+
+    What `df` was computed from is then out of use; collecting garbage on the
+    driver lets Spark delete its shuffle files now rather than at some time.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,6 +6,7 @@ the chunk (or one very long text), never the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,5 +126,14 @@ def gather(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray
     return buf[np.repeat(start - before, length) + np.arange(total)]
 
 
+def release() -> None:
+    """Gives a worker's freed memory back, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it only keeps more
+        pass
+
+
 def batches(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

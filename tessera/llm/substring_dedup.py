@@ -28,13 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._dist import partitions
-from ._text import CHUNK, Words, batches, chunks, gather, mix, span_hashes, texts
+from ._dist import cut, partitions
+from ._text import CHUNK, Words, batches, chunks, gather, mix, release, span_hashes, texts
 
 WIDTH = 35
 SEED = 3
 #: Buckets for each shuffle partition.
-BUCKETS = 4
+BUCKETS = 8
 CODEC = pa.Codec("zstd", compression_level=6)
 _Q = 0xD6E8FEB86659FD93
 
@@ -167,12 +167,13 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED)
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             items = texts(batch.column(2))
-            for a, b in chunks(items, 2 * CHUNK):
+            for a, b in chunks(items, CHUNK):
                 words = Words(items[a:b])
                 rows = list(_packed(ids[a:b], keys[a:b], words, super_kmers(words, width, seed), width, buckets))
                 for k in range(0, len(rows), 256):
                     part = list(zip(*rows[k : k + 256], strict=True))
                     yield batches(schema, bucket=part[0], size=part[1], blob=part[2])
+        release()
 
     def count(it):
         schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int32()), ("first", pa.int32()), ("mask", pa.int64())])
@@ -198,6 +199,7 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED)
                 held.append((size, blob))
         if held:
             yield one(held)
+        release()
 
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
     packed = keyed.mapInArrow(spread, "bucket int, size long, blob binary")
@@ -215,7 +217,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, seed: int = SEED, j
     With `joined` all columns of `documents` are kept, and `text` holds the kept
     words joined by one space.
     """
-    marks = repeated_windows(documents, width, seed)
+    marks = cut(repeated_windows(documents, width, seed))
     marks = marks.groupBy(F.col("doc_id").alias("__sd_id"), F.col("key").alias("__sd_key")).agg(F.collect_list("first").alias("__sd_first"), F.collect_list("mask").alias("__sd_mask"))
     own = [F.col(c) for c in documents.columns] if joined else [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
     left = documents.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__sd_id"), row_key().alias("__sd_key"))
