@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._dist import components, cut, partitions
-from ._text import CHUNK, Words, batches, chunks, mix, texts
+from ._text import CHUNK, Words, batches, chunks, mix, release, texts
 from .substring_dedup import grams
 
 #: One document in so many is sampled for frequent shingles; the table of these is bounded, too.
@@ -44,6 +44,8 @@ SAMPLE = 16
 FREQUENT = 200_000
 #: Candidates that one task verifies against a query at a time.
 CHUNK_ROWS = 256
+#: Pairs that may be broadcast.
+FEW_PAIRS = 20_000
 
 
 def shingle_sets(items: list[bytes], size: int) -> list[np.ndarray]:
@@ -87,6 +89,20 @@ class Order:
         return own[np.lexsort((own, count))]
 
 
+HASH_BYTES = 6
+
+
+def packed_set(own: np.ndarray) -> bytes:
+    """A set as the low bytes of its hashes: enough to compare two sets."""
+    return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def unpacked_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
+    return out.reshape(-1).view("<u8")
+
+
 def digest(own: np.ndarray) -> tuple[int, int]:
     a = int(mix(own).sum(dtype=np.uint64)) ^ (len(own) * 0x9E3779B97F4A7C15 & (2**64 - 1))
     b = int(mix(own ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64))
@@ -165,10 +181,10 @@ _FIELDS = (("token", "<u8"), ("cid", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("po
 _BLOB = "bucket int, size long, blob binary"
 
 
-def _pack(cids, comps, arranged: list[np.ndarray], percent: int, buckets: int):
-    """Blobs of a chunk's postings, one a bucket."""
-    n = np.array([len(s) for s in arranged])
-    lengths = np.array([prefix_size(len(s), percent) if len(s) else 0 for s in arranged])
+def _pack(cids, comps, arranged: list[np.ndarray], percent: int, buckets: int, sizes=None):
+    """Blobs of a chunk's postings, one a bucket; `sizes` of the sets, if `arranged` are prefixes only."""
+    n = np.array([len(s) for s in arranged]) if sizes is None else sizes
+    lengths = np.array([prefix_size(int(k), percent) if k else 0 for k in n])
     if not lengths.sum():
         return
     token = np.concatenate([s[:k] for s, k in zip(arranged, lengths, strict=True)])
@@ -233,6 +249,7 @@ def _per_bucket(packed: DataFrame, n: int, pairs_of, percent: int) -> DataFrame:
                 held.append((size, blob))
         if held:
             yield from one(held)
+        release()
 
     return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
@@ -296,12 +313,17 @@ def _frequent(documents: DataFrame, size: int) -> Order:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link; `pairs` and `sets` are cut already."""
+    """The pairs (a, b) that link; `pairs` and `sets` are cut already.
+
+    Each set is looked up once for all requests of it. Few pairs are broadcast,
+    behind a count, so that the sets stay where they are.
+    """
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("parts"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    asked = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    queries = asked.join(sets.withColumnRenamed("cid", "a"), "a").select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "own")
-    answers = dealt.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "part", F.lit(1).alias("kind"), "b", "own")
+    dealt = pairs.join(many, "a").select(F.col("b").alias("cid"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"))
+    asked = many.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
+    wanted = dealt.unionByName(asked)
+    if pairs.count() <= FEW_PAIRS:
+        wanted = F.broadcast(wanted)
 
     def run(it):
         def out(query, ids, held):
@@ -313,7 +335,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFram
             found = []
             for r in range(batch.num_rows):
                 a, part, kind, b = (batch.column(c)[r].as_py() for c in range(4))
-                own = np.frombuffer(batch.column(4)[r].as_py(), "<u8")
+                own = unpacked_set(batch.column(4)[r].as_py())
                 if kind == 0:
                     if (a, part) != now:
                         found += out(query, ids, held)
@@ -326,8 +348,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFram
         found = out(query, ids, held)
         a, b = zip(*found, strict=True) if found else ((), ())
         yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        release()
 
-    met = queries.unionByName(answers).repartition(n, "a", "part").sortWithinPartitions("a", "part", "kind", "b")
+    met = sets.join(wanted, "cid").select("a", "part", "kind", F.col("cid").alias("b"), "own").repartition(n, "a", "part").sortWithinPartitions("a", "part", "kind", "b")
     return met.mapInArrow(run, "a long, b long")
 
 
@@ -355,6 +378,7 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
                 kept = {digest(s)[0]: s for s in shingle_sets(items[a:b], size) if len(s)}
                 cids = np.fromiter(kept, np.int64, len(kept))
                 yield from _blob_rows(_pack(cids, np.zeros_like(cids), [order.value.arrange(s) for s in kept.values()], percent, n))
+        release()
 
     docs = cut(base.mapInArrow(signatures, "doc_id long, key long, n_shingles long, cid long, low long"))
     pairs = cut(_per_bucket(base.select("text").mapInArrow(postings, _BLOB), n, star_pairs, percent).distinct())
@@ -364,28 +388,41 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
 
     def own_sets(it):
         schema = pa.schema([("cid", pa.int64()), ("own", pa.binary())])
+        met: set[int] = set()  # equal rows of one document are together: one of them will do
         for batch in it:
-            items = texts(batch.column(1))
-            cids = batch.column(0).to_pylist()
+            rows = {c: t for c, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True) if c not in met}
+            met.update(rows)
+            cids, items = list(rows), list(rows.values())
             for a, b in chunks(items):
-                yield batches(schema, cid=cids[a:b], own=[order.value.arrange(s).astype("<u8").tobytes() for s in shingle_sets(items[a:b], size)])
+                yield batches(schema, cid=cids[a:b], own=[packed_set(order.value.arrange(s)) for s in shingle_sets(items[a:b], size)])
+        release()
 
     texts_of = base.join(chosen.hint("shuffle_hash"), base["doc_id"].eqNullSafe(chosen["doc_id"]) & (base["key"] == chosen["key"])).select("cid", "text")
-    sets = cut(texts_of.mapInArrow(own_sets, "cid long, own binary").dropDuplicates(["cid"]))
+    sets = cut(texts_of.mapInArrow(own_sets, "cid long, own binary"))
     links = cut(_verify(pairs, sets, n, percent))
     comps = components(links)
 
+    def heads(it):
+        """Only the prefixes, which is what the second round needs of the sets."""
+        schema = pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("own", pa.binary())])
+        for batch in it:
+            own = batch.column(1).to_pylist()
+            sizes = [len(x) // HASH_BYTES for x in own]
+            yield batches(schema, cid=batch.column(0), n=sizes, own=[x[: HASH_BYTES * prefix_size(k, percent)] for x, k in zip(own, sizes, strict=True)])
+
     def again(it):
         for batch in it:
-            cids, comp = (batch.column(c).to_numpy() for c in (0, 1))
-            own = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
+            cids, comp, sizes = (batch.column(c).to_numpy() for c in (0, 1, 2))
+            own = [unpacked_set(x) for x in batch.column(3).to_pylist()]
             for a in range(0, len(own), 4096):
-                yield from _blob_rows(_pack(cids[a : a + 4096], comp[a : a + 4096], own[a : a + 4096], percent, n))
+                yield from _blob_rows(_pack(cids[a : a + 4096], comp[a : a + 4096], own[a : a + 4096], percent, n, sizes[a : a + 4096]))
+        release()
 
-    placed = sets.join(comps, sets["cid"] == comps["node"], "left").select("cid", F.coalesce("root", "cid").alias("comp"), "own")
-    more = _per_bucket(placed.mapInArrow(again, _BLOB), n, cross_pairs, percent).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(_verify(cut(more), sets, n, percent))
+    short = sets.mapInArrow(heads, "cid long, n int, own binary")
+    placed = short.join(comps, short["cid"] == comps["node"], "left").select("cid", F.coalesce("root", "cid").alias("comp"), "n", "own")
+    more = cut(_per_bucket(placed.mapInArrow(again, _BLOB), n, cross_pairs, percent).distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
+        more = cut(_verify(more, sets, n, percent))
         comps = components(links.union(more))
 
     classes = docs.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"))
