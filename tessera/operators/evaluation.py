@@ -53,16 +53,16 @@ def roc(df: DataFrame, p: str, positive: Column) -> DataFrame:
     """p, fpr, tpr: shares of the rows from p upwards."""
     c = df.groupBy(F.col(p).alias("p")).agg(F.sum(positive.cast("double")).alias("pos"), F.sum((~positive).cast("double")).alias("neg"))
     up = Window.orderBy(F.desc("p"))
-    t = c.join(F.broadcast(c.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))))
-    return t.select("p", (F.sum("neg").over(up) / F.col("N")).alias("fpr"), (F.sum("pos").over(up) / F.col("P")).alias("tpr"))
+    t = c.join(F.broadcast(c.agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))))
+    return t.select("p", (F.sum("neg").over(up) / F.col("_neg")).alias("fpr"), (F.sum("pos").over(up) / F.col("_pos")).alias("tpr"))
 
 
 def lift(df: DataFrame, p: str, positive: Column) -> DataFrame:
     """p, share of rows from p upwards, and how many positives are among them."""
     c = df.groupBy(F.col(p).alias("p")).agg(F.sum(positive.cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
     up = Window.orderBy(F.desc("p"))
-    t = c.join(F.broadcast(c.agg(F.sum("n").alias("N"))))
-    return t.select("p", (F.sum("n").over(up) / F.col("N")).alias("share"), F.sum("pos").over(up).alias("tp"))
+    t = c.join(F.broadcast(c.agg(F.sum("n").alias("_n"))))
+    return t.select("p", (F.sum("n").over(up) / F.col("_n")).alias("share"), F.sum("pos").over(up).alias("tp"))
 
 
 def regression_errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:
