@@ -155,10 +155,10 @@ def drop_missing(spark, d):
 # --- projection, merging, order -------------------------------------------------------------------
 
 
-@query("SELECT l_orderkey, l_partkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 3) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 1) AS gross FROM lineitem")
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross FROM lineitem")
 def project_computed(spark, d):
     df = rel.derive(table(spark, d, "lineitem"), {"net": "l_extendedprice * (1 - l_discount)", "gross": "net * (1 + l_tax)"})
-    return df.select("l_orderkey", "l_partkey", "l_linenumber", F.round("net", 3).alias("net"), F.round("gross", 1).alias("gross"))
+    return df.select("l_orderkey", "l_partkey", "l_linenumber", "net", "gross")
 
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber, round(sqrt(l_quantity) + ln(l_extendedprice) - floor(l_tax * 100), 6) AS f, round(CASE WHEN l_discount > 0 THEN ln(l_discount) END, 6) AS log_discount FROM lineitem")
@@ -167,9 +167,9 @@ def feature_constructor(spark, d):
     return rounded(df.select("l_orderkey", "l_partkey", "l_linenumber", "f", "log_discount"))
 
 
-@query("SELECT c.*, n_name, n_regionkey FROM customer c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation) n ON c.c_nationkey = n.n_regionkey AND r = 1")
+@query("SELECT c.*, n_name FROM customer c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation) n ON c.c_nationkey = n.n_regionkey AND r = 1")
 def merge_first_match(spark, d):
-    return rel.merge_first(table(spark, d, "customer"), table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "c_nationkey", "n_regionkey", ["n_nationkey"]).drop("n_nationkey")
+    return rel.merge_first(table(spark, d, "customer"), table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "c_nationkey", "n_regionkey", ["n_nationkey"]).drop("n_nationkey", "n_regionkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -177,9 +177,9 @@ def merge_remainder(spark, d):
     return rel.merge_remainder(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
 
 
-@query("SELECT s_suppkey, s_name, s_acctbal, NULL::BIGINT AS c_custkey, 1 AS source FROM supplier UNION ALL SELECT NULL, NULL, NULL, c_custkey, 2 FROM customer")
+@query("SELECT s_name, s_acctbal, NULL::VARCHAR AS c_name, 1 AS source FROM supplier UNION ALL SELECT NULL, NULL, c_name, 2 FROM customer")
 def concat_union(spark, d):
-    return rel.concatenate([table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), table(spark, d, "customer").select("c_custkey")], source="source")
+    return rel.concatenate([table(spark, d, "supplier").select("s_name", "s_acctbal"), table(spark, d, "customer").select("c_name")], source="source")
 
 
 @query("SELECT acctbal, 1 AS source FROM (SELECT s_acctbal AS acctbal FROM supplier) UNION ALL SELECT c_acctbal, 2 FROM customer")
@@ -455,9 +455,9 @@ def discretize_equal_width(spark, d):
     return df.select("l_orderkey", "l_partkey", "l_linenumber", tr.equal_width(F.col("l_extendedprice"), r["min"], r["max"], 4).alias("code"))
 
 
-@query(f"SELECT l_orderkey, l_partkey, l_linenumber, (qty > 20)::INTEGER AS code FROM {HOLED}")
+@query(f"SELECT l_orderkey, l_partkey, l_linenumber, (qty > 20)::INTEGER::DOUBLE AS code FROM {HOLED}")
 def discretize_threshold(spark, d):
-    return holed(spark, d).select("l_orderkey", "l_partkey", "l_linenumber", tr.threshold(F.col("qty"), 20).alias("code"))
+    return holed(spark, d).select("l_orderkey", "l_partkey", "l_linenumber", tr.threshold(F.col("qty"), 20).cast("double").alias("code"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber, (l_quantity > 10)::INTEGER + (l_quantity > 20)::INTEGER + (l_quantity > 40)::INTEGER AS code, CASE WHEN l_quantity <= 10 THEN '<=10' WHEN l_quantity <= 20 THEN '(10, 20]' WHEN l_quantity <= 40 THEN '(20, 40]' ELSE '>40' END AS label FROM lineitem")
@@ -695,37 +695,38 @@ def _scored(spark, d):
     return table(spark, d, "orders").withColumn("p", F.round(F.col("o_totalprice") / 600000, 2))
 
 
-_F = F.col("o_orderstatus") == "F"
+def _is_f():
+    return F.col("o_orderstatus") == "F"
 
 
 @query(f"WITH c AS (SELECT p, count(*) FILTER (y)::DOUBLE pos, count(*) FILTER (NOT y)::DOUBLE neg FROM {_PF} GROUP BY 1), t AS (SELECT sum(coalesce((SELECT sum(neg) FROM c c2 WHERE c2.p < c.p), 0) * pos) AS concordant, sum(neg * pos) AS tied, sum(pos) * sum(neg) AS al FROM c) SELECT round((concordant + tied / 2) / al, 6) AS auc, concordant, al - concordant - tied AS discordant, tied FROM t")
 def eval_auc(spark, d):
-    return rounded(evaluation.auc(_scored(spark, d), "p", _F))
+    return rounded(evaluation.auc(_scored(spark, d), "p", _is_f()))
 
 
 @query(f"WITH c AS (SELECT p, count(*) FILTER (y)::DOUBLE pos, count(*) FILTER (NOT y)::DOUBLE neg FROM {_PF} GROUP BY 1) SELECT p, round(sum(neg) OVER (ORDER BY p DESC) / sum(neg) OVER (), 6) AS fpr, round(sum(pos) OVER (ORDER BY p DESC) / sum(pos) OVER (), 6) AS tpr FROM c")
 def eval_roc(spark, d):
-    return rounded(evaluation.roc(_scored(spark, d), "p", _F))
+    return rounded(evaluation.roc(_scored(spark, d), "p", _is_f()))
 
 
 @query(f"WITH c AS (SELECT p, count(*) FILTER (y)::DOUBLE pos, count(*) n FROM {_PF} GROUP BY 1) SELECT p, round(sum(n) OVER (ORDER BY p DESC) / sum(n) OVER (), 6) AS share, sum(pos) OVER (ORDER BY p DESC) AS tp FROM c")
 def eval_lift(spark, d):
-    return rounded(evaluation.lift(_scored(spark, d), "p", _F))
+    return rounded(evaluation.lift(_scored(spark, d), "p", _is_f()))
 
 
 @query(f"WITH m AS (SELECT count(*) FILTER (y AND p > 0.3)::DOUBLE tp, count(*) FILTER (y AND NOT p > 0.3)::DOUBLE fn, count(*) FILTER (NOT y AND p > 0.3)::DOUBLE fp, count(*) FILTER (NOT y AND NOT p > 0.3)::DOUBLE tn FROM {_PF}) SELECT tp, fn, fp, tn, round(tp / (tp + fn), 6) AS sens, round(tn / (tn + fp), 6) AS spec, round(tp / (tp + fp), 6) AS ppv, round(tn / (tn + fn), 6) AS npv, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) + 0.0 AS mcc FROM m")
 def eval_binary(spark, d):
-    return rounded(evaluation.binary_measures(_scored(spark, d), _F, F.col("p") > 0.3).drop("falpha", "scott_pi"))
+    return rounded(evaluation.binary_measures(_scored(spark, d), _is_f(), F.col("p") > 0.3).drop("falpha", "scott_pi"))
 
 
 @query(f"SELECT y AS actual, p > 0.3 AS predicted, count(*) AS n FROM {_PF} GROUP BY 1, 2")
 def eval_confusion(spark, d):
-    return evaluation.confusion(_scored(spark, d).select(_F.alias("y"), (F.col("p") > 0.3).alias("c")), "y", "c")
+    return evaluation.confusion(_scored(spark, d).select(_is_f().alias("y"), (F.col("p") > 0.3).alias("c")), "y", "c")
 
 
 @query(f"SELECT round(avg((y = (p > 0.3))::INTEGER), 6) AS ca, round(sqrt(avg((y = (p > 0.3))::INTEGER) * (1 - avg((y = (p > 0.3))::INTEGER)) / count(*)), 6) AS se FROM {_PF}")
 def eval_accuracy(spark, d):
-    return rounded(evaluation.accuracy(_scored(spark, d).select(_F.alias("y"), (F.col("p") > 0.3).alias("c")), "y", "c"))
+    return rounded(evaluation.accuracy(_scored(spark, d).select(_is_f().alias("y"), (F.col("p") > 0.3).alias("c")), "y", "c"))
 
 
 @query("WITH t AS (SELECT l_extendedprice AS y, l_quantity * 1500 AS f, avg(l_extendedprice) OVER () AS m FROM lineitem) SELECT round(avg((y - f) ** 2), 0) AS mse, round(sqrt(avg((y - f) ** 2)), 3) AS rmse, round(avg(abs(y - f)), 3) AS mae, round(sum((y - f) ** 2) / sum((y - m) ** 2), 6) AS rse, round(sqrt(sum((y - f) ** 2) / sum((y - m) ** 2)), 6) AS rrse, round(sum(abs(y - f)) / sum(abs(y - m)), 6) AS rae, round(1 - sum((y - f) ** 2) / sum((y - m) ** 2), 6) AS r2 FROM t")
