@@ -11,7 +11,8 @@ posting list with one of them, the one that has the shared shingle earliest; so
 their number is linear in the postings. In the second, lists that still hold more
 than one component give all pairs across components that pass the length and
 position filters. Nothing is capped: a link between different components is
-always found by the second round, and links inside one don't matter to it.
+always found by the second round, and links inside one don't matter to it. Pairs whose
+sets must differ too much by the parities of hashed counts are left out unseen.
 
 Candidates of a query set are verified by DivideSkip: the inverted lists of the
 query's shingles over its candidates are split, the short ones are merged on a
@@ -46,6 +47,8 @@ FREQUENT = 200_000
 CHUNK_ROWS = 256
 #: Pairs that may be broadcast.
 FEW_PAIRS = 20_000
+#: Places of the parities that screen pairs.
+PARITIES = 512
 
 
 def shingle_sets(items: list[bytes], size: int) -> list[np.ndarray]:
@@ -312,6 +315,25 @@ def _frequent(documents: DataFrame, size: int) -> Order:
     return Order(top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
 
 
+def parities(own: np.ndarray) -> list[int]:
+    """For each of PARITIES places, whether an odd number of the set's hashes fall there."""
+    odd = np.bincount((mix(own) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
+def _screened(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parities leave a link possible.
+
+    Where two parities differ, the sets do, too; so the number of these places
+    is at most that of elements in one set only. No link is lost.
+    """
+    side = lambda c: short.select(F.col("cid").alias(c), F.col("n").cast("long").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    both = F.col("n_a") + F.col("n_b")
+    need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")  # rounded up
+    apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= both - 2 * need).select("a", "b")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link; `pairs` and `sets` are cut already.
 
@@ -399,16 +421,14 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
 
     texts_of = base.join(chosen.hint("shuffle_hash"), base["doc_id"].eqNullSafe(chosen["doc_id"]) & (base["key"] == chosen["key"])).select("cid", "text")
     sets = cut(texts_of.mapInArrow(own_sets, "cid long, own binary"))
-    links = cut(_verify(pairs, sets, n, percent))
-    comps = components(links)
 
     def heads(it):
-        """Only the prefixes, which is what the second round needs of the sets."""
-        schema = pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("own", pa.binary())])
+        """Of each set its size, parities and prefix, which is what the second round needs."""
+        schema = pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("sig", pa.list_(pa.int64())), ("own", pa.binary())])
         for batch in it:
             own = batch.column(1).to_pylist()
             sizes = [len(x) // HASH_BYTES for x in own]
-            yield batches(schema, cid=batch.column(0), n=sizes, own=[x[: HASH_BYTES * prefix_size(k, percent)] for x, k in zip(own, sizes, strict=True)])
+            yield batches(schema, cid=batch.column(0), n=sizes, sig=[parities(unpacked_set(x)) for x in own], own=[x[: HASH_BYTES * prefix_size(k, percent)] for x, k in zip(own, sizes, strict=True)])
 
     def again(it):
         for batch in it:
@@ -418,9 +438,12 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
                 yield from _blob_rows(_pack(cids[a : a + 4096], comp[a : a + 4096], own[a : a + 4096], percent, n, sizes[a : a + 4096]))
         release()
 
-    short = sets.mapInArrow(heads, "cid long, n int, own binary")
+    short = cut(sets.mapInArrow(heads, "cid long, n int, sig array<long>, own binary"))
+    links = cut(_verify(cut(_screened(pairs, short, percent)), sets, n, percent))
+    comps = components(links)
     placed = short.join(comps, short["cid"] == comps["node"], "left").select("cid", F.coalesce("root", "cid").alias("comp"), "n", "own")
-    more = cut(_per_bucket(placed.mapInArrow(again, _BLOB), n, cross_pairs, percent).distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = _per_bucket(placed.mapInArrow(again, _BLOB), n, cross_pairs, percent).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = cut(_screened(more, short, percent))
     if not more.isEmpty():
         more = cut(_verify(more, sets, n, percent))
         comps = components(links.union(more))
