@@ -778,3 +778,124 @@ def events_windowed_stats(spark, d):
 
     t = windowed_stats(table(spark, d, "events"), "ts", "value", ["event_type"], "1 hour", "10 minutes")
     return t.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("sum", 4).alias("sum"), "min", "max", F.round("avg", 5).alias("avg"))
+
+
+# --- more of the same kinds ------------------------------------------------------------------------------------
+
+
+@query("SELECT value, n FROM (SELECT l_quantity AS value, count(*) AS n, max(count(*)) OVER () AS m FROM lineitem GROUP BY 1) WHERE n = m")
+def stat_mode_list(spark, d):
+    return stats.mode_list(table(spark, d, "lineitem"), "l_quantity")
+
+
+@query("WITH s AS (SELECT min(p) FILTER (c = m) AS threshold, max(m) AS ca FROM (SELECT p, c, max(c) OVER () AS m FROM (SELECT a.p, (coalesce(sum(b.n) FILTER (NOT b.y AND b.p < a.p), 0) + coalesce(sum(b.n) FILTER (b.y AND b.p >= a.p), 0)) / sum(b.n) AS c FROM (SELECT DISTINCT p FROM " + _PF + ") a, (SELECT p, y, count(*)::DOUBLE AS n FROM " + _PF + " GROUP BY 1, 2) b GROUP BY a.p))) SELECT threshold, round(ca, 6) AS ca FROM s")
+def eval_best_threshold(spark, d):
+    return rounded(learners.best_threshold(_scored(spark, d).withColumn("y", _is_f().cast("int")), "p", "y"))
+
+
+@query(f"SELECT round(n01, 0) AS n01, round(n10, 0) AS n10, round(CASE WHEN n01 + n10 > 0 THEN (abs(n01 - n10) - 1) ** 2 / (n01 + n10) ELSE 0 END, 6) AS chi2 FROM (SELECT (count(*) FILTER (y = (p > 0.3) AND y <> (p > 0.5)))::DOUBLE AS n01, (count(*) FILTER (y <> (p > 0.3) AND y = (p > 0.5)))::DOUBLE AS n10 FROM {_PF})")
+def eval_mcnemar(spark, d):
+    df = _scored(spark, d).select(_is_f().alias("y"), (F.col("p") > 0.3).alias("a"), (F.col("p") > 0.5).alias("b"))
+    return rounded(evaluation.mcnemar(df, "y", "a", "b"))
+
+
+@query(f"SELECT round(sum(CASE WHEN y AND NOT p > 0.3 THEN 5.0 WHEN NOT y AND p > 0.3 THEN 1.0 ELSE 0 END)::DOUBLE, 4) AS cost, round(avg(CASE WHEN y AND NOT p > 0.3 THEN 5.0 WHEN NOT y AND p > 0.3 THEN 1.0 ELSE 0 END)::DOUBLE, 6) AS mean_cost FROM {_PF}")
+def eval_total_cost(spark, d):
+    costs = spark.createDataFrame([(True, False, 5.0), (False, True, 1.0)], "actual boolean, predicted boolean, cost double")
+    return rounded(evaluation.total_cost(_scored(spark, d).select(_is_f().alias("y"), (F.col("p") > 0.3).alias("c")), "y", "c", costs))
+
+
+@query("SELECT o_orderkey, o_orderpriority, predicted FROM orders JOIN (SELECT o_orderpriority AS k, o_orderstatus AS predicted FROM (SELECT o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_orderpriority ORDER BY count(*) DESC, o_orderstatus) AS i FROM orders GROUP BY 1, 2) WHERE i = 1) ON k = o_orderpriority")
+def lookup_classifier(spark, d):
+    o = table(spark, d, "orders")
+    return learners.lookup(o, o.select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], "o_orderstatus")
+
+
+@query(f"WITH e AS (SELECT i % 4 AS a, j % 4 AS b FROM {_PAIRS} WHERE d BETWEEN 0 AND 500) SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM e WHERE a <> b GROUP BY 1, 2")
+def graph_collapse(spark, d):
+    g = table(spark, d, "supplier").select(F.col("s_suppkey").alias("vertex"), (F.col("s_suppkey") % 4).alias("grp"))
+    return graphs.collapse(graphs.from_matrix(_balances(spark, d), 0, 500), g)
+
+
+@query(f"SELECT i AS a, j AS b FROM {_PAIRS} WHERE d BETWEEN 0 AND 500 AND i % 3 <> 0 AND j % 3 <> 0")
+def graph_hide(spark, d):
+    hidden = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("vertex"))
+    return graphs.hide(graphs.from_matrix(_balances(spark, d), 0, 500), hidden)
+
+
+for _how, _sql in {"negate": "-d", "one_minus": "1 - d", "max_minus": "max(d) OVER () - d", "sigmoid": "1 / (1 + exp(-d / 1000))"}.items():
+
+    def _transformed(spark, d, how=_how):
+        m = _balances(spark, d)
+        if how == "sigmoid":
+            m = m.withColumn("d", F.col("d") / 1000)
+        return rounded(distances.transform_matrix(m, how), 4)
+
+    _transformed.__name__ = f"matrix_{_how}"
+    query(f"SELECT i, j, round({_sql}, 4) + 0.0 AS d FROM {_PAIRS}")(_transformed)
+
+
+@query(f"SELECT i, j, round(d, 4) AS d FROM {_PAIRS} WHERE i % 2 = 0 AND j % 2 = 0")
+def matrix_subset(spark, d):
+    items = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("item"))
+    return rounded(distances.sub_matrix(_balances(spark, d), items), 4)
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 30) SELECT a.vec_id AS i, b.vec_id AS j, round((1 - (list_dot_product(a.v, b.v) / 64 - list_avg(a.v) * list_avg(b.v)) / sqrt((list_dot_product(a.v, a.v) / 64 - list_avg(a.v) ** 2) * (list_dot_product(b.v, b.v) / 64 - list_avg(b.v) ** 2))) / 2, 5) AS d FROM e a JOIN e b ON a.vec_id > b.vec_id""")
+def dist_matrix_pearson(spark, d):
+    e = table(spark, d, "embeddings").where("vec_id < 30").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return rounded(distances.matrix(e, "vec_id", "v", "pearson"), 5)
+
+
+@query("SELECT c_custkey, c_nationkey, c_acctbal FROM (SELECT *, row_number() OVER (ORDER BY c_nationkey, c_acctbal DESC) FROM customer) ORDER BY c_nationkey, c_acctbal LIMIT 50")
+def sort_lexicographic(spark, d):
+    return rel.sort(table(spark, d, "customer"), ["c_nationkey", "c_acctbal"]).limit(50).select("c_custkey", "c_nationkey", "c_acctbal")
+
+
+@query("SELECT c_mktsegment AS value, round(sum(w), 6) AS w FROM (SELECT c_mktsegment, count(*)::DOUBLE AS w FROM customer WHERE c_nationkey < 10 GROUP BY 1 UNION ALL SELECT c_mktsegment, -0.5 * count(*) FROM customer WHERE c_nationkey >= 10 GROUP BY 1) GROUP BY 1".replace("SELECT c_mktsegment AS value", "SELECT c_mktsegment AS value"))
+def dist_arithmetic(spark, d):
+    c = table(spark, d, "customer")
+    return rounded(stats.combine(stats.distribution(c.where("c_nationkey < 10"), "c_mktsegment"), stats.distribution(c.where("c_nationkey >= 10"), "c_mktsegment"), -0.5))
+
+
+@query()
+def dist_density(spark, d):
+    return stats.density(stats.distribution(table(spark, d, "lineitem"), "l_quantity"), 10.5)
+
+
+@query()
+def tree_predict(spark, d):
+    from ..operators import trees
+
+    o = _orders_with_year(spark, d)
+    return o.select("o_orderkey", trees.predict(trees.grow(o, ["o_orderpriority", "year"], "o_orderstatus", min_rows=20)).alias("predicted"))
+
+
+@query()
+def covering_rules(spark, d):
+    from ..operators import trees
+
+    o = _orders_with_year(spark, d)
+    return o.select("o_orderkey", trees.first_rule(trees.induce_rules(o, ["o_orderpriority", "year"], "o_orderstatus")).alias("predicted"))
+
+
+@query()
+def cluster_hierarchical(spark, d):
+    from ..operators.clustering import hierarchical
+
+    return hierarchical(_balances(spark, d), 4)
+
+
+@query()
+def cluster_kmeans(spark, d):
+    from ..operators.clustering import kmeans
+
+    return kmeans(table(spark, d, "customer").withColumn("nation", F.col("c_nationkey").cast("double")), ["c_acctbal", "nation"], 3).select("c_custkey", "cluster")
+
+
+@query()
+def cross_validation_majority(spark, d):
+    from ..operators.models import cross_validated
+
+    o = table(spark, d, "orders")
+    return cross_validated(o, lambda train, rows: learners.majority(train, rows, "o_orderstatus"), 5, ["o_orderkey"], "o_orderstatus").select("o_orderkey", "fold", "predicted")
