@@ -23,10 +23,13 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._dist import cut
+from ._dist import cut, partitions
 
-SAMPLE_DOCS = 4_000
-FREQUENT = 1 << 16
+SAMPLE_DOCS = 20_000
+FREQUENT = 1 << 18
+#: Bits of an id, of a rank.
+BITS = 17
+SCALE = 1 << BITS
 MARK = "▁"
 
 
@@ -44,6 +47,8 @@ def _pieces(path: str):
     model = proto.ModelProto()
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
+    if len(model.pieces) > SCALE:
+        raise ValueError(f"more than {SCALE} pieces")
     order = sorted((-p.score, i) for i, p in enumerate(model.pieces) if p.type in (1, 4))
     rows, rank, last = [], -1, None
     for s, i in order:
@@ -70,16 +75,17 @@ def lattices(words: DataFrame, path: str) -> DataFrame:
     parts = span.withColumn("piece", F.substring(F.col("word"), F.col("i"), F.col("n")))
     # single characters stay even without a piece, so that every word has a lattice
     edges = parts.join(table, "piece", "left").where("id IS NOT NULL OR n = 1")
-    key = (F.col("i") - 1) * 64 + F.col("n")
-    lattice = edges.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct(key.alias("k"), F.struct("rank", "id").alias("v")))).alias("e"))
-    lattice = lattice.select("word", F.map_from_entries("e").alias("edges"))
+    # an edge as one number, its place above its rank and id, keeps the groups small
+    place, value = (F.col("i") - 1) * 64 + F.col("n"), F.col("rank").cast("long") * SCALE + F.col("id")
+    lattice = edges.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), place.cast("long") * (SCALE * SCALE) + value)).alias("e"))
+    lattice = lattice.select("word", F.map_from_arrays(F.transform("e", lambda x: F.shiftright(x, 2 * BITS).cast("int")), F.transform("e", lambda x: x.bitwiseAND(F.lit(SCALE * SCALE - 1)))).alias("edges"))
     size, edges_ = F.length("word"), F.col("edges")
 
     def step(ends: Column, _: Column) -> Column:
         # ends: 0 and the place after each symbol; joining symbols j and j + 1 drops ends[j]
         inner = F.sequence(F.lit(1), F.greatest(F.size(ends) - 2, F.lit(1)))
-        found = F.transform(inner, lambda j: F.struct(edges_[F.get(ends, j - 1) * 64 + F.get(ends, j + 1) - F.get(ends, j - 1)]["rank"].alias("rank"), j.alias("j")))
-        best = F.coalesce(F.array_min(F.filter(found, lambda x: x["rank"].isNotNull()))["j"], F.lit(-1))
+        found = F.transform(inner, lambda j: F.struct(edges_[F.get(ends, j - 1) * 64 + F.get(ends, j + 1) - F.get(ends, j - 1)].alias("v"), j.alias("j")))
+        best = F.coalesce(F.array_min(F.filter(found, lambda x: x["v"].isNotNull()))["j"], F.lit(-1))
         # an array of one binds the best place, so that it is found once a step
         joined = F.get(F.transform(F.array(best), lambda b: F.filter(ends, lambda x, k: k != b)), 0)
         return F.when(F.size(ends) < 3, ends).otherwise(joined)
@@ -93,7 +99,7 @@ def lattices(words: DataFrame, path: str) -> DataFrame:
     def ids(s: Column) -> Column:
         text = F.encode(F.substring(F.col("word"), s["a"] + 1, s["n"]), "utf-8")
         as_bytes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda k: F.conv(F.hex(F.substring(text, k, F.lit(1))), 16, 10).cast("int") + base)
-        id_ = edges_[s["a"] * 64 + s["n"]]["id"]
+        id_ = edges_[s["a"] * 64 + s["n"]].bitwiseAND(F.lit(SCALE - 1)).cast("int")
         return F.when(id_.isNotNull(), F.array(id_)).otherwise(as_bytes)
 
     return folded.select("word", F.flatten(F.transform(symbols, ids)).alias("ids"))
@@ -101,7 +107,8 @@ def lattices(words: DataFrame, path: str) -> DataFrame:
 
 def _frequent(documents: DataFrame, path: str) -> DataFrame:
     words = documents.select("text").limit(SAMPLE_DOCS).select(F.explode(words_of(F.col("text"))).alias("word"))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(FREQUENT).select("word").where(F.length("word") <= 64)
+    counts = words.groupBy("word").count().where((F.col("count") > 1) & (F.length("word") <= 64))
+    top = counts.orderBy(F.desc("count"), "word").limit(FREQUENT).select("word").repartition(partitions(documents.sparkSession))
     return F.broadcast(cut(lattices(top, path)))
 
 
