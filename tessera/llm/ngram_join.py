@@ -465,9 +465,9 @@ def join(documents: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `documents`, one of each component: that with the least doc_id, unchanged.
 
-    Of equal rows with that id one stays; rows without words, or without an id, all stay.
+    Rows that repeat that id and text are one document and stay alike; rows without
+    words, or without an id, all stay.
     """
     found = near_components(documents, size, percent)
     gone = found.where("n_shingles > 0 AND component_id IS NOT NULL AND doc_id IS DISTINCT FROM component_id").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    left = documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
-    return left
+    return documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
