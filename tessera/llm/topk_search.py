@@ -112,7 +112,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, bucket_rows: int
     def dealt(df: DataFrame, keys: list[str], size: int) -> DataFrame:
         """`df` with `part`: a hash of the row, so that parts of a key have about `size` rows."""
         counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
-        return df.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("_parts")).cast("int")).drop("_parts")
+        # a row for each dimension and step of the grid, of which doubles have few thousand
+        return df.join(F.broadcast(counts), keys).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("_parts")).cast("int")).drop("_parts")
 
     pack = F.collect_list(F.struct("vec_id", "v")).alias("rows")
     blocks = dealt(queries, ["dim"], query_rows).groupBy("dim", "part").agg(pack)
