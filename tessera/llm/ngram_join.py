@@ -10,9 +10,11 @@ Candidates come in two rounds. In the first, each bucket pairs the members of a
 posting list with one of them, the one that has the shared shingle earliest; so
 their number is linear in the postings. In the second, lists that still hold more
 than one component give all pairs across components that pass the length and
-position filters. Nothing is capped: a link between different components is
+position filters. Every class is posted in both rounds, also one that the first
+left without a pair. Nothing is capped: a link between different components is
 always found by the second round, and links inside one don't matter to it. Pairs whose
-sets must differ too much by the parities of hashed counts are left out unseen.
+sets must differ too much by the parities of hashed counts are left out unseen;
+whole sets are looked up for the others only.
 
 Candidates of a query set are verified by DivideSkip: the inverted lists of the
 query's shingles over its candidates are split, the short ones are merged on a
@@ -271,7 +273,7 @@ def star_pairs(x, percent: int):
     head = np.repeat(first, np.diff(np.append(first, len(token))))
     i = np.flatnonzero(head != np.arange(len(token)))
     near = _passes(x, i, head[i], percent)
-    # where the filters part the two, the neighbour stands in, so that a list is never left without pairs
+    # where the filters part the two, the neighbour stands in; a member that both fail waits for the second round
     far = i[~near]
     far = far[_passes(x, far, far - 1, percent)] if len(far) else far
     return np.concatenate([x["cid"][i[near]], x["cid"][far]]), np.concatenate([x["cid"][head[i[near]]], x["cid"][far - 1]])
@@ -382,16 +384,23 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
     n = partitions(spark)
     order = spark.sparkContext.broadcast(_frequent(documents, size))
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    signed = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("low", pa.int64())])
+    signed = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("low", pa.int64()), ("sig", pa.list_(pa.int64())), ("own", pa.binary())])
 
     def signatures(it):
+        """Of each row its class; at the first of a class in a task also parities and prefix of the set, for the second round."""
+        met: set[int] = set()
         for batch in it:
             items = texts(batch.column(2))
             rows = []
             for a, b in chunks(items):
-                rows += [(len(s), *digest(s)) for s in shingle_sets(items[a:b], size)]
-            count, cid, low = zip(*rows, strict=True) if rows else ((), (), ())
-            yield batches(signed, doc_id=batch.column(0), key=batch.column(1), n_shingles=count, cid=cid, low=low)
+                for s in shingle_sets(items[a:b], size):
+                    cid, low = digest(s)
+                    new = len(s) > 0 and cid not in met
+                    if new:
+                        met.add(cid)
+                    rows.append((len(s), cid, low, parities(s) if new else None, packed_set(order.value.arrange(s)[: prefix_size(len(s), percent)]) if new else None))
+            count, cid, low, sig, own = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield batches(signed, doc_id=batch.column(0), key=batch.column(1), n_shingles=count, cid=cid, low=low, sig=sig, own=own)
 
     def postings(it):
         for batch in it:
@@ -402,12 +411,12 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
                 yield from _blob_rows(_pack(cids, np.zeros_like(cids), [order.value.arrange(s) for s in kept.values()], percent, n))
         release()
 
-    docs = cut(base.mapInArrow(signatures, "doc_id long, key long, n_shingles long, cid long, low long"))
+    whole = cut(base.mapInArrow(signatures, "doc_id long, key long, n_shingles long, cid long, low long, sig array<long>, own binary"))
+    docs = whole.drop("sig", "own")
+    # of every class size, parities and prefix, which are what screens and the second round need
+    short = whole.where("own IS NOT NULL").groupBy("cid").agg(F.first(F.struct(F.col("n_shingles").cast("int").alias("n"), "sig", "own")).alias("r")).select("cid", "r.n", "r.sig", "r.own")
+    short = cut(short)
     pairs = cut(_per_bucket(base.select("text").mapInArrow(postings, _BLOB), n, star_pairs, percent).distinct())
-    # the sets of all classes that occur in pairs, by one row of each
-    members = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    chosen = docs.join(members, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("cid", F.col("r.doc_id").alias("doc_id"), F.col("r.key").alias("key"))
-
     def own_sets(it):
         schema = pa.schema([("cid", pa.int64()), ("own", pa.binary())])
         met: set[int] = set()  # equal rows of one document are together: one of them will do
@@ -419,16 +428,14 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
                 yield batches(schema, cid=cids[a:b], own=[packed_set(order.value.arrange(s)) for s in shingle_sets(items[a:b], size)])
         release()
 
-    texts_of = base.join(chosen.hint("shuffle_hash"), base["doc_id"].eqNullSafe(chosen["doc_id"]) & (base["key"] == chosen["key"])).select("cid", "text")
-    sets = cut(texts_of.mapInArrow(own_sets, "cid long, own binary"))
-
-    def heads(it):
-        """Of each set its size, parities and prefix, which is what the second round needs."""
-        schema = pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("sig", pa.list_(pa.int64())), ("own", pa.binary())])
-        for batch in it:
-            own = batch.column(1).to_pylist()
-            sizes = [len(x) // HASH_BYTES for x in own]
-            yield batches(schema, cid=batch.column(0), n=sizes, sig=[parities(unpacked_set(x)) for x in own], own=[x[: HASH_BYTES * prefix_size(k, percent)] for x, k in zip(own, sizes, strict=True)])
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of all classes that occur in pairs, by one row of each."""
+        members = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        chosen = docs.join(members, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("cid", F.col("r.doc_id").alias("doc_id"), F.col("r.key").alias("key"))
+        chosen = F.broadcast(chosen) if pairs.count() <= FEW_PAIRS else chosen.hint("shuffle_hash")
+        texts_of = base.join(chosen, base["doc_id"].eqNullSafe(chosen["doc_id"]) & (base["key"] == chosen["key"])).select("cid", "text")
+        # equal rows of one document may lie in several tasks of a broadcast
+        return cut(texts_of.mapInArrow(own_sets, "cid long, own binary").dropDuplicates(["cid"]))
 
     def again(it):
         for batch in it:
@@ -438,14 +445,14 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
                 yield from _blob_rows(_pack(cids[a : a + 4096], comp[a : a + 4096], own[a : a + 4096], percent, n, sizes[a : a + 4096]))
         release()
 
-    short = cut(sets.mapInArrow(heads, "cid long, n int, sig array<long>, own binary"))
-    links = cut(_verify(cut(_screened(pairs, short, percent)), sets, n, percent))
+    close = cut(_screened(pairs, short, percent))
+    links = cut(_verify(close, sets_of(close), n, percent))
     comps = components(links)
     placed = short.join(comps, short["cid"] == comps["node"], "left").select("cid", F.coalesce("root", "cid").alias("comp"), "n", "own")
     more = _per_bucket(placed.mapInArrow(again, _BLOB), n, cross_pairs, percent).distinct().join(pairs, ["a", "b"], "left_anti")
     more = cut(_screened(more, short, percent))
     if not more.isEmpty():
-        more = cut(_verify(more, sets, n, percent))
+        more = cut(_verify(more, sets_of(more), n, percent))
         comps = components(links.union(more))
 
     classes = docs.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"))
@@ -453,8 +460,8 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
     least = in_comps.groupBy("root").agg(F.min("rep").alias("least"))
     named = in_comps.join(least, "root").select(F.col("node").alias("cid"), "least")
     names = classes.join(named, "cid", "left").select("cid", F.coalesce("least", "rep").alias("component_id"))
-    whole = docs.withColumn("cid", F.when(F.col("n_shingles") > 0, F.col("cid"))).join(names, "cid", "left")
-    return whole.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named_docs = docs.withColumn("cid", F.when(F.col("n_shingles") > 0, F.col("cid"))).join(names, "cid", "left")
+    return named_docs.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def join(documents: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on texts against plain versions of what they promise."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -134,6 +135,29 @@ def test_second_round_finds_what_stars_miss():
     assert cross == {(1, 2), (1, 3), (2, 3)}
 
 
+def test_classes_without_a_first_round_pair_are_linked(spark):
+    """H, C, Y, D in one list: C and D link, but neither fits the head H nor the one before it."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    sets = lambda texts: ngram_join.shingle_sets([t.encode() for t in texts], 4)
+    bodies = [[word() for _ in range(15)] for _ in range(100)]
+    body = min(bodies, key=lambda w: abs(float(sets([" ".join(w)])[0][0]) / 2**64 - 0.003))  # few shingles come before its first
+    t = sets([" ".join(body)])[0][0]
+    at = next(k for k in range(12) if t in sets([" ".join([*body[k : k + 4], "q"])])[0] and t not in sets([" ".join([*body[k + 1 : k + 4], "q", "q"])])[0])
+    heads = [" ".join([word(), *body]) for _ in range(20_000)]
+    heads = [(ngram_join.digest(s)[0], x) for x, s in zip(heads, sets(heads), strict=True) if s[1] == t]
+    (low, c), (high, d) = min(heads), max(heads)
+    longs = [" ".join([word() for _ in range(50)] + body[at : at + 4] + [word() for _ in range(50)]) for _ in range(3000)]
+    places = [(int(np.searchsorted(s, t)), ngram_join.digest(s)[0], x) for x, s in zip(longs, sets(longs), strict=True)]
+    h = next(x for p, _, x in places if p == 0)
+    y = next(x for p, cid, x in places if p == 1 and low < cid < high)
+    rows = [(1, h, None, None), (2, c, None, None), (3, y, None, None), (4, d, None, None)]
+    expected = near(rows, 4, 85)
+    assert [x for *_, x in expected] == [1, 2, 3, 2]
+    got = ngram_join.join(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(expected)
+
+
 def test_packing(documents, nothing, corpus, library):
     rows = packing.pack(documents).collect()
     ids = [library.encode(t or "", add_special_tokens=False).ids + [0] for _, t, _, _ in corpus]
