@@ -107,7 +107,7 @@ def _packed(ids, keys, words: Words, found, width: int, buckets: int):
         h = head[a:b]
         lo, hi = h[0], (head[b] if b < len(head) else len(new))
         strings = gather(words.buf, start[h], size[h] + 1)
-        block = [count[h].astype("<i4"), (size[h] + 1).astype("<i4"), copies[a:b].astype("<i4"), ids[text[lo:hi]].astype("<i8"), keys[text[lo:hi]].astype("<i4"), rel[lo:hi].astype("<i4")]
+        block = [count[h].astype("<i4"), (size[h] + 1).astype("<i4"), copies[a:b].astype("<i4"), ids[text[lo:hi]].astype("<i8"), keys[text[lo:hi]].astype("<i8"), rel[lo:hi].astype("<i4")]
         raw = np.array([len(h), hi - lo, len(strings)], "<i8").tobytes() + b"".join(x.tobytes() for x in block) + strings.tobytes()
         yield int(bucket[lo]), len(raw), CODEC.compress(raw, asbytes=True)
 
@@ -118,7 +118,7 @@ def _unpacked(blobs: list[tuple[int, bytes]]):
         raw = pa.decompress(blob, size, "zstd", asbytes=True)
         n, places, _ = np.frombuffer(raw, "<i8", 3).tolist()
         at = 24
-        for k, (kind, length) in enumerate((("<i4", n), ("<i4", n), ("<i4", n), ("<i8", places), ("<i4", places), ("<i4", places))):
+        for k, (kind, length) in enumerate((("<i4", n), ("<i4", n), ("<i4", n), ("<i8", places), ("<i8", places), ("<i4", places))):
             parts[k].append(np.frombuffer(raw, kind, length, at))
             at += parts[k][-1].nbytes
         parts[6].append(np.frombuffer(raw, np.uint8, -1, at))
@@ -156,7 +156,8 @@ def _repeated(count, copies, words: Words, width: int) -> np.ndarray:
 def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """doc_id, key, first, mask: bit i says that the window from word first + i is repeated.
 
-    `key` is a hash of the text. Super-k-mers without a repeated window give no row.
+    `key` is a 64-bit hash of the text. Super-k-mers without a repeated window give
+    no row, and rows equal in doc_id and text give one row together.
     """
     n = partitions(documents.sparkSession)
     buckets = BUCKETS * n
@@ -176,7 +177,7 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED)
         release()
 
     def count(it):
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int32()), ("first", pa.int32()), ("mask", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("mask", pa.int64())])
 
         def one(blobs):
             count, size, copies, ids, keys, rel, raw = _unpacked(blobs)
@@ -187,7 +188,13 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED)
             words.first = np.append(0, np.searchsorted(words.end, np.cumsum(size), "left"))
             mask = np.repeat(_repeated(count, copies, words, width), copies)
             keep = mask != 0
-            return batches(schema, doc_id=ids[keep], key=keys[keep], first=rel[keep], mask=mask[keep].astype(np.int64))
+            ids, keys, rel, mask = ids[keep], keys[keep], rel[keep], mask[keep]
+            # equal rows have equal strings, which all meet here: one mark will do for them
+            order = np.lexsort((mask, rel, keys, ids))
+            ids, keys, rel, mask = ids[order], keys[order], rel[order], mask[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (rel[1:] != rel[:-1]) | (mask[1:] != mask[:-1])
+            return batches(schema, doc_id=ids[new], key=keys[new], first=rel[new], mask=mask[new].astype(np.int64))
 
         now, held = None, []
         for batch in it:
@@ -203,12 +210,12 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED)
 
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
     packed = keyed.mapInArrow(spread, "bucket int, size long, blob binary")
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "doc_id long, key int, first int, mask long")
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "doc_id long, key long, first int, mask long")
 
 
 def row_key():
     """Tells rows with one doc_id, or with none, apart by their texts."""
-    return F.hash(F.col("doc_id").isNull(), F.col("text"))
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("text"))
 
 
 def remove_repeats(documents: DataFrame, width: int = WIDTH, seed: int = SEED, joined: bool = False) -> DataFrame:

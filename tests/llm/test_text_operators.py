@@ -68,6 +68,22 @@ def test_substring_dedup(documents, nothing, corpus):
     assert substring_dedup.remove_repeats(nothing).collect() == []
 
 
+def test_null_ids_with_one_32_bit_hash_are_told_apart(spark):
+    """The first two texts have one 32-bit hash, as ids of null have no other key."""
+    shared = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, f"{shared} a113806", None, None), (None, "b232398", None, None), (1, shared, None, None)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)).collect()
+    expected = Counter((i, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()) for i, w, kept in dedup(rows, 35))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == expected
+
+
+def test_equal_rows_send_their_marks_once(spark):
+    text = " ".join(f"w{k}" for k in range(200))
+    marks = substring_dedup.repeated_windows(spark.createDataFrame([(None, text)] * 9, "doc_id long, text string").repartition(3)).collect()
+    assert marks and len(marks) == len({(r.doc_id, r.key, r.first) for r in marks})
+    assert sum(bin(r.mask % (1 << 64)).count("1") for r in marks) == 200 - 34
+
+
 def test_equal_window_hashes_are_told_apart_by_words(monkeypatch, corpus):
     """With a hash that says nothing, words alone decide."""
     from tessera.llm._text import Words
