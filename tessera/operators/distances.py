@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 #: Rows that may stand on the broadcast side of all pairs.
 MOST_BROADCAST = 20_000
+#: Queries of a block that is broadcast.
+BLOCK_QUERIES = MOST_BROADCAST // 2
 
 
 def vector(columns: list[str], stats: dict[str, dict[str, float]] | None = None) -> Column:
@@ -82,11 +86,19 @@ def sub_matrix(m: DataFrame, items: DataFrame) -> DataFrame:
 def nearest(df: DataFrame, queries: DataFrame, key: str, x: str, k: int, how: str = "euclidean", include_same: bool = True, **options) -> DataFrame:
     """query, rank, neighbour, d: the k nearest rows of each query, ties to the least key; k = 0: all.
 
-    Queries are broadcast, behind a check of their number. Before neighbours
-    meet, every partition keeps its own k best.
+    Queries are broadcast; more of them than may be are walked in blocks by a hash
+    of their key. Before neighbours meet, every partition keeps its own k best.
     """
-    if queries.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
-        raise ValueError(f"more than {MOST_BROADCAST} queries: ask in blocks")
+    blocks = -(-queries.count() // BLOCK_QUERIES)
+    if blocks > 1:
+        # blocks are of half the size that may be broadcast, as hashes don't deal evenly
+        block = F.pmod(F.xxhash64(key), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [_nearest(df, queries.where(block == b), key, x, k, how, include_same, **options) for b in range(blocks)])
+    return _nearest(df, queries, key, x, k, how, include_same, **options)
+
+
+def _nearest(df: DataFrame, queries: DataFrame, key: str, x: str, k: int, how: str, include_same: bool, **options) -> DataFrame:
+    """The same for queries that may be broadcast."""
     q = queries.select(F.col(key).alias("query"), F.col(x).alias("_q"))
     pairs = df.select(F.col(key).alias("neighbour"), F.col(x).alias("_x")).join(F.broadcast(q), F.col("neighbour") != F.col("query")).select("query", "neighbour", distance(F.col("_x"), F.col("_q"), how, **options).alias("d"))
     if not include_same:

@@ -78,3 +78,27 @@ def test_boosting_and_bagging(monks):
 def test_mllib_learner(spark):
     df = spark.createDataFrame([(float(i), float(i >= 10)) for i in range(20)], "x double, y double")
     assert models.logistic_regression(["x"], "y")(df, df).where("predicted != y").isEmpty()
+
+
+def test_neighbours_of_all_rows_in_blocks(spark, monkeypatch):
+    """Every row is asked, in several blocks, as by brute force."""
+    import numpy as np
+    from tessera.operators import distances
+
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>").cache()
+    monkeypatch.setattr(distances, "BLOCK_QUERIES", 25, raising=False)
+    monkeypatch.setattr(distances, "MOST_BROADCAST", 50)
+    got = {(r.query, r["rank"]): r.neighbour for r in distances.nearest(df, df, "id", "v", 4).collect()}
+    d = np.linalg.norm(points[:, None] - points[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.argsort(d[i])[:4])}
+
+
+def test_knn_classify_has_every_row(spark):
+    from tessera.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert catalogue.QUERIES["knn_classify"](spark, sf).select("query").distinct().count() == rows
