@@ -150,8 +150,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_words, n_pieces, n_bytes and ids_digest of every row.
 
-    The digest is the sum, modulo 2**64, of a hash of each word's place and ids,
-    so that no text's ids need to meet.
+    The digest is the sum of a 31-bit hash of each word's place and ids, so that no
+    text's ids need to meet; neither `encode` nor `decode` is called.
     """
     path = path or model_path()
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_key"))
