@@ -25,7 +25,8 @@ Null, empty and blank texts have empty sets, are linked with nothing and have
 their own doc_id as component. Texts shorter than a shingle have their whole word
 sequence as the only element. Repeated rows are each reported. A null doc_id
 never names a component; one of nothing else is null. Other columns are not read.
-Classes are told apart by 128 bits of their set's hash, links by 64 of these.
+Classes are told apart by 64 bits of their set's hash, links rest on 48 bits of
+each shingle's hash.
 """
 
 from __future__ import annotations
