@@ -1,11 +1,11 @@
-"""Classifiers on held-out rows, SentencePiece against the library, search against all products."""
+"""Classifiers on held-out rows, search against all products."""
 
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
-from tessera.llm import quality_classifier, sentencepiece_codec, topk_search, toxicity
+from tessera.llm import quality_classifier, topk_search, toxicity
 from tessera.llm._dist import components, dense_ranks
 
 from pyspark.sql import functions as F
@@ -55,21 +55,6 @@ def test_without_labels(labelled, spark):
     assert toxicity.keep(docs, labels).columns == docs.columns
 
 
-def test_sentencepiece_equals_library(spark):
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
-    texts = ["", None, "  a  b ", "नमस्ते 🎉 x\n\ty", " ", "aaaa" * 9, "▁x ▁", "a\r\nb", "The quick brown fox, the quick brown fox.", "Größe élan señor", "the the the"]
-    docs = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)] + [(3, texts[3], 3)], "doc_id long, text string, ids2 int")
-    encoded = sentencepiece_codec.encode(docs)
-    assert all(r.ids == sp.encode(r.text or "") for r in encoded.collect())
-    assert all(r.decoded == (r.text or "").replace("▁", " ") for r in sentencepiece_codec.decode(encoded).collect())
-    out = sentencepiece_codec.digests(docs).collect()
-    assert Counter((r.doc_id, r.n_pieces) for r in out) == Counter((r.doc_id, len(sp.encode(r.text or ""))) for r in docs.collect())
-    assert len({r.ids_digest for r in out if r.doc_id == 3}) == 1
-    assert sentencepiece_codec.digests(docs.limit(0)).collect() == []
-
-
 @pytest.mark.parametrize("spread", [1.0, 30.0])
 def test_topk_equals_all_products(spark, spread):
     rng = np.random.default_rng(4)
