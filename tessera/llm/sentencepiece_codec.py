@@ -40,16 +40,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ._dist import checkpoint_dir, cut, partitions
-from ._text import chunks, release, span_hashes
+from ._text import release, span_hashes
 
 #: Bounds of the table of frequent units: texts of the sample, units.
 SAMPLE_DOCS = 20_000
 FREQUENT = 1 << 18
+#: Bytes of the texts that are split at a time.
+CHUNK_BYTES = 1 << 20
 #: Characters of a unit whose lattice is folded in one number's bits.
 SHORT = 60
 #: Bits of an id and of a rank in an edge.
@@ -268,13 +271,15 @@ def lattices(units: DataFrame, path: str) -> DataFrame:
     """unit, ids: the segmentation of each distinct unit (column `unit`)."""
     spark = units.sparkSession
     model = load(path)
-    table = F.broadcast(spark.createDataFrame(model.rows, "piece string, id int, rank int, score double"))
+    # the join is by a hash of 64 bits, which is much faster than by strings; hits are confirmed by the piece
+    table = F.broadcast(spark.createDataFrame(model.rows, "known string, id int, rank int, score double").withColumn("_hash", F.xxhash64("known")))
     size = F.char_length("unit")
     start = units.where(size <= SHORT).select("unit", F.explode(F.sequence(F.lit(1), size)).alias("i"))
     span = start.select("unit", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), size - F.col("i") + 1))).alias("n"))
     parts = span.withColumn("piece", F.substring(F.col("unit"), F.col("i"), F.col("n")))
     # single characters stay even without a piece, so that every unit has a lattice
-    edges = parts.join(table, "piece", "left").where("id IS NOT NULL OR n = 1")
+    found = parts.withColumn("_hash", F.xxhash64("piece")).join(table, "_hash", "left").withColumn("id", F.when(F.col("known") == F.col("piece"), F.col("id")))
+    edges = found.where("id IS NOT NULL OR n = 1")
     i, n = F.col("i") - 1, F.col("n")
     if model.kind == BPE:
         # an edge as one number, its rank above all, keeps the groups small and sorts fast
@@ -318,15 +323,22 @@ def lattices(units: DataFrame, path: str) -> DataFrame:
 # --- units of documents ------------------------------------------------------------------------
 
 
-def _spans(model: Model, texts: list[str]) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each chunk of texts: its range, the marked text, and of its units start, end, text, place in that text, hash."""
-    for a, b in chunks(texts, 1 << 20):
-        whole, codes, start, end, owner = model.units(texts[a:b])
+def _spans(model: Model, column: pa.Array) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each chunk of texts: its range, the marked text, and of its units start, end, text, place in that text, hash.
+
+    Texts become strings chunk by chunk, so that memory follows the chunk.
+    """
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) + 1)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHUNK_BYTES, "right")))
+        whole, codes, start, end, owner = model.units([x or "" for x in column.slice(a, b - a).to_pylist()])
         first = np.zeros(b - a, np.int64)
         if len(start):
             head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             first[owner[head]] = start[head]
         yield a, b, whole, start, end, owner, start - first[owner], span_hashes(codes, start, end) if len(start) else np.zeros(0, np.uint64)
+        a = b
 
 
 class Known:
@@ -404,12 +416,13 @@ def frequent(documents: DataFrame, path: str) -> Known:
         model = load(path)
         for batch in it:
             seen: Counter = Counter()
-            for _, _, whole, start, end, _, _, h in _spans(model, [x or "" for x in batch.column(0).to_pylist()]):
+            for _, _, whole, start, end, _, _, h in _spans(model, batch.column(0)):
                 _, at, n = np.unique(h, return_index=True, return_counts=True)
                 for s, e, k in zip(start[at].tolist(), end[at].tolist(), n.tolist(), strict=True):
                     if e - s <= SHORT:
                         seen[whole[s:e]] += k
             yield pa.record_batch({"unit": pa.array(list(seen), pa.string()), "k": pa.array(list(seen.values()), pa.int64())})
+        release()
 
     sample = documents.select("text").sample(share, 17) if share < 1 else documents.select("text")
     counts = sample.mapInArrow(count, "unit string, k long").groupBy("unit").agg(F.sum("k").alias("k")).where("k > 1")
@@ -438,8 +451,8 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
         model, table = load(path), known.value
         row = TaskContext.get().partitionId() << 40
         for batch in it:
-            texts, ids = [x or "" for x in batch.column(1).to_pylist()], batch.column(0)
-            for a, b, whole, start, end, owner, place, h in _spans(model, texts):
+            ids = batch.column(0)
+            for a, b, whole, start, end, owner, place, h in _spans(model, batch.column(1)):
                 at = table.find(h, end - start)
                 edge = np.searchsorted(owner, np.arange(b - a + 1))
                 total = lambda x, edge=edge: np.diff(np.append(0, np.cumsum(x))[edge])
@@ -485,7 +498,7 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
     def split(it):
         model = load(path)
         for batch in it:
-            for a, _, whole, start, end, owner, place, _ in _spans(model, [x or "" for x in batch.column(1).to_pylist()]):
+            for a, _, whole, start, end, owner, place, _ in _spans(model, batch.column(1)):
                 names = [whole[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
                 yield pa.record_batch({"_sp_key": batch.column(0).take(pa.array(a + owner)), "_sp_place": pa.array(place), "unit": pa.array(names, pa.string())})
         release()
