@@ -267,8 +267,8 @@ def _best(edges: Column, size: Column, unknown: float) -> Column:
     return _once(ways, back)
 
 
-def lattices(units: DataFrame, path: str) -> DataFrame:
-    """unit, ids: the segmentation of each distinct unit (column `unit`)."""
+def _folded(units: DataFrame, path: str) -> DataFrame:
+    """unit, ids: the segmentation of each distinct unit (column `unit`) by its lattice; null for long ones."""
     spark = units.sparkSession
     model = load(path)
     # the join is by a hash of 64 bits, which is much faster than by strings; hits are confirmed by the piece
@@ -310,14 +310,25 @@ def lattices(units: DataFrame, path: str) -> DataFrame:
         return F.when(s["id"] >= 0, F.array(s["id"])).otherwise(as_bytes)
 
     folded = lattice.select("unit", F.flatten(F.transform(_once(unpacked, symbols), ids)).alias("ids"))
+    return folded.unionByName(units.where(size > SHORT).select("unit", F.lit(None).cast("array<int>").alias("ids")))
+
+
+def _filled(model: Model, batch: pa.RecordBatch) -> pa.Array:
+    """The ids of a batch of `_folded`, with those of long units."""
+    if not batch.column(1).null_count:
+        return batch.column(1)
+    return pa.array([model.segment(u) if x is None else x for u, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.list_(pa.int32()))
 
-    def walk(it):
-        own = load(path)
+
+def lattices(units: DataFrame, path: str) -> DataFrame:
+    """unit, ids: the segmentation of each distinct unit (column `unit`)."""
+
+    def run(it):
+        model = load(path)
         for batch in it:
-            names = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.segment(u) for u in names], pa.list_(pa.int32()))], ["unit", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _filled(model, batch)], ["unit", "ids"])
 
-    return folded.unionByName(units.where(size > SHORT).select("unit").mapInArrow(walk, "unit string, ids array<int>"))
+    return _folded(units, path).mapInArrow(run, "unit string, ids array<int>")
 
 
 # --- units of documents ------------------------------------------------------------------------
@@ -378,8 +389,11 @@ MEASURES = 7
 _NAMES = ("n", "b", "s", "sp", "m", "c", "cp")
 
 
-def measured(encoded: DataFrame, path: str) -> DataFrame:
-    """unit and the measures of its ids, and of the text that they decode to."""
+def measured(units: DataFrame, path: str) -> DataFrame:
+    """unit and the measures of its ids, and of the text that they decode to.
+
+    The ids are those of `lattices`; what is long is segmented and all is measured by one worker.
+    """
 
     def run(it):
         model = load(path)
@@ -388,7 +402,7 @@ def measured(encoded: DataFrame, path: str) -> DataFrame:
             says[i] = int(b & 0xC0 != 0x80)
         begun = np.array(says, np.int64)  # characters that a piece begins
         for batch in it:
-            lists = batch.column(1)
+            lists = _filled(model, batch)
             offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
             flat, offsets = flat[offsets[0] : offsets[-1]], offsets - offsets[0]
             total = lambda x, o: np.diff(np.append(0, np.cumsum(x))[o])
@@ -399,8 +413,9 @@ def measured(encoded: DataFrame, path: str) -> DataFrame:
             codes = np.frombuffer("".join(decoded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
             out += [np.diff(ends), total(codes, ends), total(codes * place(np.ones(len(codes), np.int64), ends), ends)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.astype(np.int64)) for x in out)], ["unit", *_NAMES])
+        release()
 
-    return encoded.select("unit", "ids").mapInArrow(run, "unit string, " + ", ".join(f"{c} long" for c in _NAMES))
+    return _folded(units, path).mapInArrow(run, "unit string, " + ", ".join(f"{c} long" for c in _NAMES))
 
 
 def _digested(place, a, b):
@@ -427,7 +442,7 @@ def frequent(documents: DataFrame, path: str) -> Known:
     sample = documents.select("text").sample(share, 17) if share < 1 else documents.select("text")
     counts = sample.mapInArrow(count, "unit string, k long").groupBy("unit").agg(F.sum("k").alias("k")).where("k > 1")
     top = cut(counts.orderBy(F.desc("k"), "unit").limit(FREQUENT).select("unit"))
-    rows = measured(lattices(top.repartition(partitions(documents.sparkSession), "unit"), path), path).toPandas()
+    rows = measured(top.repartition(partitions(documents.sparkSession), "unit"), path).toPandas()
     return Known(load(path), rows["unit"].tolist(), rows[list(_NAMES)].to_numpy(np.int64))
 
 
@@ -474,7 +489,7 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
     documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, columns).write.option("compression", "zstd").parquet(folder)
     split_ = spark.read.schema(columns).parquet(folder)
     rare = split_.where("unit IS NOT NULL").select("row", "place", "unit")
-    found = measured(lattices(rare.select("unit").distinct(), path), path)
+    found = measured(rare.select("unit").distinct(), path)
     add = lambda a, b: F.expr(f"pmod((2 * place + 1) * {a} + 2 * {b}, {MODULUS})")
     each = rare.join(found, "unit").select("row", F.col("n").alias("n_pieces"), F.col("b").alias("n_bytes"), add("s", "sp").alias("ids_digest"), F.col("m").alias("n_chars"), add("c", "cp").alias("text_digest"))
     docs = split_.where("unit IS NULL").select("row", "doc_id", *sums)
