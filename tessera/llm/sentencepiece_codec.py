@@ -489,7 +489,8 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
     documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, columns).write.option("compression", "zstd").parquet(folder)
     split_ = spark.read.schema(columns).parquet(folder)
     rare = split_.where("unit IS NOT NULL").select("row", "place", "unit")
-    found = measured(rare.select("unit").distinct(), path)
+    # a number of partitions of its own: units make many edges, so that partitions that are joined by their bytes would spill
+    found = measured(rare.select("unit").repartition(partitions(spark), "unit").distinct(), path)
     add = lambda a, b: F.expr(f"pmod((2 * place + 1) * {a} + 2 * {b}, {MODULUS})")
     each = rare.join(found, "unit").select("row", F.col("n").alias("n_pieces"), F.col("b").alias("n_bytes"), add("s", "sp").alias("ids_digest"), F.col("m").alias("n_chars"), add("c", "cp").alias("text_digest"))
     docs = split_.where("unit IS NULL").select("row", "doc_id", *sums)
