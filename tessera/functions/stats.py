@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordered import numbered, running
+
 ONE = F.lit
 
 
@@ -65,7 +67,7 @@ def spread(x: Column, weight: Column | None = None) -> dict[str, Column]:
 
 def percentiles(dist: DataFrame, wanted: list[float]) -> DataFrame:
     """percentile, value: the weight is walked in ascending order; an exact hit gives the mean of two neighbours."""
-    running = dist.withColumn("cum", F.sum("w").over(Window.orderBy("value"))).withColumn("next", F.lead("value").over(Window.orderBy("value")))
+    walked = running(dist, "value", {"cum": F.col("w")}, following="next")
     rows = []
     for p in wanted:
         togo = F.lit(float(p)) / 100 * F.col("total")
@@ -73,7 +75,7 @@ def percentiles(dist: DataFrame, wanted: list[float]) -> DataFrame:
         got = F.when(F.lit(p == 0), F.min("value")).when(F.lit(p == 100), F.max("value"))
         hit = F.min(F.struct("value", F.when((F.abs(after) <= 1e-9) & F.col("next").isNotNull(), (F.col("value") + F.col("next")) / 2).otherwise(F.col("value")).alias("v")))
         total = dist.agg(F.sum("w").alias("total"))
-        base = running.join(F.broadcast(total))
+        base = walked.join(F.broadcast(total))
         first = base.where(after >= -1e-9) if 0 < p < 100 else base
         rows.append(first.agg((hit["v"] if 0 < p < 100 else got).alias("value")).select(F.lit(float(p)).alias("percentile"), "value"))
     out = rows[0]
@@ -84,10 +86,10 @@ def percentiles(dist: DataFrame, wanted: list[float]) -> DataFrame:
 
 def density(dist: DataFrame, at: float) -> DataFrame:
     """Weight at a point, linear between neighbouring values, 0 outside."""
-    nxt = Window.orderBy("value")
-    pairs = dist.select("value", "w", F.lead("value").over(nxt).alias("v2"), F.lead("w").over(nxt).alias("w2"))
-    y = F.when(F.col("value") == at, F.col("w")).when((F.col("value") < at) & (F.col("v2") > at), F.col("w") + (at - F.col("value")) / (F.col("v2") - F.col("value")) * (F.col("w2") - F.col("w")))
-    return pairs.agg(F.coalesce(F.max(y), F.lit(0.0)).alias("density"))
+    pair = F.struct("value", "w")
+    near = dist.agg(F.max(F.when(F.col("value") <= at, pair)).alias("a"), F.min(F.when(F.col("value") > at, pair)).alias("b"))
+    between = F.col("a.w") + (at - F.col("a.value")) / (F.col("b.value") - F.col("a.value")) * (F.col("b.w") - F.col("a.w"))
+    return near.select(F.coalesce(F.when(F.col("a.value") == at, F.col("a.w")).otherwise(between), F.lit(0.0)).alias("density"))
 
 
 def contingency(df: DataFrame, outer: str, inner: str, weight: Column | None = None, normalize: bool = False) -> DataFrame:
@@ -153,8 +155,7 @@ def z_scores(df: DataFrame, column: str, name: str = "z") -> DataFrame:
 def ranks(df: DataFrame, column: str, by: list[str] = (), name: str = "rank") -> DataFrame:
     """Ranks from 1, ties share the mean; over counts of the distinct values, not over rows."""
     counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by).orderBy(column)
-    r = counts.withColumn(name, F.sum("_n").over(upto) - F.col("_n") + (F.col("_n") + 1) / 2).drop("_n")
+    r = running(counts, column, {"_upto": F.col("_n")}, by).withColumn(name, F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).drop("_n", "_upto")
     keys = [*by, column]
     renamed = r.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], name)
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
@@ -234,7 +235,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def score_at_percentile(df: DataFrame, column: str, p: float) -> DataFrame:
     """The element of the sorted list at n * p / 100, rounded; found in the counts of values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("w"))
-    cum = counts.withColumn("cum", F.sum("w").over(Window.orderBy("value"))).join(F.broadcast(counts.agg(F.sum("w").alias("n"))))
+    cum = running(counts, "value", {"cum": F.col("w")}).join(F.broadcast(counts.agg(F.sum("w").alias("n"))))
     at = F.least(F.floor(F.col("n") * p / 100 + 0.5), F.col("n") - 1)
     return cum.where(F.col("cum") > at).agg(F.min("value").alias("value"))
 
@@ -245,8 +246,6 @@ def percentile_of_score(df: DataFrame, column: str, score: float) -> DataFrame:
 
 def trim_both(df: DataFrame, column: str, share: float) -> DataFrame:
     """Without the least and greatest shares of rows."""
-    from ..operators.relational import numbered
-
     n = df.count()
     cut = int(share * n)
     return numbered(df, [column], "_place").where(F.col("_place").between(cut, n - cut - 1)).drop("_place")

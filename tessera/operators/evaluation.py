@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+
+from .ordered import running
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -44,25 +45,23 @@ def brier(probabilities: DataFrame, key: str, actual: str) -> DataFrame:
 def auc(df: DataFrame, p: str, positive: Column) -> DataFrame:
     """Concordance from the counts of each probability: auc, and concordant, discordant, tied pairs."""
     c = df.groupBy(F.col(p).alias("p")).agg(F.sum(positive.cast("double")).alias("pos"), F.sum((~positive).cast("double")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    t = c.withColumn("below", below).agg(F.sum(F.col("below") * F.col("pos")).alias("concordant"), F.sum(F.col("neg") * F.col("pos")).alias("tied"), (F.sum("pos") * F.sum("neg")).alias("all"))
+    t = running(c, "p", {"upto": F.col("neg")}).withColumn("below", F.col("upto") - F.col("neg")).agg(F.sum(F.col("below") * F.col("pos")).alias("concordant"), F.sum(F.col("neg") * F.col("pos")).alias("tied"), (F.sum("pos") * F.sum("neg")).alias("all"))
     return t.select(((F.col("concordant") + F.col("tied") / 2) / F.col("all")).alias("auc"), "concordant", (F.col("all") - F.col("concordant") - F.col("tied")).alias("discordant"), "tied")
 
 
 def roc(df: DataFrame, p: str, positive: Column) -> DataFrame:
     """p, fpr, tpr: shares of the rows from p upwards."""
     c = df.groupBy(F.col(p).alias("p")).agg(F.sum(positive.cast("double")).alias("pos"), F.sum((~positive).cast("double")).alias("neg"))
-    up = Window.orderBy(F.desc("p"))
-    t = c.join(F.broadcast(c.agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))))
-    return t.select("p", (F.sum("neg").over(up) / F.col("_neg")).alias("fpr"), (F.sum("pos").over(up) / F.col("_pos")).alias("tpr"))
+    up = running(c, "p", {"fp": F.col("neg"), "tp": F.col("pos")}, descending=True)
+    t = up.join(F.broadcast(c.agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))))
+    return t.select("p", (F.col("fp") / F.col("_neg")).alias("fpr"), (F.col("tp") / F.col("_pos")).alias("tpr"))
 
 
 def lift(df: DataFrame, p: str, positive: Column) -> DataFrame:
     """p, share of rows from p upwards, and how many positives are among them."""
     c = df.groupBy(F.col(p).alias("p")).agg(F.sum(positive.cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    up = Window.orderBy(F.desc("p"))
-    t = c.join(F.broadcast(c.agg(F.sum("n").alias("_n"))))
-    return t.select("p", (F.sum("n").over(up) / F.col("_n")).alias("share"), F.sum("pos").over(up).alias("tp"))
+    up = running(c, "p", {"upto": F.col("n"), "tp": F.col("pos")}, descending=True)
+    return up.join(F.broadcast(c.agg(F.sum("n").alias("_n")))).select("p", (F.col("upto") / F.col("_n")).alias("share"), "tp")
 
 
 def regression_errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
+
+from ..lineage import cut
+from .ordered import running
 
 
 def from_matrix(m: DataFrame, low: float, high: float) -> DataFrame:
@@ -36,14 +38,9 @@ def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = both.select(F.col("a").alias("vertex"), F.col("a").alias("label")).distinct()
-    sc = edges.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("vertex").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
-        labels = votes.groupBy(F.col("a").alias("vertex")).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select("vertex", F.col("m.label").alias("label")).checkpoint()
+        labels = cut(votes.groupBy(F.col("a").alias("vertex")).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select("vertex", F.col("m.label").alias("label")))
     return labels
 
 
@@ -63,4 +60,6 @@ def closest(vertices: DataFrame, x: float, y: float) -> DataFrame:
 
 def rank_groups(edges: DataFrame) -> DataFrame:
     d = degrees(edges)
-    return d.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("degree"))))
+    # a rank for each distinct degree, of which there are few for many vertices
+    place = running(d.select("degree").distinct(), "degree", {"rank": F.lit(1)}, descending=True)
+    return d.join(place, "degree").select("vertex", "degree", F.col("rank").cast("int").alias("rank"))

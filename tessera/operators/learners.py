@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .ordered import running
 from ..functions.stats import distribution, domain_contingency, modus, probabilities, unpivot
 
 
@@ -103,8 +104,8 @@ def logistic(x: list[Column], beta: list[float]) -> Column:
 def best_threshold(scored: DataFrame, p: str, y: str) -> DataFrame:
     """threshold, ca: the probability from which class 1 gives most right answers, the least of several."""
     c = scored.groupBy(F.col(p).alias("threshold")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
-    below = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
-    t = c.join(F.broadcast(c.agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))))
-    right = F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("_pos") - F.coalesce(F.sum("pos").over(below), F.lit(0))
+    upto = running(c, "threshold", {"_un": F.col("neg"), "_up": F.col("pos")})
+    t = upto.join(F.broadcast(c.agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))))
+    right = F.col("_un") - F.col("neg") + F.col("_pos") - F.col("_up") + F.col("pos")
     ca = t.select("threshold", (right / (F.col("_pos") + F.col("_neg"))).alias("ca"))
     return ca.groupBy().agg(F.max(F.struct("ca", (-F.col("threshold")).alias("t"))).alias("b")).select((-F.col("b.t")).alias("threshold"), F.col("b.ca").alias("ca"))

@@ -8,6 +8,8 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
+from ..lineage import cut
+
 #: A learner: (train, rows) -> rows with a column `predicted`.
 Learner = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -101,7 +103,7 @@ def boosted(learner: Callable[[str], Learner], cls: str, key: str, n: int = 5) -
             votes = one if votes is None else votes.union(one)
             if e == 0:
                 break
-            now = now.withColumn("_bw", F.when(F.col("_right"), F.col("_bw") * beta).otherwise(F.col("_bw"))).drop("_right").checkpoint()
+            now = cut(now.withColumn("_bw", F.when(F.col("_right"), F.col("_bw") * beta).otherwise(F.col("_bw"))).drop("_right"))
         if votes is None:
             return learner("_bw")(now.drop("_right"), rows)
         sums = votes.groupBy(key, "predicted").agg(F.sum("_v").alias("_v")).groupBy(key).agg(F.max_by("predicted", "_v").alias("predicted"))

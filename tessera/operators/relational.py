@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .ordered import numbered as numbered
+
 
 def derive(df: DataFrame, definitions: dict[str, Column | str]) -> DataFrame:
     """Computed columns, in order: later ones may use earlier ones."""
@@ -22,23 +24,6 @@ def convert(df: DataFrame, columns: dict[str, str], computed: dict[str, Column]
     return df.select([(computed[c] if c in computed else F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """Rows numbered from 0 by a global order, without gathering them in one task.
-
-    A range partitioning by the order, the counts of its partitions, and a
-    number inside each.
-    """
-    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).withColumn("_part", F.spark_partition_id())
-    counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    start, before = 0, {}
-    for part in sorted(counts):
-        before[part] = start
-        start += counts[part]
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_last() for c in order]))
-    table = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    return ranged.withColumn(name, (within - 1 + table[F.col("_part")]).cast("long")).drop("_part")
-
-
 def rows_slice(df: DataFrame, row_id: str, start: int, stop: int, step: int = 1) -> DataFrame:
     i = F.col(row_id)
     return df.where((i >= start) & (i < stop) & ((i - start) % step == 0))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from .relational import numbered
+from .ordered import numbered
 
 
 def order_key(columns: list[str], seed: int = 0) -> Column:
@@ -14,18 +13,9 @@ def order_key(columns: list[str], seed: int = 0) -> Column:
 
 
 def folds(df: DataFrame, n: int, key: list[str], stratify: str | None = None, name: str = "fold") -> DataFrame:
-    """Fold numbers from 0, dealt in turn; stratified: inside each class, all in one walk over classes.
-
-    Counts of the classes give every class its first place in that walk.
-    """
-    if stratify is None:
-        return numbered(df, key, "_place").withColumn(name, (F.col("_place") % n).cast("int")).drop("_place")
-    counts = df.groupBy(stratify).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(F.col(stratify).asc_nulls_last())) - F.col("_n")
-    start = counts.withColumn("_start", before).withColumnRenamed(stratify, "_class").drop("_n")
-    place = F.row_number().over(Window.partitionBy(stratify).orderBy(*key)) - 1
-    out = df.withColumn("_place", place).join(F.broadcast(start), F.col(stratify).eqNullSafe(F.col("_class")))
-    return out.withColumn(name, ((F.col("_place") + F.col("_start")) % n).cast("int")).drop("_place", "_start", "_class")
+    """Fold numbers from 0, dealt in turn; stratified: in one walk over all classes, one after the other."""
+    order = key if stratify is None else [stratify, *key]
+    return numbered(df, order, "_place").withColumn(name, (F.col("_place") % n).cast("int")).drop("_place")
 
 
 def two_parts(df: DataFrame, p0: float, key: list[str], stratify: str | None = None, name: str = "part") -> DataFrame:
@@ -34,9 +24,9 @@ def two_parts(df: DataFrame, p0: float, key: list[str], stratify: str | None = N
         n = df.count()
         first = round(p0 * n) if p0 <= 1 else int(p0)
         return numbered(df, key, "_place").withColumn(name, (F.col("_place") >= first).cast("int")).drop("_place")
-    whole = Window.partitionBy(stratify)
-    place = F.row_number().over(whole.orderBy(*key))
-    return df.withColumn(name, (place > F.round(F.count(F.lit(1)).over(whole) * p0)).cast("int"))
+    sizes = df.groupBy(F.col(stratify).alias("_class")).agg(F.round(F.count(F.lit(1)) * p0).alias("_first"))
+    placed = numbered(df, key, "_place", [stratify]).join(F.broadcast(sizes), F.col(stratify).eqNullSafe(F.col("_class")))
+    return placed.withColumn(name, (F.col("_place") >= F.col("_first")).cast("int")).drop("_place", "_class", "_first")
 
 
 def n_parts(df: DataFrame, shares: list[float], key: list[str], name: str = "part") -> DataFrame:

@@ -10,6 +10,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..lineage import cut
+from ..operators.ordered import numbered, running
+
 #: Distinct values of a column that a fit may gather on the driver.
 MOST_VALUES = 1_000_000
 
@@ -59,28 +62,30 @@ def _values(df: DataFrame, columns: list[str]) -> list:
 
 
 def equal_frequency_cuts(df: DataFrame, column: str, n: int) -> list[float]:
-    """Cuts between distinct values so that bins hold about the same number of rows.
+    """Cuts halfway between distinct values, so that bins hold about the same number of rows.
 
-    The walk aims anew after each cut, at what is left over the bins left.
+    Each cut looks up, in the cumulative distribution, where an equal share of the
+    rows above the last cut ends, and goes to the nearer side of the value there
+    (below it where both are equally near). The distribution stays in the cluster;
+    a cut is one aggregate over it.
     """
-    rows = [(float(r[0]), r[1]) for r in _values(df, [column])]
-    if len(rows) <= n:
-        return [(a + b) / 2 for (a, _), (b, _) in zip(rows, rows[1:], strict=False)]
-    left, bins, have, cuts = sum(c for _, c in rows), n, 0, []
-    for i, (value, count) in enumerate(rows):
-        if bins <= 1:
+    from ..functions.stats import distribution
+
+    steps = cut(running(distribution(df, column).select(F.col("value").cast("double").alias("v"), "w"), "v", {"cum": F.col("w")}, following="after"))
+    known = steps.agg(F.count(F.lit(1)).alias("k"), F.max("cum").alias("n"), F.min("v").alias("first")).first()
+    if known.k <= n:
+        return sorted(r.c for r in steps.where(F.col("after").isNotNull()).select(((F.col("v") + F.col("after")) / 2).alias("c")).collect())
+    cuts: list[float] = []
+    done, seen = 0.0, known.first
+    for bins in range(n, 1, -1):
+        goal = done + (known.n - done) / bins
+        at = steps.where((F.col("cum") >= goal) & (F.col("v") > seen)).agg(F.min(F.struct("v", "cum", "after")).alias("a")).first().a
+        if at is None:
             break
-        have += count
-        aim = left / bins
-        if have < aim or not i:
-            continue
-        if i + 1 < len(rows) and have - aim < count / 2:
-            cuts.append((value + rows[i + 1][0]) / 2)
-            left, have = left - have, 0
-        else:
-            cuts.append((rows[i - 1][0] + value) / 2)
-            left, have = left - (have - count), count
-        bins -= 1
+        below = steps.where(F.col("v") < at.v).agg(F.max(F.struct("v", "cum")).alias("b")).first().b
+        up = at.after is not None and at.cum - goal < goal - below.cum
+        cuts.append((at.v + at.after) / 2 if up else (below.v + at.v) / 2)
+        done, seen = at.cum if up else below.cum, at.v
     return cuts
 
 
@@ -185,16 +190,17 @@ def impute_as_value(df: DataFrame, discrete: list[str], continuous: dict[str, fl
 
 def impute_random(df: DataFrame, column: str, key: list[str]) -> DataFrame:
     """Draws from the column's own values, repeatably: a hash of the row picks the place in the running share."""
-    from pyspark.sql.window import Window
-
     from ..functions.stats import distribution
 
-    d = distribution(df, column, normalize=True)
-    upto = d.select(F.col("value").alias("_v"), F.sum("w").over(Window.orderBy("value")).alias("_hi"))
-    steps = upto.agg(F.array_sort(F.collect_list(F.struct("_hi", "_v"))).alias("_steps"))
+    # places of the running share meet missing rows by bucket, so that nothing is gathered
+    d = running(distribution(df, column, normalize=True), "value", {"hi": F.col("w")})
+    grid = 1 << 16
+    low, high = (F.greatest(F.floor((F.col("hi") - F.col("w")) * grid), F.lit(0)), F.least(F.floor(F.col("hi") * grid), F.lit(grid - 1)))
+    steps = d.select(F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("_b"), F.col("value").alias("_v"), F.col("hi").alias("_hi"), (F.col("hi") - F.col("w")).alias("_lo"))
     u = F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / float(1 << 30)
-    drawn = F.get(F.filter("_steps", lambda s: s["_hi"] > u), 0)["_v"]
-    return df.join(F.broadcast(steps)).withColumn(column, F.coalesce(F.col(column), drawn)).drop("_steps")
+    missing = df.where(F.col(column).isNull()).withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * grid).cast("int"))
+    drawn = missing.join(steps, "_b").where("_u >= _lo AND _u < _hi")
+    return df.where(F.col(column).isNotNull()).unionByName(drawn.select(*[F.col("_v").alias(c) if c == column else F.col(c) for c in df.columns]))
 
 
 # --- noise and weights --------------------------------------------------------------------------
@@ -213,7 +219,6 @@ def class_weights(df: DataFrame, cls: str, factors: dict[str, float] | None = No
 
 def chosen_rows(df: DataFrame, share: float, key: list[str], name: str) -> DataFrame:
     """Marks an exact share of rows, in a repeatable random order."""
-    from ..operators.relational import numbered
     from ..operators.sampling import order_key
 
     n = round(share * df.count())
