@@ -3,30 +3,24 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import checkpoint_dir as checkpoint_dir
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder.
 
-    The cluster names it in spark.checkpoint.dir; one of our own is set only
-    where the session names none.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame | Callable[[], DataFrame]) -> DataFrame:
     """Computes `df` once into the reliable checkpoint folder.
 
     What `df` was computed from is then out of use; collecting garbage on the
-    driver lets Spark delete its shuffle files now rather than at some time.
+    driver lets Spark delete its shuffle files now rather than at some time. That
+    needs the last reference to be gone, as a call's argument is not: so `df` may
+    be a function that makes it.
     """
+    if callable(df):
+        df = df()
     checkpoint_dir(df.sparkSession)
     out = df.checkpoint()
     del df

@@ -224,7 +224,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, seed: int = SEED, j
     With `joined` all columns of `documents` are kept, and `text` holds the kept
     words joined by one space.
     """
-    marks = cut(repeated_windows(documents, width, seed))
+    marks = cut(lambda: repeated_windows(documents, width, seed))
     marks = marks.groupBy(F.col("doc_id").alias("__sd_id"), F.col("key").alias("__sd_key")).agg(F.collect_list("first").alias("__sd_first"), F.collect_list("mask").alias("__sd_mask"))
     own = [F.col(c) for c in documents.columns] if joined else [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
     left = documents.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__sd_id"), row_key().alias("__sd_key"))
