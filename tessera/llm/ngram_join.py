@@ -16,6 +16,12 @@ always found by the second round, and links inside one don't matter to it. Pairs
 sets must differ too much by the parities of hashed counts are left out unseen;
 whole sets are looked up for the others only.
 
+The list of a shingle that the sample shows in very many documents is dealt over
+parts by a hash of the class. In the first round each part has its own first
+member, and these meet once more in a list of their own. In the second, lists
+whose members are all in one component by then, as those of a large group of near
+copies are, are left out; of the others every two parts meet in a bucket.
+
 Candidates of a query set are verified by DivideSkip: the inverted lists of the
 query's shingles over its candidates are split, the short ones are merged on a
 heap with a lower threshold, the long ones probed by binary search, and documents
@@ -46,12 +52,17 @@ from .substring_dedup import grams
 #: One document in so many is sampled for frequent shingles; the table of these is bounded, too.
 SAMPLE = 16
 FREQUENT = 200_000
+#: Members of a part of a posting list, about; longer lists are dealt over several parts.
+LIST = 4096
 #: Candidates that one task verifies against a query at a time.
 CHUNK_ROWS = 256
-#: Pairs that may be broadcast.
-FEW_PAIRS = 20_000
+#: Pairs that a bucket holds before it hands them on.
+HELD_PAIRS = 1 << 18
 #: Places of the parities that screen pairs.
 PARITIES = 512
+#: Bytes of a shingle's hash by which whole sets are compared.
+HASH_BYTES = 6
+LOW = np.uint64((1 << 8 * HASH_BYTES) - 1)
 
 
 def shingle_sets(items: list[bytes], size: int) -> list[np.ndarray]:
@@ -83,9 +94,15 @@ def prefix_size(n: int, percent: int) -> int:
 class Order:
     """Rare shingles first, then by hash."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, members: float = math.inf):
+        """`members` of the sample make a part of a posting list."""
+        self.members = members
         at = np.argsort(hashes)
         self.hashes, self.counts = hashes[at], counts[at]
+        # the second round knows shingles by their low bytes only
+        low = hashes & LOW
+        at = np.argsort(low)
+        self.low, self.low_counts = low[at], counts[at]
 
     def arrange(self, own: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -94,8 +111,12 @@ class Order:
         count = np.where(self.hashes[at] == own, self.counts[at], 0)
         return own[np.lexsort((own, count))]
 
-
-HASH_BYTES = 6
+    def parts(self, tokens: np.ndarray) -> np.ndarray:
+        """The number of parts of each token's posting list."""
+        if not len(self.low):
+            return np.ones(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.low, tokens & LOW), len(self.low) - 1)
+        return np.where(self.low[at] == tokens & LOW, np.ceil(self.low_counts[at] / self.members), 1).astype(np.int64).clip(1)
 
 
 def packed_set(own: np.ndarray) -> bytes:
@@ -183,12 +204,35 @@ def linked(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]
 
 # --- buckets of postings -------------------------------------------------------------------
 
-_FIELDS = (("token", "<u8"), ("cid", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("pos", "<i4"))
+_FIELDS = (("token", "<u8"), ("cid", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("part", "<i4"))
 _BLOB = "bucket int, size long, blob binary"
 
 
-def _pack(cids, comps, arranged: list[np.ndarray], percent: int, buckets: int, sizes=None):
-    """Blobs of a chunk's postings, one a bucket; `sizes` of the sets, if `arranged` are prefixes only."""
+def _parted(x: dict[str, np.ndarray], parts: np.ndarray, meet: bool) -> dict[str, np.ndarray]:
+    """Postings with `part`, 0 in a list of one, under a token for each part of a list; where parts `meet`, for each two of them."""
+    part = (mix(x["cid"].view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) % parts.astype(np.uint64)).astype(np.int64) + 1
+    x = x | {"part": np.where(parts > 1, part, 0), "token": x["token"].copy()}
+    hot = np.flatnonzero(parts > 1)
+    if not len(hot):
+        return x
+    low = high = part[hot]
+    if meet:
+        copies = np.repeat(hot, parts[hot])
+        other = np.arange(len(copies)) - np.repeat(np.cumsum(parts[hot]) - parts[hot], parts[hot]) + 1
+        low, high = np.minimum(part[copies], other), np.maximum(part[copies], other)
+        cold = np.flatnonzero(parts == 1)
+        x = {k: np.concatenate([v[cold], v[copies]]) for k, v in x.items()}
+        hot = np.arange(len(cold), len(cold) + len(copies))
+    x["token"][hot] = mix(x["token"][hot] + mix((low.astype(np.uint64) << np.uint64(32)) + high.astype(np.uint64)))
+    return x
+
+
+def _pack(cids, comps, arranged: list[np.ndarray], percent: int, buckets: int, sizes=None, order: Order | None = None, only=None, settled: np.ndarray | None = None):
+    """Blobs of a chunk's postings, one a bucket; `sizes` of the sets, if `arranged` are prefixes only.
+
+    `order` deals long lists over parts, which meet each other where `settled`, the
+    tokens whose lists need not be looked at, is given. `only` long lists: no parts.
+    """
     n = np.array([len(s) for s in arranged]) if sizes is None else sizes
     lengths = np.array([prefix_size(int(k), percent) if k else 0 for k in n])
     if not lengths.sum():
@@ -196,11 +240,16 @@ def _pack(cids, comps, arranged: list[np.ndarray], percent: int, buckets: int, s
     token = np.concatenate([s[:k] for s, k in zip(arranged, lengths, strict=True)])
     owner = np.repeat(np.arange(len(arranged)), lengths)
     pos = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    columns = {"token": token, "cid": cids[owner], "comp": comps[owner], "n": n[owner], "pos": pos}
-    columns = {k: columns[k][order].astype(t) for k, t in _FIELDS}
+    x = {"token": token, "cid": cids[owner], "comp": comps[owner], "n": n[owner], "pos": pos}
+    parts = order.parts(token) if order else np.ones(len(token), np.int64)
+    keep = parts > 1 if only else ~np.isin(token, settled) if settled is not None and len(settled) else None
+    if keep is not None:
+        x, parts = {k: v[keep] for k, v in x.items()}, parts[keep]
+    x = x | {"part": np.zeros(len(x["token"]), np.int64)} if only else _parted(x, parts, settled is not None)
+    bucket = (mix(x["token"]) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    columns = {k: x[k][by].astype(t) for k, t in _FIELDS}
     for b in np.flatnonzero(np.diff(edge)).tolist():
         raw = b"".join(columns[k][edge[b] : edge[b + 1]].tobytes() for k, _ in _FIELDS)
         yield b, len(raw), pa.compress(raw, "zstd", asbytes=True)
@@ -226,7 +275,7 @@ def _blob_rows(rows):
 
 
 def _per_bucket(packed: DataFrame, n: int, pairs_of, percent: int) -> DataFrame:
-    """a, b: what `pairs_of` gives for the postings of each bucket, without repeats in a bucket."""
+    """a, b: what `pairs_of` gives, lot by lot, for the postings of each bucket, without repeats in a lot."""
 
     def run(it):
         def one(blobs):
@@ -236,14 +285,14 @@ def _per_bucket(packed: DataFrame, n: int, pairs_of, percent: int) -> DataFrame:
             new = np.ones(len(order), bool)
             new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["cid"][1:] != x["cid"][:-1])
             x = {k: v[new] for k, v in x.items()}
-            a, b = pairs_of(x, percent)
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            if len(low):
-                order = np.lexsort((high, low))
-                low, high = low[order], high[order]
-                new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
-                low, high = low[new], high[new]
-            yield pa.record_batch({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+            for a, b in pairs_of(x, percent):
+                low, high = np.minimum(a, b), np.maximum(a, b)
+                if len(low):
+                    order = np.lexsort((high, low))
+                    low, high = low[order], high[order]
+                    new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+                    low, high = low[new], high[new]
+                yield pa.record_batch({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
 
         now, held = None, []
         for batch in it:
@@ -268,7 +317,10 @@ def _passes(x, i, j, percent: int) -> np.ndarray:
 
 
 def star_pairs(x, percent: int):
-    """Each member of a list with its first: the one with the shingle earliest."""
+    """Each member of a list with its first: the one with the shingle earliest.
+
+    The first members of parts of a list, where `part` tells them, come as pairs with themselves.
+    """
     token = x["token"]
     first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
     head = np.repeat(first, np.diff(np.append(first, len(token))))
@@ -277,14 +329,26 @@ def star_pairs(x, percent: int):
     # where the filters part the two, the neighbour stands in; a member that both fail waits for the second round
     far = i[~near]
     far = far[_passes(x, far, far - 1, percent)] if len(far) else far
-    return np.concatenate([x["cid"][i[near]], x["cid"][far]]), np.concatenate([x["cid"][head[i[near]]], x["cid"][far - 1]])
+    heads = first[x["part"][first] > 0] if "part" in x else first[:0]
+    return np.concatenate([x["cid"][i[near]], x["cid"][far], x["cid"][heads]]), np.concatenate([x["cid"][head[i[near]]], x["cid"][far - 1], x["cid"][heads]])
+
+
+def stars(x, percent: int):
+    yield star_pairs(x, percent)
 
 
 def cross_pairs(x, percent: int):
     """All pairs of a list from different components."""
+    a, b = zip(*cross_lots(x, percent), strict=True)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def cross_lots(x, percent: int):
+    """The same in lots of about HELD_PAIRS."""
     token, comp = x["token"], x["comp"]
+    part = x.get("part", np.zeros(len(token), np.int64))
     first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for s, e in zip(first.tolist(), np.append(first[1:], len(token)).tolist(), strict=True):
         if e - s < 2:
             continue
@@ -292,19 +356,25 @@ def cross_pairs(x, percent: int):
         if len(names) < 2:
             continue
         every = np.arange(s, e)
+        across = (part[s] != part[s:e]).any()  # two parts meet here, and each has a list of its own
         rest = every[comp[s:e] != names[size.argmax()]]
         for i in rest.tolist():
-            j = every[(comp[s:e] != comp[i])]
+            other = (comp[s:e] != comp[i]) & (part[s:e] != part[i]) if across else comp[s:e] != comp[i]
+            j = every[other]
             j = j[_passes(x, np.full(len(j), i), j, percent)]
             a.append(np.full(len(j), x["cid"][i]))
             b.append(x["cid"][j])
-    return np.concatenate(a), np.concatenate(b)
+            held += len(j)
+            if held > HELD_PAIRS:
+                yield np.concatenate(a), np.concatenate(b)
+                a, b, held = [a[0]], [b[0]], 0
+    yield np.concatenate(a), np.concatenate(b)
 
 
 # --- the join -------------------------------------------------------------------------------
 
 
-def _frequent(documents: DataFrame, size: int) -> Order:
+def _frequent(documents: DataFrame, size: int, sample: int, list_size: int) -> Order:
     def count(it):
         for batch in it:
             items = texts(batch.column(0))
@@ -313,9 +383,9 @@ def _frequent(documents: DataFrame, size: int) -> Order:
                 h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 yield pa.record_batch({"h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    top = sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    return Order(top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
+    some = documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0).select("text")
+    top = some.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    return Order(top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), list_size / sample)
 
 
 def parities(own: np.ndarray) -> list[int]:
@@ -340,15 +410,12 @@ def _screened(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
 def _verify(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link; `pairs` and `sets` are cut already.
 
-    Each set is looked up once for all requests of it. Few pairs are broadcast,
-    behind a count, so that the sets stay where they are.
+    Each set is looked up once for all requests of it.
     """
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("parts"))
     dealt = pairs.join(many, "a").select(F.col("b").alias("cid"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"))
     asked = many.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
-    wanted = dealt.unionByName(asked)
-    if pairs.count() <= FEW_PAIRS:
-        wanted = F.broadcast(wanted)
+    wanted = dealt.unionByName(asked).hint("shuffle_hash")
 
     def run(it):
         def out(query, ids, held):
@@ -379,11 +446,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFram
     return met.mapInArrow(run, "a long, b long")
 
 
-def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, key, n_shingles, component_id of every row; `key` tells rows with one doc_id apart."""
+def near_components(documents: DataFrame, size: int = 4, percent: int = 85, sample: int = SAMPLE, list_size: int = LIST) -> DataFrame:
+    """doc_id, key, n_shingles, component_id of every row; `key` tells rows with one doc_id apart.
+
+    `sample` and `list_size` change the work only.
+    """
     spark = documents.sparkSession
     n = partitions(spark)
-    order = spark.sparkContext.broadcast(_frequent(documents, size))
+    frequent = _frequent(documents, size, sample, list_size)
+    order = spark.sparkContext.broadcast(frequent)
+    long_lists = bool((frequent.parts(frequent.hashes) > 1).any())
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     signed = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("low", pa.int64()), ("sig", pa.list_(pa.int64())), ("own", pa.binary())])
 
@@ -409,7 +481,7 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
             for a, b in chunks(items, 2 * CHUNK):
                 kept = {digest(s)[0]: s for s in shingle_sets(items[a:b], size) if len(s)}
                 cids = np.fromiter(kept, np.int64, len(kept))
-                yield from _blob_rows(_pack(cids, np.zeros_like(cids), [order.value.arrange(s) for s in kept.values()], percent, n))
+                yield from _blob_rows(_pack(cids, np.zeros_like(cids), [order.value.arrange(s) for s in kept.values()], percent, n, order=order.value))
         release()
 
     whole = cut(base.mapInArrow(signatures, "doc_id long, key long, n_shingles long, cid long, low long, sig array<long>, own binary"))
@@ -417,7 +489,8 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
     # of every class size, parities and prefix, which are what screens and the second round need
     short = whole.where("own IS NOT NULL").groupBy("cid").agg(F.first(F.struct(F.col("n_shingles").cast("int").alias("n"), "sig", "own")).alias("r")).select("cid", "r.n", "r.sig", "r.own")
     short = cut(short)
-    pairs = cut(_per_bucket(base.select("text").mapInArrow(postings, _BLOB), n, star_pairs, percent).distinct())
+    pairs = cut(_per_bucket(base.select("text").mapInArrow(postings, _BLOB), n, stars, percent).distinct())
+
     def own_sets(it):
         schema = pa.schema([("cid", pa.int64()), ("own", pa.binary())])
         met: set[int] = set()  # equal rows of one document are together: one of them will do
@@ -433,24 +506,51 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
         """The sets of all classes that occur in pairs, by one row of each."""
         members = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
         chosen = docs.join(members, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("cid", F.col("r.doc_id").alias("doc_id"), F.col("r.key").alias("key"))
-        chosen = F.broadcast(chosen) if pairs.count() <= FEW_PAIRS else chosen.hint("shuffle_hash")
-        texts_of = base.join(chosen, base["doc_id"].eqNullSafe(chosen["doc_id"]) & (base["key"] == chosen["key"])).select("cid", "text")
-        # equal rows of one document may lie in several tasks of a broadcast
-        return cut(texts_of.mapInArrow(own_sets, "cid long, own binary").dropDuplicates(["cid"]))
-
-    def again(it):
+        # texts meet the few that are asked for by a shuffle at every size; what is asked for is the side that is built
+        texts_of = base.join(chosen.hint("shuffle_hash"), base["doc_id"].eqNullSafe(chosen["doc_id"]) & (base["key"] == chosen["key"])).select("cid", "text")
+        return cut(texts_of.mapInArrow(own_sets, "cid long, own binary"))
+
+    def posted(**how):
+        """Postings of classes by their prefixes; rows are cid, comp, n, own."""
+
+        def run(it):
+            for batch in it:
+                cids, comp, sizes = (batch.column(c).to_numpy() for c in (0, 1, 2))
+                own = [unpacked_set(x) for x in batch.column(3).to_pylist()]
+                options = {k: v.value if hasattr(v, "value") else v for k, v in how.items()}
+                for a in range(0, len(own), 4096):
+                    yield from _blob_rows(_pack(cids[a : a + 4096], comp[a : a + 4096], own[a : a + 4096], percent, n, sizes[a : a + 4096], **options))
+            release()
+
+        return run
+
+    def spread(it):
+        """Of each shingle with a long list: the least and greatest component of a task's postings."""
+        low: dict[int, int] = {}
+        high: dict[int, int] = {}
         for batch in it:
-            cids, comp, sizes = (batch.column(c).to_numpy() for c in (0, 1, 2))
-            own = [unpacked_set(x) for x in batch.column(3).to_pylist()]
-            for a in range(0, len(own), 4096):
-                yield from _blob_rows(_pack(cids[a : a + 4096], comp[a : a + 4096], own[a : a + 4096], percent, n, sizes[a : a + 4096]))
-        release()
-
+            for comp, size_, own in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                token = unpacked_set(own)[: prefix_size(size_, percent)]
+                for t in token[order.value.parts(token) > 1].tolist():
+                    low[t], high[t] = min(comp, low.get(t, comp)), max(comp, high.get(t, comp))
+        names = np.fromiter(low, np.uint64, len(low)).view(np.int64)
+        yield pa.record_batch({"t": pa.array(names), "a": pa.array(list(low.values()), pa.int64()), "b": pa.array(list(high.values()), pa.int64())})
+
+    settled = np.zeros(0, np.uint64)
+    if long_lists:
+        heads = pairs.where("a = b").select(F.col("a").alias("cid")).join(short, "cid").select("cid", F.lit(0).cast("long").alias("comp"), "n", "own")
+        firsts = _per_bucket(heads.mapInArrow(posted(order=order, only=True), _BLOB), n, stars, percent)
+        pairs = cut(pairs.where("a <> b").union(firsts).distinct())
     close = cut(_screened(pairs, short, percent))
     links = cut(_verify(close, sets_of(close), n, percent))
     comps = components(links)
     placed = short.join(comps, short["cid"] == comps["node"], "left").select("cid", F.coalesce("root", "cid").alias("comp"), "n", "own")
-    more = _per_bucket(placed.mapInArrow(again, _BLOB), n, cross_pairs, percent).distinct().join(pairs, ["a", "b"], "left_anti")
+    if long_lists:
+        # at most as many rows as the table of frequent shingles has
+        ends = placed.mapInArrow(spread, "t long, a long, b long").groupBy("t").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        settled = ends.where("a = b").select("t").toPandas()["t"].to_numpy(np.int64).view(np.uint64)
+    done = spark.sparkContext.broadcast(settled)
+    more = _per_bucket(placed.mapInArrow(posted(order=order, settled=done), _BLOB), n, cross_lots, percent).distinct().join(pairs, ["a", "b"], "left_anti")
     more = cut(_screened(more, short, percent))
     if not more.isEmpty():
         more = cut(_verify(more, sets_of(more), n, percent))
@@ -465,9 +565,9 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85) -> D
     return named_docs.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def join(documents: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+def join(documents: DataFrame, size: int = 4, percent: int = 85, **work) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return near_components(documents, size, percent).select("doc_id", "n_shingles", "component_id")
+    return near_components(documents, size, percent, **work).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -174,6 +174,40 @@ def test_classes_without_a_first_round_pair_are_linked(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(expected)
 
 
+def test_long_posting_lists_are_dealt_over_parts(spark):
+    """A shingle in a fifth of all texts, a large group of near copies, and parts of a few members each."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    common, base = [word() for _ in range(4)], [word() for _ in range(60)]
+    texts = []
+    for k in range(400):
+        w = [word() for _ in range(rng.randint(4, 30))] + common * (k % 5 == 0)
+        if k % 3 == 0:
+            w = [*base[: rng.randint(20, 60)]]
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    texts += [" ".join(common + [word()]) for _ in range(30)] + [" ".join([word(), *common]) for _ in range(30)]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    expected = Counter(near(rows, 4, 60))
+    for list_size in (3, 20):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(docs, 4, 60, sample=1, list_size=list_size).collect())
+        assert got == expected
+
+
+def test_every_two_members_of_a_list_in_parts_meet():
+    rng = np.random.default_rng(6)
+    members, parts = 50, 5
+    x = {"token": np.full(members, 9, np.uint64), "cid": rng.integers(-(2**60), 2**60, members), "comp": np.arange(members), "n": np.full(members, 20), "pos": np.zeros(members, int)}
+    y = ngram_join._parted(x, np.full(members, parts), True)
+    order = np.lexsort((y["cid"], y["pos"], y["token"]))
+    found = ngram_join.cross_pairs({k: v[order] for k, v in y.items()}, 85)
+    pairs = Counter(tuple(sorted(p)) for p in zip(*(c.tolist() for c in found), strict=True))
+    assert len(pairs) == members * (members - 1) // 2
+    alone = ngram_join._parted(x, np.full(members, parts), False)
+    assert len(alone["token"]) == members and len(set(alone["token"].tolist())) == parts
+
+
 def test_packing(documents, nothing, corpus, library):
     rows = packing.pack(documents).collect()
     ids = [library.encode(t or "", add_special_tokens=False).ids + [0] for _, t, _, _ in corpus]
