@@ -2,7 +2,8 @@
 
 Tier one is a compact open-addressing hash table of the token counts of frequent
 words, fitted on a bounded sample and broadcast; it is probed for all words of a
-chunk at once. Tier two is the worker's own cache of the words that miss, which
+chunk at once. The sample is a share of all rows, taken and counted where they
+lie, so that only counts of words travel. Tier two is the worker's own cache of the words that miss, which
 the tokenizers library encodes on first sight.
 
 Null and empty texts have no tokens and no bytes; repeated rows are each
@@ -81,7 +82,9 @@ def fit_table(documents: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, e
             top = [(w, n) for w, n in seen.most_common(2 * entries) if len(w) <= 64]
             yield pa.record_batch({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    found = documents.select("text").limit(sample_docs).mapInArrow(count, "word string, n long")
+    share = min(1.0, sample_docs / max(documents.count(), 1))
+    texts = documents.select("text")
+    found = (texts.sample(share, 29) if share < 1 else texts).mapInArrow(count, "word string, n long")
     top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries).select("word").collect()
     names = [r.word for r in top]
     tok = worker_tokenizer(path)
