@@ -1,13 +1,16 @@
 """Quality rules with adaptive thresholds, in DataFrame expressions only.
 
-Each text gets integer measures. For each language and source, every measure
-has a quantile sketch: counts over a fixed grid of whole numbers from 0 to 1000.
-Sketches merge by adding counts, their size is bounded by the grid, and their
-quantiles are exact on it. A document fails a rule if its measure lies outside
-the fences of its own language and source, three interquartile ranges (or a least
-spread) beyond the quartiles. Where fewer than MIN_DOCS documents stand behind a
-sketch, the merged sketch of the language, or else of all, sets the fences. The
-fences are then joined to the documents.
+Each text gets integer measures. For each language and source, every measure has
+a mergeable quantile sketch (KLL with parameter K: exact up to K documents, then
+with a rank error of about 0.2 %). Sketches are merged from those of tasks to
+those of sources, languages, and all; merges go through salted groups, so that no
+task merges all sketches of a hot language or source.
+
+A document fails a rule if its measure lies outside the fences of its own
+language and source, three interquartile ranges (or a least spread) beyond the
+quartiles. Quartiles are shrunk towards those of the language, and these towards
+those of all, with the weight of PRIOR documents, so that small sources borrow
+from larger groups without a step. The fences are then joined to the documents.
 
 A null text has no words, so it fails the base rule. Null language or source is
 a value like any other. Repeated rows count each; other columns pass unread. An
@@ -16,15 +19,22 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from ._dist import cut
+from ._dist import checkpoint_dir, cut
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-MIN_DOCS = 200
+#: Parameter of the sketches, and documents by whose weight quartiles are shrunk to those of the larger group.
+K = 1024
+PRIOR = 200
 FENCE = 3
+#: Groups through which the sketches of a language or source are merged.
+SALTS = 32
+#: Rows of fences that may be broadcast; more meet the documents by a shuffle.
+MOST_BROADCAST = 100_000
 #: Measure: whether low values fail, too, and the least spread.
 MEASURES = {"symbols": (False, 20), "dup_lines": (False, 150), "repeats": (False, 150), "word_length": (True, 5), "upper": (False, 30), "shouts": (False, 20)}
 
@@ -51,45 +61,53 @@ def features(documents: DataFrame) -> DataFrame:
     found = F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull())))
     covered = F.size(F.array_distinct(F.flatten(F.transform(found, lambda i: F.array(i, i + 1, i + 2)))))
     three = two.withColumn("_q_repeat", covered.cast("long")).drop("_q_words", "_q_lines", "_q_windows")
-    share = lambda a, b, scale=1000: F.least(F.floor(F.col(a) * scale / F.greatest(F.col(b), F.lit(1))), F.lit(1000)).cast("int")
+    share = lambda a, b, scale=1000: F.expr(f"({a} * {scale}) div greatest({b}, 1)")
     measures = {"symbols": share("_q_symbols", "_q_chars"), "dup_lines": share("_q_n_dup", "_q_n_lines"), "repeats": share("_q_repeat", "_q_n_words"), "word_length": share("_q_chars", "_q_n_words", 10), "upper": share("_q_capitals", "_q_chars"), "shouts": share("_q_bangs", "_q_chars")}
     failed = (F.col("_q_n_words") < 50) | (100 * F.col("_q_repeat") > 50 * F.col("_q_n_words"))
     return three.withColumns({f"_q_m_{k}": v for k, v in measures.items()} | {"_q_failed": failed})
 
 
 def sketches(scored: DataFrame) -> DataFrame:
-    """lang, source, measure, bin, n: the sketches of all languages and sources."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(f"_q_m_{k}").alias("bin")) for k in MEASURES]))
-    return scored.select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bin").agg(F.count(F.lit(1)).alias("n"))
+    """lang, source, and a sketch of each measure."""
+    sketch = [F.kll_sketch_agg_bigint(f"_q_m_{k}", K).alias(k) for k in MEASURES]
+    # the salt is one for a task, so that its sketches are not split
+    return merged(scored.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy("lang", "source", "_salt").agg(*sketch), ["lang", "source"])
+
+
+def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The sketches of all rows of each key as one."""
+    return parts.groupBy(*keys).agg(*[F.kll_merge_agg_bigint(k, K).alias(k) for k in MEASURES])
+
+
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, and n, q1 and q3 of each measure."""
+    quart = lambda k, q: F.kll_sketch_get_quantile_bigint(k, F.lit(q)).cast("double")
+    return sketch.select(*keys, *[F.struct(F.kll_sketch_get_n_bigint(k).cast("double").alias("n"), quart(k, 0.25).alias("q1"), quart(k, 0.75).alias("q3")).alias(k) for k in MEASURES])
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """lang, source, and low_ and high_ of each measure."""
-    whole = Window.partitionBy("level", "lang", "source", "measure")
-    levels = [("own", ["lang", "source"]), ("lang", ["lang"]), ("all", [])]
-    merged = None
-    for level, keys in levels:
-        part = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-        part = part.select(F.lit(level).alias("level"), *[F.col(c) if c in keys else F.lit(None).cast("string").alias(c) for c in ("lang", "source")], "measure", "bin", "n")
-        merged = part if merged is None else merged.unionByName(part)
-    cum = merged.withColumn("cum", F.sum("n").over(whole.orderBy("bin"))).withColumn("total", F.sum("n").over(whole))
-    quart = cum.groupBy("level", "lang", "source", "measure").agg(F.max("total").alias("total"), F.min(F.when(4 * F.col("cum") >= F.col("total"), F.col("bin"))).alias("q1"), F.min(F.when(4 * F.col("cum") >= 3 * F.col("total"), F.col("bin"))).alias("q3"))
-    least = F.create_map(*[F.lit(x) for k, (_, spread) in MEASURES.items() for x in (k, spread)])[F.col("measure")]
-    reach = FENCE * F.greatest(F.col("q3") - F.col("q1"), least)
-    fence = F.struct((F.col("total") >= MIN_DOCS).alias("enough"), (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-    of = quart.select("level", "lang", "source", "measure", fence.alias("f"))
-    own = of.where("level = 'own'").drop("level")
-    lang = of.where("level = 'lang'").select(F.col("lang").alias("l2"), F.col("measure").alias("m2"), F.col("f").alias("f2"))
-    every = of.where("level = 'all'").select(F.col("measure").alias("m3"), F.col("f").alias("f3"))
-    both = own.join(lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("measure") == F.col("m2"))).join(every, F.col("measure") == F.col("m3"))
-    pick = F.when(F.col("f.enough"), F.col("f")).when(F.col("f2.enough"), F.col("f2")).otherwise(F.col("f3"))
-    chosen = both.select("lang", "source", "measure", pick.alias("f"))
-    return chosen.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col(f"f.{side}"))).alias(f"_q_{side}_{k}") for k in MEASURES for side in ("low", "high")])
+    own = quartiles(sketch, ["lang", "source"])
+    by_lang = merged(merged(sketch.withColumn("_salt", F.pmod(F.xxhash64("source"), F.lit(SALTS))), ["lang", "_salt"]), ["lang"])
+    lang = quartiles(by_lang, ["lang"]).select(F.col("lang").alias("_lang"), *[F.col(k).alias(f"{k}_lang") for k in MEASURES])
+    # languages are hashed to a bounded number of groups, which are one row in the end
+    every = quartiles(merged(merged(by_lang.withColumn("_salt", F.pmod(F.xxhash64("lang"), F.lit(SALTS))), ["_salt"]), []), []).select(*[F.col(k).alias(f"{k}_all") for k in MEASURES])
+    both = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang"))).crossJoin(F.broadcast(every))
+
+    def limits(k: str) -> list[Column]:
+        shrunk = lambda a, q, b: (F.col(f"{a}.n") * F.col(f"{a}.{q}") + PRIOR * b) / (F.col(f"{a}.n") + PRIOR)
+        q1, q3 = (shrunk(k, q, shrunk(f"{k}_lang", q, F.col(f"{k}_all.{q}"))) for q in ("q1", "q3"))
+        reach = FENCE * F.greatest(q3 - q1, F.lit(float(MEASURES[k][1])))
+        return [(q1 - reach).alias(f"_q_low_{k}"), (q3 + reach).alias(f"_q_high_{k}")]
+
+    return both.select("lang", "source", *[c for k in MEASURES for c in limits(k)])
 
 
 def judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
     """`scored` with `_q_kept`."""
-    limits = limits.withColumnsRenamed({"lang": "_q_lang", "source": "_q_source"})
+    limits = cut(limits.withColumnsRenamed({"lang": "_q_lang", "source": "_q_source"}))
+    if limits.count() <= MOST_BROADCAST:
+        limits = F.broadcast(limits)
     both = scored.join(limits, F.col("lang").eqNullSafe(F.col("_q_lang")) & F.col("source").eqNullSafe(F.col("_q_source")), "left")
     fine: Column = ~F.col("_q_failed")
     for k, (two_sided, _) in MEASURES.items():
@@ -108,17 +126,23 @@ def verdicts(documents: DataFrame) -> DataFrame:
 
 
 def keep(documents: DataFrame) -> DataFrame:
-    """The rows of `documents` that pass, unchanged."""
-    limits = fences(sketches(features(documents.select("text", "lang", "source"))))
-    return judged(features(documents), limits).where("_q_kept").select(*documents.columns)
+    """The rows of `documents` that pass, unchanged.
+
+    Measures are computed once and written beside the rows, as Parquet in the shared folder.
+    """
+    spark = documents.sparkSession
+    folder = f"{checkpoint_dir(spark)}/measured-{uuid.uuid4().hex}"
+    features(documents).write.parquet(folder)
+    scored = spark.read.parquet(folder)
+    return judged(scored, fences(sketches(scored))).where("_q_kept").select(*documents.columns)
 
 
 def oracle() -> str:
-    """DuckDB SQL for `verdicts`."""
-    share = lambda a, b, scale=1000: f"least({a} * {scale} // greatest({b}, 1), 1000)"
+    """DuckDB SQL for `verdicts`, with exact quartiles: those of the sketches up to K documents."""
+    share = lambda a, b, scale=1000: f"({a} * {scale}) // greatest({b}, 1)"
     measures = {"symbols": share("n_symbols", "word_chars"), "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"), "word_length": share("word_chars", "n_words", 10), "upper": share("capitals", "word_chars"), "shouts": share("bangs", "word_chars")}
     levels = {"own": ("lang", "source"), "lang": ("lang", "NULL"), "all": ("NULL", "NULL")}
-    spread = " ".join(f"WHEN '{k}' THEN {s}" for k, (_, s) in MEASURES.items())
+    spread = " ".join(f"WHEN '{k}' THEN {s}::DOUBLE" for k, (_, s) in MEASURES.items())
     bounds = " AND ".join(f"f.m_{k} <= p.high_{k}" + (f" AND f.m_{k} >= p.low_{k}" if two else "") for k, (two, _) in MEASURES.items())
     return rf"""
 WITH t AS (
@@ -144,7 +168,7 @@ WITH t AS (
     coalesce(reps.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN reps ON w.rid = reps.rid
 ), f AS (
-  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, {", ".join(f"({v})::INTEGER AS m_{k}" for k, v in measures.items())} FROM c
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, {", ".join(f"({v})::BIGINT AS m_{k}" for k, v in measures.items())} FROM c
 ), sk AS (
   {" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, m_{k} AS bin, count(*) AS n FROM f GROUP BY ALL" for k in MEASURES)}
 ), lv AS (
@@ -152,15 +176,14 @@ WITH t AS (
 ), cu AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM lv
 ), qu AS (
-  SELECT level, lang, source, measure, max(total) AS total, min(bin) FILTER (4 * cum >= total) AS q1, min(bin) FILTER (4 * cum >= 3 * total) AS q3 FROM cu GROUP BY level, lang, source, measure
-), fe AS (
-  SELECT *, {FENCE} * greatest(q3 - q1, CASE measure {spread} END) AS reach FROM qu
+  SELECT level, lang, source, measure, max(total)::DOUBLE AS total, (min(bin) FILTER (4 * cum >= total))::DOUBLE AS q1, (min(bin) FILTER (4 * cum >= 3 * total))::DOUBLE AS q3
+  FROM cu GROUP BY level, lang, source, measure
 ), pick AS (
-  SELECT o.lang, o.source, o.measure,
-    CASE WHEN o.total >= {MIN_DOCS} THEN o.q1 - o.reach WHEN l.total >= {MIN_DOCS} THEN l.q1 - l.reach ELSE e.q1 - e.reach END AS low,
-    CASE WHEN o.total >= {MIN_DOCS} THEN o.q3 + o.reach WHEN l.total >= {MIN_DOCS} THEN l.q3 + l.reach ELSE e.q3 + e.reach END AS high
-  FROM fe o JOIN fe l ON l.level = 'lang' AND l.lang IS NOT DISTINCT FROM o.lang AND l.measure = o.measure
-    JOIN fe e ON e.level = 'all' AND e.measure = o.measure WHERE o.level = 'own'
+  SELECT lang, source, measure, q1 - reach AS low, q3 + reach AS high
+  FROM (SELECT *, ({FENCE} * greatest(q3 - q1, CASE measure {spread} END))::DOUBLE AS reach FROM (
+    SELECT o.lang, o.source, o.measure, {", ".join(f"(o.total * o.{q} + {PRIOR} * ((l.total * l.{q} + {PRIOR} * e.{q}) / (l.total + {PRIOR}))) / (o.total + {PRIOR}) AS {q}" for q in ("q1", "q3"))}
+    FROM qu o JOIN qu l ON l.level = 'lang' AND l.lang IS NOT DISTINCT FROM o.lang AND l.measure = o.measure
+      JOIN qu e ON e.level = 'all' AND e.measure = o.measure WHERE o.level = 'own'))
 ), p AS (
   SELECT lang, source, {", ".join(f"max(low) FILTER (measure = '{k}') AS low_{k}, max(high) FILTER (measure = '{k}') AS high_{k}" for k in MEASURES)} FROM pick GROUP BY lang, source
 )
