@@ -1,9 +1,13 @@
 """Exact top-k inner products by norm-bucketed retrieval (after LEMP, Teflioudi et al.).
 
 Vectors become whole numbers, floor(64 * x). Candidates are grouped by length
-(a geometric grid of norms), and each group is dealt by hash into buckets of
-about `bucket_rows` rows. Blocks of queries meet the buckets longest first. With
-a query's k-th best score so far, the longest norm of a bucket gives a local
+(a geometric grid of norms), and each group is dealt by hash into buckets. Blocks
+of queries meet the few longest buckets first, which gives every query a k-th best
+score, and with it the least length that a candidate must have. Queries are then
+dealt anew, into blocks of like need, and only buckets with a row long enough for
+some query of a block travel to it.
+
+With a query's k-th best score so far, the longest norm of a bucket gives a local
 cosine threshold: above 1 the bucket is skipped; if high, candidates must lie in
 the ranges that the threshold leaves for the query's two largest coordinates; if
 low, only rows long enough, a prefix of the bucket, are looked at. Products of
@@ -13,14 +17,15 @@ Vectors that are null, or hold null or non-finite components, take no part. Only
 vectors of one dimension meet. A query's own row is told by vec_id: no row with
 the query's id is its answer. Queries that repeat in id and vector are answered
 once; rows without an id take no part. Candidates that repeat are answers each.
-Other columns are not read.
+Components and scores beyond 64 bits count as the greatest or least number that
+64 bits hold. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ._dist import cut, partitions
@@ -28,32 +33,38 @@ from ._dist import cut, partitions
 K = 20
 EVERY = 20
 BUCKET_ROWS = 2048
-QUERY_ROWS = 1024
-#: Buckets that a block of queries meets in one go.
+QUERY_ROWS = 16384
+#: Numbers that a bucket or block holds at most, so that those of long vectors have fewer rows.
+NUMBERS = 1 << 22
+#: Buckets of the first round, and buckets that a block of queries meets in one go in the second.
+FIRST = 4
 GROUP = 16
+#: Queries that are multiplied with a bucket at a time.
+TILE = 256
 #: Steps of the norm grid; local threshold from which coordinates prune.
 GRID = 1.1
 HIGH = 0.75
+MOST = (1 << 63) - 1
 
 
 def whole(vectors: DataFrame) -> DataFrame:
     """vec_id, v, norm of the rows that take part."""
     fine = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("long"))
+    v = F.transform("embedding", lambda x: F.floor(F.greatest(F.least(64 * x.cast("double"), F.lit(9.2e18)), F.lit(-9.2e18))).cast("long"))
     rows = vectors.where(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
 
 
 class Block:
-    """Queries with their best answers so far."""
+    """Queries with their best answers so far; `bars` are scores that answers must reach."""
 
-    def __init__(self, ids: list[int], vectors: list[list[int]], k: int):
-        self.ids = np.array(ids, np.int64)
-        self.q = np.array(vectors, np.float64).reshape(len(ids), -1)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, bars: np.ndarray):
+        self.ids, self.exact = ids, vectors
+        self.q = vectors.astype(np.float64)
         self.norm = np.sqrt((self.q**2).sum(1))
         self.k = k
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
-        self.bar = np.full(len(ids), -np.inf)  # the k-th best score
+        self.bar = bars.copy()  # not above the k-th best score
 
     def add(self, at: int, scores: np.ndarray, ids: np.ndarray) -> None:
         keep = ids != self.ids[at]
@@ -61,16 +72,20 @@ class Block:
         order = np.lexsort((ids, -scores))[: self.k]
         self.best[at] = scores[order], ids[order]
         if len(order) == self.k:
-            self.bar[at] = scores[order[-1]]
+            self.bar[at] = max(self.bar[at], below(scores[order[-1]]))
 
-    def products(self, which: np.ndarray | int, c: np.ndarray, longest: float) -> np.ndarray:
-        q = self.q[which]
+    def products(self, which: np.ndarray | int, c: np.ndarray, exact: np.ndarray, longest: float) -> np.ndarray:
         if float(np.max(self.norm[which], initial=0)) * longest < 2.0**52:
-            return (q @ c.T).astype(np.int64)  # exact: no partial sum reaches 2**53
-        return np.asarray(q.astype(np.int64).astype(object) @ c.astype(np.int64).astype(object).T).astype(np.int64)
-
-    def meet(self, ids: np.ndarray, c: np.ndarray, norms: np.ndarray) -> None:
-        """A bucket, longest row first."""
+            return (self.q[which] @ c.T).astype(np.int64)  # exact: no partial sum reaches 2**53
+        whole = np.asarray(self.exact[which].astype(object) @ exact.astype(object).T)
+        return np.minimum(np.maximum(whole, -MOST - 1), MOST).astype(np.int64)
+
+    def meet(self, ids: np.ndarray, exact: np.ndarray) -> None:
+        """The rows of a bucket."""
+        c = exact.astype(np.float64)
+        norms = np.sqrt((c**2).sum(1))
+        order = np.argsort(-norms, kind="stable")  # longest first
+        ids, exact, c, norms = ids[order], exact[order], c[order], norms[order]
         longest = float(norms[0]) if len(norms) else 0.0
         most = self.norm * longest * (1 + 1e-9)
         open_ = np.flatnonzero(most >= self.bar)
@@ -88,47 +103,38 @@ class Block:
                     near &= unit[:, f] * np.sign(u[f]) >= abs(u[f]) * t - slack
                 near = np.flatnonzero(near)
                 if len(near):
-                    s = self.products(at, c[near], longest)
+                    s = self.products(at, c[near], exact[near], longest)
                     hit = s >= self.bar[at]
                     self.add(at, s[hit], ids[near][hit])
         length = open_[local < HIGH]
-        if len(length):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                need = np.where((self.bar[length] > 0) & (self.norm[length] > 0), self.bar[length] / self.norm[length], 0.0) * (1 - 1e-9)
-            prefix = int(np.searchsorted(-norms, -need.min(), "right"))
-            s = self.products(length, c[:prefix], longest)
-            hits = s >= self.bar[length][:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where((self.bar[length] > 0) & (self.norm[length] > 0), self.bar[length] / self.norm[length], 0.0) * (1 - 1e-9)
+        by_need = np.argsort(-need, kind="stable")  # queries of like need share a prefix of the bucket
+        for a in range(0, len(by_need), TILE):
+            tile = length[by_need[a : a + TILE]]
+            prefix = int(np.searchsorted(-norms, -need[by_need[a : a + TILE]].min(), "right"))
+            s = self.products(tile, c[:prefix], exact[:prefix], longest)
+            hits = s >= self.bar[tile][:, None]
             for row in np.flatnonzero(hits.any(1)).tolist():
-                self.add(int(length[row]), s[row][hits[row]], ids[:prefix][hits[row]])
+                self.add(int(tile[row]), s[row][hits[row]], ids[:prefix][hits[row]])
 
 
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best answers of every row whose id is divisible by `every`."""
-    spark = vectors.sparkSession
-    rows = whole(vectors).withColumns({"dim": F.size("v"), "cls": F.floor(F.log(F.greatest("norm", F.lit(1.0))) / float(np.log(GRID))).cast("int")})
-    rows = cut(rows)
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", "dim").distinct()
-
-    def dealt(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-        """`df` with `part`: a hash of the row, so that parts of a key have about `size` rows."""
-        counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
-        # a row for each dimension and step of the grid, of which doubles have few thousand
-        return df.join(F.broadcast(counts), keys).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("_parts")).cast("int")).drop("_parts")
-
-    pack = F.collect_list(F.struct("vec_id", "v")).alias("rows")
-    blocks = dealt(queries, ["dim"], query_rows).groupBy("dim", "part").agg(pack)
-    buckets = dealt(rows, ["dim", "cls"], bucket_rows).groupBy("dim", "cls", "part").agg(pack)
-    # the rank of a bucket, longest class first; every group gets buckets of all lengths
-    counts = buckets.groupBy("dim", "cls").agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.withColumn("_total", F.sum("_n").over(Window.partitionBy("dim"))).withColumn("_before", F.sum("_n").over(Window.partitionBy("dim").orderBy(F.desc("cls"))) - F.col("_n")).drop("_n")
-    groups = F.greatest(F.ceil(F.col("_total") / GROUP), F.lit(1))
-    placed = buckets.join(totals, ["dim", "cls"]).withColumn("g", F.pmod(F.col("_before") + F.col("part"), groups).cast("int"))
-    n_blocks = blocks.groupBy("dim").agg(F.max("part").alias("_last"))
-    n_groups = totals.groupBy("dim").agg((F.max(groups) - 1).cast("int").alias("_last"))
-    right = placed.join(n_blocks, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("block"), "g", F.lit(1).alias("kind"), (-F.col("cls")).alias("ord"), "rows")
-    left = blocks.join(n_groups, "dim").select("dim", F.col("part").alias("block"), F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("g"), F.lit(0).alias("kind"), F.lit(0).alias("ord"), "rows")
-    key = ["dim", "block", "g"]
-    met = left.unionByName(right).repartition(partitions(spark), *key).sortWithinPartitions(*key, "kind", "ord")
+def below(score: int) -> float:
+    """The score as a double that is not above it."""
+    out = float(score)
+    return out if abs(out) < 2.0**52 else float(np.nextafter(out, -np.inf))
+
+
+def dealt(df: DataFrame, keys: list[str], size: int) -> tuple[DataFrame, DataFrame]:
+    """`df` with `part`, a hash of the row, so that parts of a key have about `size` rows or fewer; and the parts of each key."""
+    rows = F.greatest(F.least(F.lit(size), F.floor(F.lit(NUMBERS) / F.greatest("dim", F.lit(1)))), F.lit(1))
+    counts = cut(df.groupBy(*keys).agg((F.floor((F.count(F.lit(1)) - 1) / rows.cast("double")) + 1).cast("int").alias("parts")))
+    # a row for each dimension and step of a grid, of which doubles have few thousand
+    return df.join(F.broadcast(counts), keys).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")).drop("parts"), counts
+
+
+def _met(left: DataFrame, right: DataFrame, n: int, k: int) -> DataFrame:
+    """query_id, vec_id, score from blocks (kind 0) and the buckets that they meet, both by dim, block and g."""
 
     def run(it):
         now, block = None, None
@@ -146,18 +152,65 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, bucket_rows: int
                 if kind == 0:
                     if block:
                         yield out()
-                    now, block = mine, Block(ids.tolist(), v, k)
+                    bars = packed.field(2).to_numpy(zero_copy_only=False).astype(np.float64)
+                    now, block = mine, Block(ids, v, k, np.where(np.isnan(bars), -np.inf, bars))
                 elif mine == now:
-                    c = v.astype(np.float64)
-                    norms = np.sqrt((c**2).sum(1))
-                    order = np.argsort(-norms, kind="stable")
-                    block.meet(ids[order], c[order], norms[order])
+                    block.meet(ids, v)
         if block:
             yield out()
 
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    key = ["dim", "block", "g"]
+    columns = [*key, "kind", "ord", "rows"]
+    met = left.select(*columns).unionByName(right.select(*columns)).repartition(n, *key).sortWithinPartitions(*key, "kind", "ord")
+    return met.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best answers of every row whose id is divisible by `every`."""
+    n = partitions(vectors.sparkSession)
+    step = float(np.log(GRID))
+    grid = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / step).cast("int")
+    rows = cut(whole(vectors).withColumns({"dim": F.size("v"), "cls": grid(F.col("norm"))}))
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", "dim", "norm").distinct()
+
+    # the rank of a bucket, longest class first
+    bucketed, classes = dealt(rows, ["dim", "cls"], bucket_rows)
+    before = F.sum("parts").over(Window.partitionBy("dim").orderBy(F.desc("cls"))) - F.col("parts")
+    ranks = classes.withColumns({"_before": before, "_total": F.sum("parts").over(Window.partitionBy("dim"))}).drop("parts")
+    ranked = bucketed.join(F.broadcast(ranks), ["dim", "cls"]).withColumn("rank", (F.col("_before") + F.col("part")).cast("int"))
+    groups = F.greatest(F.ceil((F.col("_total") - FIRST) / GROUP), F.lit(1)).cast("int")
+    # a bar of null: anything may be an answer
+    pack = lambda bar: F.collect_list(F.struct("vec_id", "v", bar.alias("bar"))).alias("rows")
+    none = F.lit(None).cast("double")
+    buckets = lambda df: df.groupBy("dim", "rank").agg(pack(none), F.max("norm").alias("longest"), F.first(groups).alias("groups")).withColumns({"kind": F.lit(1), "ord": F.col("rank")})
+
+    def blocks(df: DataFrame, keys: list[str], bar: Column) -> tuple[DataFrame, DataFrame]:
+        dealt_, counts = dealt(df, ["dim", *keys], query_rows)
+        return dealt_.groupBy("dim", *keys, "part").agg(pack(bar)).withColumns({"kind": F.lit(0), "ord": F.lit(-1)}), counts
+
+    # first round: every block, the longest buckets
+    left, counts = blocks(queries, [], none)
+    left = left.withColumns({"block": F.concat(F.lit("0:"), F.col("part").cast("string")), "g": F.lit(0)})
+    right = buckets(ranked.where(F.col("rank") < FIRST)).join(F.broadcast(counts), "dim").withColumns({"block": F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.concat(F.lit("0:"), p.cast("string")))), "g": F.lit(0)})
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = cut(_met(left, right, n, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+    bars = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("_score"))
+
+    # second round: blocks of queries with like need, the buckets that are long enough for one of them
+    score = F.col("_score").cast("double")
+    bar = score - F.abs(score) * 2.0**-52  # a double not above the score, wherever scores need more than 53 bits
+    need = F.coalesce(F.when((F.col("_score") > 0) & (F.col("norm") > 0), bar / F.col("norm")), F.lit(0.0))
+    needy = queries.join(bars, "vec_id", "left").withColumns({"bar": F.when(F.col("_score").isNotNull(), F.when(F.abs("_score") < 2**52, score).otherwise(bar)), "need": need, "ncls": grid(need)})
+    left, counts = blocks(needy, ["ncls"], F.col("bar"))
+    least = needy.groupBy("dim", "ncls").agg(F.min("need").alias("least")).join(counts, ["dim", "ncls"])
+    name = lambda ncls, part: F.concat_ws(":", F.lit("1"), ncls.cast("string"), part.cast("string"))
+    spread = ranks.groupBy("dim").agg(F.max(groups).alias("groups"))
+    left = left.join(F.broadcast(spread), "dim").withColumns({"block": name(F.col("ncls"), F.col("part")), "g": F.explode(F.sequence(F.lit(0), F.col("groups") - 1))})
+    # a row of `least` for each dimension and step of the grid
+    wanted = buckets(ranked.where(F.col("rank") >= FIRST)).join(F.broadcast(least), "dim").where(F.col("longest") * (1 + 1e-9) >= F.col("least"))
+    right = wanted.withColumns({"block": F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: name(F.col("ncls"), p))), "g": F.pmod(F.col("rank"), F.col("groups"))})
+    more = _met(left, right, n, k)
+    return found.drop("rank").unionByName(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def oracle(k: int = K, every: int = EVERY) -> str:
