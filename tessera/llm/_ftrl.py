@@ -46,7 +46,7 @@ def fold(modulus: int) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
-    """text, y of at most `rows` labelled documents, chosen by a hash of doc_id.
+    """text, y, rank of at most `rows` labelled documents, chosen by a hash of doc_id, in the order of `rank`.
 
     Only `rows` ids are broadcast. Labels that contradict each other for one
     doc_id, and null labels, teach nothing.
@@ -54,4 +54,18 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn:
     y = labels.where(learn & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_most")).where("y = _most").drop("_most")
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = documents.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), F.col("_id") == F.col("doc_id"))
-    return found.orderBy(F.xxhash64("_id"), "_id", F.crc32(F.col("text").cast("binary"))).limit(rows).select("text", F.col("y").cast("double").alias("y"))
+    return found.orderBy(F.xxhash64("_id"), "_id", F.crc32(F.col("text").cast("binary"))).limit(rows).select("text", F.col("y").cast("double").alias("y"), F.struct(F.xxhash64("_id"), "_id", F.crc32(F.col("text").cast("binary"))).alias("rank"))
+
+
+def bounded(it, most: int) -> tuple[list[str], list[float]]:
+    """Texts and labels of batches (text, y), up to `most` characters of whole texts; at least one text."""
+    items: list[str] = []
+    y: list[float] = []
+    for batch in it:
+        for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            most -= len(text or "")
+            if most < 0 and items:
+                return items, y
+            items.append(text or "")
+            y.append(label)
+    return items, y

@@ -5,7 +5,8 @@ words, pairs of words, and runs of up to three token shapes (capitals, digits,
 a word said again, the characters themselves). They are hashed into 2**BITS
 places; a feature's value is the square root of its share of the text's
 features of that kind. Weights come from follow-the-regularised-leader updates,
-in one task over a bounded sample of labelled rows; a score is a sparse dot
+in one task over a bounded sample of labelled rows (at most TRAIN_ROWS, and whole
+texts of TRAIN_CHARS characters together, in the order of a hash); a score is a sparse dot
 product with them, in any number of tasks.
 
 Null and empty texts have no features and score by the intercept. Without
@@ -23,8 +24,9 @@ from . import _ftrl
 from ._text import batches, chunks, mix, span_hashes, texts
 
 BITS = 18
-#: Labelled rows from which weights are learnt, at most.
+#: Labelled rows, and characters of their texts, from which weights are learnt, at most.
 TRAIN_ROWS = 6_000
+TRAIN_CHARS = 64 << 20
 THRESHOLD = 0.3
 
 _KIND = np.full(256, 2, np.int8)
@@ -105,15 +107,12 @@ def classify(documents: DataFrame, labels: DataFrame, modulus: int = 5, held: in
     sample = _ftrl.labelled_sample(documents, labels, "quality", _ftrl.fold(modulus) != held, train_rows)
 
     def learn(it):
-        items, y = [], []
-        for batch in it:
-            items += texts(batch.column(0))
-            y += batch.column(1).to_pylist()
-        weights, bias = fit(items, y)
+        items, y = _ftrl.bounded(it, TRAIN_CHARS)
+        weights, bias = fit([x.encode() for x in items], y)
         at = np.flatnonzero(weights)
         yield pa.record_batch({"place": pa.array(np.append(at, -1)), "weight": pa.array(np.append(weights[at], bias))})
 
-    rows = sample.repartition(1).mapInArrow(learn, "place long, weight double").toPandas()
+    rows = sample.repartition(1).sortWithinPartitions("rank").select("text", "y").mapInArrow(learn, "place long, weight double").toPandas()
     weights = np.zeros(1 << BITS, np.float32)
     place, value = rows["place"].to_numpy(), rows["weight"].to_numpy()
     weights[place[place >= 0]] = value[place >= 0]

@@ -1,12 +1,13 @@
 """Toxicity of texts by a character n-gram linear classifier with naive Bayes scaling.
 
 A feature says whether a run of 4 to 6 characters (in lower case, spaces at both
-ends of a text) occurs in a text. Those whose shares among toxic and other
-texts differ clearly are kept and scaled by their log-count ratio (Wang and
-Manning, 2012); a logistic model is then trained on them. Features are known by
-64-bit hashes, behind a bit map that most n-grams of a text don't pass.
+ends of a text) occurs in a text. All features are hashed into 2**BITS places and
+scaled by their place's log-count ratio among toxic and other texts (Wang and
+Manning, 2012); a logistic model is then trained on all of them, whose L1 term sets
+most weights to 0. Scores are sparse dot products with the others.
 
-Counts and weights come from one task over a bounded sample of labelled rows.
+Counts and weights come from one task over a bounded sample of labelled rows: at
+most TRAIN_ROWS, and whole texts of TRAIN_CHARS characters together, in the order of a hash.
 Null and empty texts have no features and score by the intercept. Without labels,
 the intercept is that of one toxic document and nine others. Repeated rows are
 each scored; other columns are not read.
@@ -24,11 +25,10 @@ from . import _ftrl
 from ._text import batches, chunks, mix
 
 ORDERS = (4, 5, 6)
+#: Labelled rows, and characters of their texts, from which weights are learnt, at most.
 TRAIN_ROWS = 5_000
-#: Features kept at most, least number of training texts of one, least deviation (in standard errors).
-KEPT, LEAST_TEXTS, LEAST_Z = 20_000, 3, 4.0
-MAP_BITS = 22
-COUNT_BITS = 24
+TRAIN_CHARS = 32 << 20
+BITS = 22
 THRESHOLD = 0.3
 _EDGE = 0x110000  # no character
 
@@ -54,72 +54,61 @@ def ngrams(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(owner)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _each(items: list[str]):
-    for x in items:
-        yield np.unique(ngrams([x])[0])
+def places(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of every n-gram, and the text that it is from."""
+    h, own = ngrams(items)
+    return (h >> np.uint64(64 - BITS)).astype(np.int32), own
 
 
 def fit(items: list[str], labels: list[float]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Hashes of the features, in order, their weights, and the intercept."""
+    """The places with a weight, in order, their weights, and the intercept."""
     y = np.asarray(labels, float)
     bias = _ftrl.prior(y, 1, 9)
-    ones, zeros = float(y.sum()), float(len(y) - y.sum())
-    if not ones or not zeros:
-        return np.zeros(0, np.uint64), np.zeros(0), bias
-    # first pass: counts by a part of the hash; second: by the whole hash, where the part shows a difference
-    counts = np.zeros((2, 1 << COUNT_BITS), np.int32)
-    part = lambda h: (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-    for h, label in zip(_each(items), y, strict=True):
-        counts[int(label)][part(h)] += 1
-
-    def deviation(p, q):
-        share = (p + q) / len(y)
-        return (p / ones - q / zeros) / np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros) + 1e-12)
-
-    # other n-grams in the same place only add noise, so the first bar is lower
-    hot = (counts.sum(0) >= LEAST_TEXTS) & (np.abs(deviation(counts[1], counts[0])) >= LEAST_Z / 2)
-    del counts
-    per_text = [h[hot[part(h)]] for h in _each(items)]
-    known, where = np.unique(np.concatenate(per_text), return_inverse=True)
-    owner = np.repeat(np.arange(len(items)), [len(h) for h in per_text])
-    p = np.bincount(where, weights=y[owner], minlength=len(known))
-    q = np.bincount(where, weights=1 - y[owner], minlength=len(known))
-    z = np.abs(deviation(p, q))
-    z[(p + q < LEAST_TEXTS) | (z < LEAST_Z)] = 0
-    best = np.sort(np.argsort(-z, kind="stable")[: min(KEPT, int((z > 0).sum()))])
-    ratio = np.log((p[best] + 0.5) / (ones + 1)) - np.log((q[best] + 0.5) / (zeros + 1))
-    index = np.full(len(known), -1)
-    index[best] = np.arange(len(best))
-    places = index[where]
-    cut = np.cumsum([0, *(len(h) for h in per_text)])
-    examples = []
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        mine = places[a:b]
-        mine = mine[mine >= 0]
-        examples.append((mine, ratio[mine]))
-    weights, bias = _ftrl.train(examples, y.tolist(), len(best), bias, alpha=0.1, l1=0.2, l2=0.5, epochs=5)
-    keep = weights != 0
-    return known[best][keep], (weights * ratio)[keep], bias
+    if not y.sum() or y.sum() == len(y):
+        return np.zeros(0, np.int64), np.zeros(0), bias
+    own = [np.unique(places([x])[0]) for x in items]
+    ratio = log_count_ratios(own, y)
+    weights, bias = _ftrl.train(_Scaled(own, ratio), y.tolist(), 1 << BITS, bias, alpha=0.1, l1=8.0, l2=0.5, epochs=3)
+    at = np.flatnonzero(weights * ratio)
+    return at, (weights * ratio)[at], bias
+
+
+def log_count_ratios(own: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Of each place: log of its share among toxic texts to that among others, 0 where no text has it."""
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for at, label in zip(own, y, strict=True):
+        counts[int(label)][at] += 1
+    q, p = counts
+    return np.where(p + q > 0, np.log((p + 0.5) / (y.sum() + 1)) - np.log((q + 0.5) / (len(y) - y.sum() + 1)), 0.0)
+
+
+class _Scaled:
+    """Examples whose values are looked up when they are asked for."""
+
+    def __init__(self, own: list[np.ndarray], ratio: np.ndarray):
+        self.own, self.ratio = own, ratio
+
+    def __len__(self) -> int:
+        return len(self.own)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.own[k], self.ratio[self.own[k]]
 
 
 class Scorer:
-    def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: float):
-        order = np.argsort(hashes)
-        self.hashes, self.weights, self.bias = hashes[order], weights[order], bias
-        self.map = np.zeros(1 << MAP_BITS, bool)
-        self.map[(hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
+    def __init__(self, at: np.ndarray, weights: np.ndarray, bias: float):
+        self.at, self.weights, self.bias = at, weights, bias
+        self.map = np.zeros(1 << BITS, bool)
+        self.map[at] = True
 
     def score(self, items: list[str]) -> np.ndarray:
         out = np.full(len(items), self.bias)
-        if len(self.hashes):
+        if len(self.at):
             for a, b in chunks(items, 1 << 20):
-                h, own = ngrams(items[a:b])
-                near = self.map[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
-                h, own = h[near], own[near]
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = self.hashes[at] == h
-                key = np.unique(own[hit] * len(self.hashes) + at[hit])
-                out[a:b] += np.bincount(key // len(self.hashes), weights=self.weights[key % len(self.hashes)], minlength=b - a)
+                h, own = places(items[a:b])
+                hit = self.map[h]
+                key = np.unique((own[hit] << BITS) + h[hit])
+                out[a:b] += np.bincount(key >> BITS, weights=self.weights[np.searchsorted(self.at, key & ((1 << BITS) - 1))], minlength=b - a)
         return _ftrl.sigmoid(out)
 
 
@@ -128,17 +117,13 @@ def fit_on(documents: DataFrame, labels: DataFrame, modulus: int = 4, held: int
     sample = _ftrl.labelled_sample(documents, labels, "toxic", _ftrl.fold(modulus) != held, train_rows)
 
     def learn(it):
-        items, y = [], []
-        for batch in it:
-            items += [x or "" for x in batch.column(0).to_pylist()]
-            y += batch.column(1).to_pylist()
-        hashes, weights, bias = fit(items, y)
-        yield pa.record_batch({"hash": pa.array(np.append(hashes, np.uint64(0)).view(np.int64)), "weight": pa.array(np.append(weights, bias)), "bias": pa.array(np.arange(len(hashes) + 1) == len(hashes))})
-
-    rows = sample.repartition(1).mapInArrow(learn, "hash long, weight double, bias boolean").toPandas()
-    last = rows["bias"].to_numpy(bool)
-    value = rows["weight"].to_numpy()
-    return Scorer(rows["hash"].to_numpy(np.int64).view(np.uint64)[~last], value[~last], float(value[last][0]) if last.any() else math.log(1 / 9))
+        at, weights, bias = fit(*_ftrl.bounded(it, TRAIN_CHARS))
+        yield pa.record_batch({"place": pa.array(np.append(at, -1)), "weight": pa.array(np.append(weights, bias))})
+
+    rows = sample.repartition(1).sortWithinPartitions("rank").select("text", "y").mapInArrow(learn, "place long, weight double").toPandas()
+    at, value = rows["place"].to_numpy(), rows["weight"].to_numpy()
+    # an empty sample may reach no task at all
+    return Scorer(at[at >= 0], value[at >= 0], float(value[at < 0][0]) if (at < 0).any() else math.log(1 / 9))
 
 
 def classify(documents: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -92,3 +92,75 @@ def test_components_and_ranks(spark):
     for k, rows in df.groupBy("k").agg(F.collect_list("id")).collect():
         ranks = sorted(r.r for r in dense_ranks(df.where(F.col("k") == k), ["k"], [F.col("id")], "r", 7).collect())
         assert ranks == list(range(len(rows)))
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def plain_ftrl(examples, labels, bias, alpha, l1, l2, epochs, beta=1.0):
+    """Follow the regularised leader, feature by feature; examples are dicts."""
+    z, n, zb, nb = {}, {}, 0.0, 0.0
+    weight = lambda f: 0.0 if abs(z.get(f, 0.0)) <= l1 else -(z[f] - np.sign(z[f]) * l1) / ((beta + n[f] ** 0.5) / alpha + l2)
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for k in order.permutation(len(examples)).tolist():
+            w = {f: weight(f) for f in examples[k]}
+            b = bias - zb / ((beta + nb**0.5) / alpha)
+            g = sigmoid(sum(w[f] * x for f, x in examples[k].items()) + b) - labels[k]
+            for f, x in examples[k].items():
+                have = n.get(f, 0.0)
+                n[f] = have + (g * x) ** 2
+                z[f] = z.get(f, 0.0) + g * x - (n[f] ** 0.5 - have**0.5) / alpha * w[f]
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * (b - bias)
+            nb += g * g
+    return {f: weight(f) for f in z}, bias - zb / ((beta + nb**0.5) / alpha)
+
+
+def test_toxicity_equals_a_plain_version(labelled):
+    """Features, ratios, updates and scores, one by one, with Python's dictionaries."""
+    _, _, rows = labelled
+    items, y = [t for _, t in rows[:150]], [float(i % 5 == 0) for i, _ in rows[:150]]
+
+    def grams(t):
+        t = f" {t.lower()} "
+        return {t[k : k + n] for n in (4, 5, 6) for k in range(len(t) - n + 1)}
+
+    place = {}
+
+    def own(t):
+        out = set()
+        for g in grams(t):
+            if g not in place:
+                h = np.zeros(1, np.uint64) + np.uint64(ord(g[0]))
+                for c in g[1:]:
+                    h = h * np.uint64(0x1000001B3) + np.uint64(ord(c))
+                place[g] = int(toxicity.mix(h + np.uint64(len(g) << 56))[0] >> np.uint64(64 - toxicity.BITS))
+            out.add(place[g])
+        return out
+
+    sets = [own(t) for t in items]
+    ones, zeros = sum(y), len(y) - sum(y)
+    p, q = Counter(f for s, v in zip(sets, y, strict=True) if v for f in s), Counter(f for s, v in zip(sets, y, strict=True) if not v for f in s)
+    ratio = {f: np.log((p[f] + 0.5) / (ones + 1)) - np.log((q[f] + 0.5) / (zeros + 1)) for f in p.keys() | q.keys()}
+    weights, bias = plain_ftrl([{f: ratio[f] for f in s} for s in sets], y, float(np.log((ones + 1) / (zeros + 9))), 0.1, 8.0, 0.5, 3)
+    got = toxicity.Scorer(*toxicity.fit(items, y)).score([*items, ""])
+    expected = [sigmoid(bias + sum(weights[f] * ratio[f] for f in s)) for s in [*sets, set()]]
+    assert np.allclose(got, expected, atol=1e-9) and any(weights.values())
+
+
+def test_quality_equals_a_plain_version(labelled):
+    """Hashed word n-grams, updates and scores, one by one."""
+    _, _, rows = labelled
+    items, y = [t.encode() for _, t in rows[:80]], [float(bool(i % 7)) for i, _ in rows[:80]]
+    owner, place, value = quality_classifier.features(items)
+    whole = [{int(f): float(v) for o, f, v in zip(owner, place, value, strict=True) if o == d} for d in range(len(items))]
+    # a feature's value is the root of its share of its kind, so the squares of a text's five kinds sum to 5
+    assert all(abs(sum(v * v for v in x.values()) - 5) < 0.2 for x in whole)
+    words = {w for x in items for w in x.split()}
+    word_places = {w: {int(f) for f in quality_classifier.features([w])[1]} for w in list(words)[:20]}
+    assert all(word_places[w] & set(whole[d]) for w in word_places for d in range(len(items)) if w in items[d].split())
+    weights, bias = plain_ftrl(whole, y, quality_classifier._ftrl.prior(y, 9, 1), 0.5, 0.1, 0.1, 4)
+    got = quality_classifier.score([*items, b""], *quality_classifier.fit(items, y))
+    expected = [sigmoid(bias + sum(weights[f] * v for f, v in x.items())) for x in [*whole, {}]]
+    assert np.allclose(got, expected, atol=1e-9)
