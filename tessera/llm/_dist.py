@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,15 +18,20 @@ def cut(df: DataFrame | Callable[[], DataFrame]) -> DataFrame:
     What `df` was computed from is then out of use; collecting garbage on the
     driver lets Spark delete its shuffle files now rather than at some time. That
     needs the last reference to be gone, as a call's argument is not: so `df` may
-    be a function that makes it.
+    be a function that makes it. The scheduler forgets a job a moment after its end,
+    so that its shuffles only go at a second collection.
     """
-    if callable(df):
+    wait = callable(df)
+    if wait:
         df = df()
     checkpoint_dir(df.sparkSession)
     out = df.checkpoint()
     del df
     gc.collect()
     out.sparkSession._jvm.System.gc()
+    if wait:
+        time.sleep(0.3)
+        out.sparkSession._jvm.System.gc()
     return out
 
 

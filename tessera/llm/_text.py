@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 4 << 20
 BLOCK = 1 << 20
@@ -67,6 +68,19 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows whose texts have about `size` bytes, one row at least, and these texts.
+
+    Texts are taken from the column range by range, so that memory follows the range.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield a, b, texts(column.slice(a, b - a))
+        a = b
+
+
 def chunks(items: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `size` bytes each; one text at least."""
     first = total = 0

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._dist import cut, partitions
-from ._text import CHUNK, Words, batches, chunks, gather, mix, release, span_hashes, texts
+from ._text import Words, batches, gather, mix, release, span_hashes, text_chunks
 
 WIDTH = 35
 SEED = 3
@@ -167,9 +167,8 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED)
         for batch in it:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
-            items = texts(batch.column(2))
-            for a, b in chunks(items, CHUNK):
-                words = Words(items[a:b])
+            for a, b, items in text_chunks(batch.column(2)):
+                words = Words(items)
                 rows = list(_packed(ids[a:b], keys[a:b], words, super_kmers(words, width, seed), width, buckets))
                 for k in range(0, len(rows), 256):
                     part = list(zip(*rows[k : k + 256], strict=True))
@@ -198,12 +197,16 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED)
 
         now, held = None, []
         for batch in it:
-            for bucket, size, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now and held:
+            if not batch.num_rows:
+                continue
+            buckets_, sizes = (c.to_numpy() for c in batch.columns[:2])
+            edge = [0, *(np.flatnonzero(buckets_[1:] != buckets_[:-1]) + 1).tolist(), len(buckets_)]
+            for a, b in zip(edge, edge[1:], strict=False):  # bucket by bucket, so that no more than one is unpacked
+                if buckets_[a] != now and held:
                     yield one(held)
                     held = []
-                now = bucket
-                held.append((size, blob))
+                now = buckets_[a]
+                held += zip(sizes[a:b].tolist(), batch.column(2).slice(a, b - a).to_pylist(), strict=True)
         if held:
             yield one(held)
         release()
@@ -230,14 +233,15 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, seed: int = SEED, j
     left = documents.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__sd_id"), row_key().alias("__sd_key"))
     both = left.join(marks.hint("shuffle_hash"), ["__sd_id", "__sd_key"], "left").drop("__sd_id", "__sd_key")
 
-    def kept(items, firsts, masks):
-        for a, b in chunks(items):
-            words = Words(items[a:b])
+    def kept(column, first, mask):
+        for a, b, items in text_chunks(column):
+            words = Words(items)
+            firsts, masks = first.slice(a, b - a).to_pylist(), mask.slice(a, b - a).to_pylist()
             cover = np.zeros(len(words.start) + 1, np.int32)
-            for d in range(a, b):
+            for d in range(b - a):
                 if firsts[d] is None:
                     continue
-                begin = words.first[d - a] + np.asarray(firsts[d], np.int64)
+                begin = words.first[d] + np.asarray(firsts[d], np.int64)
                 bits = np.asarray(masks[d], np.int64)
                 which, bit = np.nonzero(bits[:, None] >> np.arange(width) & 1)
                 windows = begin[which] + bit
@@ -256,14 +260,14 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, seed: int = SEED, j
     def digest(it):
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
         for batch in it:
-            rows = [(n, r, hashlib.sha256(t).hexdigest()) for n, r, t in kept(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            rows = [(n, r, hashlib.sha256(t).hexdigest()) for n, r, t in kept(*batch.columns[1:4])]
             n, r, t = zip(*rows, strict=True) if rows else ((), (), ())
             yield batches(schema, doc_id=batch.column(0), n_words=n, n_removed=r, kept_sha256=t)
 
     def rewrite(it):
         for batch in it:
             names = batch.schema.names
-            out = [t.decode("utf-8", "replace") for _, _, t in kept(texts(batch.column("text")), batch.column("__sd_first").to_pylist(), batch.column("__sd_mask").to_pylist())]
+            out = [t.decode("utf-8", "replace") for _, _, t in kept(batch.column("text"), batch.column("__sd_first"), batch.column("__sd_mask"))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names[:-2]], names[:-2])
 
     if joined:
