@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._dist import components, cut, partitions
-from ._text import CHUNK, Words, batches, chunks, mix, release, texts
+from ._text import CHUNK, Words, batches, chunks, mix, release, text_chunks, texts
 from .substring_dedup import grams
 
 #: One document in so many is sampled for frequent shingles; the table of these is bounded, too.
@@ -377,9 +377,8 @@ def cross_lots(x, percent: int):
 def _frequent(documents: DataFrame, size: int, sample: int, list_size: int) -> Order:
     def count(it):
         for batch in it:
-            items = texts(batch.column(0))
-            for a, b in chunks(items):
-                sets = [s for s in shingle_sets(items[a:b], size) if len(s)]
+            for _, _, items in text_chunks(batch.column(0)):
+                sets = [s for s in shingle_sets(items, size) if len(s)]
                 h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 yield pa.record_batch({"h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
@@ -457,39 +456,38 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85, samp
     order = spark.sparkContext.broadcast(frequent)
     long_lists = bool((frequent.parts(frequent.hashes) > 1).any())
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    signed = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("low", pa.int64()), ("sig", pa.list_(pa.int64())), ("own", pa.binary())])
+    signed = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("sig", pa.list_(pa.int64())), ("own", pa.binary())])
 
     def signatures(it):
         """Of each row its class; at the first of a class in a task also parities and prefix of the set, for the second round."""
         met: set[int] = set()
         for batch in it:
-            items = texts(batch.column(2))
             rows = []
-            for a, b in chunks(items):
-                for s in shingle_sets(items[a:b], size):
-                    cid, low = digest(s)
+            for _, _, items in text_chunks(batch.column(2)):
+                for s in shingle_sets(items, size):
+                    cid, _ = digest(s)
                     new = len(s) > 0 and cid not in met
                     if new:
                         met.add(cid)
-                    rows.append((len(s), cid, low, parities(s) if new else None, packed_set(order.value.arrange(s)[: prefix_size(len(s), percent)]) if new else None))
-            count, cid, low, sig, own = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            yield batches(signed, doc_id=batch.column(0), key=batch.column(1), n_shingles=count, cid=cid, low=low, sig=sig, own=own)
+                    rows.append((len(s), cid, parities(s) if new else None, packed_set(order.value.arrange(s)[: prefix_size(len(s), percent)]) if new else None))
+            count, cid, sig, own = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield batches(signed, doc_id=batch.column(0), key=batch.column(1), n_shingles=count, cid=cid, sig=sig, own=own)
+        release()
 
     def postings(it):
         for batch in it:
-            items = texts(batch.column(0))
-            for a, b in chunks(items, 2 * CHUNK):
-                kept = {digest(s)[0]: s for s in shingle_sets(items[a:b], size) if len(s)}
+            for _, _, items in text_chunks(batch.column(0), 2 * CHUNK):
+                kept = {digest(s)[0]: s for s in shingle_sets(items, size) if len(s)}
                 cids = np.fromiter(kept, np.int64, len(kept))
                 yield from _blob_rows(_pack(cids, np.zeros_like(cids), [order.value.arrange(s) for s in kept.values()], percent, n, order=order.value))
         release()
 
-    whole = cut(base.mapInArrow(signatures, "doc_id long, key long, n_shingles long, cid long, low long, sig array<long>, own binary"))
+    whole = cut(base.mapInArrow(signatures, "doc_id long, key long, n_shingles long, cid long, sig array<long>, own binary"))
     docs = whole.drop("sig", "own")
     # of every class size, parities and prefix, which are what screens and the second round need
-    short = whole.where("own IS NOT NULL").groupBy("cid").agg(F.first(F.struct(F.col("n_shingles").cast("int").alias("n"), "sig", "own")).alias("r")).select("cid", "r.n", "r.sig", "r.own")
-    short = cut(short)
-    pairs = cut(_per_bucket(base.select("text").mapInArrow(postings, _BLOB), n, stars, percent).distinct())
+    one = F.first(F.struct(F.col("n_shingles").cast("int").alias("n"), "sig", "own")).alias("r")
+    short = cut(lambda: whole.where("own IS NOT NULL").groupBy("cid").agg(one).select("cid", "r.n", "r.sig", "r.own"))
+    pairs = cut(lambda: _per_bucket(base.select("text").mapInArrow(postings, _BLOB), n, stars, percent).distinct())
 
     def own_sets(it):
         schema = pa.schema([("cid", pa.int64()), ("own", pa.binary())])
@@ -502,13 +500,13 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85, samp
                 yield batches(schema, cid=cids[a:b], own=[packed_set(order.value.arrange(s)) for s in shingle_sets(items[a:b], size)])
         release()
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def made(pairs: DataFrame) -> DataFrame:
         """The sets of all classes that occur in pairs, by one row of each."""
         members = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
         chosen = docs.join(members, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("cid", F.col("r.doc_id").alias("doc_id"), F.col("r.key").alias("key"))
         # texts meet the few that are asked for by a shuffle at every size; what is asked for is the side that is built
         texts_of = base.join(chosen.hint("shuffle_hash"), base["doc_id"].eqNullSafe(chosen["doc_id"]) & (base["key"] == chosen["key"])).select("cid", "text")
-        return cut(texts_of.mapInArrow(own_sets, "cid long, own binary"))
+        return texts_of.mapInArrow(own_sets, "cid long, own binary")
 
     def posted(**how):
         """Postings of classes by their prefixes; rows are cid, comp, n, own."""
@@ -541,8 +539,12 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85, samp
         heads = pairs.where("a = b").select(F.col("a").alias("cid")).join(short, "cid").select("cid", F.lit(0).cast("long").alias("comp"), "n", "own")
         firsts = _per_bucket(heads.mapInArrow(posted(order=order, only=True), _BLOB), n, stars, percent)
         pairs = cut(pairs.where("a <> b").union(firsts).distinct())
-    close = cut(_screened(pairs, short, percent))
-    links = cut(_verify(close, sets_of(close), n, percent))
+
+    def linked_pairs(close: DataFrame) -> DataFrame:
+        sets = cut(lambda: made(close))
+        return cut(lambda: _verify(close, sets, n, percent))
+
+    links = linked_pairs(cut(lambda: _screened(pairs, short, percent)))
     comps = components(links)
     placed = short.join(comps, short["cid"] == comps["node"], "left").select("cid", F.coalesce("root", "cid").alias("comp"), "n", "own")
     if long_lists:
@@ -550,11 +552,10 @@ def near_components(documents: DataFrame, size: int = 4, percent: int = 85, samp
         ends = placed.mapInArrow(spread, "t long, a long, b long").groupBy("t").agg(F.min("a").alias("a"), F.max("b").alias("b"))
         settled = ends.where("a = b").select("t").toPandas()["t"].to_numpy(np.int64).view(np.uint64)
     done = spark.sparkContext.broadcast(settled)
-    more = _per_bucket(placed.mapInArrow(posted(order=order, settled=done), _BLOB), n, cross_lots, percent).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(_screened(more, short, percent))
+    blobs = posted(order=order, settled=done)
+    more = cut(lambda: _screened(_per_bucket(placed.mapInArrow(blobs, _BLOB), n, cross_lots, percent).distinct().join(pairs, ["a", "b"], "left_anti"), short, percent))
     if not more.isEmpty():
-        more = cut(_verify(more, sets_of(more), n, percent))
-        comps = components(links.union(more))
+        comps = components(links.union(linked_pairs(more)))
 
     classes = docs.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"))
     in_comps = comps.join(classes, comps["node"] == classes["cid"]).select("node", "root", "rep")
