@@ -1,10 +1,13 @@
 """Quality rules with adaptive thresholds, in DataFrame expressions only.
 
-Each text gets integer measures. For each language and source, every measure has
-a mergeable quantile sketch (KLL with parameter K: exact up to K documents, then
-with a rank error of about 0.2 %). Sketches are merged from those of tasks to
-those of sources, languages, and all; merges go through salted groups, so that no
-task merges all sketches of a hot language or source.
+Each text gets integer measures, of any size. For each language and source, every
+measure has a mergeable quantile sketch with a bounded relative error (after
+DDSketch, Masson et al., 2019): counts over buckets that are single numbers up to
+2**BITS and from there on 2**(BITS - 1) to a doubling. Its size is bounded by the
+buckets of 64 bits, not by the documents; sketches merge by adding counts, in any
+order and with one result, from those of tasks to those of sources, languages, and
+all; and a quantile is the true one, rounded down by less than one part in
+2**(BITS - 1).
 
 A document fails a rule if its measure lies outside the fences of its own
 language and source, three interquartile ranges (or a least spread) beyond the
@@ -22,17 +25,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ._dist import checkpoint_dir, cut
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Parameter of the sketches, and documents by whose weight quartiles are shrunk to those of the larger group.
-K = 1024
+#: Bits of a measure that a bucket keeps, and documents by whose weight quartiles are shrunk to those of the larger group.
+BITS = 8
 PRIOR = 200
 FENCE = 3
-#: Groups through which the sketches of a language or source are merged.
-SALTS = 32
 #: Rows of fences that may be broadcast; more meet the documents by a shuffle.
 MOST_BROADCAST = 100_000
 #: Measure: whether low values fail, too, and the least spread.
@@ -67,40 +69,41 @@ def features(documents: DataFrame) -> DataFrame:
     return three.withColumns({f"_q_m_{k}": v for k, v in measures.items()} | {"_q_failed": failed})
 
 
-def sketches(scored: DataFrame) -> DataFrame:
-    """lang, source, and a sketch of each measure."""
-    sketch = [F.kll_sketch_agg_bigint(f"_q_m_{k}", K).alias(k) for k in MEASURES]
-    # the salt is one for a task, so that its sketches are not split
-    return merged(scored.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy("lang", "source", "_salt").agg(*sketch), ["lang", "source"])
+def bucket(x: Column) -> Column:
+    """The least number of a measure's bucket: its highest BITS bits."""
+    low = F.greatest(F.length(F.bin(x)) - BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", x, low), low)
 
 
-def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """The sketches of all rows of each key as one."""
-    return parts.groupBy(*keys).agg(*[F.kll_merge_agg_bigint(k, K).alias(k) for k in MEASURES])
+def sketches(scored: DataFrame) -> DataFrame:
+    """lang, source, measure, bin, n: the sketches of all languages and sources."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(F.col(f"_q_m_{k}")).alias("bin")) for k in MEASURES]))
+    return scored.select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, and n, q1 and q3 of each measure."""
-    quart = lambda k, q: F.kll_sketch_get_quantile_bigint(k, F.lit(q)).cast("double")
-    return sketch.select(*keys, *[F.struct(F.kll_sketch_get_n_bigint(k).cast("double").alias("n"), quart(k, 0.25).alias("q1"), quart(k, 0.75).alias("q3")).alias(k) for k in MEASURES])
+    """keys, measure, and a struct of n, q1 and q3, from the merged sketch of each key."""
+    parts = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+    # a sketch has a bounded number of buckets
+    whole = Window.partitionBy(*keys, "measure")
+    cum = parts.withColumns({"cum": F.sum("n").over(whole.orderBy("bin")), "total": F.sum("n").over(whole)})
+    at = lambda share: F.min(F.when(4 * F.col("cum") >= share * F.col("total"), F.col("bin"))).cast("double")
+    return cum.groupBy(*keys, "measure").agg(F.struct(F.max("total").cast("double").alias("n"), at(1).alias("q1"), at(3).alias("q3")).alias("q"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """lang, source, and low_ and high_ of each measure."""
     own = quartiles(sketch, ["lang", "source"])
-    by_lang = merged(merged(sketch.withColumn("_salt", F.pmod(F.xxhash64("source"), F.lit(SALTS))), ["lang", "_salt"]), ["lang"])
-    lang = quartiles(by_lang, ["lang"]).select(F.col("lang").alias("_lang"), *[F.col(k).alias(f"{k}_lang") for k in MEASURES])
-    # languages are hashed to a bounded number of groups, which are one row in the end
-    every = quartiles(merged(merged(by_lang.withColumn("_salt", F.pmod(F.xxhash64("lang"), F.lit(SALTS))), ["_salt"]), []), []).select(*[F.col(k).alias(f"{k}_all") for k in MEASURES])
-    both = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang"))).crossJoin(F.broadcast(every))
-
-    def limits(k: str) -> list[Column]:
-        shrunk = lambda a, q, b: (F.col(f"{a}.n") * F.col(f"{a}.{q}") + PRIOR * b) / (F.col(f"{a}.n") + PRIOR)
-        q1, q3 = (shrunk(k, q, shrunk(f"{k}_lang", q, F.col(f"{k}_all.{q}"))) for q in ("q1", "q3"))
-        reach = FENCE * F.greatest(q3 - q1, F.lit(float(MEASURES[k][1])))
-        return [(q1 - reach).alias(f"_q_low_{k}"), (q3 + reach).alias(f"_q_high_{k}")]
-
-    return both.select("lang", "source", *[c for k in MEASURES for c in limits(k)])
+    lang = quartiles(sketch, ["lang"]).select(F.col("lang").alias("_lang"), F.col("measure").alias("_m2"), F.col("q").alias("l"))
+    every = quartiles(sketch, []).select(F.col("measure").alias("_m3"), F.col("q").alias("e"))
+    # `every` has a row for each measure
+    both = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_m2"))).join(F.broadcast(every), F.col("measure") == F.col("_m3"))
+    shrunk = lambda a, q, b: (F.col(f"{a}.n") * F.col(f"{a}.{q}") + PRIOR * b) / (F.col(f"{a}.n") + PRIOR)
+    q1, q3 = (shrunk("q", q, shrunk("l", q, F.col(f"e.{q}"))) for q in ("q1", "q3"))
+    least = F.create_map(*[F.lit(x) for k, (_, spread) in MEASURES.items() for x in (k, float(spread))])[F.col("measure")]
+    reach = FENCE * F.greatest(q3 - q1, least)
+    limits = both.select("lang", "source", "measure", (q1 - reach).alias("low"), (q3 + reach).alias("high"))
+    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"_q_{side}_{k}") for k in MEASURES for side in ("low", "high")])
 
 
 def judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
@@ -138,7 +141,8 @@ def keep(documents: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for `verdicts`, with exact quartiles: those of the sketches up to K documents."""
+    """DuckDB SQL for `verdicts`."""
+    bucket = lambda x: f"((({x}) >> greatest(length(bin({x})) - {BITS}, 0)) << greatest(length(bin({x})) - {BITS}, 0))"
     share = lambda a, b, scale=1000: f"({a} * {scale}) // greatest({b}, 1)"
     measures = {"symbols": share("n_symbols", "word_chars"), "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"), "word_length": share("word_chars", "n_words", 10), "upper": share("capitals", "word_chars"), "shouts": share("bangs", "word_chars")}
     levels = {"own": ("lang", "source"), "lang": ("lang", "NULL"), "all": ("NULL", "NULL")}
@@ -170,7 +174,7 @@ WITH t AS (
 ), f AS (
   SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, {", ".join(f"({v})::BIGINT AS m_{k}" for k, v in measures.items())} FROM c
 ), sk AS (
-  {" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, m_{k} AS bin, count(*) AS n FROM f GROUP BY ALL" for k in MEASURES)}
+  {" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {bucket(f'm_{k}')} AS bin, count(*) AS n FROM f GROUP BY ALL" for k in MEASURES)}
 ), lv AS (
   {" UNION ALL ".join(f"SELECT '{lv}' AS level, {a}::VARCHAR AS lang, {b}::VARCHAR AS source, measure, bin, sum(n)::BIGINT AS n FROM sk GROUP BY ALL" for lv, (a, b) in levels.items())}
 ), cu AS (

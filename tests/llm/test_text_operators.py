@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tessera.llm import ngram_join, packing, quality_rules, sharding, substring_dedup, token_counts
 from tessera.llm.wordbpe import WordBpe, vocabulary_path
 
@@ -291,6 +292,22 @@ def test_quality_rules_equal_sql(documents, nothing, corpus):
     assert quality_rules.verdicts(nothing).collect() == []
 
 
+def test_sketches_keep_their_error_and_merge(spark):
+    rng = random.Random(21)
+    values = [int(10 ** rng.uniform(0, 12)) for _ in range(3000)] + list(range(400))
+    df = spark.createDataFrame([(rng.choice("ab"), rng.choice("xyz"), v) for v in values], "lang string, source string, v long").select("lang", "source", *[F.col("v").alias(f"_q_m_{k}") for k in quality_rules.MEASURES])
+    sketch = quality_rules.sketches(df)
+    for keys in ([], ["lang"], ["lang", "source"]):
+        exact = {tuple(r[k] for k in keys): (r.q1, r.q3, r.n) for r in df.groupBy(*keys).agg(F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY _q_m_upper)").alias("q1"), F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY _q_m_upper)").alias("q3"), F.count("*").alias("n")).collect()}
+        for r in quality_rules.quartiles(sketch, keys).collect():
+            q1, q3, n = exact[tuple(r[k] for k in keys)]
+            assert r.q.n == n
+            for got, want in ((r.q.q1, q1), (r.q.q3, q3)):
+                assert got <= want < got * (1 + 2**-7) + 1
+    small = spark.range(256).select(quality_rules.bucket(F.col("id")).alias("b"), "id")
+    assert small.where("b <> id").isEmpty()
+
+
 def test_quality_measures_by_hand(spark):
     text = "a b c a b c\nxx ## é\n\na b c a b c\n"
     r = quality_rules.verdicts(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).first()
