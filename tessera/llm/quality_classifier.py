@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _ftrl
-from ._text import batches, chunks, mix, span_hashes, texts
+from ._text import BLOCK, batches, chunks, mix, release, span_hashes, text_chunks
 
 BITS = 18
 #: Labelled rows, and characters of their texts, from which weights are learnt, at most.
@@ -86,8 +86,9 @@ def features(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(items: list[bytes], labels: list[float], **options) -> tuple[np.ndarray, float]:
     bias = _ftrl.prior(labels, 9, 1)
     examples = []
-    for a, b in chunks(items):
+    for a, b in chunks(items, BLOCK):
         owner, place, value = features(items[a:b])
+        place, value = place.astype(np.int32), value.astype(np.float32)
         cut = np.searchsorted(owner, np.arange(b - a + 1))
         examples += [(place[cut[d] : cut[d + 1]], value[cut[d] : cut[d + 1]]) for d in range(b - a)]
     return _ftrl.train(examples, labels, 1 << BITS, bias, **({"alpha": 0.5, "l1": 0.1, "l2": 0.1} | options))
@@ -95,7 +96,7 @@ def fit(items: list[bytes], labels: list[float], **options) -> tuple[np.ndarray,
 
 def score(items: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
     out = np.full(len(items), bias)
-    for a, b in chunks(items):
+    for a, b in chunks(items, BLOCK):
         owner, place, value = features(items[a:b])
         out[a:b] += np.bincount(owner, weights=weights[place] * value, minlength=b - a)
     return _ftrl.sigmoid(out)
@@ -109,8 +110,10 @@ def classify(documents: DataFrame, labels: DataFrame, modulus: int = 5, held: in
     def learn(it):
         items, y = _ftrl.bounded(it, TRAIN_CHARS)
         weights, bias = fit([x.encode() for x in items], y)
+        del items
         at = np.flatnonzero(weights)
         yield pa.record_batch({"place": pa.array(np.append(at, -1)), "weight": pa.array(np.append(weights[at], bias))})
+        release()
 
     rows = sample.repartition(1).sortWithinPartitions("rank").select("text", "y").mapInArrow(learn, "place long, weight double").toPandas()
     weights = np.zeros(1 << BITS, np.float32)
@@ -122,7 +125,7 @@ def classify(documents: DataFrame, labels: DataFrame, modulus: int = 5, held: in
 
     def apply(it):
         for batch in it:
-            s = score(texts(batch.column(2)), *model.value)
+            s = np.concatenate([np.zeros(0), *(score(items, *model.value) for _, _, items in text_chunks(batch.column(2)))])
             yield batches(schema, doc_id=batch.column(0), held_out=batch.column(1), score=s, predicted=(s >= THRESHOLD).astype(np.int32))
 
     inputs = documents.select(F.col("doc_id").cast("long"), (_ftrl.fold(modulus) == held).alias("held_out"), "text")

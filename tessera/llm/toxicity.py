@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _ftrl
-from ._text import batches, chunks, mix
+from ._text import batches, chunks, mix, release, text_chunks
 
 ORDERS = (4, 5, 6)
 #: Labelled rows, and characters of their texts, from which weights are learnt, at most.
@@ -112,6 +112,10 @@ class Scorer:
         return _ftrl.sigmoid(out)
 
 
+def scores(model: Scorer, column: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(model.score([x.decode("utf-8", "replace") for x in items]) for _, _, items in text_chunks(column))])
+
+
 def fit_on(documents: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, train_rows: int = TRAIN_ROWS) -> Scorer:
     """The classifier, learnt from the labelled rows that are not held out."""
     sample = _ftrl.labelled_sample(documents, labels, "toxic", _ftrl.fold(modulus) != held, train_rows)
@@ -119,6 +123,7 @@ def fit_on(documents: DataFrame, labels: DataFrame, modulus: int = 4, held: int
     def learn(it):
         at, weights, bias = fit(*_ftrl.bounded(it, TRAIN_CHARS))
         yield pa.record_batch({"place": pa.array(np.append(at, -1)), "weight": pa.array(np.append(weights, bias))})
+        release()
 
     rows = sample.repartition(1).sortWithinPartitions("rank").select("text", "y").mapInArrow(learn, "place long, weight double").toPandas()
     at, value = rows["place"].to_numpy(), rows["weight"].to_numpy()
@@ -133,7 +138,7 @@ def classify(documents: DataFrame, labels: DataFrame, modulus: int = 4, held: in
 
     def apply(it):
         for batch in it:
-            s = model.value.score([x or "" for x in batch.column(2).to_pylist()])
+            s = scores(model.value, batch.column(2))
             yield batches(schema, doc_id=batch.column(0), held_out=batch.column(1), score=s, predicted=(s >= THRESHOLD).astype(np.int32))
 
     inputs = documents.select(F.col("doc_id").cast("long"), (_ftrl.fold(modulus) == held).alias("held_out"), "text")
@@ -146,7 +151,7 @@ def keep(documents: DataFrame, labels: DataFrame, modulus: int = 4, held: int =
 
     def apply(it):
         for batch in it:
-            s = model.value.score([x or "" for x in batch.column("text").to_pylist()])
+            s = scores(model.value, batch.column("text"))
             yield batch.filter(pa.array(s < THRESHOLD))
 
     return documents.mapInArrow(apply, documents.schema)
