@@ -4,8 +4,8 @@ Vectors become whole numbers, floor(64 * x). Candidates are grouped by length
 (a geometric grid of norms), and each group is dealt by hash into buckets. Blocks
 of queries meet the few longest buckets first, which gives every query a k-th best
 score, and with it the least length that a candidate must have. Queries are then
-dealt anew, into blocks of like need, and only buckets with a row long enough for
-some query of a block travel to it.
+dealt anew, into blocks of like need, and only rows that are long enough for some
+query of a block travel to it.
 
 With a query's k-th best score so far, the longest norm of a bucket gives a local
 cosine threshold: above 1 the bucket is skipped; if high, candidates must lie in
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordered import numbered
 from ._dist import cut, partitions
 
 K = 20
@@ -39,6 +40,8 @@ NUMBERS = 1 << 22
 #: Buckets of the first round, and buckets that a block of queries meets in one go in the second.
 FIRST = 4
 GROUP = 16
+#: Blocks of queries whose needs may be broadcast; more of them meet the buckets by a shuffle.
+MOST_BLOCKS = 1_000_000
 #: Queries that are multiplied with a bucket at a time.
 TILE = 256
 #: Steps of the norm grid; local threshold from which coordinates prune.
@@ -125,42 +128,57 @@ def below(score: int) -> float:
     return out if abs(out) < 2.0**52 else float(np.nextafter(out, -np.inf))
 
 
-def dealt(df: DataFrame, keys: list[str], size: int) -> tuple[DataFrame, DataFrame]:
-    """`df` with `part`, a hash of the row, so that parts of a key have about `size` rows or fewer; and the parts of each key."""
+def dealt(df: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """`df` with `part`, a hash of the row, so that parts of a dimension and class have about `size` rows or fewer; and the parts of each."""
     rows = F.greatest(F.least(F.lit(size), F.floor(F.lit(NUMBERS) / F.greatest("dim", F.lit(1)))), F.lit(1))
-    counts = cut(df.groupBy(*keys).agg((F.floor((F.count(F.lit(1)) - 1) / rows.cast("double")) + 1).cast("int").alias("parts")))
-    # a row for each dimension and step of a grid, of which doubles have few thousand
-    return df.join(F.broadcast(counts), keys).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")).drop("parts"), counts
+    # a row for each dimension and step of the grid, of which doubles have few thousand
+    counts = cut(df.groupBy("dim", "cls").agg((F.floor((F.count(F.lit(1)) - 1) / rows.cast("double")) + 1).cast("int").alias("parts")))
+    return df.join(F.broadcast(counts), ["dim", "cls"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")).drop("parts"), counts
 
 
 def _met(left: DataFrame, right: DataFrame, n: int, k: int) -> DataFrame:
-    """query_id, vec_id, score from blocks (kind 0) and the buckets that they meet, both by dim, block and g."""
+    """query_id, vec_id, score from queries (kind 0) and the rows that they meet, both by dim, block and g; `ord` is a row's bucket."""
+    key = ["dim", "block", "g"]
+    columns = [*key, "kind", "ord", "vec_id", "v", "bar"]
 
     def run(it):
-        now, block = None, None
+        block = None
 
         def out():
             n = [len(x[0]) for x in block.best]
             return pa.record_batch({"query_id": pa.array(np.repeat(block.ids, n)), "vec_id": pa.array(np.concatenate([x[1] for x in block.best])), "score": pa.array(np.concatenate([x[0] for x in block.best]))})
 
-        for batch in it:
-            for i in range(batch.num_rows):
-                *mine, kind, _ = (batch.column(c)[i].as_py() for c in range(5))
-                packed = batch.column(5)[i].values
-                ids = packed.field(0).to_numpy()
-                v = packed.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                if kind == 0:
-                    if block:
-                        yield out()
-                    bars = packed.field(2).to_numpy(zero_copy_only=False).astype(np.float64)
-                    now, block = mine, Block(ids, v, k, np.where(np.isnan(bars), -np.inf, bars))
-                elif mine == now:
-                    block.meet(ids, v)
+        def lots():
+            """(place, ids, vectors, bars) of each block's queries and of each bucket, put together from batches."""
+            now, held = None, []
+            join = lambda: (now, *(np.concatenate(x) for x in zip(*held, strict=True)))
+            for batch in it:
+                places = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(5)], 1) if batch.num_rows else np.zeros((0, 5), np.int64)
+                edge = [0, *(np.flatnonzero((places[1:] != places[:-1]).any(1)) + 1).tolist(), len(places)]
+                for a, b in zip(edge, edge[1:], strict=False):
+                    if a == b:
+                        continue
+                    place = tuple(places[a].tolist())
+                    if held and place != now:
+                        yield join()
+                        held = []
+                    now = place
+                    ids, v, bars = (batch.column(c).slice(a, b - a) for c in (5, 6, 7))
+                    held.append((ids.to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(b - a, place[0]), bars.to_numpy(zero_copy_only=False).astype(np.float64)))
+            if held:
+                yield join()
+
+        mine = None
+        for (*where, kind, _), ids, v, bars in lots():
+            if kind == 0:
+                if block:
+                    yield out()
+                mine, block = where, Block(ids, v, k, np.where(np.isnan(bars), -np.inf, bars))
+            elif where == mine:
+                block.meet(ids, v)
         if block:
             yield out()
 
-    key = ["dim", "block", "g"]
-    columns = [*key, "kind", "ord", "rows"]
     met = left.select(*columns).unionByName(right.select(*columns)).repartition(n, *key).sortWithinPartitions(*key, "kind", "ord")
     return met.mapInArrow(run, "query_id long, vec_id long, score long")
 
@@ -174,41 +192,43 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, bucket_rows: int
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", "dim", "norm").distinct()
 
     # the rank of a bucket, longest class first
-    bucketed, classes = dealt(rows, ["dim", "cls"], bucket_rows)
+    bucketed, classes = dealt(rows, bucket_rows)
     before = F.sum("parts").over(Window.partitionBy("dim").orderBy(F.desc("cls"))) - F.col("parts")
     ranks = classes.withColumns({"_before": before, "_total": F.sum("parts").over(Window.partitionBy("dim"))}).drop("parts")
     ranked = bucketed.join(F.broadcast(ranks), ["dim", "cls"]).withColumn("rank", (F.col("_before") + F.col("part")).cast("int"))
     groups = F.greatest(F.ceil((F.col("_total") - FIRST) / GROUP), F.lit(1)).cast("int")
-    # a bar of null: anything may be an answer
-    pack = lambda bar: F.collect_list(F.struct("vec_id", "v", bar.alias("bar"))).alias("rows")
-    none = F.lit(None).cast("double")
-    buckets = lambda df: df.groupBy("dim", "rank").agg(pack(none), F.max("norm").alias("longest"), F.first(groups).alias("groups")).withColumns({"kind": F.lit(1), "ord": F.col("rank")})
+    held = F.greatest(F.least(F.lit(query_rows), F.floor(F.lit(NUMBERS) / F.greatest("dim", F.lit(1)))), F.lit(1)).cast("int")
+
+    def blocks(df: DataFrame, order: str, bar: Column) -> tuple[DataFrame, DataFrame]:
+        """Queries with the block of their place in an order, and of each block its least need."""
+        placed = numbered(df, [order, "vec_id"], "place", ["dim"]).withColumn("block", F.floor(F.col("place") / held).cast("int"))
+        return placed.select("dim", "block", "vec_id", "v", bar.alias("bar"), F.lit(0).alias("kind"), F.lit(-1).alias("ord")), placed.groupBy("dim", "block").agg(F.min("need").alias("least"))
 
-    def blocks(df: DataFrame, keys: list[str], bar: Column) -> tuple[DataFrame, DataFrame]:
-        dealt_, counts = dealt(df, ["dim", *keys], query_rows)
-        return dealt_.groupBy("dim", *keys, "part").agg(pack(bar)).withColumns({"kind": F.lit(0), "ord": F.lit(-1)}), counts
+    def near(df: DataFrame, least: DataFrame) -> DataFrame:
+        """Rows, once for each block that has a query which they are long enough for."""
+        least = cut(least)
+        if least.count() <= MOST_BLOCKS:
+            least = F.broadcast(least)
+        long_enough = df.join(least, "dim").where(F.col("norm") * (1 + 1e-9) >= F.col("least"))
+        return long_enough.select("dim", "block", "vec_id", "v", F.lit(None).cast("double").alias("bar"), F.lit(1).alias("kind"), F.col("rank").alias("ord"), groups.alias("groups"))
 
     # first round: every block, the longest buckets
-    left, counts = blocks(queries, [], none)
-    left = left.withColumns({"block": F.concat(F.lit("0:"), F.col("part").cast("string")), "g": F.lit(0)})
-    right = buckets(ranked.where(F.col("rank") < FIRST)).join(F.broadcast(counts), "dim").withColumns({"block": F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.concat(F.lit("0:"), p.cast("string")))), "g": F.lit(0)})
+    left, least = blocks(queries.withColumn("need", F.lit(0.0)), "vec_id", F.lit(None).cast("double"))
+    right = near(ranked.where(F.col("rank") < FIRST), least).withColumn("g", F.lit(0))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = cut(_met(left, right, n, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+    found = cut(_met(left.withColumn("g", F.lit(0)), right, n, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
     bars = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("_score"))
 
     # second round: blocks of queries with like need, the buckets that are long enough for one of them
     score = F.col("_score").cast("double")
     bar = score - F.abs(score) * 2.0**-52  # a double not above the score, wherever scores need more than 53 bits
     need = F.coalesce(F.when((F.col("_score") > 0) & (F.col("norm") > 0), bar / F.col("norm")), F.lit(0.0))
-    needy = queries.join(bars, "vec_id", "left").withColumns({"bar": F.when(F.col("_score").isNotNull(), F.when(F.abs("_score") < 2**52, score).otherwise(bar)), "need": need, "ncls": grid(need)})
-    left, counts = blocks(needy, ["ncls"], F.col("bar"))
-    least = needy.groupBy("dim", "ncls").agg(F.min("need").alias("least")).join(counts, ["dim", "ncls"])
-    name = lambda ncls, part: F.concat_ws(":", F.lit("1"), ncls.cast("string"), part.cast("string"))
+    needy = cut(queries.join(bars, "vec_id", "left").withColumns({"bar": F.when(F.col("_score").isNotNull(), F.when(F.abs("_score") < 2**52, score).otherwise(bar)), "need": need}))
+    left, least = blocks(needy, "need", F.col("bar"))
+    # a row for each dimension
     spread = ranks.groupBy("dim").agg(F.max(groups).alias("groups"))
-    left = left.join(F.broadcast(spread), "dim").withColumns({"block": name(F.col("ncls"), F.col("part")), "g": F.explode(F.sequence(F.lit(0), F.col("groups") - 1))})
-    # a row of `least` for each dimension and step of the grid
-    wanted = buckets(ranked.where(F.col("rank") >= FIRST)).join(F.broadcast(least), "dim").where(F.col("longest") * (1 + 1e-9) >= F.col("least"))
-    right = wanted.withColumns({"block": F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: name(F.col("ncls"), p))), "g": F.pmod(F.col("rank"), F.col("groups"))})
+    left = left.join(F.broadcast(spread), "dim").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    right = near(ranked.where(F.col("rank") >= FIRST), least).withColumn("g", F.pmod(F.col("ord"), F.col("groups")))
     more = _met(left, right, n, k)
     return found.drop("rank").unionByName(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
