@@ -18,23 +18,31 @@ def cut(df: DataFrame | Callable[[], DataFrame]) -> DataFrame:
     What `df` was computed from is then out of use; collecting garbage on the
     driver lets Spark delete its shuffle files now rather than at some time. That
     needs the last reference to be gone, as a call's argument is not: so `df` may
-    be a function that makes it. The scheduler forgets a job a moment after its end,
-    so that its shuffles only go at a second collection.
+    be a function that makes it. The scheduler forgets a job a moment after its end;
+    so collections go on, a few times at most, until the new shuffles are gone.
     """
     wait = callable(df)
     if wait:
         df = df()
+    jvm = df.sparkSession._jvm
     checkpoint_dir(df.sparkSession)
+    before = _shuffles(jvm)
     out = df.checkpoint()
     del df
-    gc.collect()
-    out.sparkSession._jvm.System.gc()
-    if wait:
+    for k in range(8 if wait else 1):
+        gc.collect()
+        jvm.System.gc()
+        if not wait or k and _shuffles(jvm) <= before:
+            break
         time.sleep(0.3)
-        out.sparkSession._jvm.System.gc()
     return out
 
 
+def _shuffles(jvm) -> int:
+    """How many shuffles the driver knows."""
+    return jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
