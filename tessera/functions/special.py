@@ -88,6 +88,18 @@ def erf(x: Column) -> Column:
     return _vector(math.erf, x)
 
 
+def erfc(x: Column) -> Column:
+    return _vector(math.erfc, x)
+
+
+def normal_quantile(p: Column) -> Column:
+    """The value below which a standard normal variable lies with probability p."""
+    from statistics import NormalDist
+
+    inverse = NormalDist().inv_cdf
+    return _vector(lambda x: inverse(min(max(x, 1e-300), 1 - 1e-16)), p)
+
+
 def gammln(x: Column) -> Column:
     return _vector(math.lgamma, x)
 

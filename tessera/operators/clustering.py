@@ -3,39 +3,54 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Items of a matrix that a sequential algorithm may hold on the driver.
-MOST_ITEMS = 5_000
+MOST_ITEMS = 10_000
 
 
 def dense(matrix: DataFrame) -> tuple[list, np.ndarray]:
-    """Items and the full matrix of (i, j, d); refuses more than MOST_ITEMS."""
+    """Items and the full matrix of (i, j, d), which comes as Arrow batches; refuses more than MOST_ITEMS."""
     most = MOST_ITEMS * (MOST_ITEMS - 1) // 2
-    rows = matrix.where("i != j").limit(most + 1).collect()
-    if len(rows) > most:
+    rows = matrix.where("i != j").select("i", "j", "d").limit(most + 1).toArrow()
+    if rows.num_rows > most:
         raise ValueError(f"more than {MOST_ITEMS} items")
-    items = sorted({r[k] for r in rows for k in ("i", "j")})
-    at = {x: k for k, x in enumerate(items)}
-    d = np.zeros((len(items), len(items)))
-    for r in rows:
-        d[at[r["i"]], at[r["j"]]] = d[at[r["j"]], at[r["i"]]] = r["d"]
-    return items, d
+    i, j, d = (rows.column(c).to_numpy() for c in range(3))
+    items, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    out = np.zeros((len(items), len(items)))
+    out[at[: len(i)], at[len(i) :]] = out[at[len(i) :], at[: len(i)]] = d
+    return items.tolist(), out
 
 
 def hierarchy(d: np.ndarray, linkage: str = "average") -> list[tuple[int, int, float]]:
-    """Merges (a, b, height); items are 0..n-1, the k-th merge makes cluster n + k."""
+    """Merges (a, b, height) from the lowest on; items are 0..n-1, the k-th merge makes cluster n + k.
+
+    By chains of nearest neighbours: a chain goes from cluster to nearest cluster
+    until two are each other's nearest, which merge. For these linkages a merge
+    brings no other cluster nearer, so the merges are those of the plain search, and
+    all of it takes a few scans of a row for each item.
+    """
     if (d < 0).any():
         raise ValueError("negative distances")
     n = len(d)
     work = d.astype(float).copy()
     np.fill_diagonal(work, np.inf)
-    name, size, out = list(range(n)), np.ones(n), []
-    for k in range(n - 1):
-        i, j = divmod(int(work.argmin()), n)
-        i, j = min(i, j), max(i, j)
+    size, alive = np.ones(n), np.ones(n, bool)
+    found: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        while True:
+            row = work[chain[-1]]
+            near = int(row.argmin())
+            # the one before stays nearest where several are
+            if len(chain) > 1 and row[chain[-2]] <= row[near]:
+                break
+            chain.append(near)
+        j, i = chain.pop(), chain.pop()
         low = work[i, j]
-        out.append((name[i], name[j], float(low)))
+        found.append((float(low), i, j))
         a, b, others = work[i], work[j], size
         if linkage == "single":
             new = np.minimum(a, b)
@@ -45,11 +60,17 @@ def hierarchy(d: np.ndarray, linkage: str = "average") -> list[tuple[int, int, f
             new = (a * size[i] + b * size[j]) / (size[i] + size[j])
         else:  # Ward
             new = (a * (size[i] + others) + b * (size[j] + others) - low * others) / (size[i] + size[j] + others)
+        new[~alive] = np.inf
         new[[i, j]] = np.inf
-        new[np.isinf(a) | np.isinf(b)] = np.inf
         work[i, :] = work[:, i] = new
         work[j, :] = work[:, j] = np.inf
+        alive[j] = False
         size[i] += size[j]
+    # in the order of heights, with clusters by the merge that made them
+    name = list(range(n))
+    out = []
+    for k, (low, i, j) in enumerate(sorted(found, key=lambda x: x[0])):
+        out.append((name[i], name[j], low) if name[i] < name[j] else (name[j], name[i], low))
         name[i] = n + k
     return out
 
@@ -135,3 +156,215 @@ def correspondence(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     r, c = p.sum(1), p.sum(0)
     u, s, v = np.linalg.svd((p - np.outer(r, c)) / np.sqrt(np.outer(r, c)), full_matrices=False)
     return u / np.sqrt(r)[:, None] * s, v.T / np.sqrt(c)[:, None] * s, s
+
+
+# --- further clusterings -------------------------------------------------------------------------
+
+
+def leaf_order(d: np.ndarray, merges: list[tuple[int, int, float]]) -> list[int]:
+    """An order of the items in which neighbours are near: each merge may swap the ends of its two clusters, by dynamic programming (Bar-Joseph et al., 2001)."""
+    n = len(d)
+    if n == 1:
+        return [0]
+    members = {i: np.array([i]) for i in range(n)}
+    # of a cluster the least length of an order from one item to another
+    cost: dict[int, np.ndarray] = {i: np.zeros((1, 1)) for i in range(n)}
+    kept: dict[int, tuple] = {}
+    for k, (a, b, _) in enumerate(merges):
+        A, B, ca, cb = members[a], members[b], cost[a], cost[b]
+        # from the left end u over any inner end m of a: ca[u, m] + d[m, w], then cb[w, v]
+        first = np.full((len(A), len(B)), np.inf)
+        best_m = np.zeros((len(A), len(B)), int)
+        for w in range(len(B)):
+            through = ca + d[A, B[w]][None, :]
+            best_m[:, w] = through.argmin(1)
+            first[:, w] = through.min(1)
+        both = np.full((len(A), len(B)), np.inf)
+        best_w = np.zeros((len(A), len(B)), int)
+        for v in range(len(B)):
+            through = first + cb[:, v][None, :]
+            best_w[:, v] = through.argmin(1)
+            both[:, v] = through.min(1)
+        size = len(A) + len(B)
+        whole = np.full((size, size), np.inf)
+        whole[: len(A), len(A) :] = both
+        whole[len(A) :, : len(A)] = both.T
+        members[n + k], cost[n + k] = np.concatenate([A, B]), whole
+        kept[n + k] = (a, b, best_m, best_w)
+
+    def walk(c: int, u: int, v: int) -> list[int]:
+        if c < n:
+            return [c]
+        a, b, best_m, best_w = kept[c]
+        split = len(members[a])
+        if u >= split:
+            return walk(c, v, u)[::-1]
+        w = best_w[u, v - split]
+        return walk(a, u, best_m[u, w]) + walk(b, w, v - split)
+
+    top = n + len(merges) - 1
+    u, v = divmod(int(cost[top].argmin()), len(members[top]))
+    return walk(top, u, v)
+
+
+def subtree(merges: list[tuple[int, int, float]], n: int, cluster: int) -> list[int]:
+    """The items of a cluster, in order."""
+    if cluster < n:
+        return [cluster]
+    a, b, _ = merges[cluster - n]
+    return subtree(merges, n, a) + subtree(merges, n, b)
+
+
+def medoids(d: np.ndarray, k: int, rounds: int = 100) -> list[int]:
+    """The cluster (0..k-1) of each item around k of them, by swaps that lower the sum of distances."""
+    n = len(d)
+    centres = [int(d.sum(1).argmin())]
+    while len(centres) < min(k, n):  # the item that lowers the sum most
+        near = d[:, centres].min(1)
+        gain = np.maximum(near[:, None] - d, 0).sum(0)
+        gain[centres] = -1
+        centres.append(int(gain.argmax()))
+    for _ in range(rounds):
+        now = d[:, centres].min(1).sum()
+        swaps = [(d[:, [*centres[:c], x, *centres[c + 1 :]]].min(1).sum(), c, x) for c in range(len(centres)) for x in range(n) if x not in centres]
+        best = min(swaps, default=(np.inf, 0, 0))
+        if best[0] >= now - 1e-12:
+            break
+        centres[best[1]] = best[2]
+    return d[:, centres].argmin(1).tolist()
+
+
+def fuzzy(df: DataFrame, columns: list[str], k: int, m: float = 2.0, rounds: int = 20, seed: int = 0) -> tuple[list[list[float]], Column]:
+    """Centres of fuzzy c-means, and the memberships of a row as an array column; each round is one aggregate."""
+    from .sampling import order_key
+
+    centres = [[float(r[c]) for c in columns] for r in df.dropna(subset=columns).dropDuplicates(columns).orderBy(order_key(columns, seed)).limit(k).select(*columns).collect()]
+
+    def memberships(centres: list[list[float]]) -> Column:
+        d = [F.greatest(sum(((F.col(c) - x) * (F.col(c) - x) for c, x in zip(columns, centre, strict=True)), F.lit(0.0)), F.lit(1e-12)) for centre in centres]
+        inverse = [F.pow(x, F.lit(-1 / (m - 1))) for x in d]
+        return F.array(*[x / sum(inverse, F.lit(0.0)) for x in inverse])
+
+    for _ in range(rounds):
+        u = df.dropna(subset=columns).withColumn("_u", memberships(centres))
+        w = [F.pow(F.get("_u", i), F.lit(m)) for i in range(len(centres))]
+        r = u.agg(*[F.sum(x) for x in w], *[F.sum(x * F.col(c)) for x in w for c in columns]).first()
+        new = [[r[len(w) + i * len(columns) + j] / r[i] for j in range(len(columns))] for i in range(len(w))]
+        moved = max(abs(a - b) for x, y in zip(new, centres, strict=True) for a, b in zip(x, y, strict=True))
+        centres = new
+        if moved < 1e-9:
+            break
+    return centres, memberships(centres)
+
+
+def centre(df: DataFrame, continuous: list[str], discrete: list[str] = (), by: list[str] = ()) -> DataFrame:
+    """The mean of continuous and the most frequent value of discrete columns, of all rows or each cluster."""
+    return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in continuous], *[F.mode(c, True).alias(c) for c in discrete])
+
+
+def bic(df: DataFrame, columns: list[str], cluster: str) -> float:
+    """Bayesian information criterion of a clustering into balls of one variance (X-means); higher is better."""
+    means = centre(df, columns, by=[cluster]).select(F.col(cluster).alias("_c"), *[F.col(c).alias(f"_m_{c}") for c in columns])
+    # a row for each cluster
+    t = df.join(F.broadcast(means), F.col(cluster) == F.col("_c"))
+    r = t.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.sum(sum(((F.col(c) - F.col(f"_m_{c}")) * (F.col(c) - F.col(f"_m_{c}")) for c in columns), F.lit(0.0))).alias("s")).collect()
+    n, k, dims = sum(x.n for x in r), len(r), len(columns)
+    variance = max(sum(x.s for x in r) / max((n - k) * dims, 1), 1e-12)
+    likelihood = sum(x.n * np.log(x.n / n) for x in r) - n * dims / 2 * np.log(2 * np.pi * variance) - dims * (n - k) / 2
+    return float(likelihood - k * (dims + 1) / 2 * np.log(n))
+
+
+def som(df: DataFrame, columns: list[str], rows: int, cols: int, rounds: int = 30, seed: int = 0) -> np.ndarray:
+    """Weights of a rows x cols map, by batch training: each round gathers sums by winner in one aggregate."""
+    known = df.dropna(subset=columns)
+    s = known.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
+    mean, dev = np.array(s[: len(columns)], float), np.array(s[len(columns) :], float)
+    weights = mean + dev * np.random.default_rng(seed).normal(0, 0.5, (rows * cols, len(columns)))
+    place = np.array([(i, j) for i in range(rows) for j in range(cols)], float)
+    apart = ((place[:, None] - place[None]) ** 2).sum(-1)
+    for t in range(rounds):
+        reach = max(max(rows, cols) / 2 * (1 - t / rounds), 0.5)
+        r = known.groupBy(winner(columns, weights).alias("u")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c) for c in columns]).collect()
+        n, sums = np.zeros(len(weights)), np.zeros_like(weights)
+        for x in r:
+            n[x.u], sums[x.u] = x.n, [float(v) for v in x[2:]]
+        h = np.exp(-apart / (2 * reach * reach))
+        total = h @ n
+        weights = np.where(total[:, None] > 1e-12, h @ sums / np.maximum(total, 1e-12)[:, None], weights)
+    return weights
+
+
+def winner(columns: list[str], weights: np.ndarray) -> Column:
+    """The unit of a map that is nearest to a row, the first of several."""
+    d = [F.struct(sum(((F.col(c) - float(x)) * (F.col(c) - float(x)) for c, x in zip(columns, w, strict=True)), F.lit(0.0)).alias("d"), F.lit(i).alias("u")) for i, w in enumerate(weights)]
+    return F.array_min(F.array(*d))["u"]
+
+
+def u_matrix(weights: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """Mean distance of each unit to its neighbours."""
+    w = weights.reshape(rows, cols, -1)
+    out = np.zeros((rows, cols))
+    for i in range(rows):
+        for j in range(cols):
+            near = [w[x, y] for x, y in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)) if 0 <= x < rows and 0 <= y < cols]
+            out[i, j] = np.mean([np.linalg.norm(w[i, j] - v) for v in near]) if near else 0.0
+    return out
+
+
+def stress(d: np.ndarray, x: np.ndarray, how: str = "kruskal") -> float:
+    """Kruskal's, Sammon's, or the relative signed stress of places."""
+    at = np.triu_indices(len(d), 1)
+    want, have = d[at], np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))[at]
+    if how == "kruskal":
+        return float(np.sqrt(((have - want) ** 2).sum() / (have**2).sum()))
+    if how == "sammon":
+        return float((((have - want) ** 2) / np.maximum(want, 1e-12)).sum() / want.sum())
+    return float((np.abs(have - want) / np.maximum(want, 1e-12)).mean())
+
+
+def pivot_mds(matrix: DataFrame, pivots: list, dims: int = 2) -> DataFrame:
+    """item, x: places of all items from their distances to a few pivots (Brandes and Pich, 2007); the items stay in the cluster."""
+    from .distances import symmetric
+
+    # a row for each item, with its squared distances to the pivots
+    both = symmetric(matrix.where("i != j"))
+    some = both.where(F.col("j").isin(*pivots))
+    cells = [F.coalesce(F.max(F.when(F.col("j") == p, F.col("d") * F.col("d"))), F.lit(0.0)).alias(f"p{k}") for k, p in enumerate(pivots)]
+    wide = both.select("i").distinct().join(some, "i", "left").groupBy("i").agg(*cells)
+    names = [f"p{k}" for k in range(len(pivots))]
+    means = wide.agg(*[F.avg(c).alias(f"_{c}") for c in names])
+    row = sum((F.col(c) for c in names), F.lit(0.0)) / len(names)
+    whole = sum((F.col(f"_{c}") for c in names), F.lit(0.0)) / len(names)
+    centred = wide.crossJoin(F.broadcast(means)).select("i", *[(-(F.col(c) - row - F.col(f"_{c}") + whole) / 2).alias(c) for c in names])
+    r = centred.agg(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).first()
+    values, vectors = np.linalg.eigh(np.array(r, float).reshape(len(names), len(names)))
+    order = np.argsort(-values)[:dims]
+    n = wide.count()
+    # so that distances are those of all items, not of the pivots' share
+    top = vectors[:, order] * (n / len(names)) ** 0.25 / np.maximum(values[order], 1e-300) ** 0.25
+    x = [sum((F.col(c) * float(v) for c, v in zip(names, top[:, k], strict=True)), F.lit(0.0)) for k in range(top.shape[1])]
+    return centred.select(F.col("i").alias("item"), F.array(*x).alias("x"))
+
+
+def fda(df: DataFrame, columns: list[str], cls: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fisher's discriminants: ratios of scatter between and within classes, and directions (rows), from sums by class."""
+    n = len(columns)
+    x = [F.col(c).cast("double") for c in columns]
+    known = df.where(F.col(cls).isNotNull()).dropna(subset=columns)
+    groups = known.groupBy(cls).agg(F.count(F.lit(1)).alias("n"), *[F.avg(v) for v in x], *[F.covar_pop(x[i], x[j]) for i in range(n) for j in range(i, n)]).collect()
+    total = sum(g.n for g in groups)
+    mean = sum(g.n * np.array(g[2 : 2 + n], float) for g in groups) / total
+    within, between = np.zeros((n, n)), np.zeros((n, n))
+    for g in groups:
+        cov, at = np.zeros((n, n)), 2 + n
+        for i in range(n):
+            for j in range(i, n):
+                cov[i, j] = cov[j, i] = g[at]
+                at += 1
+        off = np.array(g[2 : 2 + n], float) - mean
+        within += g.n * cov / total
+        between += g.n * np.outer(off, off) / total
+    values, vectors = np.linalg.eig(np.linalg.solve(within + 1e-9 * np.eye(n), between))
+    order = np.argsort(-values.real)[:k]
+    v = vectors[:, order].real.T
+    return values.real[order], v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]

@@ -37,6 +37,9 @@ def distance(a: Column, b: Column, how: str = "euclidean", p: float = 2.0, unkno
         return _fold(F.transform(d, lambda v: F.least(v, F.lit(1.0))))
     if how == "hamming":
         return _fold(F.zip_with(a, b, lambda x, y: F.when(x.eqNullSafe(y), 0.0).otherwise(1.0)))
+    if how == "spearman":
+        rank = lambda v: F.transform(v, lambda x: F.size(F.filter(v, lambda y: y < x)) + (F.size(F.filter(v, lambda y: y == x)) + 1) / 2)
+        return distance(rank(a), rank(b), "pearson")
     if how == "pearson":
         n = F.size(a)
         ma, mb = _fold(a) / n, _fold(b) / n
@@ -125,3 +128,22 @@ def average_linkage(m: DataFrame, groups: DataFrame) -> DataFrame:
     g = lambda c, n: F.broadcast(groups.select(F.col("item").alias(c), F.col("grp").alias(n)))
     t = m.join(g("i", "g1"), "i").join(g("j", "g2"), "j").where("g1 != g2")
     return t.groupBy(F.least("g1", "g2").alias("a"), F.greatest("g1", "g2").alias("b")).agg(F.avg("d").alias("d"))
+
+
+def element(m: DataFrame, i, j):
+    """d of a pair, whichever way round; None where there is none."""
+    found = m.where((F.col("i") == F.greatest(F.lit(i), F.lit(j))) & (F.col("j") == F.least(F.lit(i), F.lit(j))) | (F.col("i") == i) & (F.col("j") == j)).select("d").limit(1).collect()
+    return found[0][0] if found else None
+
+
+def with_element(m: DataFrame, i, j, d: float) -> DataFrame:
+    """The matrix with another value for a pair."""
+    here = (F.col("i") == i) & (F.col("j") == j) | (F.col("i") == j) & (F.col("j") == i)
+    return m.withColumn("d", F.when(here, F.lit(float(d))).otherwise(F.col("d")))
+
+
+def flat(m: DataFrame) -> DataFrame:
+    """place, d of the lower triangle, row by row."""
+    from .ordered import numbered
+
+    return numbered(m.where("i > j"), ["i", "j"], "place").select("place", "d")

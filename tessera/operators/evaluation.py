@@ -86,3 +86,80 @@ def total_cost(df: DataFrame, actual: str, predicted: str, costs: DataFrame) ->
     c = costs.select(F.col("actual").alias("_a"), F.col("predicted").alias("_p"), "cost")
     t = df.join(F.broadcast(c), (F.col(actual) == F.col("_a")) & (F.col(predicted) == F.col("_p")), "left")
     return t.agg(F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"), F.avg(F.coalesce("cost", F.lit(0.0))).alias("mean_cost"))
+
+
+def confusion_chi_square(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """chi2 and df of the independence of actual and predicted classes."""
+    from ..functions.stats import chi_square
+
+    return chi_square(confusion(df, actual, predicted).select(F.col("actual").alias("outer"), F.col("predicted").alias("inner"), F.col("n").cast("double").alias("w")))
+
+
+def cumulative_counts(df: DataFrame, p: str, positive: Column) -> DataFrame:
+    """p, neg, pos: how many negatives and positives have this probability or more."""
+    c = df.groupBy(F.col(p).alias("p")).agg(F.sum((~positive).cast("double")).alias("_neg"), F.sum(positive.cast("double")).alias("_pos"))
+    return running(c, "p", {"neg": F.col("_neg"), "pos": F.col("_pos")}, descending=True).select("p", "neg", "pos")
+
+
+def calibration(df: DataFrame, p: str, positive: Column, points: int = 21, share: float = 0.5) -> DataFrame:
+    """point, y: the share of positives by predicted probability, as a local regression."""
+    from ..functions.comparisons import loess
+
+    at = df.sparkSession.createDataFrame([(i / (points - 1),) for i in range(points)], "point double")
+    return loess(df.withColumn("_y", positive.cast("double")), p, "_y", at, share)
+
+
+def multiclass_auc(probabilities: DataFrame, key: str, actual: str, classes: list, how: str = "one_against_all", weighted: bool = True) -> DataFrame:
+    """auc from (key, class, probability, actual): the mean over classes, or over pairs of classes, weighted by their rows.
+
+    All classes (or pairs) are counted at once, each a group of the running sum.
+    """
+    rows = probabilities.select(F.col("class").alias("c"), F.col("probability").alias("p"), F.col(actual).alias("y"))
+    if how == "one_against_all":
+        cells = rows.groupBy("c", "p").agg(F.sum((F.col("y") == F.col("c")).cast("double")).alias("pos"), F.sum((F.col("y") != F.col("c")).cast("double")).alias("neg"))
+        keys = ["c"]
+    else:  # pairs: rows of two classes by the probability of the one, each way
+        other = F.explode(F.array(*[F.lit(c) for c in classes])).alias("o")
+        two = rows.select("c", "p", "y", other).where("o <> c AND (y = c OR y = o)")
+        cells = two.groupBy("c", "o", "p").agg(F.sum((F.col("y") == F.col("c")).cast("double")).alias("pos"), F.sum((F.col("y") == F.col("o")).cast("double")).alias("neg"))
+        keys = ["c", "o"]
+    upto = running(cells, "p", {"below": F.col("neg")}, keys)
+    each = upto.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2)).alias("s"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos > 0 AND neg > 0")
+    one = F.col("s") / (F.col("pos") * F.col("neg"))
+    # a class weighs as its rows, a pair as the product of its classes
+    weight = (F.col("pos") if how == "one_against_all" else F.col("pos") * F.col("neg")) if weighted else F.lit(1.0)
+    return each.agg((F.sum(one * weight) / F.sum(weight)).alias("auc"))
+
+
+def compare_aucs(df: DataFrame, a: str, b: str, positive: Column) -> DataFrame:
+    """auc_a, auc_b and z of their difference (DeLong, 1988), two classifiers over the same rows."""
+    rows = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"), positive.cast("int").alias("_y"))
+
+    def placed(d: DataFrame, p: str, out: str) -> DataFrame:
+        # of a positive, the share of negatives below it; of a negative, the share of positives above it
+        c = d.groupBy(p).agg(F.sum(F.col("_y").cast("double")).alias("pos"), F.sum(1.0 - F.col("_y")).alias("neg"))
+        up = running(c, p, {"cpos": F.col("pos"), "cneg": F.col("neg")})
+        total = c.agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
+        table = up.crossJoin(F.broadcast(total)).select(F.col(p).alias("_k"), ((F.col("cneg") - F.col("neg") / 2) / F.col("tn")).alias("_v1"), ((F.col("tp") - F.col("cpos") + F.col("pos") / 2) / F.col("tp")).alias("_v0"))
+        return d.join(table, F.col(p) == F.col("_k")).withColumn(out, F.when(F.col("_y") == 1, F.col("_v1")).otherwise(F.col("_v0"))).drop("_k", "_v1", "_v0")
+
+    v = placed(placed(rows, "_a", "_va"), "_b", "_vb")
+    at = lambda y, c: F.when(F.col("_y") == y, F.col(c))
+    s = v.agg(F.avg(at(1, "_va")).alias("auc_a"), F.avg(at(1, "_vb")).alias("auc_b"), F.var_samp(at(1, "_va") - at(1, "_vb")).alias("d1"), F.var_samp(at(0, "_va") - at(0, "_vb")).alias("d0"), F.sum("_y").alias("n1"), F.sum(1 - F.col("_y")).alias("n0"))
+    return s.select("auc_a", "auc_b", ((F.col("auc_a") - F.col("auc_b")) / F.sqrt(F.col("d1") / F.col("n1") + F.col("d0") / F.col("n0"))).alias("z"))
+
+
+def average_ranks(scores: DataFrame, key: str, name: str, score: str) -> DataFrame:
+    """name, rank: the mean rank of each learner over data sets (key), best score first, ties share the mean."""
+    from ..functions.stats import ranks
+
+    return ranks(scores.withColumn("_s", -F.col(score)), "_s", [key], "_r").groupBy(name).agg(F.avg("_r").alias("rank"))
+
+
+#: Studentised ranges over root 2 of Nemenyi's test, for 2 to 10 learners.  Fixed values (Demsar, 2006).
+NEMENYI = {0.05: (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164), 0.1: (1.645, 2.052, 2.291, 2.459, 2.589, 2.693, 2.780, 2.855, 2.920)}
+
+
+def critical_difference(learners: int, data_sets: int, alpha: float = 0.05) -> float:
+    """By how much mean ranks must differ."""
+    return NEMENYI[alpha][learners - 2] * (learners * (learners + 1) / (6 * data_sets)) ** 0.5

@@ -127,3 +127,9 @@ def compatible_row(reference: dict, negate: bool = False) -> Column:
 
 def random_rows(p: float = 0.5, seed: int = 0) -> Column:
     return F.rand(seed) < p
+
+
+def quick_select(df: DataFrame, column: str, values: list) -> tuple[DataFrame, DataFrame]:
+    """Rows with one of some values, and all others."""
+    holds = F.coalesce(F.col(column).isin(*values), F.lit(False))
+    return df.where(holds), df.where(~holds)

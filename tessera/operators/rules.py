@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: Items of a set that is parted into rules.
+MOST_ITEMS = 24
+
+
 def items_of(df: DataFrame, columns: list[str]) -> DataFrame:
     """`items`: an array of column=value for each row."""
     return df.select(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in columns])).alias("items"))
@@ -29,9 +33,11 @@ def rules(baskets: DataFrame, support: float = 0.3, confidence: float = 0.5, con
     """
     n = baskets.count()
     sets = itemsets(baskets, support).where("n > 0")
-    # an itemset of s items has 2**s - 2 partitions, each a bit mask
-    masks = sets.where(F.size("items") > 1).withColumn("_m", F.explode(F.sequence(F.lit(1), F.expr("shiftleft(1, size(items)) - 2"))))
-    pick = lambda on: F.filter("items", lambda x, i: F.expr("1").bitwiseAND(F.call_function("shiftright", F.col("_m"), i)) == on)
+    # an itemset of s items has 2**s - 2 partitions, each a bit mask of 64 bits; with one item on the right, s of them
+    if sets.where(F.size("items") > MOST_ITEMS).limit(1).count():
+        raise ValueError(f"itemsets of more than {MOST_ITEMS} items: raise the support")
+    masks = sets.where(F.size("items") > 1).withColumn("_m", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, size(items)) - 2"))))
+    pick = lambda on: F.filter("items", lambda x, i: F.lit(1).cast("long").bitwiseAND(F.call_function("shiftright", F.col("_m"), i)) == on)
     parts = masks.select(pick(1).alias("antecedent"), pick(0).alias("consequent"), F.col("n").alias("both"))
     if consequent is not None:
         parts = parts.where((F.size("consequent") == 1) & F.get("consequent", 0).startswith(consequent))
@@ -45,3 +51,28 @@ def rules(baskets: DataFrame, support: float = 0.3, confidence: float = 0.5, con
 def applies(rule_items: Column, items: Column) -> Column:
     """A row has all items of a side of a rule."""
     return F.size(F.array_except(rule_items, items)) == 0
+
+
+def sorted_rules(found: DataFrame, by: list[str]) -> DataFrame:
+    """Best first by measures, then by items."""
+    return found.orderBy(*[F.desc(c) for c in by], F.array_join("antecedent", ","), F.array_join("consequent", ","))
+
+
+def selected(found: DataFrame, support: float = 0.0, confidence: float = 0.0, left: list[str] = (), right: list[str] = ()) -> DataFrame:
+    """Rules with these measures at least, and all of some items on a side."""
+    out = found.where((F.col("support") >= support) & (F.col("confidence") >= confidence))
+    for side, items in (("antecedent", left), ("consequent", right)):
+        if items:
+            out = out.where(F.size(F.array_except(F.array(*[F.lit(x) for x in items]), F.col(side))) == 0)
+    return out
+
+
+def having(found: DataFrame, side: str, items: list[str], at_least: int = 1, at_most: int | None = None) -> DataFrame:
+    """Rules that have between so many of some items on a side."""
+    n = F.size(F.array_intersect(F.col(side), F.array(*[F.lit(x) for x in items])))
+    return found.where((n >= at_least) & (n <= at_most) if at_most is not None else n >= at_least)
+
+
+def shown(found: DataFrame, by: list[str], n: int) -> list[str]:
+    """The first n rules as text."""
+    return [f"{', '.join(r.antecedent)} -> {', '.join(r.consequent)}  " + "  ".join(f"{c}={r[c]:.3f}" for c in by) for r in sorted_rules(found, by).limit(n).collect()]

@@ -1,20 +1,27 @@
-"""Classification trees over discrete columns, grown level by level.
-
-Every level is one aggregate over the rows, whatever the number of its nodes:
-rows carry the number of their node, columns are unpivoted, and counts by node,
-column, value and class decide all splits of the level. The tree itself, which
-the least size of a node bounds, lives on the driver; a prediction is an
-expression.
+"""Classification trees over discrete and continuous columns, grown level by level.
+
+Every level is one aggregate over the rows for all discrete columns and one for
+all continuous ones, whatever the number of its nodes: a row carries the numbers
+and weights of its nodes, columns are unpivoted, and counts by node, column, value
+and class decide all splits of the level. Cuts of continuous columns are found by
+running sums of class counts, inside the cluster. The tree itself, which the least
+size of a node bounds, lives on the driver; a prediction is an expression.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.stats import unpivot
+from .ordered import running
+
+#: Values of a column up to which all ways of parting them in two are tried.
+MOST_BINARY = 10
+UNKNOWN = "?"
 
 
 @dataclass
@@ -22,6 +29,9 @@ class Node:
     counts: dict[str, float]
     column: str | None = None
     branches: dict[str, Node] = field(default_factory=dict)
+    #: values of each branch, where it has several; or the place that parts a continuous column
+    members: dict[str, tuple[str, ...]] | None = None
+    threshold: float | None = None
 
     @property
     def majority(self) -> str:
@@ -31,16 +41,58 @@ class Node:
     def leaf(self) -> bool:
         return self.column is None
 
+    @property
+    def weight(self) -> float:
+        return sum(self.counts.values())
+
     def size(self) -> int:
         return 1 + sum(b.size() for b in self.branches.values())
 
+    def enters(self, label: str) -> Column:
+        """Whether a row's value leads into a branch; false where it is missing."""
+        x = F.col(self.column)
+        if label == UNKNOWN:
+            return x.isNull()
+        if self.threshold is not None:
+            return F.coalesce(x <= self.threshold if label.startswith("<=") else x > self.threshold, F.lit(False))
+        return F.coalesce(x.isin(*self.members[label]) if self.members and label in self.members else x == label, F.lit(False))
+
+    def common(self) -> str:
+        return max(self.branches, key=lambda k: (self.branches[k].weight, k))
+
+    def shares(self, unknown: str, key: list[str] = ()) -> dict[str, Column]:
+        """The weight with which a row goes into each branch; `unknown` says where one without a branch for its value goes."""
+        known = F.lit(False)
+        for label in self.branches:
+            known = known | self.enters(label)
+        total = sum(b.weight for b in self.branches.values()) or 1.0
+        out, below = {}, 0.0
+        for label, branch in self.branches.items():
+            share = branch.weight / total
+            if unknown == "common":
+                lost = F.lit(1.0 if label == self.common() else 0.0)
+            elif unknown == "all":
+                lost = F.lit(1.0)
+            elif unknown == "sizes":
+                lost = F.lit(share)
+            elif unknown == "random":
+                u = F.pmod(F.xxhash64(F.lit(self.column), *key), F.lit(1 << 30)) / float(1 << 30)
+                lost = F.when((u >= below) & (u < below + share + 1e-12), 1.0).otherwise(0.0)
+            else:  # ignored, or a branch of its own
+                lost = F.lit(0.0)
+            below += share
+            out[label] = F.when(self.enters(label), 1.0).when(~known, lost).otherwise(0.0)
+        return out
+
 
 def _entropy(counts) -> float:
     n = sum(counts)
     return -sum(c / n * math.log2(c / n) for c in counts if c) if n else 0.0
 
 
-def _score(table: dict[str, dict[str, float]], how: str) -> float:
+def _score(table: dict[str, dict[str, float]], how: str | Callable) -> float:
+    if callable(how):
+        return how(table)
     total: dict[str, float] = {}
     for row in table.values():
         for c, w in row.items():
@@ -56,50 +108,157 @@ def _score(table: dict[str, dict[str, float]], how: str) -> float:
     return gain if how == "gain" else gain / split if split else 0.0
 
 
-def _conditions(node: Node, path: Column, out: list[tuple[Node, Column]]) -> None:
+def _groupings(values: list[str], split: str):
+    """Ways of parting values: label -> values."""
+    if split == "multiway":
+        yield {v: (v,) for v in values}
+    elif split == "one_against_others":
+        for v in values if len(values) > 2 else values[:1]:
+            yield {v: (v,), f"not {v}": tuple(x for x in values if x != v)}
+    else:
+        if len(values) > MOST_BINARY:
+            raise ValueError(f"more than {MOST_BINARY} values to part in two: part one from the others")
+        first, rest = values[0], values[1:]
+        for n in range(len(rest)):
+            for some in combinations(rest, n):
+                left = (first, *some)
+                right = tuple(x for x in values if x not in left)
+                yield {" or ".join(left): left, " or ".join(right): right}
+
+
+def _leaves(node: Node, path: Column, unknown: str, key: list[str], out: list[tuple[Node, Column]]) -> None:
     if node.leaf:
         out.append((node, path))
-    for value, branch in node.branches.items():
-        _conditions(branch, path & (F.col(node.column) == value), out)
+        return
+    for label, share in node.shares(unknown, key).items():
+        _leaves(node.branches[label], path * share, unknown, key, out)
+
+
+def _discrete_counts(rows: DataFrame, columns: list[str], cls: str, keep_unknown: bool) -> dict[int, dict[str, dict[str, dict[str, float]]]]:
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) if keep_unknown else F.col(c).cast("string")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), value(c).alias("value")) for c in columns])).alias("x")
+    long = rows.select("_node", "_w", F.col(cls).alias("c"), pairs).where("x.value IS NOT NULL")
+    out: dict[int, dict[str, dict[str, dict[str, float]]]] = {}
+    for r in long.groupBy("_node", "x.variable", "x.value", "c").agg(F.sum("_w").alias("w")).collect():
+        out.setdefault(r["_node"], {}).setdefault(r.variable, {}).setdefault(r.value, {})[r.c] = r.w
+    return out
 
 
-def grow(df: DataFrame, columns: list[str], cls: str, measure: str = "gain_ratio", min_rows: int = 2, max_majority: float = 1.0, depth: int = 10) -> Node:
-    """Rows with a missing value at a split stay with its node and go no further."""
+def _cuts(rows: DataFrame, columns: list[str], cls: str, classes: list[str], min_rows: float, measure: str) -> dict[int, dict[str, tuple[float, dict[str, float], dict[str, float]]]]:
+    """Of each node and continuous column the best cut, with the class counts on both sides."""
+    k = range(len(classes))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")
+    long = rows.select("_node", "_w", F.col(cls).alias("c"), pairs).where("x.value IS NOT NULL").select("_node", "_w", "c", "x.variable", "x.value")
+    counts = long.groupBy("_node", "variable", "value").agg(*[F.sum(F.when(F.col("c") == c, F.col("_w")).otherwise(0.0)).alias(f"c{i}") for i, c in enumerate(classes)])
+    left = running(counts, "value", {f"l{i}": F.col(f"c{i}") for i in k}, ["_node", "variable"], following="next").where("next IS NOT NULL")
+    # a row for each open node and column
+    totals = counts.groupBy("_node", "variable").agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in k])
+    t = left.join(F.broadcast(totals), ["_node", "variable"])
+    sums = lambda p: sum((F.col(f"{p}{i}") for i in k), F.lit(0.0))
+    nl, n = sums("l"), sums("t")
+    nr = n - nl
+    h = lambda part, m: sum((F.when(part(i) > 1e-9, -part(i) / m * F.log2(part(i) / m)).otherwise(0.0) for i in k), F.lit(0.0))
+    g = lambda part, m: sum((part(i) / m * part(i) / m for i in k), F.lit(0.0))
+    a, b, both = lambda i: F.col(f"l{i}"), lambda i: F.col(f"t{i}") - F.col(f"l{i}"), lambda i: F.col(f"t{i}")
+    if measure == "gini":
+        score = (nl / n * g(a, nl) + nr / n * g(b, nr) - g(both, n)) / 2
+    else:
+        score = h(both, n) - nl / n * h(a, nl) - nr / n * h(b, nr)
+        if measure == "gain_ratio":
+            part = lambda x: F.when(x > 0, -x / n * F.log2(x / n)).otherwise(0.0)
+            score = score / (part(nl) + part(nr))
+    fit = t.where((nl >= min_rows) & (nr >= min_rows)).withColumn("score", F.round(score, 12))
+    best = fit.groupBy("_node", "variable").agg(F.max(F.struct("score", (-F.col("value")).alias("v"), "next", *[f"l{i}" for i in k], *[f"t{i}" for i in k])).alias("b"))
+    out: dict[int, dict[str, tuple[float, dict[str, float], dict[str, float]]]] = {}
+    for r in best.collect():
+        low = {c: r.b[f"l{i}"] for i, c in enumerate(classes) if r.b[f"l{i}"] > 1e-9}
+        high = {c: r.b[f"t{i}"] - r.b[f"l{i}"] for i, c in enumerate(classes) if r.b[f"t{i}"] - r.b[f"l{i}"] > 1e-9}
+        out.setdefault(r["_node"], {})[r.variable] = ((-r.b.v + r.b.next) / 2, low, high)
+    return out
+
+
+def grow(df: DataFrame, columns: list[str], cls: str, measure: str | Callable = "gain_ratio", min_rows: int = 2, max_majority: float = 1.0, depth: int = 10, continuous: list[str] = (), split: str = "multiway", unknown: str = "ignore", key: list[str] = (), stop: Callable[[dict[str, float], int], bool] | None = None) -> Node:
+    """A tree over discrete `columns` and `continuous` ones.
+
+    `split`: multiway, one_against_others or binary for discrete columns. `measure`
+    is gain, gain_ratio, gini, or a function of a table value -> class -> weight (for
+    discrete columns). Rows with a missing value at a split: ignore (they go no
+    further), common (into the largest branch), all, sizes (into all, with the
+    branches' shares as weights), random (by shares and a hash of `key`), branch (one
+    of their own). `stop` may close a node by its class counts and depth.
+    """
     known = df.where(F.col(cls).isNotNull())
     root = Node({r[0]: float(r[1]) for r in known.groupBy(cls).agg(F.count(F.lit(1))).collect()})
-    for _ in range(depth):
+    classes = sorted(root.counts)
+    closed: set[int] = set()
+    for level in range(depth):
         leaves: list[tuple[Node, Column]] = []
-        _conditions(root, F.lit(True), leaves)
-        open_ = [(n, c) for n, c in leaves if sum(n.counts.values()) >= 2 * min_rows and max(n.counts.values()) < max_majority * sum(n.counts.values()) and not getattr(n, "closed", False)]
+        _leaves(root, F.lit(1.0), unknown, list(key), leaves)
+        open_ = [(n, w) for n, w in leaves if id(n) not in closed and n.counts and n.weight >= 2 * min_rows and max(n.counts.values()) < max_majority * n.weight and not (stop and stop(n.counts, level))]
         if not open_:
             break
-        where = F.lit(None).cast("int")
-        for i, (_, c) in enumerate(open_):
-            where = F.when(c, F.lit(i)).otherwise(where)
-        rows = unpivot(known.withColumn("_node", where).where("_node IS NOT NULL"), columns, ["_node", cls], as_text=True).where("value IS NOT NULL")
-        counts = rows.groupBy("_node", "variable", "value", F.col(cls).alias("c")).agg(F.sum("_w").alias("w")).collect()
-        tables: dict[int, dict[str, dict[str, dict[str, float]]]] = {}
-        for r in counts:
-            tables.setdefault(r["_node"], {}).setdefault(r.variable, {}).setdefault(r.value, {})[r.c] = r.w
+        at = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("_node"), w.alias("_w")) for i, (_, w) in enumerate(open_)]), lambda x: x["_w"] > 0)).alias("_at")
+        rows = known.select(*dict.fromkeys([*columns, *continuous, cls]), at).select("*", "_at._node", "_at._w")
+        tables = _discrete_counts(rows, columns, cls, unknown == "branch") if columns else {}
+        cuts = _cuts(rows, list(continuous), cls, classes, min_rows, measure if isinstance(measure, str) else "gain") if continuous else {}
         for i, (node, _) in enumerate(open_):
-            fit = {v: t for v, t in tables.get(i, {}).items() if len(t) > 1 and all(sum(r.values()) >= min_rows for r in t.values())}
-            best = max(fit, key=lambda v: (round(_score(fit[v], measure), 12), v), default=None)
-            if best is None or _score(fit[best], measure) <= 1e-9:
-                node.closed = True
+            ways: list[tuple[float, str, dict]] = []
+            for v, table in tables.get(i, {}).items():
+                names = sorted(x for x in table if x != UNKNOWN or unknown != "branch")
+                lost = {UNKNOWN: table[UNKNOWN]} if unknown == "branch" and UNKNOWN in table else {}
+                for group in _groupings(names, split) if len(names) > 1 else ():
+                    joined = {label: {c: sum(table[x].get(c, 0.0) for x in own) for c in {c for x in own for c in table[x]}} for label, own in group.items()}
+                    if all(sum(r.values()) >= min_rows for r in joined.values()):
+                        ways.append((round(_score(joined | lost, measure), 12), v, {"branches": joined | lost, "members": None if split == "multiway" else group}))
+            for v, (place, low, high) in cuts.get(i, {}).items():
+                table = {f"<={place:g}": low, f">{place:g}": high}
+                ways.append((round(_score(table, measure), 12), v, {"branches": table, "threshold": place}))
+            best = max(ways, key=lambda w: (w[0], w[1]), default=None)
+            if best is None or best[0] <= 1e-9:
+                closed.add(id(node))
                 continue
-            node.column = best
-            node.branches = {value: Node(dict(r)) for value, r in sorted(fit[best].items())}
+            node.column, node.members, node.threshold = best[1], best[2].get("members"), best[2].get("threshold")
+            node.branches = {label: Node(dict(r)) for label, r in sorted(best[2]["branches"].items())}
     return root
 
 
+def _ends(node: Node, path: Column, unknown: str, out: list[tuple[Node, Column]]) -> None:
+    if node.leaf:
+        out.append((node, path))
+        return
+    shares = node.shares("none" if unknown in ("node", "branch") else unknown)
+    for label, share in shares.items():
+        _ends(node.branches[label], path * share, unknown, out)
+    if unknown in ("node", "branch"):
+        gone = F.lit(1.0)
+        for share in shares.values():
+            gone = gone - share
+        out.append((node, path * gone))
+
+
+def probabilities(node: Node, unknown: str = "node") -> dict[str, Column]:
+    """The probability of each class; where a value is missing or new: the node's own shares, those of the common branch, or of all branches merged by their sizes or with equal voices."""
+    ends: list[tuple[Node, Column]] = []
+    _ends(node, F.lit(1.0), unknown, ends)
+    total = sum((w for _, w in ends), F.lit(0.0))
+    return {c: sum((w * (n.counts.get(c, 0.0) / n.weight) for n, w in ends if n.weight), F.lit(0.0)) / total for c in sorted(node.counts)}
+
+
 def predict(node: Node, unknown: str = "node") -> Column:
-    """The class as an expression; a missing or new value takes the node's majority, or the most common branch's."""
+    """The class as an expression; see `probabilities` for missing or new values (the least class of several)."""
+    if unknown in ("sizes", "all"):
+        p = probabilities(node, unknown)
+        return F.array_min(F.array(*[F.struct((-F.round(x, 12)).alias("p"), F.lit(c).alias("c")) for c, x in p.items()]))["c"]
     if node.leaf:
         return F.lit(node.majority)
-    common = max(node.branches.values(), key=lambda b: sum(b.counts.values()))
-    out = F.lit(node.majority) if unknown == "node" else predict(common, unknown)
-    for value, branch in node.branches.items():
-        out = F.when(F.col(node.column) == value, predict(branch, unknown)).otherwise(out)
+    labels = list(node.branches)
+    # the branch as a number, so that every branch stands in the expression once
+    into = F.lit(labels.index(node.common()) if unknown == "common" else -1)
+    for i, label in enumerate(labels):
+        into = F.when(node.enters(label), F.lit(i)).otherwise(into)
+    out = F.lit(node.majority)
+    for i, label in enumerate(labels):
+        out = F.when(into == i, predict(node.branches[label], unknown)).otherwise(out)
     return out
 
 
@@ -151,52 +310,98 @@ class Rule:
         return out
 
 
-def laplace(counts: dict[str, float], cls: str, k: int) -> float:
+def laplace(counts: dict[str, float], cls: str, k: int, prior: dict[str, float] | None = None) -> float:
     return (counts.get(cls, 0) + 1) / (sum(counts.values()) + k)
 
 
-def induce_rules(df: DataFrame, columns: list[str], cls: str, beam: int = 5, most_rules: int = 50, most_conditions: int = 3) -> list[Rule]:
-    """An ordered list by covering with a beam (after CN2, Clark and Niblett, 1989).
+def entropy_quality(counts: dict[str, float], cls: str, k: int, prior: dict[str, float] | None = None) -> float:
+    return -_entropy(counts.values())
 
-    The search runs over the counts of the distinct rows, gathered once; these
-    are bounded by the products of the columns' values, which is checked.
-    """
-    table = df.where(F.col(cls).isNotNull()).groupBy(*columns, cls).agg(F.count(F.lit(1)).alias("n")).limit(200_001).collect()
-    if len(table) > 200_000:
-        raise ValueError("more than 200000 distinct rows: discretise first")
-    rows = [({c: r[c] for c in columns}, r[cls], float(r["n"])) for r in table]
-    classes = sorted({r[1] for r in rows})
-    out: list[Rule] = []
-
-    def counts(conditions, rows_):
+
+def m_quality(m: float) -> Callable:
+    """The m-estimate of a class with the shares of all rows as prior."""
+
+    def quality(counts, cls, k, prior):
+        return (counts.get(cls, 0) + m * prior.get(cls, 0.0) / sum(prior.values())) / (sum(counts.values()) + m)
+
+    return quality
+
+
+def weighted_accuracy(counts: dict[str, float], cls: str, k: int, prior: dict[str, float]) -> float:
+    """The share of rows covered times what is gained over the class's own share (subgroup discovery)."""
+    n, all_ = sum(counts.values()), sum(prior.values())
+    return n / all_ * (counts.get(cls, 0) / n - prior.get(cls, 0.0) / all_)
+
+
+def significance(counts: dict[str, float], prior: dict[str, float]) -> float:
+    """Likelihood ratio statistic of covered classes against all rows."""
+    n, all_ = sum(counts.values()), sum(prior.values())
+    return 2 * sum(w * math.log(w / (n * prior[c] / all_)) for c, w in counts.items() if w > 0)
+
+
+def refined(conditions: dict[str, str], columns: list[str], rows: list) -> list[dict[str, str]]:
+    """The conditions with one more selector, in each way."""
+    return [conditions | {c: v} for c in columns if c not in conditions for v in sorted({x[c] for x, _, _ in rows if x[c] is not None})]
+
+
+#: Distinct rows that the search may hold on the driver.
+MOST_DISTINCT = 200_000
+
+
+class _Search:
+    """A beam over conjunctions, on the counts of distinct rows."""
+
+    def __init__(self, df: DataFrame, columns: list[str], cls: str, beam: int, most_conditions: int, evaluator: Callable, least_significance: float, least_rows: float):
+        table = df.where(F.col(cls).isNotNull()).groupBy(*columns, cls).agg(F.count(F.lit(1)).alias("n")).limit(MOST_DISTINCT + 1).collect()
+        if len(table) > MOST_DISTINCT:
+            raise ValueError(f"more than {MOST_DISTINCT} distinct rows: discretise first")
+        self.rows = [({c: r[c] for c in columns}, r[cls], float(r["n"])) for r in table]
+        self.columns, self.beam, self.most, self.evaluator = columns, beam, most_conditions, evaluator
+        self.least_significance, self.least_rows = least_significance, least_rows
+        self.classes = sorted({r[1] for r in self.rows})
+
+    def counts(self, conditions: dict[str, str], rows: list) -> dict[str, float]:
         t: dict[str, float] = {}
-        for x, c, n in rows_:
+        for x, c, n in rows:
             if all(x[k] == v for k, v in conditions.items()):
                 t[c] = t.get(c, 0) + n
         return t
 
-    while rows and len(out) < most_rules:
+    def best(self, rows: list, target: str | None = None):
+        """quality, -conditions, conditions, class and counts of the best rule, of a target class or any."""
+        prior = self.counts({}, rows)
         front, best = [{}], None
-        for _ in range(most_conditions):
-            new = {}
-            for conditions in front:
-                for col in columns:
-                    if col not in conditions:
-                        for v in sorted({x[col] for x, _, _ in rows if x[col] is not None}):
-                            new[tuple(sorted((conditions | {col: v}).items()))] = None
+        for _ in range(self.most):
+            new = {tuple(sorted(c.items())): None for conditions in front for c in refined(conditions, self.columns, rows)}
             scored = []
-            for key in new:
-                t = counts(dict(key), rows)
-                if t:
-                    c = max(classes, key=lambda k: (t.get(k, 0), k))
-                    scored.append((laplace(t, c, len(classes)), -len(key), key, c, t))
+            for name in new:
+                t = self.counts(dict(name), rows)
+                if not t or sum(t.values()) < self.least_rows:
+                    continue
+                c = target or max(self.classes, key=lambda k: (t.get(k, 0), k))
+                if t.get(c, 0) and significance(t, prior) >= self.least_significance:
+                    scored.append((self.evaluator(t, c, len(self.classes), prior), -len(name), name, c, t))
             scored.sort(key=lambda s: (-s[0], -s[1], s[2]))
-            front = [dict(s[2]) for s in scored[:beam]]
+            front = [dict(s[2]) for s in scored[: self.beam]]
             if scored and (best is None or scored[0][:2] > best[:2]):
                 best = scored[0]
-        everything = counts({}, rows)
-        default = max(classes, key=lambda k: (everything.get(k, 0), k))
-        if best is None or best[0] <= laplace(everything, default, len(classes)):
+        return best
+
+
+def induce_rules(df: DataFrame, columns: list[str], cls: str, beam: int = 5, most_rules: int = 50, most_conditions: int = 3, evaluator: Callable = laplace, least_significance: float = 0.0, least_rows: float = 0.0) -> list[Rule]:
+    """An ordered list by covering with a beam (after CN2, Clark and Niblett, 1989).
+
+    The search runs over the counts of the distinct rows, gathered once; these
+    are bounded by the products of the columns' values, which is checked. Rules must
+    reach `least_significance` (chi-square of one less than the classes) and cover
+    `least_rows`; `evaluator` orders them.
+    """
+    s = _Search(df, columns, cls, beam, most_conditions, evaluator, least_significance, least_rows)
+    rows, out = s.rows, []
+    while rows and len(out) < most_rules:
+        best, everything = s.best(rows), s.counts({}, rows)
+        default = max(s.classes, key=lambda k: (everything.get(k, 0), k))
+        if best is None or best[0] <= evaluator(everything, default, len(s.classes), everything):
             out.append(Rule({}, default, everything))
             break
         conditions = dict(best[2])
@@ -205,6 +410,35 @@ def induce_rules(df: DataFrame, columns: list[str], cls: str, beam: int = 5, mos
     return out
 
 
+def induce_unordered(df: DataFrame, columns: list[str], cls: str, beam: int = 5, most_rules: int = 50, most_conditions: int = 3, evaluator: Callable = laplace, least_significance: float = 0.0, least_rows: float = 0.0) -> list[Rule]:
+    """Rules for each class in turn; what they cover of their own class goes, other rows stay. The last has no conditions."""
+    s = _Search(df, columns, cls, beam, most_conditions, evaluator, least_significance, least_rows)
+    everything, out = s.counts({}, s.rows), []
+    for c in s.classes:
+        rows, n = s.rows, 0
+        while n < most_rules:
+            best, left = s.best(rows, c), s.counts({}, rows)
+            if best is None or not left.get(c) or best[0] <= evaluator(left, c, len(s.classes), left):
+                break
+            conditions = dict(best[2])
+            out.append(Rule(conditions, c, s.counts(conditions, s.rows)))
+            rows = [r for r in rows if r[1] != c or not all(r[0][k] == v for k, v in conditions.items())]
+            n += 1
+    if everything:
+        out.append(Rule({}, max(s.classes, key=lambda k: (everything[k], k)), everything))
+    return out
+
+
+def voted(rules: list[Rule]) -> Column:
+    """The class with the greatest sum of covered rows over all rules that cover a row; where only the last does, its class."""
+    classes = sorted({c for r in rules for c in r.counts})
+    own = [r for r in rules if r.conditions]
+    sums = [F.struct((-sum((F.when(r.covers(), F.lit(float(r.counts.get(c, 0)))).otherwise(0.0) for r in own), F.lit(0.0))).alias("w"), F.lit(c).alias("c")) for c in classes]
+    best = F.array_min(F.array(*sums))
+    default = next((r.cls for r in rules if not r.conditions), None)
+    return F.when(best["w"] < 0, best["c"]).otherwise(F.lit(default))
+
+
 def first_rule(rules: list[Rule], default: str | None = None) -> Column:
     """The class of the first rule that covers a row."""
     out = F.lit(default)

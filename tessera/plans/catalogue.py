@@ -306,10 +306,9 @@ def prob_laplace(spark, d):
     return rounded(stats.probabilities(stats.distribution(table(spark, d, "orders"), "o_orderstatus"), "laplace", k=5))
 
 
-@query("SELECT a.value, round((a.w + 2 * b.p) / (a.n + 2), 6) AS p FROM (SELECT o_orderstatus AS value, count(*) AS w, sum(count(*)) OVER () AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) a JOIN (SELECT o_orderstatus AS value, count(*) / sum(count(*)) OVER () AS p FROM orders GROUP BY 1) b ON a.value = b.value")
+@query("SELECT a.value, round((a.w + 2 * coalesce(b.p, 0)) / (a.n + 2), 6) AS p FROM (SELECT l_linestatus AS value, count(*) AS w, sum(count(*)) OVER () AS n FROM lineitem GROUP BY 1) a LEFT JOIN (SELECT o_orderstatus AS value, count(*) / sum(count(*)) OVER () AS p FROM orders GROUP BY 1) b ON a.value = b.value")
 def prob_m(spark, d):
-    o = table(spark, d, "orders")
-    return rounded(stats.probabilities(stats.distribution(o.where("o_orderkey % 3 = 0"), "o_orderstatus"), "m", m=2, prior=stats.distribution(o, "o_orderstatus")))
+    return rounded(stats.probabilities(stats.distribution(table(spark, d, "lineitem"), "l_linestatus"), "m", m=2, prior=stats.distribution(table(spark, d, "orders"), "o_orderstatus")))
 
 
 @query("SELECT round(avg(CASE WHEN qty IS NULL THEN 1 ELSE 0 END), 6) AS qty, round(avg(CASE WHEN flag IS NULL THEN 1 ELSE 0 END), 6) AS flag FROM " + HOLED)
@@ -619,14 +618,16 @@ def outlier_z(spark, d):
     return rounded(distances.outliers(_balances(spark, d)), 5)
 
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query, n.vec_id AS neighbour, list_distance(q.v, n.v) AS d FROM e q JOIN e n ON q.vec_id <> n.vec_id WHERE q.vec_id < 20)
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query, n.vec_id AS neighbour, list_distance(q.v, n.v) AS d FROM e q JOIN e n ON q.vec_id <> n.vec_id)
 SELECT query, rank::INTEGER AS rank, neighbour, round(d, 5) AS d FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS rank FROM p) WHERE rank <= 5""")
 def knn_top(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return rounded(distances.nearest(e, e.where("vec_id < 20"), "vec_id", "v", 5), 5)
+    return rounded(distances.nearest(e, e, "vec_id", "v", 5), 5)
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query, n.label AS class, list_distance(q.v, n.v) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, n.v), n.vec_id) AS rank FROM e q JOIN e n ON q.vec_id <> n.vec_id),
+w AS (SELECT query, class, CASE WHEN max(d) OVER (PARTITION BY query) < 1e-6 THEN 1.0 ELSE exp(d * d * ln(0.001) / (max(d) OVER (PARTITION BY query) * max(d) OVER (PARTITION BY query))) END AS vote FROM p WHERE rank <= 5)
+SELECT query, class, round(sum(vote) / sum(sum(vote)) OVER (PARTITION BY query), 6) AS vote FROM w GROUP BY query, class""")
 def knn_classify(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     near = distances.nearest(e, e, "vec_id", "v", 5)
@@ -646,12 +647,21 @@ def itemsets_pairs(spark, d):
     return s.where(F.size("items") == 2).select(F.array_join("items", ",").alias("items"), "n")
 
 
-@query(f"""WITH b AS MATERIALIZED {_LONG}, {_ITEMS}, n AS (SELECT count(*)::DOUBLE AS n FROM lineitem), s AS (SELECT item, count(*)::DOUBLE AS k FROM i GROUP BY 1), p AS (SELECT a.item AS x, c.item AS y, count(*)::DOUBLE AS k FROM i a JOIN i c ON a.r = c.r AND a.item <> c.item GROUP BY 1, 2)
-SELECT x AS antecedent, y AS consequent, round(p.k / n, 6) AS support, round(p.k / a.k, 6) AS confidence, round(a.k / n, 6) AS coverage, round(c.k / a.k, 6) AS strength, round(n * p.k / (a.k * c.k), 6) AS lift, round((p.k * n - a.k * c.k) / (n * n), 6) + 0.0 AS leverage
-FROM p JOIN s a ON a.item = x JOIN s c ON c.item = y, n WHERE p.k >= 0.05 * n AND p.k / a.k >= 0.3""")
+# all sets of one to three items are the groups of a cube; a part of a set has its values or nulls
+_SETS = "s AS (SELECT l_linenumber AS a, l_linestatus AS b, l_returnflag AS c, count(*)::DOUBLE AS k FROM lineitem GROUP BY CUBE (l_linenumber, l_linestatus, l_returnflag))"
+_NAMED = "concat_ws(',', 'l_linenumber=' || {0}.a, 'l_linestatus=' || {0}.b, 'l_returnflag=' || {0}.c)"
+
+
+@query(f"""WITH n AS (SELECT count(*)::DOUBLE AS n FROM lineitem), {_SETS},
+r AS (SELECT w.k AS k, x.k AS kx, y.k AS ky, {_NAMED.format("x")} AS antecedent, {_NAMED.format("y")} AS consequent
+  FROM s w JOIN s x ON (x.a IS NULL OR x.a = w.a) AND (x.b IS NULL OR x.b = w.b) AND (x.c IS NULL OR x.c = w.c)
+  JOIN s y ON y.a IS NOT DISTINCT FROM (CASE WHEN x.a IS NULL THEN w.a END) AND y.b IS NOT DISTINCT FROM (CASE WHEN x.b IS NULL THEN w.b END) AND y.c IS NOT DISTINCT FROM (CASE WHEN x.c IS NULL THEN w.c END)
+  WHERE coalesce(x.a::VARCHAR, x.b, x.c) IS NOT NULL AND coalesce(y.a::VARCHAR, y.b, y.c) IS NOT NULL)
+SELECT antecedent, consequent, round(k / n, 6) AS support, round(k / kx, 6) AS confidence, round(kx / n, 6) AS coverage, round(ky / kx, 6) AS strength, round(n * k / (kx * ky), 6) AS lift, round((k * n - kx * ky) / (n * n), 6) + 0.0 AS leverage
+FROM r, n WHERE k >= 0.05 * n AND k / kx >= 0.3""")
 def assoc_rules(spark, d):
-    r = rules.rules(rules.items_of(table(spark, d, "lineitem"), _RULE_COLS), 0.05, 0.3).where((F.size("antecedent") == 1) & (F.size("consequent") == 1))
-    return rounded(r.withColumns({"antecedent": F.get("antecedent", 0), "consequent": F.get("consequent", 0)}))
+    r = rules.rules(rules.items_of(table(spark, d, "lineitem"), _RULE_COLS), 0.05, 0.3)
+    return rounded(r.withColumns({c: F.array_join(F.array_sort(c), ",") for c in ("antecedent", "consequent")}))
 
 
 @query("SELECT o_orderkey, (SELECT o_orderstatus FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS predicted FROM orders")
@@ -759,7 +769,14 @@ def graph_pathfinder(spark, d):
     return rounded(graphs.pathfinder(graphs.from_matrix(_balances(spark, d), 0, 2000)), 4)
 
 
-@query()
+def _label_rounds(n: int) -> str:
+    rounds = "l0 AS (SELECT DISTINCT a AS vertex, a AS label FROM b)"
+    for k in range(n):
+        rounds += f", l{k + 1} AS (SELECT vertex, label FROM (SELECT b.a AS vertex, label, row_number() OVER (PARTITION BY b.a ORDER BY count(*) DESC, label) AS i FROM b JOIN l{k} ON b.b = l{k}.vertex GROUP BY b.a, label) WHERE i = 1)"
+    return rounds
+
+
+@query(f"WITH e AS (SELECT i AS a, j AS b FROM {_PAIRS} WHERE d BETWEEN 0 AND 500), b AS (SELECT * FROM e UNION ALL SELECT b, a FROM e), {_label_rounds(3)} SELECT vertex, label FROM l3")
 def graph_label_propagation(spark, d):
     return graphs.label_propagation(graphs.from_matrix(_balances(spark, d), 0, 500), 3)
 
@@ -841,15 +858,15 @@ def matrix_subset(spark, d):
     return rounded(distances.sub_matrix(_balances(spark, d), items), 4)
 
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 30) SELECT a.vec_id AS i, b.vec_id AS j, round((1 - (list_dot_product(a.v, b.v) / 64 - list_avg(a.v) * list_avg(b.v)) / sqrt((list_dot_product(a.v, a.v) / 64 - list_avg(a.v) ** 2) * (list_dot_product(b.v, b.v) / 64 - list_avg(b.v) ** 2))) / 2, 5) AS d FROM e a JOIN e b ON a.vec_id > b.vec_id""")
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, round((1 - (list_dot_product(a.v, b.v) / 64 - list_avg(a.v) * list_avg(b.v)) / sqrt((list_dot_product(a.v, a.v) / 64 - list_avg(a.v) ** 2) * (list_dot_product(b.v, b.v) / 64 - list_avg(b.v) ** 2))) / 2, 5) AS d FROM e a JOIN e b ON a.vec_id > b.vec_id""")
 def dist_matrix_pearson(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 30").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return rounded(distances.matrix(e, "vec_id", "v", "pearson"), 5)
 
 
-@query("SELECT c_custkey, c_nationkey, c_acctbal FROM (SELECT *, row_number() OVER (ORDER BY c_nationkey, c_acctbal DESC) FROM customer) ORDER BY c_nationkey, c_acctbal LIMIT 50")
+@query("SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey, c_acctbal")
 def sort_lexicographic(spark, d):
-    return rel.sort(table(spark, d, "customer"), ["c_nationkey", "c_acctbal"]).limit(50).select("c_custkey", "c_nationkey", "c_acctbal")
+    return rel.sort(table(spark, d, "customer"), ["c_nationkey", "c_acctbal"]).select("c_custkey", "c_nationkey", "c_acctbal")
 
 
 @query("SELECT c_mktsegment AS value, round(sum(w), 6) AS w FROM (SELECT c_mktsegment, count(*)::DOUBLE AS w FROM customer WHERE c_nationkey < 10 GROUP BY 1 UNION ALL SELECT c_mktsegment, -0.5 * count(*) FROM customer WHERE c_nationkey >= 10 GROUP BY 1) GROUP BY 1".replace("SELECT c_mktsegment AS value", "SELECT c_mktsegment AS value"))
@@ -858,7 +875,7 @@ def dist_arithmetic(spark, d):
     return rounded(stats.combine(stats.distribution(c.where("c_nationkey < 10"), "c_mktsegment"), stats.distribution(c.where("c_nationkey >= 10"), "c_mktsegment"), -0.5))
 
 
-@query()
+@query("WITH d AS (SELECT l_quantity AS v, count(*)::DOUBLE AS w FROM lineitem GROUP BY 1), a AS (SELECT arg_max(v, v) AS v, arg_max(w, v) AS w FROM d WHERE v <= 10.5), b AS (SELECT arg_min(v, v) AS v, arg_min(w, v) AS w FROM d WHERE v > 10.5) SELECT CASE WHEN a.v = 10.5 THEN a.w ELSE a.w + (10.5 - a.v) / (b.v - a.v) * (b.w - a.w) END AS density FROM a, b")
 def dist_density(spark, d):
     return stats.density(stats.distribution(table(spark, d, "lineitem"), "l_quantity"), 10.5)
 
@@ -893,9 +910,14 @@ def cluster_kmeans(spark, d):
     return kmeans(table(spark, d, "customer").withColumn("nation", F.col("c_nationkey").cast("double")), ["c_acctbal", "nation"], 3).select("c_custkey", "cluster")
 
 
-@query()
+@query("""WITH f AS (SELECT o_orderkey, o_orderstatus, ((row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1) % 5)::INTEGER AS fold FROM orders),
+m AS (SELECT g.fold, f.o_orderstatus AS predicted, row_number() OVER (PARTITION BY g.fold ORDER BY count(*) DESC, f.o_orderstatus) AS i FROM (SELECT DISTINCT fold FROM f) g JOIN f ON f.fold <> g.fold GROUP BY g.fold, f.o_orderstatus)
+SELECT o_orderkey, f.fold, predicted FROM f JOIN m ON m.fold = f.fold AND i = 1""")
 def cross_validation_majority(spark, d):
     from ..operators.models import cross_validated
 
     o = table(spark, d, "orders")
     return cross_validated(o, lambda train, rows: learners.majority(train, rows, "o_orderstatus"), 5, ["o_orderkey"], "o_orderstatus").select("o_orderkey", "fold", "predicted")
+
+
+from . import more_queries  # noqa: E402, F401  registers the others

@@ -5,6 +5,7 @@ Headers are read on the driver (a few lines), rows by Spark.
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -37,7 +38,7 @@ def _split_values(text: str) -> tuple[str, ...]:
 _KINDS = {"c": CONTINUOUS, "continuous": CONTINUOUS, "d": DISCRETE, "discrete": DISCRETE, "s": STRING, "string": STRING, "basket": BASKET}
 
 
-def tab_variables(names: list[str], kinds: list[str], flags: list[str]) -> list[Variable | None]:
+def tab_variables(names: list[str], kinds: list[str], flags: list[str], classes: bool = False) -> list[Variable | None]:
     """Variables of a three-line header; None for ignored columns."""
     out: list[Variable | None] = []
     for i, name in enumerate(names):
@@ -53,6 +54,8 @@ def tab_variables(names: list[str], kinds: list[str], flags: list[str]) -> list[
                 role = WEIGHT
             elif m in ("ignore", "i", "skip", "s"):
                 ignored = True
+            elif m in ("basket", "b"):
+                kind = "basket"
             elif m == "-ordered":
                 ordered = True
             elif "=" in m:
@@ -63,7 +66,7 @@ def tab_variables(names: list[str], kinds: list[str], flags: list[str]) -> list[
         else:
             k, values = DISCRETE, _split_values(kind)
         out.append(None if ignored else Variable(name.strip(), k, META if k in (STRING, BASKET) and role == ATTRIBUTE else role, values, ordered, user))
-    if sum(v is not None and v.role == CLASS for v in out) > 1:
+    if not classes and sum(v is not None and v.role == CLASS for v in out) > 1:
         raise ValueError("more than one class")
     return out
 
@@ -83,33 +86,48 @@ def prefixed_variables(names: list[str], no_class: bool = False) -> list[tuple[s
     return out
 
 
-def _body(spark: SparkSession, path: str, sep: str, width: int, skip: int, missing: tuple[str, ...]) -> DataFrame:
-    """The rows after a header as columns _c0, _c1, ...: short lines are padded, long ones fail.
+def tokens(line: str, sep: str, quote: str | None = '"', escape: str = "\\") -> list[str]:
+    """The cells of one header line, as the rows' are split."""
+    return next(csv.reader([line], delimiter=sep, quotechar=quote or "\0", escapechar=escape, quoting=csv.QUOTE_MINIMAL if quote else csv.QUOTE_NONE), [])
 
-    The header is told by its own lines, so that the file can still be split.
+
+def _body(spark: SparkSession, path: str, sep: str, width: int, skip: int, missing: tuple[str, ...], quote: str | None = None, comment: str | None = None) -> DataFrame:
+    """The rows after a header as columns _c0, _c1, ...: short lines are padded, long ones fail, blank lines and lines of empty cells go.
+
+    Header lines are told by their place at the start of a file, so that the file
+    can still be split and rows may repeat them. Quotes keep separators, and a
+    backslash keeps a quote; a line that starts with the comment character goes.
     """
-    top = head(spark, path, skip)
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    for h in dict.fromkeys(top):
-        lines = lines.where(F.col("value") != h)
-    parts = F.split("value", re.escape(sep))
-    tooth = F.when(F.size(F.filter(F.slice(parts, width + 1, 1 << 20), lambda x: F.trim(x) != "")) > 0, F.raise_error(F.concat(F.lit("example of invalid length: "), F.col("value")))).otherwise(parts)
-    rows = lines.select(tooth.alias("p"))
-    return rows.select(*[cell(F.get("p", i), missing).alias(f"_c{i}") for i in range(width)])
+    places = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    # a row for each file
+    starts = places.where("_block = 0").groupBy(F.col("_file").alias("_f")).agg(F.min("_at").alias("_start"))
+    lines = places.join(F.broadcast(starts), F.col("_file") == F.col("_f")).where(~((F.col("_block") == 0) & (F.col("_at") < F.col("_start") + skip)) & (F.trim("value") != ""))
+    if comment:
+        lines = lines.where(~F.col("value").startswith(comment))
+    names = [f"_c{i}" for i in range(width)]
+    if quote:
+        schema = ", ".join(f"{c} string" for c in [*names, "_more"])
+        parsed = lines.select("value", F.from_csv("value", schema, {"sep": sep, "quote": quote, "escape": "\\", "mode": "PERMISSIVE"}).alias("p"))
+        cells = [F.col(f"p.{c}") for c in names]
+        more = F.trim(F.coalesce("p._more", F.lit(""))) != ""
+    else:
+        parts = F.split("value", re.escape(sep))
+        parsed = lines.select("value", parts.alias("p"))
+        cells = [F.get("p", i) for i in range(width)]
+        more = F.size(F.filter(F.slice("p", width + 1, 1 << 20), lambda x: F.trim(x) != "")) > 0
+    checked = F.when(more, F.raise_error(F.concat(F.lit("example of invalid length: "), F.col("value"))).cast("string"))
+    rows = parsed.select(*[cell(F.coalesce(checked, c) if i == 0 else c, missing).alias(f"_c{i}") for i, c in enumerate(cells)])
+    return rows if width == 0 else rows.where(" OR ".join(f"{c} IS NOT NULL" for c in names))
 
 
 def infer_kinds(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Kinds by the values: digits only are codes, numbers continuous, the rest discrete or, if mostly unique, text."""
-    exprs = []
-    for c in columns:
-        known = F.col(c).isNotNull()
-        exprs += [F.count(c).alias(f"{c}\0n"), F.approx_count_distinct(c).alias(f"{c}\0k"), F.bool_and(F.when(known, F.col(c).rlike("^[0-9]$"))).alias(f"{c}\0d"), F.bool_and(F.when(known, number(F.col(c)).isNotNull())).alias(f"{c}\0f")]
-    r = df.agg(*exprs).first()
-    out = {}
-    for c in columns:
-        n, k = r[f"{c}\0n"], r[f"{c}\0k"]
-        out[c] = DISCRETE if r[f"{c}\0d"] else CONTINUOUS if r[f"{c}\0f"] else STRING if k > 20 and 2 * k > n else DISCRETE
-    return out
+    """Kinds by the distinct values: single digits only are codes, numbers continuous, the rest discrete or, if there are more than 20 and most occur once, text."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])).alias("x")
+    values = df.select(each).where("x.v IS NOT NULL").groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    found = values.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.bool_and(F.col("v").rlike("^[0-9]$")).alias("d"), F.bool_and(number(F.col("v")).isNotNull()).alias("f"))
+    rows = {r.c: r for r in found.collect()}
+    kind = lambda r: DISCRETE if r is None or r.d else CONTINUOUS if r.f else STRING if r.k > 20 and 2 * r.k > r.n else DISCRETE
+    return {c: kind(rows.get(c)) for c in columns}
 
 
 def _typed(body: DataFrame, variables: list[Variable | None]) -> DataFrame:
@@ -125,18 +143,60 @@ def _typed(body: DataFrame, variables: list[Variable | None]) -> DataFrame:
     return with_roles(body.select(*cols), made)
 
 
-def read_tab(spark: SparkSession, path: str, missing: tuple[str, ...] = MISSING) -> DataFrame:
-    """A file with three header lines: names, types, flags."""
-    names, kinds, flags = (x.split("\t") for x in head(spark, path, 3))
-    variables = tab_variables(names, kinds, flags)
-    return _typed(_body(spark, path, "\t", len(names), 3, missing), variables)
-
-
-def read_prefixed(spark: SparkSession, path: str, sep: str = "\t", no_class: bool = False, missing: tuple[str, ...] = MISSING) -> DataFrame:
+def read_tab(spark: SparkSession, path: str, missing: tuple[str, ...] = MISSING, quote: str | None = None, comment: str | None = None, classes: bool = False) -> DataFrame:
+    """A file with three header lines: names, types, flags; `classes` allows several columns in the role of the class."""
+    top = head(spark, path, 3)
+    names, kinds, flags = (x.split("\t") for x in [*top, *[""] * (3 - len(top))])
+    variables = tab_variables(names, kinds, flags, classes)
+    return _typed(_body(spark, path, "\t", len(names), 3, missing, quote, comment), variables)
+
+
+def why_not_tab(lines: list[str]) -> str | None:
+    """Why the first lines can't be a three-line header; None if they can."""
+    if len(lines) < 3:
+        return "fewer than three lines"
+    names, kinds, flags = (x.split("\t") for x in lines[:3])
+    if len(kinds) > len(names) or len(flags) > len(names):
+        return "more types or flags than names"
+    for name, kind in zip(names, kinds, strict=False):
+        kind = kind.strip()
+        if kind and kind not in _KINDS and number_like(kind):
+            return f"the type of {name.strip()!r} is a number: {kind}"
+    for mark in (m for f in flags for m in _split_values(f)):
+        if mark not in _MARKS and "=" not in mark:
+            return f"unknown flag {mark!r}"
+    return None
+
+
+_MARKS = ("class", "c", "meta", "m", "weight", "w", "ignore", "i", "skip", "s", "basket", "b", "-ordered")
+
+
+def number_like(text: str) -> bool:
+    try:
+        float(text.replace(",", "."))
+    except ValueError:
+        return False
+    return True
+
+
+def find_file(spark: SparkSession, name: str, folders: tuple[str, ...] = (), endings: tuple[str, ...] = (".tab", ".txt", ".csv", ".basket", ".arff")) -> str:
+    """The first path that exists: the name, with each ending, then the same in each folder."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in ("", *folders):
+        for ending in ("", *endings):
+            path = f"{folder.rstrip('/')}/{name}{ending}" if folder else f"{name}{ending}"
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            if place.getFileSystem(conf).exists(place):
+                return path
+    raise FileNotFoundError(name)
+
+
+def read_prefixed(spark: SparkSession, path: str, sep: str = "\t", no_class: bool = False, missing: tuple[str, ...] = MISSING, quote: str | None = '"', comment: str | None = None) -> DataFrame:
     """A file with one header line; kinds that it doesn't say are inferred."""
-    names = head(spark, path, 1)[0].split(sep)
+    names = tokens(head(spark, path, 1)[0], sep, quote)
     described = prefixed_variables(names, no_class)
-    body = _body(spark, path, sep, len(names), 1, missing)
+    body = _body(spark, path, sep, len(names), 1, missing, quote, comment)
     open_ = [f"_c{i}" for i, (_, k, _, ign) in enumerate(described) if k is None and not ign]
     kinds = infer_kinds(body, open_) if open_ else {}
     variables = []
@@ -205,7 +265,15 @@ def read_pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     Sections are told by markers, whose offsets in the file bound their lines.
     """
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
+    return _pajek(spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()))
+
+
+def parse_pajek(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
+    """The same from a string."""
+    return _pajek(spark.createDataFrame(list(enumerate(text.splitlines())), "_at long, value string").select("value", "_at"))
+
+
+def _pajek(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = lines.where(F.col("value").startswith("*")).select("_at", F.lower(F.regexp_extract("value", r"^\*(\w+)", 1)).alias("s")).collect()
     section = F.lit(None).cast("string")
     for m in sorted(marks, key=lambda r: r["_at"]):
@@ -236,6 +304,32 @@ def read_sql(spark: SparkSession, query: str, url: str | None = None, discrete:
     return with_roles(df, variables)
 
 
+def read_sql_file(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A query with directives in comments: `--orng uri '...'`, `discrete [...]`, `meta [...]`, `class '...'`."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    marks: dict[str, str] = {}
+    query = []
+    for line in text.splitlines():
+        m = re.match(r"\s*--orng\s+(\w+)\s+(.*)", line)
+        if m:
+            marks[m[1]] = m[2].strip()
+        elif not line.strip().startswith("--"):
+            query.append(line)
+    names = lambda k: [x.strip().strip("'\"") for x in marks.get(k, "").strip("[]").split(",") if x.strip()]
+    uri = marks.get("uri", "").strip("'\"")
+    return read_sql(spark, "\n".join(query).strip().rstrip(";"), uri or None, names("discrete"), names("meta"), (names("class") or ["class"])[0], **options)
+
+
+def read_sql_table(spark: SparkSession, table: str, url: str | None = None, **options) -> DataFrame:
+    """All columns of a table."""
+    return read_sql(spark, f"SELECT * FROM {table}", url, **options)
+
+
+def restored(spark: SparkSession, path: str) -> DataFrame:
+    """A table with its roles and lists of values, as `writers.keep` left it: Parquet holds a schema's metadata."""
+    return spark.read.parquet(path)
+
+
 READERS = {".tab": read_tab, ".txt": read_prefixed, ".csv": lambda s, p: read_prefixed(s, p, ","), ".basket": read_basket, ".arff": read_arff, ".svm": read_libsvm}
 
 

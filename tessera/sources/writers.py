@@ -107,3 +107,33 @@ def write(df: DataFrame, path: str) -> None:
     if ending not in WRITERS:
         raise ValueError(f"unknown format {ending}")
     WRITERS[ending](df, path)
+
+
+def keep(df: DataFrame, path: str) -> None:
+    """The table with its roles and lists of values, to be restored as it is."""
+    df.write.mode("overwrite").parquet(path)
+
+
+#: Rows that may become the source text of a data frame.
+MOST_SOURCE_ROWS = 100_000
+
+
+def r_source(df: DataFrame, name: str = "data") -> str:
+    """R source of a data frame: factors for discrete columns, numbers and texts for others."""
+    from ..schema import DISCRETE, STRING, domain
+
+    rows = df.limit(MOST_SOURCE_ROWS + 1).collect()
+    if len(rows) > MOST_SOURCE_ROWS:
+        raise ValueError(f"more than {MOST_SOURCE_ROWS} rows")
+    text = lambda v: "NA" if v is None else '"' + str(v).replace("\\", "\\\\").replace('"', '\\"') + '"'
+    parts = []
+    for v in domain(df):
+        own = [r[v.name] for r in rows]
+        if v.kind == DISCRETE:
+            values = ", ".join(text(x) for x in v.values)
+            parts.append(f"  `{v.name}` = factor(c({', '.join(text(x) for x in own)}), levels = c({values}))")
+        elif v.kind == STRING:
+            parts.append(f"  `{v.name}` = c({', '.join(text(x) for x in own)})")
+        else:
+            parts.append(f"  `{v.name}` = c({', '.join('NA' if x is None else repr(float(x)) for x in own)})")
+    return f"{name} <- data.frame(\n" + ",\n".join(parts) + ",\n  check.names = FALSE)\n"

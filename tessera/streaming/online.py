@@ -28,3 +28,10 @@ def merged(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     t = a.unionByName(b).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "sum", "sum2")], F.min("min").alias("min"), F.max("max").alias("max"))
     avg = F.col("sum") / F.col("n")
     return t.withColumn("avg", avg).withColumn("dev", F.sqrt(F.greatest(F.col("sum2") / F.col("n") - avg * avg, F.lit(0.0))))
+
+
+def windowed_contingency(events: DataFrame, time: str, outer: str, inner: str, window: str, late: str) -> DataFrame:
+    """Counts of pairs of values for each window of event time."""
+    kept = events.withWatermark(time, late) if events.isStreaming else events
+    g = kept.groupBy(F.window(time, window).alias("w"), F.col(outer).alias("outer"), F.col(inner).alias("inner"))
+    return g.agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.col("w.start").alias("start"), "outer", "inner", "n")
