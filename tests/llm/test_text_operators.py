@@ -277,6 +277,61 @@ def test_differencing_beats_greedy():
     assert sharding.differencing([], 4) == [] and sharding.differencing([5], 4) in ([0], [1], [2], [3])
 
 
+def plain_differencing(weights, shards):
+    """Karmarkar and Karp, with lists: the sums of the shards."""
+    parts = [(w, i, [0] * (shards - 1) + [w]) for i, w in enumerate(weights)]
+    serial = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-p[0], p[1]))
+        a, b = parts[0][2], parts[1][2]
+        both = sorted(x + y for x, y in zip(a, reversed(b), strict=True))
+        both = [x - both[0] for x in both]
+        parts = [*parts[2:], (both[-1], serial, both)]
+        serial += 1
+    return parts[0][2] if parts else [0] * shards
+
+
+def test_differencing_equals_a_plain_version():
+    rng = random.Random(4)
+    for shards in (2, 3, 16):
+        weights = [rng.randint(1, 5000) for _ in range(rng.randint(1, 120))]
+        sums = [0] * shards
+        for w, s in zip(weights, sharding.differencing(weights, shards), strict=True):
+            sums[s] += w
+        low = min(sums)
+        assert sorted(x - low for x in sums) == plain_differencing(weights, shards)
+
+
+def test_small_tables_are_differenced_plainly(spark):
+    """All groups weigh much, so that all are items of one differencing."""
+    rng = random.Random(8)
+    texts = ["x" * rng.randint(0, 400) + str(i) for i in range(150)] + ["copy"] * 20 + ["", None, None]
+    rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    groups = Counter()
+    for x in texts:
+        groups[hashlib.md5((x or "").encode()).digest()] += len((x or "").encode()) + 1
+    sums = Counter({s: 0 for s in range(16)})
+    for r in rows:
+        sums[r.shard] += r.size
+    low = min(sums.values())
+    assert sorted(x - low for x in sums.values()) == plain_differencing([groups[k] for k in sorted(groups)], 16)
+
+
+def test_subsets_of_light_groups_are_near_equal(spark):
+    rng = random.Random(5)
+    groups = [(bytes([k // 256, k % 256]), rng.randint(1, 3000)) for k in range(3000)]
+    rows = sharding.subsets(spark.createDataFrame(groups, "_group binary, weight long").repartition(3), 16).collect()
+    weight = dict(groups)
+    sums = Counter()
+    for r in rows:
+        if r["_group"] is not None:
+            sums[r.part, r.subset] += weight[bytes(r["_group"])]
+    assert sums == Counter({(r.part, r.subset): r.weight for r in rows if r["_group"] is None})
+    for part in {p for p, _ in sums}:
+        own = [w for (p, _), w in sums.items() if p == part]
+        assert max(own) - min(own) <= 3000
+
+
 def test_quality_rules_equal_sql(documents, nothing, corpus):
     import duckdb
     import pandas as pd
