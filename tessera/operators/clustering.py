@@ -368,3 +368,12 @@ def fda(df: DataFrame, columns: list[str], cls: str, k: int) -> tuple[np.ndarray
     order = np.argsort(-values.real)[:k]
     v = vectors[:, order].real.T
     return values.real[order], v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]
+
+
+def heat_map(df: DataFrame, order: list[str], columns: list[str], rows: int) -> DataFrame:
+    """row, n and the mean of each column: the table in an order, merged into so many rows."""
+    from .ordered import numbered
+
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    placed = numbered(df, order, "_i").crossJoin(F.broadcast(total)).withColumn("row", F.floor(F.col("_i") * rows / F.col("_n")).cast("int"))
+    return placed.groupBy("row").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .ordered import running
 from ..functions.stats import distribution, domain_contingency, modus, probabilities, unpivot
+from .ordered import running
 
 
 def majority(train: DataFrame, rows: DataFrame, cls: str) -> DataFrame:
@@ -109,3 +109,36 @@ def best_threshold(scored: DataFrame, p: str, y: str) -> DataFrame:
     right = F.col("_un") - F.col("neg") + F.col("_pos") - F.col("_up") + F.col("pos")
     ca = t.select("threshold", (right / (F.col("_pos") + F.col("_neg"))).alias("ca"))
     return ca.groupBy().agg(F.max(F.struct("ca", (-F.col("threshold")).alias("t"))).alias("b")).select((-F.col("b.t")).alias("threshold"), F.col("b.ca").alias("ca"))
+
+
+def interpolated(x: Column, points: list[tuple[float, float]]) -> Column:
+    """A curve through points, straight between them and level beyond."""
+    points = sorted(points)
+    out = F.lit(points[-1][1])
+    for (a, ya), (b, yb) in zip(reversed(points[:-1]), reversed(points[1:]), strict=True):
+        out = F.when(x < b, ya + (x - a) / ((b - a) or 1.0) * (yb - ya)).otherwise(out)
+    return F.when(x.isNotNull(), F.when(x < points[0][0], points[0][1]).otherwise(out))
+
+
+def loess_bayes(train: DataFrame, continuous: list[str], cls: str, points: int = 11, share: float = 0.5) -> dict[str, Column]:
+    """The probability of each class as an expression: shares of classes times, for each continuous column, the ratio of a local regression of the class to its share.
+
+    A curve is fitted at a few points, by aggregates, and interpolated. A missing value says nothing.
+    """
+    from ..functions.comparisons import grid_points, loess
+
+    known = train.where(F.col(cls).isNotNull())
+    n = {r[0]: r[1] for r in known.groupBy(cls).count().collect()}
+    total = sum(n.values())
+    scores = {}
+    for c, w in n.items():
+        score = F.lit(math.log(w / total))
+        y = known.withColumn("_y", (F.col(cls) == c).cast("double"))
+        for x in continuous:
+            curve = [(r.point, max(r.y, 1e-6)) for r in loess(y, x, "_y", grid_points(known, x, points), share).collect()]
+            score = score + F.coalesce(F.ln(interpolated(F.col(x).cast("double"), curve)) - math.log(w / total), F.lit(0.0))
+        scores[c] = score
+    most = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
+    e = {c: F.exp(s - most) for c, s in scores.items()}
+    whole = sum(e.values(), F.lit(0.0))
+    return {c: x / whole for c, x in e.items()}

@@ -53,3 +53,26 @@ def with_replacement(df: DataFrame, n: int, key: list[str], seed: int = 0) -> Da
 
 def shuffle(df: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
     return df.orderBy(order_key(key, seed))
+
+
+def strata(df: DataFrame, cls: str | None, policy: str = "if_possible") -> str | None:
+    """The column that folds and parts are to be stratified by: `not`, `always` (an error where there is no class, or it has missing values), or where it is possible."""
+    if policy == "not":
+        return None
+    fine = cls is not None and cls in df.columns and df.where(F.col(cls).isNull()).isEmpty()
+    if not fine and policy == "always":
+        raise ValueError("stratification needs a class that is known in every row")
+    return cls if fine else None
+
+
+def random_double(key: list[str], seed: int = 0) -> Column:
+    """A number from 0 up to 1, the same for the same key and seed."""
+    return F.pmod(order_key(key, seed), F.lit(1 << 52)) / float(1 << 52)
+
+
+def random_int(key: list[str], n: int, seed: int = 0) -> Column:
+    return F.pmod(order_key(key, seed), F.lit(n)).cast("int")
+
+
+def random_bool(key: list[str], seed: int = 0) -> Column:
+    return random_int(key, 2, seed) == 1

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import domain_contingency
+from .ordered import running
 
 
 def plogp(w: Column, n: Column) -> Column:
@@ -67,7 +68,7 @@ def threshold_scores(df: DataFrame, column: str, cls: str) -> DataFrame:
     totals = counts.groupBy("class").agg(F.sum("w").alias("nc"))
     cuts = counts.select("cut").distinct()
     grid = cuts.join(F.broadcast(totals)).join(counts, ["cut", "class"], "left").fillna(0, ["w"])
-    run = grid.withColumn("left", F.sum("w").over(Window.partitionBy("class").orderBy("cut")))
+    run = running(grid, "cut", {"left": F.col("w")}, ["class"])
     sums = run.groupBy("cut").agg(F.sum("left").alias("l"), F.sum("nc").alias("n"), F.collect_list(F.struct("left", "nc")).alias("c"))
     ent = lambda f, n: F.aggregate(F.transform("c", lambda x: plogp(f(x).cast("double"), n)), F.lit(0.0), lambda a, b: a + b)
     right = F.col("n") - F.col("l")
@@ -104,3 +105,8 @@ def relief(df: DataFrame, columns: list[str], cls: str, key: str, m: int = 50, k
     part = w.select(F.when(F.col("cls") == F.col("c0"), F.lit(-1.0)).otherwise(F.col("p") / (1 - F.col("p0"))).alias("f"), F.posexplode("d").alias("i", "v"))
     names = F.array(*[F.lit(c) for c in columns])
     return part.groupBy("i").agg((F.sum(F.col("f") * F.col("v")) / (m * k)).alias("relieff")).select(F.get(names, "i").alias("variable"), "relieff")
+
+
+def best_on_the_fly(items: DataFrame, score: str, name: str, seed: int = 0) -> DataFrame:
+    """The row of greatest score in one pass; ties by a repeatable draw."""
+    return items.groupBy().agg(F.max_by(F.struct(*items.columns), F.struct(score, F.xxhash64(F.lit(seed), name), name)).alias("b")).where("b IS NOT NULL").select("b.*")

@@ -144,8 +144,8 @@ def _discrete_counts(rows: DataFrame, columns: list[str], cls: str, keep_unknown
     return out
 
 
-def _cuts(rows: DataFrame, columns: list[str], cls: str, classes: list[str], min_rows: float, measure: str) -> dict[int, dict[str, tuple[float, dict[str, float], dict[str, float]]]]:
-    """Of each node and continuous column the best cut, with the class counts on both sides."""
+def _cuts(rows: DataFrame, columns: list[str], cls: str, classes: list[str], min_rows: float, measure: str) -> dict[int, dict[str, tuple[float, float, dict[str, float], dict[str, float]]]]:
+    """Of each node and continuous column the best cut, as the values on both sides, with their class counts."""
     k = range(len(classes))
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")
     long = rows.select("_node", "_w", F.col(cls).alias("c"), pairs).where("x.value IS NOT NULL").select("_node", "_w", "c", "x.variable", "x.value")
@@ -169,11 +169,11 @@ def _cuts(rows: DataFrame, columns: list[str], cls: str, classes: list[str], min
             score = score / (part(nl) + part(nr))
     fit = t.where((nl >= min_rows) & (nr >= min_rows)).withColumn("score", F.round(score, 12))
     best = fit.groupBy("_node", "variable").agg(F.max(F.struct("score", (-F.col("value")).alias("v"), "next", *[f"l{i}" for i in k], *[f"t{i}" for i in k])).alias("b"))
-    out: dict[int, dict[str, tuple[float, dict[str, float], dict[str, float]]]] = {}
+    out: dict[int, dict[str, tuple[float, float, dict[str, float], dict[str, float]]]] = {}
     for r in best.collect():
         low = {c: r.b[f"l{i}"] for i, c in enumerate(classes) if r.b[f"l{i}"] > 1e-9}
         high = {c: r.b[f"t{i}"] - r.b[f"l{i}"] for i, c in enumerate(classes) if r.b[f"t{i}"] - r.b[f"l{i}"] > 1e-9}
-        out.setdefault(r["_node"], {})[r.variable] = ((-r.b.v + r.b.next) / 2, low, high)
+        out.setdefault(r["_node"], {})[r.variable] = (-r.b.v, r.b.next, low, high)
     return out
 
 
@@ -210,7 +210,8 @@ def grow(df: DataFrame, columns: list[str], cls: str, measure: str | Callable =
                     joined = {label: {c: sum(table[x].get(c, 0.0) for x in own) for c in {c for x in own for c in table[x]}} for label, own in group.items()}
                     if all(sum(r.values()) >= min_rows for r in joined.values()):
                         ways.append((round(_score(joined | lost, measure), 12), v, {"branches": joined | lost, "members": None if split == "multiway" else group}))
-            for v, (place, low, high) in cuts.get(i, {}).items():
+            for v, (below, above, low, high) in cuts.get(i, {}).items():
+                place = (below + above) / 2
                 table = {f"<={place:g}": low, f">{place:g}": high}
                 ways.append((round(_score(table, measure), 12), v, {"branches": table, "threshold": place}))
             best = max(ways, key=lambda w: (w[0], w[1]), default=None)

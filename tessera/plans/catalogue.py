@@ -466,7 +466,16 @@ def discretize_interval(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", code.alias("code"), F.get(labels, code).alias("label"))
 
 
-@query()
+def _equal_frequency_sql(n: int) -> str:
+    """The cuts one after the other: each goes to the nearer side of the value that reaches an equal share of the rows left."""
+    steps = "s0 AS (SELECT 0.0::DOUBLE AS done, first AS seen, NULL::DOUBLE AS cut FROM t)"
+    for k in range(1, n):
+        goal = f"(SELECT done + (n - done) / {n - k + 1} AS goal, seen FROM s{k - 1}, t)"
+        steps += f", s{k} AS (SELECT CASE WHEN up THEN cum ELSE pcum END AS done, v AS seen, CASE WHEN up THEN (v + nx) / 2 ELSE (pv + v) / 2 END AS cut FROM (SELECT c.*, nx IS NOT NULL AND cum - goal < goal - pcum AS up FROM c, {goal} g WHERE cum >= goal AND v > g.seen ORDER BY v LIMIT 1))"
+    return f"d AS (SELECT p_size::DOUBLE AS v, count(*)::DOUBLE AS w FROM part GROUP BY 1), c AS (SELECT v, sum(w) OVER (ORDER BY v) AS cum, lead(v) OVER (ORDER BY v) AS nx, lag(v) OVER (ORDER BY v) AS pv, sum(w) OVER (ORDER BY v) - w AS pcum FROM d), t AS (SELECT max(cum) AS n, min(v) AS first FROM c), {steps}"
+
+
+@query(f"WITH {_equal_frequency_sql(4)} SELECT p_partkey, ((p_size > s1.cut)::INTEGER + (p_size > s2.cut)::INTEGER + (p_size > s3.cut)::INTEGER) AS code FROM part, s1, s2, s3")
 def discretize_equal_frequency(spark, d):
     df = table(spark, d, "part")
     return df.select("p_partkey", tr.intervals(F.col("p_size"), tr.equal_frequency_cuts(df, "p_size", 4)).alias("code"))

@@ -13,9 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..lineage import cut
 from ..operators.ordered import numbered, running
 
-#: Distinct values of a column that a fit may gather on the driver.
-MOST_VALUES = 1_000_000
-
 
 def ranges(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
     """min, max, avg, dev of each column, in one aggregate."""
@@ -53,14 +50,6 @@ def interval_labels(cuts: list[float]) -> list[str]:
     return [f"<={cuts[0]:g}", *[f"({a:g}, {b:g}]" for a, b in zip(cuts, cuts[1:], strict=False)], f">{cuts[-1]:g}"]
 
 
-def _values(df: DataFrame, columns: list[str]) -> list:
-    """Counts of the distinct values, in order; refuses more of them than the driver may hold."""
-    counts = df.where(F.col(columns[0]).isNotNull()).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).orderBy(*columns).limit(MOST_VALUES + 1).collect()
-    if len(counts) > MOST_VALUES:
-        raise ValueError(f"{columns[0]} has more than {MOST_VALUES} distinct values: round it first")
-    return counts
-
-
 def equal_frequency_cuts(df: DataFrame, column: str, n: int) -> list[float]:
     """Cuts halfway between distinct values, so that bins hold about the same number of rows.
 
@@ -95,37 +84,39 @@ def _entropy(counts) -> float:
 
 
 def entropy_cuts(df: DataFrame, column: str, cls: str, force: bool = False) -> list[float]:
-    """Cuts by recursive entropy minimisation with the MDL stop (Fayyad and Irani, 1993)."""
-    rows = _values(df.where(F.col(cls).isNotNull()), [column, cls])
-    classes = sorted({r[1] for r in rows})
-    at = {c: i for i, c in enumerate(classes)}
-    points: list[tuple[float, list[int]]] = []
-    for value, c, n in rows:
-        if not points or points[-1][0] != value:
-            points.append((float(value), [0] * len(classes)))
-        points[-1][1][at[c]] += n
+    """Cuts by recursive entropy minimisation with the MDL stop (Fayyad and Irani, 1993).
+
+    All intervals of a level are cut by one aggregate: running class counts inside
+    the cluster give the best cut of each, and only the class counts on its two sides
+    come to the driver, which applies the stop.
+    """
+    from ..operators.trees import _cuts
+
+    x = F.col(column)
+    known = df.where(x.isNotNull() & F.col(cls).isNotNull()).select(x.cast("double").alias(column), F.col(cls).cast("string").alias(cls))
+    classes = sorted(r[0] for r in known.select(cls).distinct().collect())
     cuts: list[float] = []
-    todo = [(0, len(points), force)]
-    while todo:
-        a, b, forced = todo.pop()
-        total = [sum(p[1][k] for p in points[a:b]) for k in range(len(classes))]
-        n, left, best = sum(total), [0] * len(classes), None
-        for i in range(a, b - 1):
-            left = [x + y for x, y in zip(left, points[i][1], strict=True)]
-            right = [x - y for x, y in zip(total, left, strict=True)]
-            e = (sum(left) * _entropy(left) + sum(right) * _entropy(right)) / n
-            if best is None or e < best[0] - 1e-12:
-                best = e, i, left, right
-        if best is None:
-            continue
-        e, i, left, right = best
-        h, k = _entropy(total), sum(c > 0 for c in total)
-        k1, k2 = sum(c > 0 for c in left), sum(c > 0 for c in right)
-        gain = h - e
-        delta = math.log2(3**k - 2) - (k * h - k1 * _entropy(left) - k2 * _entropy(right))
-        if (n > 1 and gain > math.log2(n - 1) / n + delta / n) or (forced and gain > 0):
-            cuts.append(points[i][0])
-            todo += [(a, i + 1, False), (i + 1, b, False)]
+    open_: list[tuple[float, float]] = [(-math.inf, math.inf)]
+    first = force
+    while open_:
+        node = F.lit(None).cast("int")
+        for i, (low, high) in enumerate(open_):
+            node = F.when((x > low) & (x <= high), F.lit(i)).otherwise(node)
+        found = _cuts(known.select("*", node.alias("_node"), F.lit(1.0).alias("_w")).where("_node IS NOT NULL"), [column], cls, classes, 1, "gain")
+        new = []
+        for i, (low, high) in enumerate(open_):
+            if i not in found:
+                continue
+            at, _, left, right = found[i][column]
+            total = {c: left.get(c, 0.0) + right.get(c, 0.0) for c in {*left, *right}}
+            n, h = sum(total.values()), _entropy(total.values())
+            h1, h2 = _entropy(left.values()), _entropy(right.values())
+            gain = h - (sum(left.values()) * h1 + sum(right.values()) * h2) / n
+            delta = math.log2(3 ** len(total) - 2) - (len(total) * h - len(left) * h1 - len(right) * h2)
+            if (n > 1 and gain > math.log2(n - 1) / n + delta / n) or (first and gain > 0):
+                cuts.append(at)
+                new += [(low, at), (at, high)]
+        open_, first = new, False
     return sorted(cuts)
 
 

@@ -404,3 +404,63 @@ def test_intervals_keep_their_metadata(spark):
     df = with_roles(spark.createDataFrame([(1.0, "a"), (2.0, None)], "x double, s string"), [Variable("x"), Variable("s", DISCRETE, values=("a",))])
     out = pre.chain([pre.imputed("average")])(df)(df)
     assert [v.kind for v in domain(out)] == [CONTINUOUS, DISCRETE] and tr.interval_labels([]) == [""]
+
+
+def test_entropy_cuts_equal_a_plain_recursion(spark):
+    rng = random.Random(7)
+    for values in ([(rng.randint(0, 40), rng.choice("abc")) for _ in range(200)], [(x, "a" if x < 10 or 20 <= x < 30 else "b") for x in range(60)] * 2, [(1, "a")] * 5):
+
+        def h(part):
+            return -sum(p * math.log2(p) for c in "abc" if (p := sum(k == c for _, k in part) / len(part)))
+
+        def cut(part):
+            best = None
+            for at in sorted({x for x, _ in part})[:-1]:
+                low, high = [v for v in part if v[0] <= at], [v for v in part if v[0] > at]
+                e = (len(low) * h(low) + len(high) * h(high)) / len(part)
+                if best is None or e < best[0] - 1e-12:
+                    best = e, at, low, high
+            if best is None:
+                return []
+            e, at, low, high = best
+            k, k1, k2 = (len({c for _, c in p}) for p in (part, low, high))
+            need = (math.log2(len(part) - 1) + math.log2(3**k - 2) - (k * h(part) - k1 * h(low) - k2 * h(high))) / len(part)
+            return cut(low) + [at] + cut(high) if h(part) - e > need else []
+
+        df = spark.createDataFrame(values, "x int, y string")
+        assert tr.entropy_cuts(df, "x", "y") == cut(values)
+
+
+def test_graphs_and_heat_maps(spark):
+    from tessera.operators import graphs, learners, sampling, scoring
+
+    rng = random.Random(3)
+    edges = [(i, j, rng.randint(1, 9)) for i in range(9) for j in range(i) if rng.random() < 0.6]
+    df = spark.createDataFrame(edges, "a long, b long, d long")
+    for q in (2, 3, 8):
+        far = {(x, y): min([d for a, b, d in edges if {a, b} == {x, y}], default=99) for x in range(9) for y in range(9) if x != y}
+        best = dict(far)
+        for _ in range(q - 1):
+            best = {(x, y): min([best[x, y], *(max(best[x, m], far[m, y]) for m in range(9) if m not in (x, y))]) for x, y in best}
+        assert {(r.a, r.b) for r in graphs.pathfinder(df, q).collect()} == {(a, b) for a, b, d in edges if d <= best[a, b]}
+    vertices = spark.range(9).withColumnRenamed("id", "vertex")
+    ring = graphs.circular(vertices).collect()
+    assert all(abs(r.x**2 + r.y**2 - 1) < 1e-9 for r in ring)
+    assert graphs.force_directed(vertices, df).count() == 9 and graphs.in_rectangle(graphs.spread_out(vertices), 0, 0, 1, 1).count() == 9
+    groups = vertices.withColumn("grp", F.col("vertex") % 3)
+    assert graphs.grouped(df.select("a", "b"), [groups])[0].count() == 3
+    assert graphs.expanded(df, groups, 0).where("a % 3 <> 0 OR b % 3 <> 0").isEmpty()
+    assert graphs.with_items(vertices, spark.createDataFrame([(0, "x")], "k long, t string"), "k").where("t = 'x'").count() == 1
+    heat = clustering.heat_map(spark.range(100).withColumn("x", F.col("id") * 1.0), ["id"], ["x"], 4).orderBy("row").collect()
+    assert [(r.n, r.x) for r in heat] == [(25, 12.0), (25, 37.0), (25, 62.0), (25, 87.0)]
+    assert scoring.best_on_the_fly(spark.createDataFrame([("a", 1.0), ("b", 3.0)], "n string, s double"), "s", "n").first().n == "b"
+    some = spark.createDataFrame([(i, "ab"[i % 2] if i else None) for i in range(9)], "i long, c string")
+    assert sampling.strata(some, "c") is None and sampling.strata(some.where("i > 0"), "c") == "c" and sampling.strata(some, "c", "not") is None
+    with pytest.raises(ValueError, match="known in every row"):
+        sampling.strata(some, "c", "always")
+    r = spark.range(2000).select(sampling.random_double(["id"]).alias("d"), sampling.random_int(["id"], 3).alias("n"), sampling.random_bool(["id"], 1).alias("b")).agg(F.avg("d").alias("d"), F.max("n").alias("n"), F.avg(F.col("b").cast("int")).alias("b")).first()
+    assert abs(r.d - 0.5) < 0.03 and r.n == 2 and abs(r.b - 0.5) < 0.05
+    train = spark.createDataFrame([(x / 10, "hi" if x > 50 else "lo") for x in range(101)], "x double, y string")
+    p = learners.loess_bayes(train, ["x"], "y")
+    out = train.select("y", p["hi"].alias("p")).collect()
+    assert sum((r.p > 0.5) == (r.y == "hi") for r in out) > 95
