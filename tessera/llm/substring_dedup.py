@@ -10,9 +10,13 @@ windows are sorted by a hash, and equal hashes are confirmed word for word.
 What comes back for a super-k-mer is a bit for each of its windows.
 
 Super-k-mers of one chunk for one bucket are packed and compressed into a single
-row, and equal strings of a chunk travel once with a list of their places, so
-that a passage in a third of all texts adds places, not copies. A bucket is one
-of several that a task handles one by one.
+row. Strings that occur again in their chunk are known to be repeated: their places
+are marked at once, and one copy travels without a place, counting as two; so a
+passage in a third of all texts sends neither its copies nor its places. Grams that
+a bounded sample shows in many texts come last in the order of minimisers, so that
+windows which only touch a common passage go by another gram, to buckets of their
+own; the order changes the work, never the result. A bucket is one of several that
+a task handles one by one; their number follows the bytes of all texts.
 
 A null or empty text has no words and nothing removed. A text shorter than a
 window keeps all words. A row that is repeated counts as another place, so its
@@ -33,8 +37,13 @@ from ._text import Words, batches, gather, mix, release, span_hashes, text_chunk
 
 WIDTH = 35
 SEED = 3
-#: Buckets for each shuffle partition.
+#: Buckets for each shuffle partition at least, and bytes of packed words in a bucket, about.
 BUCKETS = 8
+BUCKET_BYTES = 16 << 20
+#: Texts of the sample for common grams; a gram is common from one text in so many; grams of the table at most.
+SAMPLE_DOCS = 4_000
+COMMON = 200
+MOST_COMMON = 1 << 16
 CODEC = pa.Codec("zstd", compression_level=6)
 _Q = 0xD6E8FEB86659FD93
 
@@ -62,12 +71,32 @@ def least(values: np.ndarray, span: int) -> np.ndarray:
     return join(at[: len(at) - (span - have)], at[span - have :]) if have < span else at
 
 
-def super_kmers(words: Words, width: int, seed: int) -> tuple[np.ndarray, ...]:
+class Common:
+    """Hashes of common grams, behind a bit map that most grams don't pass."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.map = np.zeros(1 << 20, bool)
+        self.map[(hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def last(self, hashes: np.ndarray) -> np.ndarray:
+        """The hashes with common ones above all others."""
+        out = hashes >> np.uint64(1)
+        near = np.flatnonzero(self.map[(hashes >> np.uint64(44)).astype(np.int64)])
+        if len(near):
+            at = np.minimum(np.searchsorted(self.hashes, hashes[near]), len(self.hashes) - 1)
+            out[near[self.hashes[at] == hashes[near]]] |= np.uint64(1 << 63)
+        return out
+
+
+def super_kmers(words: Words, width: int, seed: int, common: Common | None = None) -> tuple[np.ndarray, ...]:
     """Of each super-k-mer: text, first word, number of windows, hash of the minimiser."""
     none = np.zeros(0, np.int64)
     if len(words.start) < width:
         return none, none, none, none.astype(np.uint64)
     hashes = grams(words.hashes(), seed)
+    if common is not None:
+        hashes = common.last(hashes)
     at = least(hashes, width - seed + 1)
     text = np.repeat(np.arange(len(words.count)), words.count)
     valid = text[: len(at)] == text[width - 1 :]
@@ -83,7 +112,7 @@ def super_kmers(words: Words, width: int, seed: int) -> tuple[np.ndarray, ...]:
 
 
 def _packed(ids, keys, words: Words, found, width: int, buckets: int):
-    """A row for each bucket of a chunk: its strings, and the places of each."""
+    """A row for each bucket of a chunk: its strings, and the places of those that occur once; and (bucket -1) marks of the others' places."""
     text, begin, count, minimiser = found
     size = words.end[begin + count + width - 2] - words.start[begin]
     whole = span_hashes(words.buf, words.start[begin], words.start[begin] + size)
@@ -101,15 +130,42 @@ def _packed(ids, keys, words: Words, found, width: int, buckets: int):
             new[i] = True
     head = np.flatnonzero(new)
     copies = np.diff(np.append(head, len(new)))
-    edge = np.flatnonzero(np.append(True, bucket[head][1:] != bucket[head][:-1]))
     rel = begin - words.first[text]
+    again = np.repeat(copies, copies) > 1
+    if again.any():
+        mask = (np.uint64(1) << count[again].astype(np.uint64)) - np.uint64(1)
+        yield -1, *_marks(ids[text[again]], keys[text[again]], rel[again], mask)
+    edge = np.flatnonzero(np.append(True, bucket[head][1:] != bucket[head][:-1]))
     for a, b in zip(edge.tolist(), np.append(edge[1:], len(head)).tolist(), strict=True):
         h = head[a:b]
-        lo, hi = h[0], (head[b] if b < len(head) else len(new))
+        times = np.minimum(copies[a:b], 2)
+        one = h[times == 1]
         strings = gather(words.buf, start[h], size[h] + 1)
-        block = [count[h].astype("<i4"), (size[h] + 1).astype("<i4"), copies[a:b].astype("<i4"), ids[text[lo:hi]].astype("<i8"), keys[text[lo:hi]].astype("<i8"), rel[lo:hi].astype("<i4")]
-        raw = np.array([len(h), hi - lo, len(strings)], "<i8").tobytes() + b"".join(x.tobytes() for x in block) + strings.tobytes()
-        yield int(bucket[lo]), len(raw), CODEC.compress(raw, asbytes=True)
+        block = [count[h].astype("<i4"), (size[h] + 1).astype("<i4"), times.astype("<i4"), ids[text[one]].astype("<i8"), keys[text[one]].astype("<i8"), rel[one].astype("<i4")]
+        raw = np.array([len(h), len(one), len(strings)], "<i8").tobytes() + b"".join(x.tobytes() for x in block) + strings.tobytes()
+        yield int(bucket[h[0]]), len(raw), CODEC.compress(raw, asbytes=True)
+
+
+def _marks(ids, keys, rel, mask) -> tuple[int, bytes]:
+    """Packed marks; those of equal rows once."""
+    ids, keys, rel, mask = _distinct(ids, keys, rel, mask)
+    raw = b"".join(x.astype(t).tobytes() for x, t in ((ids, "<i8"), (keys, "<i8"), (rel, "<i4"), (mask, "<u8")))
+    return len(raw), CODEC.compress(raw, asbytes=True)
+
+
+def _distinct(ids, keys, rel, mask):
+    """Marks without repeats: equal rows have equal marks."""
+    order = np.lexsort((mask, rel, keys, ids))
+    ids, keys, rel, mask = ids[order], keys[order], rel[order], mask[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (rel[1:] != rel[:-1]) | (mask[1:] != mask[:-1])
+    return ids[new], keys[new], rel[new], mask[new]
+
+
+def _unmarked(size: int, blob: bytes):
+    raw = pa.decompress(blob, size, "zstd", asbytes=True)
+    n = size // 28
+    return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<i4", n, 16 * n), np.frombuffer(raw, "<u8", n, 20 * n)
 
 
 def _unpacked(blobs: list[tuple[int, bytes]]):
@@ -126,7 +182,7 @@ def _unpacked(blobs: list[tuple[int, bytes]]):
 
 
 def _repeated(count, copies, words: Words, width: int) -> np.ndarray:
-    """For each string a bit mask of its repeated windows."""
+    """For each string, which stands for so many copies, a bit mask of its repeated windows."""
     total = int(count.sum())
     before = np.cumsum(count) - count
     string = np.repeat(np.arange(len(count)), count)
@@ -153,23 +209,55 @@ def _repeated(count, copies, words: Words, width: int) -> np.ndarray:
     return np.add.reduceat(np.where(again, bit, np.uint64(0)), before) if len(before) else np.zeros(0, np.uint64)
 
 
+def common_grams(documents: DataFrame, seed: int, total: int) -> Common | None:
+    """The grams that many texts of a sample have; None where there are none."""
+    share = min(1.0, SAMPLE_DOCS / max(total, 1))
+
+    def count(it):
+        for batch in it:
+            for _, _, items in text_chunks(batch.column(0)):
+                words = Words(items)
+                if len(words.start) < seed:
+                    continue
+                h = grams(words.hashes(), seed)
+                own = np.repeat(np.arange(len(items)), words.count)
+                inside = own[: len(h)] == own[seed - 1 :]
+                # once a text
+                pairs = np.unique(np.stack([own[: len(h)][inside].astype(np.uint64), h[inside]]), axis=1)[1]
+                hashes, n = np.unique(pairs, return_counts=True)
+                yield pa.record_batch({"h": pa.array(hashes[n > 1].view(np.int64)), "n": pa.array(n[n > 1])})
+        release()
+
+    texts_ = documents.select("text")
+    found = (texts_.sample(share, 23) if share < 1 else texts_).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = found.where(F.col("n") >= max(2, share * total / COMMON)).orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas()
+    return Common(top["h"].to_numpy(np.int64).view(np.uint64)) if len(top) else None
+
+
 def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """doc_id, key, first, mask: bit i says that the window from word first + i is repeated.
 
     `key` is a 64-bit hash of the text. Super-k-mers without a repeated window give
     no row, and rows equal in doc_id and text give one row together.
     """
-    n = partitions(documents.sparkSession)
-    buckets = BUCKETS * n
+    spark = documents.sparkSession
+    n = partitions(spark)
+    # a super-k-mer holds about three times the words that it is for
+    all_ = documents.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    buckets = n * max(BUCKETS, -(-3 * all_.bytes // (n * BUCKET_BYTES)))
+    common = spark.sparkContext.broadcast(common_grams(documents, seed, all_.rows))
 
     def spread(it):
-        schema = pa.schema([("bucket", pa.int32()), ("size", pa.int64()), ("blob", pa.binary())])
+        schema = pa.schema([("bucket", pa.int64()), ("size", pa.int64()), ("blob", pa.binary())])
+        lot = 0
         for batch in it:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, items in text_chunks(batch.column(2)):
                 words = Words(items)
-                rows = list(_packed(ids[a:b], keys[a:b], words, super_kmers(words, width, seed), width, buckets))
+                lot += 1
+                # marks are dealt over all tasks
+                rows = [(k if k >= 0 else buckets + (lot * 7919 + int(keys[a])) % n, s, x) for k, s, x in _packed(ids[a:b], keys[a:b], words, super_kmers(words, width, seed, common.value), width, buckets)]
                 for k in range(0, len(rows), 256):
                     part = list(zip(*rows[k : k + 256], strict=True))
                     yield batches(schema, bucket=part[0], size=part[1], blob=part[2])
@@ -177,23 +265,18 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED)
 
     def count(it):
         schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("mask", pa.int64())])
+        out = lambda ids, keys, rel, mask: batches(schema, doc_id=ids, key=keys, first=rel, mask=mask.astype(np.int64))
 
         def one(blobs):
-            count, size, copies, ids, keys, rel, raw = _unpacked(blobs)
+            count, size, times, ids, keys, rel, raw = _unpacked(blobs)
             words = Words([])
             words.buf = raw
             words.end = np.flatnonzero(raw == 32)
             words.start = np.append(0, words.end[:-1] + 1)
             words.first = np.append(0, np.searchsorted(words.end, np.cumsum(size), "left"))
-            mask = np.repeat(_repeated(count, copies, words, width), copies)
+            mask = _repeated(count, times, words, width)[times == 1]
             keep = mask != 0
-            ids, keys, rel, mask = ids[keep], keys[keep], rel[keep], mask[keep]
-            # equal rows have equal strings, which all meet here: one mark will do for them
-            order = np.lexsort((mask, rel, keys, ids))
-            ids, keys, rel, mask = ids[order], keys[order], rel[order], mask[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (rel[1:] != rel[:-1]) | (mask[1:] != mask[:-1])
-            return batches(schema, doc_id=ids[new], key=keys[new], first=rel[new], mask=mask[new].astype(np.int64))
+            return out(*_distinct(ids[keep], keys[keep], rel[keep], mask[keep]))
 
         now, held = None, []
         for batch in it:
@@ -206,14 +289,21 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, seed: int = SEED)
                     yield one(held)
                     held = []
                 now = buckets_[a]
-                held += zip(sizes[a:b].tolist(), batch.column(2).slice(a, b - a).to_pylist(), strict=True)
+                blobs = zip(sizes[a:b].tolist(), batch.column(2).slice(a, b - a).to_pylist(), strict=True)
+                if now >= buckets:
+                    for size, blob in blobs:
+                        yield out(*_unmarked(size, blob))
+                else:
+                    held += blobs
         if held:
             yield one(held)
         release()
 
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
-    packed = keyed.mapInArrow(spread, "bucket int, size long, blob binary")
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "doc_id long, key long, first int, mask long")
+    packed = keyed.mapInArrow(spread, "bucket long, size long, blob binary")
+    marks = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "doc_id long, key long, first int, mask long")
+    # copies in several chunks have marked one place more than once
+    return marks.groupBy("doc_id", "key", "first").agg(F.bit_or("mask").alias("mask"))
 
 
 def row_key():

@@ -85,6 +85,33 @@ def test_equal_rows_send_their_marks_once(spark):
     assert sum(bin(r.mask % (1 << 64)).count("1") for r in marks) == 200 - 34
 
 
+def test_a_passage_in_all_texts(spark):
+    """Its grams come last in the order, its copies are marked where they are; results are those of the plain rule."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage = " ".join(word() for _ in range(50))
+    rows = [(i, f"{' '.join(word() for _ in range(rng.randint(0, 60)))} {passage} {' '.join(word() for _ in range(rng.randint(0, 60)))}", None, None) for i in range(120)]
+    rows += [(i, " ".join(word() for _ in range(90)), None, None) for i in range(120, 180)] + [(7, rows[7][1], None, None)] * 3
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    assert len(substring_dedup.common_grams(df, 3, df.count()).hashes) >= 48
+    got = substring_dedup.remove_repeats(df).collect()
+    expected = Counter((i, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()) for i, w, kept in dedup(rows, 35))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == expected
+
+
+def test_many_equal_rows_take_little_more_time(spark):
+    import time
+
+    text = " ".join(f"w{k}" for k in range(400))
+    took = []
+    for n in (200, 200, 1600):
+        df = spark.createDataFrame([(1, text)] * n, "doc_id long, text string").repartition(4)
+        start = time.monotonic()
+        assert {r.n_removed for r in substring_dedup.remove_repeats(df).collect()} == {400}
+        took.append(time.monotonic() - start)
+    assert took[2] < 3 * took[1] + 2
+
+
 def test_equal_window_hashes_are_told_apart_by_words(monkeypatch, corpus):
     """With a hash that says nothing, words alone decide."""
     from tessera.llm._text import Words
