@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import comparisons, stats
 from ..operators import distances, evaluation, extension, filters as fl, interactions, relational as rel, rules, sampling, tables, trees
-from ..schema import ATTRIBUTE, CLASS, CONTINUOUS, DISCRETE, META, Variable, with_roles
+from ..schema import ATTRIBUTE, CLASS, CONTINUOUS, DISCRETE, META, STRING, Variable, with_roles
+from ..sources import readers, writers
 from . import preprocess as pre
 from .catalogue import _COUNTS, _ITEMS, _LONG, _PF, _RULE_COLS, HOLED, _is_f, _orders_with_year, _scored, holed, query, rounded, table
 
@@ -294,6 +295,106 @@ def cluster_centre(spark, d):
     return rounded(centre(table(spark, d, "customer"), ["c_acctbal"], ["c_mktsegment"], ["c_nationkey"]), 4)
 
 
+# --- files: written into the shared folder and read again ---------------------------------------------------------
+
+
+def _folder(spark, ending: str) -> str:
+    import uuid
+
+    from ..lineage import checkpoint_dir
+
+    return f"{checkpoint_dir(spark)}/io-{uuid.uuid4().hex}{ending}"
+
+
+def _priced(spark, d):
+    o = holed(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "qty", "flag", F.concat_ws(", ", "l_returnflag", "l_linestatus").alias("both"))
+    keys = [Variable(c, CONTINUOUS, META) for c in ("l_orderkey", "l_linenumber", "l_partkey")]
+    return with_roles(o, [*keys, Variable("qty"), Variable("flag", DISCRETE, CLASS, ("A", "N", "R")), Variable("both", STRING, META)])
+
+
+_PRICED = f"SELECT l_orderkey::DOUBLE AS l_orderkey, l_linenumber::DOUBLE AS l_linenumber, l_partkey::DOUBLE AS l_partkey, qty, flag, l_returnflag || ', ' || l_linestatus AS both FROM {HOLED}"
+
+
+@query(_PRICED)
+def io_tab(spark, d):
+    path = _folder(spark, ".tab")
+    writers.write(_priced(spark, d), path)
+    return readers.read(spark, path)
+
+
+@query(_PRICED)
+def io_csv(spark, d):
+    path = _folder(spark, ".csv")
+    writers.write(_priced(spark, d), path)
+    return readers.read(spark, path)
+
+
+@query(_PRICED)
+def io_txt(spark, d):
+    path = _folder(spark, ".txt")
+    writers.write(_priced(spark, d), path)
+    return readers.read(spark, path)
+
+
+@query(_PRICED.replace("::DOUBLE", ""))
+def io_kept(spark, d):
+    path = _folder(spark, "")
+    writers.keep(_priced(spark, d), path)
+    return readers.restored(spark, path)
+
+
+@query(f"SELECT qty, flag FROM {HOLED}")
+def io_arff(spark, d):
+    path = _folder(spark, ".arff")
+    writers.write(with_roles(_priced(spark, d), [Variable("qty"), Variable("flag", DISCRETE, CLASS, ("A", "N", "R"))]), path)
+    return readers.read(spark, path)
+
+
+@query("SELECT o_orderkey::DOUBLE AS label, k::INTEGER AS k, v FROM (SELECT o_orderkey, unnest([1, 2]) AS k, unnest([o_totalprice, (o_orderkey % 3)::DOUBLE]) AS v FROM orders) WHERE v <> 0")
+def io_libsvm(spark, d):
+    path = _folder(spark, ".svm")
+    o = table(spark, d, "orders").withColumn("third", F.col("o_orderkey") % 3)
+    writers.write_libsvm(o, path, "o_orderkey", ["o_totalprice", "third"])
+    return readers.read(spark, path).select("label", F.explode("features").alias("k", "v"))
+
+
+@query("SELECT item, w, count(*) AS n FROM (SELECT unnest([o_orderstatus, o_orderpriority]) AS item, unnest([1.0, 2.5])::DOUBLE AS w FROM orders) GROUP BY 1, 2")
+def io_basket(spark, d):
+    path = _folder(spark, ".basket")
+    o = table(spark, d, "orders").select(F.create_map(F.col("o_orderstatus"), F.lit(1.0), F.col("o_orderpriority"), F.lit(2.5)).alias("items"))
+    writers.write_basket(o, path)
+    return readers.read(spark, path).select(F.explode("items").alias("item", "w")).groupBy("item", "w").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey::BIGINT AS a, (100 + n_regionkey)::BIGINT AS b, 1.0::DOUBLE AS w, false AS directed FROM nation")
+def io_pajek(spark, d):
+    path = _folder(spark, ".net")
+    n = table(spark, d, "nation")
+    vertices = n.select(F.col("n_nationkey").alias("vertex"), F.col("n_name").alias("label")).union(n.select(F.col("n_regionkey") + 100, F.lit("region")).distinct())
+    writers.write_pajek(vertices, n.select(F.col("n_nationkey").alias("a"), (F.col("n_regionkey") + 100).alias("b")), path)
+    return readers.read_pajek(spark, path)[1]
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2")
+def io_sql(spark, d):
+    table(spark, d, "orders").createOrReplaceTempView("tessera_orders")
+    return readers.read_sql(spark, "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS DOUBLE) AS n FROM tessera_orders GROUP BY 1, 2", discrete=["o_orderstatus"], cls="o_orderpriority")
+
+
+@query("SELECT p_size::DOUBLE AS size, p_retailprice AS price, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS class, count(*) AS n FROM part GROUP BY 1, 2, 3")
+def io_numpy(spark, d):
+    p = table(spark, d, "part").select(F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), F.when(F.col("p_size") > 25, "big").otherwise("small").alias("class"))
+    v = [Variable("size"), Variable("price"), Variable("class", DISCRETE, CLASS, ("big", "small"))]
+    (x,) = tables.to_numpy(with_roles(p, v), "ac")
+    return tables.from_numpy(spark, x, v).groupBy("size", "price", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s_nationkey::DOUBLE AS nation, s_name AS name FROM supplier")
+def io_rows(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"))
+    return tables.from_rows(spark, tables.native(s), [Variable("nation"), Variable("name", STRING, META)])
+
+
 # --- preprocessors ---------------------------------------------------------------------------------------------------
 
 

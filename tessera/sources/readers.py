@@ -226,7 +226,7 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     declared = [r[0].strip() for r in lines.where(F.lower(F.trim("value")).startswith("@attribute")).limit(100_000).collect()]
     variables = []
-    for d in declared:
+    for d in dict.fromkeys(declared):  # every part of a table has them
         m = re.fullmatch(r"@attribute\s+('[^']*'|\"[^\"]*\"|\S+)\s+(.*)", d, re.IGNORECASE)
         name, kind = m[1].strip("'\""), m[2].strip()
         if kind.startswith("{"):

@@ -1,4 +1,4 @@
-"""Writers of annotated text formats; one part file a partition unless a single one is asked for."""
+"""Writers of annotated text formats: one file a partition, each with the header lines, which the readers drop from every file."""
 
 from __future__ import annotations
 
@@ -37,15 +37,27 @@ def basket_text(items: Column) -> Column:
     return F.array_join(F.transform(F.map_entries(items), lambda e: F.when(e["value"] == 1.0, e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ", ")
 
 
-def _cells(df: DataFrame, sep: str) -> DataFrame:
-    cols = [F.coalesce(basket_text(F.col(v.name)) if v.kind == BASKET else F.col(f"`{v.name}`").cast("string"), F.lit("?")) for v in domain(df)]
-    return df.select(F.concat_ws(sep, *cols).alias("value"))
+def _quoted(c: Column, sep: str) -> Column:
+    """A cell in quotes where it holds the separator or a quote; a backslash keeps a quote."""
+    safe = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.when(F.contains(c, F.lit(sep)) | F.contains(c, F.lit('"')), safe).otherwise(c)
+
+
+def _cells(df: DataFrame, sep: str, quote: bool = False) -> DataFrame:
+    cols = [basket_text(F.col(v.name)) if v.kind == BASKET else F.col(f"`{v.name}`").cast("string") for v in domain(df)]
+    return df.select(F.concat_ws(sep, *[F.coalesce(_quoted(c, sep) if quote else c, F.lit("?")) for c in cols]).alias("value"))
 
 
 def _with_header(df: DataFrame, lines: list[str], path: str) -> None:
-    """A single file: the header rows, then the others, in one task (a format for tables that one reader takes whole)."""
-    top = df.sparkSession.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
-    top.union(df).coalesce(1).write.mode("overwrite").option("compression", "none").text(path)
+    """Every part begins with the header lines."""
+    import pyarrow as pa
+
+    def headed(it):
+        yield pa.record_batch({"value": pa.array(lines, pa.string())})
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+    df.mapInArrow(headed, "value string").write.mode("overwrite").option("compression", "none").text(path)
 
 
 def write_tab(df: DataFrame, path: str) -> None:
@@ -53,7 +65,8 @@ def write_tab(df: DataFrame, path: str) -> None:
 
 
 def write_prefixed(df: DataFrame, path: str, sep: str = "\t") -> None:
-    _with_header(_cells(df, sep), [prefixed_header(domain(df), sep)], path)
+    names = [f'"{n}"' if sep in n else n for n in prefixed_header(domain(df), "\0").split("\0")]
+    _with_header(_cells(df, sep, True), [sep.join(names)], path)
 
 
 def write_basket(df: DataFrame, path: str, items: str = "items") -> None:
