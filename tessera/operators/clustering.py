@@ -377,3 +377,45 @@ def heat_map(df: DataFrame, order: list[str], columns: list[str], rows: int) ->
     total = df.agg(F.count(F.lit(1)).alias("_n"))
     placed = numbered(df, order, "_i").crossJoin(F.broadcast(total)).withColumn("row", F.floor(F.col("_i") * rows / F.col("_n")).cast("int"))
     return placed.groupBy("row").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
+
+
+def column_clusters(df: DataFrame, columns: list[str], k: int, linkage: str = "average", how: str = "pearson") -> DataFrame:
+    """item, cluster of columns by (1 - r) / 2."""
+    from .interactions import column_distances
+
+    items, d = dense(column_distances(df, columns, how))
+    clusters = cut_tree(hierarchy(np.maximum(d, 0), linkage), len(items), k)
+    return df.sparkSession.createDataFrame(list(zip(items, clusters, strict=True)), "item string, cluster int")
+
+
+def k_means_start(df: DataFrame, columns: list[str], k: int, how: str = "random", seed: int = 0, sample: int = 2_000) -> list[list[float]]:
+    """Centres to start from, from a bounded sample: random rows, rows far from each other (diversity), or the means of a hierarchy's clusters."""
+    from .sampling import order_key
+
+    rows = df.dropna(subset=columns).orderBy(order_key(columns, seed), *columns).limit(sample).select(*columns).collect()
+    x = np.array([[float(v) for v in r] for r in rows]).reshape(len(rows), len(columns))
+    if how == "random" or len(x) <= k:
+        return x[:k].tolist()
+    if how == "diversity":
+        chosen = [0]
+        while len(chosen) < k:
+            chosen.append(int(np.sqrt(((x[:, None] - x[chosen][None]) ** 2).sum(-1)).min(1).argmax()))
+        return x[chosen].tolist()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    own = np.array(cut_tree(hierarchy(d, "ward"), len(x), k))
+    return [x[own == c].mean(0).tolist() for c in range(k)]
+
+
+def k_means(df: DataFrame, columns: list[str], centres: list[list[float]], rounds: int = 100) -> tuple[list[list[float]], Column]:
+    """Lloyd's rounds from given centres, each one aggregate; centres, and the cluster of a row as an expression. A cluster without rows stays where it is."""
+    known = df.dropna(subset=columns)
+    for _ in range(rounds):
+        r = known.groupBy(winner(columns, np.array(centres)).alias("u")).agg(*[F.avg(c) for c in columns]).collect()
+        new = [list(c) for c in centres]
+        for x in r:
+            new[x.u] = [float(v) for v in x[1:]]
+        moved = max(abs(a - b) for p, q in zip(new, centres, strict=True) for a, b in zip(p, q, strict=True))
+        centres = new
+        if moved < 1e-9:
+            break
+    return centres, winner(columns, np.array(centres))

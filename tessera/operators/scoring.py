@@ -110,3 +110,20 @@ def relief(df: DataFrame, columns: list[str], cls: str, key: str, m: int = 50, k
 def best_on_the_fly(items: DataFrame, score: str, name: str, seed: int = 0) -> DataFrame:
     """The row of greatest score in one pass; ties by a repeatable draw."""
     return items.groupBy().agg(F.max_by(F.struct(*items.columns), F.struct(score, F.xxhash64(F.lit(seed), name), name)).alias("b")).where("b IS NOT NULL").select("b.*")
+
+
+def best_binarization(df: DataFrame, column: str, cls: str, measure: str = "gain") -> tuple[float, list[str], list[str]]:
+    """The best way of parting a column's values in two: score and both sides, from its table of counts."""
+    from .trees import _groupings, _score
+
+    counts: dict[str, dict[str, float]] = {}
+    for r in domain_contingency(df, [column], cls).collect():
+        counts.setdefault(r["value"], {})[r["class"]] = r["w"]
+    best: tuple[float, list[str], list[str]] = (0.0, sorted(counts), [])
+    for group in _groupings(sorted(counts), "binary") if len(counts) > 1 else ():
+        table = {k: {c: sum(counts[v].get(c, 0.0) for v in own) for c in {c for v in own for c in counts[v]}} for k, own in group.items()}
+        score = _score(table, measure)
+        if score > best[0] + 1e-12:
+            left, right = group.values()
+            best = score, sorted(left), sorted(right)
+    return best

@@ -251,3 +251,9 @@ def dataflow(sources: dict[str, DataFrame], nodes: list[tuple[str, list[str], Ca
             done[name] = f(*[done[i] for i in inputs])
         left = [n for n in left if n not in ready]
     return done
+
+
+def row_merged(spark: SparkSession, rows: list[dict], variables: list[Variable]) -> DataFrame:
+    """One row of a domain from several: each value by the first row that knows it."""
+    found = {v.name: next((r[v.name] for r in rows if r.get(v.name) is not None), None) for v in variables}
+    return from_rows(spark, [tuple(found[v.name] for v in variables)], variables)

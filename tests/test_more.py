@@ -464,3 +464,31 @@ def test_graphs_and_heat_maps(spark):
     p = learners.loess_bayes(train, ["x"], "y")
     out = train.select("y", p["hi"].alias("p")).collect()
     assert sum((r.p > 0.5) == (r.y == "hi") for r in out) > 95
+
+
+def test_hinges_binarization_and_starts(spark):
+    from tessera.operators import scoring, splines
+
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 10, (800, 2))
+    y = 3 + 2 * np.maximum(x[:, 0] - 5, 0) - np.maximum(4 - x[:, 1], 0)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, y double")
+    terms, p = splines.earth(df, ["a", "b"], "y", knots=19)
+    error = df.withColumn("p", p).agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("e"), F.var_pop("y").alias("v")).first()
+    assert error.e < 0.01 * error.v and terms[0][0] is None and {h.column for h, _ in terms[1:]} == {"a", "b"}
+    flat, p = splines.earth(df.withColumn("y", F.lit(7.0)), ["a"], "y", knots=3)
+    assert [b for _, b in flat] == pytest.approx([7.0])
+    values = spark.createDataFrame([("p", "n"), ("p", "n"), ("q", "y"), ("r", "n"), ("s", "y"), ("s", "y")], "s string, y string")
+    assert scoring.best_binarization(values, "s", "y")[1:] == (["p", "r"], ["q", "s"])
+    three = np.concatenate([rng.normal(c, 0.2, (40, 2)) for c in ((0, 0), (6, 6), (0, 6))])
+    t = spark.createDataFrame([tuple(map(float, r)) for r in three], "a double, b double")
+    for how in ("diversity", "hierarchical"):
+        centres, member = clustering.k_means(t, ["a", "b"], clustering.k_means_start(t, ["a", "b"], 3, how))
+        assert sorted((round(a), round(b)) for a, b in centres) == [(0, 0), (0, 6), (6, 6)]
+        assert sorted(r["count"] for r in t.groupBy(member).count().collect()) == [40, 40, 40]
+    assert len(clustering.k_means_start(t, ["a", "b"], 3)) == 3
+    c = df.withColumn("a2", F.col("a") * 2 + F.col("b") * 0.01)
+    found = {r.item: r.cluster for r in clustering.column_clusters(c, ["a", "b", "a2"], 2).collect()}
+    assert found["a"] == found["a2"] != found["b"]
+    one = tables.row_merged(spark, [{"x": None, "y": 2.0}, {"x": 1.0, "y": 3.0}], [Variable("x"), Variable("y"), Variable("z")]).first()
+    assert tuple(one) == (1.0, 2.0, None)
