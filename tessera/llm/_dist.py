@@ -6,6 +6,7 @@ import gc
 import time
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -39,8 +40,11 @@ def cut(df: DataFrame | Callable[[], DataFrame]) -> DataFrame:
 
 
 def _shuffles(jvm) -> int:
-    """How many shuffles the driver knows."""
-    return jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    """How many shuffles the driver knows; 0 where Spark doesn't tell."""
+    try:
+        return jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    except Py4JError:
+        return 0
 
 
 def partitions(spark: SparkSession) -> int:
