@@ -37,7 +37,7 @@ BUCKET_ROWS = 2048
 QUERY_ROWS = 16384
 #: Numbers that a bucket or block holds at most, so that those of long vectors have fewer rows.
 NUMBERS = 1 << 22
-#: Buckets of the first round, and buckets that a block of queries meets in one go in the second.
+#: Full buckets' worth of rows that the first round meets, and buckets that a block of queries meets in one go in the second.
 FIRST = 4
 GROUP = 16
 #: Blocks of queries whose needs may be broadcast; more of them meet the buckets by a shuffle.
@@ -72,7 +72,7 @@ class Block:
     def add(self, at: int, scores: np.ndarray, ids: np.ndarray) -> None:
         keep = ids != self.ids[at]
         scores, ids = np.concatenate([self.best[at][0], scores[keep]]), np.concatenate([self.best[at][1], ids[keep]])
-        order = np.lexsort((ids, -scores))[: self.k]
+        order = np.lexsort((ids, ~scores))[: self.k]  # ~: the least number has no negative
         self.best[at] = scores[order], ids[order]
         if len(order) == self.k:
             self.bar[at] = max(self.bar[at], below(scores[order[-1]]))
@@ -132,8 +132,8 @@ def dealt(df: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """`df` with `part`, a hash of the row, so that parts of a dimension and class have about `size` rows or fewer; and the parts of each."""
     rows = F.greatest(F.least(F.lit(size), F.floor(F.lit(NUMBERS) / F.greatest("dim", F.lit(1)))), F.lit(1))
     # a row for each dimension and step of the grid, of which doubles have few thousand
-    counts = cut(df.groupBy("dim", "cls").agg((F.floor((F.count(F.lit(1)) - 1) / rows.cast("double")) + 1).cast("int").alias("parts")))
-    return df.join(F.broadcast(counts), ["dim", "cls"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")).drop("parts"), counts
+    counts = cut(df.groupBy("dim", "cls").agg(F.count(F.lit(1)).alias("n"), (F.floor((F.count(F.lit(1)) - 1) / rows.cast("double")) + 1).cast("int").alias("parts")))
+    return df.join(F.broadcast(counts.drop("n")), ["dim", "cls"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")).drop("parts"), counts
 
 
 def _met(left: DataFrame, right: DataFrame, n: int, k: int) -> DataFrame:
@@ -193,10 +193,12 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, bucket_rows: int
 
     # the rank of a bucket, longest class first
     bucketed, classes = dealt(rows, bucket_rows)
-    before = F.sum("parts").over(Window.partitionBy("dim").orderBy(F.desc("cls"))) - F.col("parts")
-    ranks = classes.withColumns({"_before": before, "_total": F.sum("parts").over(Window.partitionBy("dim"))}).drop("parts")
+    longer = Window.partitionBy("dim").orderBy(F.desc("cls"))
+    ranks = classes.select("dim", "cls", (F.sum("parts").over(longer) - F.col("parts")).alias("_before"), F.sum("parts").over(Window.partitionBy("dim")).alias("_total"), (F.sum("n").over(longer) - F.col("n")).alias("_rows"), (F.col("n") / F.col("parts")).alias("_each"))
     ranked = bucketed.join(F.broadcast(ranks), ["dim", "cls"]).withColumn("rank", (F.col("_before") + F.col("part")).cast("int"))
-    groups = F.greatest(F.ceil((F.col("_total") - FIRST) / GROUP), F.lit(1)).cast("int")
+    # the first round has the buckets before which there are fewer rows
+    early = F.col("_rows") + F.col("part") * F.col("_each") < FIRST * bucket_rows
+    groups = F.greatest(F.ceil(F.col("_total") / GROUP), F.lit(1)).cast("int")
     held = F.greatest(F.least(F.lit(query_rows), F.floor(F.lit(NUMBERS) / F.greatest("dim", F.lit(1)))), F.lit(1)).cast("int")
 
     def blocks(df: DataFrame, order: str, bar: Column) -> tuple[DataFrame, DataFrame]:
@@ -214,7 +216,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, bucket_rows: int
 
     # first round: every block, the longest buckets
     left, least = blocks(queries.withColumn("need", F.lit(0.0)), "vec_id", F.lit(None).cast("double"))
-    right = near(ranked.where(F.col("rank") < FIRST), least).withColumn("g", F.lit(0))
+    right = near(ranked.where(early), least).withColumn("g", F.lit(0))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = cut(_met(left.withColumn("g", F.lit(0)), right, n, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
     bars = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("_score"))
@@ -223,12 +225,12 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, bucket_rows: int
     score = F.col("_score").cast("double")
     bar = score - F.abs(score) * 2.0**-52  # a double not above the score, wherever scores need more than 53 bits
     need = F.coalesce(F.when((F.col("_score") > 0) & (F.col("norm") > 0), bar / F.col("norm")), F.lit(0.0))
-    needy = cut(queries.join(bars, "vec_id", "left").withColumns({"bar": F.when(F.col("_score").isNotNull(), F.when(F.abs("_score") < 2**52, score).otherwise(bar)), "need": need}))
+    needy = cut(queries.join(bars, "vec_id", "left").withColumns({"bar": F.when(F.col("_score").isNotNull(), F.when(F.abs(score) < 2.0**52, score).otherwise(bar)), "need": need}))
     left, least = blocks(needy, "need", F.col("bar"))
     # a row for each dimension
     spread = ranks.groupBy("dim").agg(F.max(groups).alias("groups"))
     left = left.join(F.broadcast(spread), "dim").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    right = near(ranked.where(F.col("rank") >= FIRST), least).withColumn("g", F.pmod(F.col("ord"), F.col("groups")))
+    right = near(ranked.where(~early), least).withColumn("g", F.pmod(F.col("ord"), F.col("groups")))
     more = _met(left, right, n, k)
     return found.drop("rank").unionByName(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -73,6 +73,43 @@ def test_topk_equals_all_products(spark, spread):
     assert topk_search.search(df.limit(0)).collect() == []
 
 
+def test_topk_of_huge_components_and_many_equal_scores(spark):
+    """Scores beyond 64 bits saturate, scores beyond 53 bits stay exact, ties go to the lesser id."""
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(v) for v in rng.integers(-(2**30), 2**30, 4)]) for i in range(120)]
+    vectors += [(200 + i, [3e17, -3e17, 1e18, 0.0]) for i in range(30)] + [(240, [1e300, 1.0, 0.0, 0.0]), (260, [2.0**40 + 1, 1.0, 0.0, 0.0]), (261, [2.0**40 + 1, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk_search.search(df, k=5, bucket_rows=16, query_rows=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = {i: [int(np.floor(min(max(64 * x, -9.2e18), 9.2e18))) for x in v] for i, v in vectors}
+    clip = lambda x: max(min(x, 2**63 - 1), -(2**63))
+    for q in (i for i in whole if i % 20 == 0):
+        expected = sorted((-clip(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)[:5]
+        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(expected, 1)]
+
+
+def test_short_vectors_do_not_travel(spark):
+    """With unequal norms, blocks of queries get few rows: those that are long enough for one of them."""
+    rng = np.random.default_rng(8)
+    vectors = [(i, (v / np.linalg.norm(v) * length).tolist()) for i, (v, length) in enumerate(zip(rng.normal(0, 1, (3000, 6)), np.exp(rng.normal(0, 1.5, 3000)) * 10, strict=True))]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    met = []
+    real = topk_search._met
+
+    def counted(left, right, n, k):
+        met.append(right.count())
+        return real(left, right, n, k)
+
+    topk_search._met = counted
+    try:
+        assert topk_search.search(df, bucket_rows=64, query_rows=16).count() == 150 * 20
+    finally:
+        topk_search._met = real
+    blocks = -(-150 // 16)
+    assert sum(met) < 0.5 * 3000 * blocks
+
+
 def test_components_and_ranks(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 360)]
