@@ -135,7 +135,8 @@ def keep(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     folder = f"{checkpoint_dir(spark)}/measured-{uuid.uuid4().hex}"
-    features(documents).write.parquet(folder)
+    # small row groups, so that writers hold little
+    features(documents).write.option("parquet.block.size", 32 << 20).parquet(folder)
     scored = spark.read.parquet(folder)
     return judged(scored, fences(sketches(scored))).where("_q_kept").select(*documents.columns)
 

@@ -104,7 +104,7 @@ class Scorer:
     def score(self, items: list[str]) -> np.ndarray:
         out = np.full(len(items), self.bias)
         if len(self.at):
-            for a, b in chunks(items, 1 << 20):
+            for a, b in chunks(items, 1 << 18):
                 h, own = places(items[a:b])
                 hit = self.map[h]
                 key = np.unique((own[hit] << BITS) + h[hit])
