@@ -101,10 +101,12 @@ def relief(df: DataFrame, columns: list[str], cls: str, key: str, m: int = 50, k
     near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("k0", "cls").orderBy(F.aggregate("d", F.lit(0.0), lambda s, x: s + x), "key"))).where(F.col("rank") <= k)
     share = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     share = share.join(F.broadcast(share.agg(F.sum("n").alias("t")))).select(F.col("cls"), (F.col("n") / F.col("t")).alias("p"))
+    asked = refs.agg(F.count(F.lit(1)).alias("_m"))
     w = near.join(F.broadcast(share), "cls").join(F.broadcast(share.select(F.col("cls").alias("c0"), F.col("p").alias("p0"))), "c0")
     part = w.select(F.when(F.col("cls") == F.col("c0"), F.lit(-1.0)).otherwise(F.col("p") / (1 - F.col("p0"))).alias("f"), F.posexplode("d").alias("i", "v"))
     names = F.array(*[F.lit(c) for c in columns])
-    return part.groupBy("i").agg((F.sum(F.col("f") * F.col("v")) / (m * k)).alias("relieff")).select(F.get(names, "i").alias("variable"), "relieff")
+    sums = part.groupBy("i").agg(F.sum(F.col("f") * F.col("v")).alias("s")).crossJoin(F.broadcast(asked))
+    return sums.select(F.get(names, "i").alias("variable"), (F.col("s") / (F.col("_m") * k)).alias("relieff"))
 
 
 def best_on_the_fly(items: DataFrame, score: str, name: str, seed: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import comparisons, stats
-from ..operators import distances, evaluation, extension, filters as fl, interactions, relational as rel, rules, sampling, tables, trees
+from ..operators import distances, evaluation, extension, filters as fl, interactions, relational as rel, rules, sampling, scoring, tables, trees
 from ..schema import ATTRIBUTE, CLASS, CONTINUOUS, DISCRETE, META, STRING, Variable, with_roles
 from ..sources import readers, writers
 from . import preprocess as pre
@@ -161,6 +161,30 @@ def score_mdl(spark, d):
     return rounded(interactions.mdl_scores(_orders_with_year(spark, d), ["o_orderpriority", "year"], "o_orderstatus"))
 
 
+_SUPPLIED = "(SELECT s_suppkey AS k, (s_suppkey % 3)::VARCHAR AS cls, (s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()) AS a, (s_nationkey - min(s_nationkey) OVER ()) / (max(s_nationkey) OVER () - min(s_nationkey) OVER ())::DOUBLE AS b FROM supplier)"
+
+
+@query(f"WITH x AS {_SUPPLIED}, s AS (SELECT cls, count(*) / sum(count(*)) OVER () AS p FROM x GROUP BY 1), p AS (SELECT q.cls AS c0, n.cls, abs(n.a - q.a) AS da, abs(n.b - q.b) AS db, row_number() OVER (PARTITION BY q.k, n.cls ORDER BY abs(n.a - q.a) + abs(n.b - q.b), n.k) AS rk FROM x q JOIN x n ON n.k <> q.k), w AS (SELECT CASE WHEN p.cls = c0 THEN -1.0 ELSE s.p / (1 - t.p) END AS f, da, db FROM p JOIN s ON s.cls = p.cls JOIN s t ON t.cls = c0 WHERE rk <= 5), m AS (SELECT count(*) * 5 AS m FROM x) SELECT 's_acctbal' AS variable, round(sum(f * da) / max(m), 6) AS relieff FROM w, m UNION ALL SELECT 's_nationkey', round(sum(f * db) / max(m), 6) FROM w, m")
+def score_relief_all_rows(spark, d):
+    """Every row is a reference."""
+    df = table(spark, d, "supplier").withColumn("third", (F.col("s_suppkey") % 3).cast("string"))
+    return rounded(scoring.relief(df, ["s_acctbal", "s_nationkey"], "third", "s_suppkey", m=1_000))
+
+
+@query("WITH g AS (SELECT s_suppkey, s_acctbal, s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal) AS gap FROM supplier), c AS (SELECT gap AS least FROM g WHERE gap IS NOT NULL ORDER BY gap DESC LIMIT 3), l AS (SELECT min(least) AS least FROM c), n AS (SELECT s_suppkey, sum(CASE WHEN gap >= least THEN 1 ELSE 0 END) OVER (ORDER BY s_acctbal) AS side FROM g, l), f AS (SELECT side, dense_rank() OVER (ORDER BY min(s_suppkey)) - 1 AS cluster FROM n GROUP BY 1) SELECT s_suppkey AS item, cluster::INTEGER AS cluster FROM n JOIN f ON f.side = n.side")
+def cluster_single_linkage(spark, d):
+    """On a line, single linkage parts the rows at the widest gaps."""
+    from ..operators.clustering import hierarchical
+
+    m = distances.matrix(table(spark, d, "supplier").select("s_suppkey", F.array("s_acctbal").alias("x")), "s_suppkey", "x", "manhattan")
+    return hierarchical(m, 4, "single")
+
+
+@query("SELECT o_orderkey, CASE WHEN s = m THEN o_orderstatus END AS status FROM (SELECT o_orderkey, o_orderstatus, o_totalprice AS s, max(o_totalprice) OVER () AS m FROM orders) WHERE s = m")
+def score_best_on_the_fly(spark, d):
+    return scoring.best_on_the_fly(table(spark, d, "orders"), "o_totalprice", "o_orderkey").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+
+
 # --- measures of predictions ------------------------------------------------------------------------------
 
 
