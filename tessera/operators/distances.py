@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -102,6 +104,10 @@ def nearest(df: DataFrame, queries: DataFrame, key: str, x: str, k: int, how: st
 
 def _nearest(df: DataFrame, queries: DataFrame, key: str, x: str, k: int, how: str, include_same: bool, **options) -> DataFrame:
     """The same for queries that may be broadcast."""
+    if k > 0 and how in NORMS and set(options) <= {"unknown"}:
+        found = _nearest_in_batches(df, queries, key, x, k, how, include_same, options.get("unknown", 0.5))
+        best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "neighbour")))
+        return best.where(F.col("rank") <= k).select("query", "rank", "neighbour", "d")
     q = queries.select(F.col(key).alias("query"), F.col(x).alias("_q"))
     pairs = df.select(F.col(key).alias("neighbour"), F.col(x).alias("_x")).join(F.broadcast(q), F.col("neighbour") != F.col("query")).select("query", "neighbour", distance(F.col("_x"), F.col("_q"), how, **options).alias("d"))
     if not include_same:
@@ -114,6 +120,61 @@ def _nearest(df: DataFrame, queries: DataFrame, key: str, x: str, k: int, how: s
     return (out.where(F.col("rank") <= k) if k > 0 else out).select("query", "rank", "neighbour", "d")
 
 
+#: Distances that are worked out in Arrow batches, from the absolute differences.
+NORMS = ("euclidean", "manhattan", "maximal")
+
+
+def _nearest_in_batches(df: DataFrame, queries: DataFrame, key: str, x: str, k: int, how: str, include_same: bool, unknown: float) -> DataFrame:
+    """query, neighbour, d: of each batch of rows the k nearest to each query; rows without an array take no part.
+
+    What the workers need is defined in here, so that it travels with the task.
+    """
+    norm = {"euclidean": lambda d: np.sqrt((d * d).sum(1)), "manhattan": lambda d: d.sum(1), "maximal": lambda d: d.max(1)}[how]
+
+    def as_matrix(lists: list, width: int = 0) -> np.ndarray:
+        """A matrix; what is missing, or beyond a shorter row's end, is NaN."""
+        out = np.full((len(lists), max([width, *map(len, lists)])), np.nan)
+        for i, v in enumerate(lists):
+            out[i, : len(v)] = np.array(v, float)
+        return out
+
+    asked = queries.where(F.col(x).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("q"), F.col(x).cast("array<double>").alias("v")).collect()
+    held = df.sparkSession.sparkContext.broadcast(([r.q for r in asked], [r.v for r in asked]))
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(it):
+        ids, points = held.value
+        longest = max(map(len, points), default=0)
+        for batch in it:
+            own = batch.column(0).to_pylist()
+            table = as_matrix(batch.column(1).to_pylist(), longest)
+            sizes = np.array([len(v) for v in batch.column(1).to_pylist()], int)
+            order = np.argsort(np.array(own), kind="stable")  # so that ties go to the least key
+            place = np.empty(len(own), int)
+            place[order] = np.arange(len(own))
+            found: tuple[list, list, list] = ([], [], [])
+            for q, v in zip(ids, points, strict=True):
+                wide = np.full(table.shape[1], np.nan)
+                wide[: len(v)] = np.array(v, float)
+                far = np.abs(table - wide)
+                if np.isnan(far).any():  # places beyond both ends count nothing
+                    beyond = np.arange(table.shape[1])[None] >= np.maximum(sizes, len(v))[:, None]
+                    far = np.where(np.isnan(far), np.where(beyond, 0.0, unknown), far)
+                d = norm(far)
+                near = np.lexsort((place, d))[: k + 1]
+                kept = [i for i in near.tolist() if own[i] != q and (include_same or d[i] > 0)]
+                if not include_same and len(kept) < k:
+                    kept = [i for i in np.lexsort((place, d)).tolist() if own[i] != q and d[i] > 0]
+                for i in kept[:k]:
+                    found[0].append(q)
+                    found[1].append(own[i])
+                    found[2].append(float(d[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], batch.column(0).type), pa.array(found[1], batch.column(0).type), pa.array(found[2], pa.float64())], ["query", "neighbour", "d"])
+
+    rows = df.where(F.col(x).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("n"), F.col(x).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, f"query {kind}, neighbour {kind}, d double")
+
+
 def outliers(m: DataFrame, k: int = 0) -> DataFrame:
     """item, z: mean distance to the k nearest (0: all) others, standardised."""
     s = symmetric(m)

@@ -24,20 +24,18 @@ class Hinge:
         x = F.col(self.column).cast("double")
         return F.greatest((x - self.knot) if self.up else (self.knot - x), F.lit(0.0))
 
-    def of(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum((x - self.knot) if self.up else (self.knot - x), 0.0)
-
 
 def products(df: DataFrame, columns: list[str], target: str, hinges: list[Hinge]) -> np.ndarray:
     """Sums of products of 1, all hinges and the target: a matrix of bounded size, added up batch by batch and then over tasks."""
-    at = {c: i for i, c in enumerate(columns)}
+    # plain values, which travel with the task
+    places = [(columns.index(h.column), h.knot, 1.0 if h.up else -1.0) for h in hinges]
     size = len(hinges) + 2
 
     def run(it):
         total = np.zeros((size, size))
         for batch in it:
             x = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns) + 1)]
-            basis = np.stack([np.ones(batch.num_rows), *(h.of(x[at[h.column]]) for h in hinges), x[-1]])
+            basis = np.stack([np.ones(batch.num_rows), *(np.maximum(sign * (x[i] - knot), 0.0) for i, knot, sign in places), x[-1]])
             total += basis @ basis.T
         yield pa.record_batch({"k": pa.array(np.arange(size * size)), "v": pa.array(total.ravel())})
 

@@ -492,3 +492,26 @@ def test_hinges_binarization_and_starts(spark):
     assert found["a"] == found["a2"] != found["b"]
     one = tables.row_merged(spark, [{"x": None, "y": 2.0}, {"x": 1.0, "y": 3.0}], [Variable("x"), Variable("y"), Variable("z")]).first()
     assert tuple(one) == (1.0, 2.0, None)
+
+
+def test_nearest_rows_with_missing_places(spark):
+    """By batches as by expressions: missing places count half, shorter rows too, ties go to the least key."""
+    from tessera.operators import distances
+
+    rng = random.Random(12)
+    rows = [(i, [rng.choice([None, 0.0, 1.0, 2.5]) for _ in range(rng.choice([3, 3, 4]))]) for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "i long, v array<double>")
+    known = {i: v for i, v in rows if v is not None}
+    at = lambda v, k: v[k] if k < len(v) else None
+    for how, norm in (("euclidean", lambda d: math.sqrt(sum(x * x for x in d))), ("manhattan", sum), ("maximal", max)):
+        for same in (True, False):
+            got = {}
+            for r in distances.nearest(df, df.where("i % 7 = 0"), "i", "v", 4, how, include_same=same).collect():
+                got.setdefault(r.query, []).append((r["rank"], r.neighbour, round(r.d, 9)))
+            for q in (i for i in known if i % 7 == 0):
+                far = []
+                for i, v in known.items():
+                    d = norm([0.5 if at(v, k) is None or at(known[q], k) is None else abs(at(v, k) - at(known[q], k)) for k in range(max(len(v), len(known[q])))])
+                    if i != q and (same or d > 0):
+                        far.append((round(d, 9), i))
+                assert sorted(got[q]) == [(k, i, d) for k, (d, i) in enumerate(sorted(far)[:4], 1)]
