@@ -174,10 +174,9 @@ def score_relief_all_rows(spark, d):
 @query("WITH g AS (SELECT s_suppkey, s_acctbal, s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal) AS gap FROM supplier), c AS (SELECT gap AS least FROM g WHERE gap IS NOT NULL ORDER BY gap DESC LIMIT 3), l AS (SELECT min(least) AS least FROM c), n AS (SELECT s_suppkey, sum(CASE WHEN gap >= least THEN 1 ELSE 0 END) OVER (ORDER BY s_acctbal) AS side FROM g, l), f AS (SELECT side, dense_rank() OVER (ORDER BY min(s_suppkey)) - 1 AS cluster FROM n GROUP BY 1) SELECT s_suppkey AS item, cluster::INTEGER AS cluster FROM n JOIN f ON f.side = n.side")
 def cluster_single_linkage(spark, d):
     """On a line, single linkage parts the rows at the widest gaps."""
-    from ..operators.clustering import hierarchical
+    from ..operators.clustering import hierarchical_on_line
 
-    m = distances.matrix(table(spark, d, "supplier").select("s_suppkey", F.array("s_acctbal").alias("x")), "s_suppkey", "x", "manhattan")
-    return hierarchical(m, 4, "single")
+    return hierarchical_on_line(table(spark, d, "supplier"), "s_suppkey", "s_acctbal", 4, "single")
 
 
 @query("SELECT o_orderkey, CASE WHEN s = m THEN o_orderstatus END AS status FROM (SELECT o_orderkey, o_orderstatus, o_totalprice AS s, max(o_totalprice) OVER () AS m FROM orders) WHERE s = m")
