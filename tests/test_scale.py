@@ -35,3 +35,74 @@ def test_hierarchies_of_more_rows_than_a_matrix_may_have(spark, tmp_path, name):
     suppliers(spark, tmp_path, clustering.MOST_ITEMS + 2_000)
     sizes = catalogue.QUERIES[name](spark, str(tmp_path)).groupBy("cluster").count().collect()
     assert sum(r["count"] for r in sizes) == clustering.MOST_ITEMS + 2_000 and len(sizes) == 4
+
+
+def plain_distance(a, b, how):
+    """By the definitions: what is missing on a side counts half; the correlations have no value then."""
+    n = max(len(a), len(b))
+    at = lambda v, k: v[k] if k < len(v) else None
+    if how == "hamming":
+        return float(sum(at(a, k) != at(b, k) for k in range(n)))
+    if how in ("pearson", "spearman"):
+        if len(a) != len(b) or how == "pearson" and None in a + b:
+            return None
+        if how == "spearman":
+            a, b = ([sum(y is not None and x is not None and y < x for y in v) + (sum(x is not None and y == x for y in v) + 1) / 2 for x in v] for v in (a, b))
+        with np.errstate(all="ignore"):
+            return float((1 - np.corrcoef(a, b)[0, 1]) / 2)
+    d = [0.5 if at(a, k) is None or at(b, k) is None else abs(at(a, k) - at(b, k)) for k in range(n)]
+    return {"euclidean": lambda: math.sqrt(sum(x * x for x in d)), "manhattan": lambda: sum(d), "maximal": lambda: max(d), "lp": lambda: sum(x**3 for x in d) ** (1 / 3), "relief": lambda: sum(min(x, 1.0) for x in d)}[how]()
+
+
+@pytest.mark.parametrize("how", ["euclidean", "manhattan", "maximal", "lp", "relief", "hamming", "pearson", "spearman"])
+def test_matrices_of_any_number_of_rows(spark, monkeypatch, how):
+    from tessera.operators import distances
+
+    monkeypatch.setattr(distances, "MOST_BROADCAST", 50)
+    monkeypatch.setattr(distances, "BLOCK_ROWS", (20, 30), raising=False)
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([None, 0.0, 1.0, 2.5, rng.random() * 9]) for _ in range(rng.choice([3, 3, 4]))]) for i in range(80)] + [(99, None)]
+    options = {"p": 3.0} if how == "lp" else {}
+    got = {(r.i, r.j): r.d for r in distances.matrix(spark.createDataFrame(rows, "i long, v array<double>"), "i", "v", how, **options).collect()}
+    assert set(got) == {(i, j) for i, _ in rows for j, _ in rows if i > j}
+    for i, a in rows:
+        for j, b in rows:
+            if i > j:
+                d = None if a is None or b is None else plain_distance(a, b, how)
+                assert got[i, j] is None if d is None else math.isnan(d) and math.isnan(got[i, j]) or abs(got[i, j] - d) < 1e-7
+
+
+def test_matrix_of_texts(spark, monkeypatch):
+    from tessera.operators import distances
+
+    monkeypatch.setattr(distances, "MOST_BROADCAST", 5)
+    rows = [(f"k{i:02}", [str(i % 2), str(i % 3)]) for i in range(12)]
+    got = {(r.i, r.j): r.d for r in distances.matrix(spark.createDataFrame(rows, "i string, v array<string>"), "i", "v", "hamming").collect()}
+    assert got == {(i, j): float((a[0] != b[0]) + (a[1] != b[1])) for i, a in rows for j, b in rows if i > j}
+
+
+def test_edges_between_near_rows(spark, monkeypatch):
+    from tessera.operators import distances, graphs
+
+    monkeypatch.setattr(distances, "MOST_BROADCAST", 50)
+    monkeypatch.setattr(distances, "BLOCK_ROWS", (20, 30), raising=False)
+    rng = random.Random(9)
+    rows = [(i, float(rng.randrange(60))) for i in range(90)]
+    df = spark.createDataFrame(rows, "i long, x double")
+    from pyspark.sql import functions as F
+
+    edges = graphs.between_rows(df.withColumn("v", F.array("x")), "i", "v", 0, 9, "manhattan").cache()
+    expected = {(i, j, abs(x - y)) for i, x in rows for j, y in rows if i > j and abs(x - y) <= 9}
+    assert {tuple(r) for r in edges.collect()} == expected
+    # no detour of two steps: as the search over all edges says
+    assert sorted(map(tuple, graphs.pathfinder_on_line(df, "i", "x", 9).collect())) == sorted(map(tuple, graphs.pathfinder(edges).collect()))
+
+
+@pytest.mark.parametrize("name", ["graph_pathfinder", "graph_degrees"])
+def test_graphs_of_more_rows_than_may_be_broadcast(spark, tmp_path, monkeypatch, name):
+    from tessera.operators import distances
+    from tessera.plans import catalogue
+
+    monkeypatch.setattr(distances, "MOST_BROADCAST", 50)
+    suppliers(spark, tmp_path, 120)
+    assert catalogue.QUERIES[name](spark, str(tmp_path)).count() > 0
