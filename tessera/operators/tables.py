@@ -174,12 +174,10 @@ def find_or_make(known: list[Variable], name: str, kind: str, ordered_values: tu
 def to_numpy(df: DataFrame, contents: str = "a/c") -> tuple[np.ndarray, ...]:
     """Matrices by letters (a attributes, c class, w weights, 0 and 1 constants; upper case: at least one column), parted by slashes; discrete values as their codes.
 
-    The rows come as Arrow batches; their number is checked.
+    The rows come as Arrow batches of doubles; the driver holds what is asked for, and no other column.
     """
     from ..schema import code, of_role
 
-    if df.limit(MOST_NATIVE + 1).count() > MOST_NATIVE:
-        raise ValueError(f"more than {MOST_NATIVE} rows")
     known = {v.name: v for v in domain(df)}
     value = lambda n: (code(df, n) if known[n].kind == DISCRETE else F.col(f"`{n}`")).cast("double")
     parts, columns = [], []
@@ -199,11 +197,11 @@ def to_numpy(df: DataFrame, contents: str = "a/c") -> tuple[np.ndarray, ...]:
 
 def from_numpy(spark: SparkSession, x: np.ndarray, variables: list[Variable] | None = None) -> DataFrame:
     """A matrix as a table; without variables, columns of whole numbers from 0 to 9 are discrete, others continuous."""
-    import pandas as pd
+    import pyarrow as pa
 
     names = [v.name for v in variables] if variables else [f"var{i}" for i in range(x.shape[1])]
     made = list(variables or ())
-    data = pd.DataFrame(x.astype(float), columns=names)
+    data = pa.table([pa.array(np.ascontiguousarray(x[:, i], float)) for i in range(len(names))], names)
     if variables is None:
         for i, n in enumerate(names):
             known = x[:, i][~np.isnan(x[:, i].astype(float))]

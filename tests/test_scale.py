@@ -106,3 +106,16 @@ def test_graphs_of_more_rows_than_may_be_broadcast(spark, tmp_path, monkeypatch,
     monkeypatch.setattr(distances, "MOST_BROADCAST", 50)
     suppliers(spark, tmp_path, 120)
     assert catalogue.QUERIES[name](spark, str(tmp_path)).count() > 0
+
+
+def test_numpy_of_any_number_of_rows(spark, monkeypatch):
+    from tessera.operators import tables
+    from tessera.schema import Variable, with_roles
+
+    monkeypatch.setattr(tables, "MOST_NATIVE", 10)
+    df = with_roles(spark.range(50).selectExpr("CAST(id AS double) AS x"), [Variable("x")])
+    (x,) = tables.to_numpy(df, "a")
+    assert sorted(x[:, 0]) == list(range(50))
+    x[7, 0] = np.nan
+    back = tables.from_numpy(spark, x, [Variable("x")])
+    assert back.count() == 50 and back.where("x IS NULL").count() == 1
