@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -86,19 +88,20 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return h.select("h_a", "h_b", "h_ab", i.alias("mutual"), (i / F.nullif(F.col("h_ab"), F.lit(0.0))).alias("jaccard"))
 
 
-def relief(df: DataFrame, columns: list[str], cls: str, key: str, m: int = 50, k: int = 5) -> DataFrame:
-    """variable, relieff: the k nearest hits and misses of m reference rows (a sampling operator).
+def relief(df: DataFrame, columns: list[str], cls: str, key: str, m: int | None = 50, k: int = 5) -> DataFrame:
+    """variable, relieff: the k nearest hits and misses of m reference rows (a sampling operator), or of all rows for None.
 
-    The reference rows, bounded by m, are broadcast against all rows.
+    Reference rows go to the workers in blocks. Every part of the rows keeps its own k
+    nearest of each class, and only these meet.
     """
     from ..plans.transforms import ranges
     from .sampling import order_key
 
     r = ranges(df, columns)
     rows = df.where(F.col(cls).isNotNull()).select(F.col(key).alias("key"), F.col(cls).alias("cls"), F.array(*[((F.col(c) - r[c]["min"]) / ((r[c]["max"] - r[c]["min"]) or 1.0)).cast("double") for c in columns]).alias("x"))
-    refs = rows.orderBy(order_key(["key"]), "key").limit(m).select(F.col("key").alias("k0"), F.col("cls").alias("c0"), F.col("x").alias("x0"))
-    pairs = rows.join(F.broadcast(refs), F.col("key") != F.col("k0")).withColumn("d", F.zip_with("x", "x0", lambda a, b: F.coalesce(F.abs(a - b), F.lit(0.5))))
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("k0", "cls").orderBy(F.aggregate("d", F.lit(0.0), lambda s, x: s + x), "key"))).where(F.col("rank") <= k)
+    refs = (rows.orderBy(order_key(["key"]), "key").limit(m) if m is not None else rows).select(F.col("key").alias("k0"), F.col("cls").alias("c0"), F.col("x").alias("x0"))
+    found = _near_by_class(rows, refs, k)
+    near = found.withColumn("rank", F.row_number().over(Window.partitionBy("k0", "cls").orderBy(F.aggregate("d", F.lit(0.0), lambda s, x: s + x), "key"))).where(F.col("rank") <= k)
     share = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     share = share.join(F.broadcast(share.agg(F.sum("n").alias("t")))).select(F.col("cls"), (F.col("n") / F.col("t")).alias("p"))
     asked = refs.agg(F.count(F.lit(1)).alias("_m"))
@@ -109,6 +112,69 @@ def relief(df: DataFrame, columns: list[str], cls: str, key: str, m: int = 50, k
     return sums.select(F.get(names, "i").alias("variable"), (F.col("s") / (F.col("_m") * k)).alias("relieff"))
 
 
+#: Rows of a part, and of a block of reference rows.
+RELIEF_PART, RELIEF_BLOCK = 20_000, 5_000
+
+
+def _near_by_class(rows: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """k0, c0, key, cls, d: of each part of the rows the k nearest of each class to each reference row, with differences by column.
+
+    Parts of the rows and blocks of reference rows meet in tasks. What the workers
+    need is defined in here, so that it travels with the task.
+    """
+    spark = rows.sparkSession
+    parts = max(1, min(-(-rows.count() // 250), max(-(-rows.count() // RELIEF_PART), spark.sparkContext.defaultParallelism)))
+    blocks = max(1, -(-refs.count() // RELIEF_BLOCK))
+    pack = lambda t, name, n, key: t.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"_{name}")).agg(F.collect_list(F.struct(*t.columns)).alias(name))
+    own = pack(rows, "rows", parts, "key").withColumn("_refs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = pack(refs, "refs", blocks, "k0").withColumn("_rows", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    spread = parts * blocks
+    met = own.repartition(spread, "_rows", "_refs").join(asked.repartition(spread, "_rows", "_refs"), ["_rows", "_refs"]).select("rows", "refs")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def members(side: pa.ListArray, n: int) -> tuple:
+        start, end = side.offsets[n].as_py(), side.offsets[n + 1].as_py()
+        block = side.values.slice(start, end - start)
+        x = block.field(2)
+        flat = x.flatten().to_numpy(zero_copy_only=False).astype(float)
+        return block.field(0), block.field(1), np.where(x.flatten().is_null().to_numpy(zero_copy_only=False), np.nan, flat).reshape(len(block), -1)
+
+    def apart(a, b):
+        d = np.abs(a - b)
+        return np.where(np.isnan(d), 0.5, d)
+
+    def run(it):
+        for batch in it:
+            for n in range(batch.num_rows):
+                keys, classes, x = members(batch.column(0), n)
+                k0, c0, x0 = members(batch.column(1), n)
+                names = keys.to_numpy(zero_copy_only=False)
+                place = np.empty(len(keys), int)
+                place[np.argsort(names, kind="stable")] = np.arange(len(keys))
+                asked = k0.to_numpy(zero_copy_only=False)
+                of_class = np.unique(np.array(classes.to_pylist(), object), return_inverse=True)[1]
+                for c in range(of_class.max() + 1 if len(of_class) else 0):
+                    own = np.nonzero(of_class == c)[0]
+                    step = max(1, 500_000 // len(own))
+                    for s in range(0, len(asked), step):
+                        d = np.zeros((len(asked[s : s + step]), len(own)))
+                        for v in range(x.shape[1]):
+                            d += apart(x[own, v][None], x0[s : s + step, v][:, None])
+                        d[asked[s : s + step][:, None] == names[own][None]] = np.inf
+                        most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(own) > k else np.full(len(d), np.finfo(float).max)
+                        q, i = np.nonzero((d <= most[:, None]) & (d < np.inf))
+                        order = np.lexsort((place[own[i]], d[q, i], q))
+                        q, i = q[order], own[i[order]]
+                        first = np.r_[0, np.cumsum(np.bincount(q, minlength=len(d)))[:-1]]
+                        kept = np.arange(len(q)) - first[q] < k
+                        q, i = q[kept] + s, i[kept]
+                        far = apart(x[i], x0[q])
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * x.shape[1], pa.int32()), pa.array(far.ravel()))
+                        yield pa.RecordBatch.from_arrays([k0.take(pa.array(q)), c0.take(pa.array(q)), keys.take(pa.array(i)), classes.take(pa.array(i)), lists], ["k0", "c0", "key", "cls", "d"])
+
+    return met.mapInArrow(run, f"k0 {kinds['key']}, c0 {kinds['cls']}, key {kinds['key']}, cls {kinds['cls']}, d array<double>")
+
+
 def best_on_the_fly(items: DataFrame, score: str, name: str, seed: int = 0) -> DataFrame:
     """The row of greatest score in one pass; ties by a repeatable draw."""
     return items.groupBy().agg(F.max_by(F.struct(*items.columns), F.struct(score, F.xxhash64(F.lit(seed), name), name)).alias("b")).where("b IS NOT NULL").select("b.*")
