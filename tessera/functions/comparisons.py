@@ -93,12 +93,12 @@ def signed_ranks(df: DataFrame, x: str, y: str) -> DataFrame:
     return r.agg(t.alias("t"), ((t - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z"))
 
 
-def trim_one(df: DataFrame, column: str, share: float, tail: str = "right") -> DataFrame:
-    """Without the greatest (right) or least (left) share of rows."""
+def trim_one(df: DataFrame, column: str | list[str], share: float, tail: str = "right") -> DataFrame:
+    """Without the greatest (right) or least (left) share of rows, by a column or by several in turn."""
     n = df.count()
     gone = int(share * n)
     kept = F.col("_place") < n - gone if tail == "right" else F.col("_place") >= gone
-    return numbered(df, [column], "_place").where(kept).drop("_place")
+    return numbered(df, [column] if isinstance(column, str) else column, "_place").where(kept).drop("_place")
 
 
 def grid_points(df: DataFrame, column: str, n: int) -> DataFrame:

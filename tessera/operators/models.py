@@ -113,10 +113,11 @@ def boosted(learner: Callable[[str], Learner], cls: str, key: str, n: int = 5) -
 
 
 def cross_validated(df: DataFrame, learner: Learner, folds: int, key: list[str], stratify: str | None = None) -> DataFrame:
-    """Every row with a prediction by a learner that has not seen its fold."""
+    """Every row with a prediction by a learner that has not seen its fold. The folds are dealt once."""
+    from ..lineage import cut
     from .sampling import folds as dealt
 
-    numbered = dealt(df, folds, key, stratify, "fold")
+    numbered = cut(dealt(df, folds, key, stratify, "fold"))
     out = None
     for f in range(folds):
         test = numbered.where(F.col("fold") == f)

@@ -23,8 +23,10 @@ def parted(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
     chosen = df.select(F.col(order).alias("_b")).where(F.col("_b").isNotNull()).orderBy(F.xxhash64("_b"), "_b").limit(max(n - 1, 1))
     bounds = chosen.agg(F.sort_array(F.collect_list("_b")).alias("_bounds"))
     # one row, broadcast to all
-    upto = F.size(F.filter("_bounds", lambda b: b <= F.col(order)))
-    return df.crossJoin(F.broadcast(bounds)).withColumn("_part", F.coalesce(upto, F.lit(0))).drop("_bounds")
+    # by halves: a step is taken where the bound at its end is not greater; beyond the last there is none
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(n - 1, 1).bit_length()))])
+    upto = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_bounds", at + step - 1) <= F.col(order), at + step).otherwise(at))
+    return df.crossJoin(F.broadcast(bounds)).withColumn("_part", upto).drop("_bounds")
 
 
 def running(df: DataFrame, order: str, sums: dict[str, Column], by: list[str] = (), descending: bool = False, following: str | None = None) -> DataFrame:

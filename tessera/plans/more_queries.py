@@ -59,8 +59,7 @@ def stat_signed_ranks(spark, d):
 
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS i, count(*) OVER () AS n FROM orders) WHERE i <= n - CAST(floor(0.1 * n) AS BIGINT)")
 def stat_trim_one(spark, d):
-    o = table(spark, d, "orders").withColumn("place", F.struct("o_totalprice", "o_orderkey"))
-    return comparisons.trim_one(o, "place", 0.1).select("o_orderkey")
+    return comparisons.trim_one(table(spark, d, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], 0.1).select("o_orderkey")
 
 
 @query("WITH p AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders) SELECT round(a + i * (b - a) / 4, 4) AS point FROM p, (SELECT unnest(range(5)) AS i)")
@@ -168,7 +167,7 @@ _SUPPLIED = "(SELECT s_suppkey AS k, (s_suppkey % 3)::VARCHAR AS cls, (s_acctbal
 def score_relief_all_rows(spark, d):
     """Every row is a reference."""
     df = table(spark, d, "supplier").withColumn("third", (F.col("s_suppkey") % 3).cast("string"))
-    return rounded(scoring.relief(df, ["s_acctbal", "s_nationkey"], "third", "s_suppkey", m=1_000))
+    return rounded(scoring.relief(df, ["s_acctbal", "s_nationkey"], "third", "s_suppkey", m=None))
 
 
 @query("WITH g AS (SELECT s_suppkey, s_acctbal, s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal) AS gap FROM supplier), c AS (SELECT gap AS least FROM g WHERE gap IS NOT NULL ORDER BY gap DESC LIMIT 3), l AS (SELECT min(least) AS least FROM c), n AS (SELECT s_suppkey, sum(CASE WHEN gap >= least THEN 1 ELSE 0 END) OVER (ORDER BY s_acctbal) AS side FROM g, l), f AS (SELECT side, dense_rank() OVER (ORDER BY min(s_suppkey)) - 1 AS cluster FROM n GROUP BY 1) SELECT s_suppkey AS item, cluster::INTEGER AS cluster FROM n JOIN f ON f.side = n.side")
@@ -501,7 +500,7 @@ def events_windowed_contingency(spark, d):
 
 @query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1) % 4)::INTEGER AS fold FROM orders")
 def folds_stratified_four(spark, d):
-    return sampling.folds(table(spark, d, "orders"), 4, ["o_orderkey"], "o_orderstatus").select("o_orderkey", "fold")
+    return sampling.folds(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), 4, ["o_orderkey"], "o_orderstatus").select("o_orderkey", "fold")
 
 
 @query("SELECT l_linestatus AS value, round(count(*) / sum(count(*)) OVER (), 6) AS w FROM lineitem GROUP BY 1")

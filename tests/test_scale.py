@@ -119,3 +119,47 @@ def test_numpy_of_any_number_of_rows(spark, monkeypatch):
     x[7, 0] = np.nan
     back = tables.from_numpy(spark, x, [Variable("x")])
     assert back.count() == 50 and back.where("x IS NULL").count() == 1
+
+
+def test_parts_of_an_order_by_halves(spark):
+    from tessera.operators import ordered
+
+    for n in (1, 2, 7, 64):
+        for r in ordered.parted(spark.range(300).selectExpr("CAST(id * 37 % 300 AS double) AS x", "id"), "x", n).groupBy("_part").agg({"x": "min", "id": "count"}).collect():
+            assert 0 <= r["_part"] < max(n, 2)
+    cut = ordered.parted(spark.range(300).selectExpr("CAST(id * 37 % 300 AS double) AS x"), "x", 64).distinct().collect()
+    assert len({r["_part"] for r in cut}) == 64
+    assert all(a["_part"] <= b["_part"] for a in cut for b in cut if a.x <= b.x)
+    # no bound is looked at one by one
+    assert "filter(" not in ordered.parted(spark.range(9), "id", 8)._jdf.queryExecution().analyzed().toString()
+
+
+def test_folds_of_a_cross_validation_are_dealt_once(spark):
+    from tessera.operators import learners, models
+
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(40)], "id long, c string")
+    out = models.cross_validated(df, lambda train, rows: learners.majority(train, rows, "c"), 4, ["id"], "c")
+    assert out.count() == 40 and "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_row_is_a_reference_of_relief(spark, tmp_path):
+    """More suppliers than 1,000: as a plain search says."""
+    from tessera.plans import catalogue
+
+    rows = suppliers(spark, tmp_path, 1_200)
+    x = np.array([[r[3], r[2]] for r in rows])
+    x = (x - x.min(0)) / (x.max(0) - x.min(0))
+    cls = np.array([r[0] % 3 for r in rows])
+    share = np.bincount(cls) / len(cls)
+    sums = np.zeros(2)
+    for q in range(len(x)):
+        d = np.abs(x - x[q])
+        total = d.sum(1)
+        total[q] = np.inf
+        for c in range(3):
+            own = np.nonzero(cls == c)[0]
+            near = own[np.lexsort((own, total[own]))[:5]]
+            sums += d[near].sum(0) * (-1 if c == cls[q] else share[c] / (1 - share[cls[q]]))
+    got = {r.variable: r.relieff for r in catalogue.QUERIES["score_relief_all_rows"](spark, str(tmp_path)).collect()}
+    for name, s in zip(("s_acctbal", "s_nationkey"), sums / (len(x) * 5), strict=True):
+        assert abs(got[name] - s) < 2e-6
