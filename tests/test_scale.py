@@ -163,3 +163,21 @@ def test_every_row_is_a_reference_of_relief(spark, tmp_path):
     got = {r.variable: r.relieff for r in catalogue.QUERIES["score_relief_all_rows"](spark, str(tmp_path)).collect()}
     for name, s in zip(("s_acctbal", "s_nationkey"), sums / (len(x) * 5), strict=True):
         assert abs(got[name] - s) < 2e-6
+
+
+def test_nearest_by_products_are_the_nearest_by_differences(spark):
+    """Far from the origin, with copies; the rows are dealt over all cores."""
+    from tessera.operators import distances
+
+    rng = np.random.default_rng(6)
+    points = np.round(rng.normal(size=(150, 4)), 2) + 1000
+    points = np.vstack([points, points[:30]])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>").coalesce(1)
+    found = distances.nearest(df, df, "id", "v", 5)
+    assert found.rdd.getNumPartitions() >= 1 and "mapInArrow" in str(found._jdf.queryExecution().optimizedPlan().toString()).replace("MapInArrow", "mapInArrow")
+    got = {(r.query, r["rank"]): r.neighbour for r in found.collect()}
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, k + 1): int(j) for i in range(len(points)) for k, j in enumerate(np.lexsort((np.arange(len(points)), d[i]))[:5])}
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression" in plan
