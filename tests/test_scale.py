@@ -181,3 +181,24 @@ def test_nearest_by_products_are_the_nearest_by_differences(spark):
     assert got == {(i, k + 1): int(j) for i in range(len(points)) for k, j in enumerate(np.lexsort((np.arange(len(points)), d[i]))[:5])}
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_rows_of_a_matrix_follow_each_other_by_key(spark):
+    """Runs of the greater key, each with the lesser keys in order: no pair is compared twice, files stay small."""
+    from tessera.operators import distances
+
+    rows = [(i * 37 % 101, [float(i % 7)]) for i in range(101)]
+    got = [(r.i, r.j) for r in distances.matrix(spark.createDataFrame(rows, "i long, v array<double>"), "i", "v", "manhattan").collect()]
+    assert got == [(i, j) for i in range(101) for j in range(i)]
+
+
+def test_decimals_are_those_of_round(spark):
+    from pyspark.sql import functions as F
+    from tessera.plans.catalogue import nearest_decimal
+
+    rng = random.Random(3)
+    values = [0.0, -0.0, 0.5, 2.5, 1.00005, -1.00005, 0.12345, 1e300, -1e18, 5e-324, float("nan"), float("inf"), float("-inf"), None]
+    values += [rng.randrange(-(10**9), 10**9) / 10**5 for _ in range(3000)] + [rng.uniform(-1, 1) * 10 ** rng.randrange(-6, 18) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (2, 4, 5, 6):
+        assert df.where(~(nearest_decimal(F.col("x"), places) + 0.0).eqNullSafe(F.round("x", places) + 0.0)).count() == 0
