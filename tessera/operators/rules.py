@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from ..lineage import cut
 
 
 #: Items of a set that is parted into rules.
@@ -15,11 +21,59 @@ def items_of(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def itemsets(baskets: DataFrame, support: float) -> DataFrame:
-    """items (sorted), n: all itemsets with the support, by parallel FP-growth."""
-    from pyspark.ml.fpm import FPGrowth
+    """items (sorted), n: all itemsets with the support, by parallel FP-growth.
 
-    found = FPGrowth(itemsCol="items", minSupport=support).fit(baskets.select(F.array_distinct("items").alias("items"))).freqItemsets
-    return found.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
+    Equal baskets are counted before they travel, and so are the equal parts of them
+    that each task mines; no basket is kept or read again by itself.
+    """
+    spark = baskets.sparkSession
+    whole = baskets.where(F.col("items").isNotNull()).select(F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull()))).alias("items"))
+    equal = cut(whole.groupBy("items").agg(F.count(F.lit(1)).alias("w")))
+    least = max(1, math.ceil(support * (equal.agg(F.sum("w")).first()[0] or 0)))
+    # ranks: frequent items, the most frequent first
+    found = equal.select(F.explode("items").alias("item"), "w").groupBy("item").agg(F.sum("w").alias("n")).where(F.col("n") >= least).collect()
+    frequent = [r.item for r in sorted(found, key=lambda r: (-r.n, r.item))]
+    item = baskets.schema["items"].dataType.elementType
+    if not frequent:
+        return spark.createDataFrame([], StructType([StructField("items", ArrayType(item)), StructField("n", LongType())]))
+    ranks = spark.sparkContext.broadcast({x: k for k, x in enumerate(frequent)})
+
+    def prefixes(it):
+        """last, items, w: for each frequent item of a basket those of lower rank, equal ones of a batch once."""
+        rank = ranks.value
+        for batch in it:
+            counts: dict = {}
+            for items, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = sorted(rank[x] for x in items or () if x in rank)
+                for k, last in enumerate(own):
+                    key = last, tuple(own[:k])
+                    counts[key] = counts.get(key, 0) + w
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([list(k[1]) for k in counts], pa.list_(pa.int32())), pa.array(list(counts.values()), pa.int64())], ["last", "items", "w"])
+
+    def grown(group):
+        """All frequent sets whose item of highest rank is the group's."""
+        out: list = []
+        todo = [((group.column("last")[0].as_py(),), dict(zip(map(tuple, group.column("items").to_pylist()), group.column("w").to_pylist(), strict=True)))]
+        while todo:
+            chosen, base = todo.pop()
+            out.append((chosen, sum(base.values())))
+            counts: dict = {}
+            for items, w in base.items():
+                for x in items:
+                    counts[x] = counts.get(x, 0) + w
+            for x in (x for x, n in counts.items() if n >= least):
+                part: dict = {}
+                for items, w in base.items():
+                    if x in items:
+                        key = tuple(y for y in items[: items.index(x)] if counts[y] >= least)
+                        part[key] = part.get(key, 0) + w
+                todo.append(((*chosen, x), part))
+        return pa.table({"ranks": pa.array([list(c) for c, _ in out], pa.list_(pa.int32())), "n": pa.array([n for _, n in out], pa.int64())})
+
+    parts = equal.mapInArrow(prefixes, "last int, items array<int>, w long").groupBy("last", "items").agg(F.sum("w").alias("w"))
+    sets = parts.groupBy("last").applyInArrow(grown, "ranks array<int>, n long")
+    names = spark.createDataFrame([(frequent,)], StructType([StructField("_names", ArrayType(item))]))
+    return sets.crossJoin(F.broadcast(names)).select(F.array_sort(F.transform("ranks", lambda k: F.get("_names", k))).alias("items"), "n")
 
 
 def measures(n: Column, left: Column, right: Column, both: Column) -> dict[str, Column]:

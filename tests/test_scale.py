@@ -202,3 +202,25 @@ def test_decimals_are_those_of_round(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for places in (2, 4, 5, 6):
         assert df.where(~(nearest_decimal(F.col("x"), places) + 0.0).eqNullSafe(F.round("x", places) + 0.0)).count() == 0
+
+
+def test_itemsets_of_equal_baskets_counted_first(spark, monkeypatch):
+    """As counting all sets says; no basket is kept by itself, as the library's search does."""
+    from itertools import combinations
+
+    import pyspark.ml.fpm
+    from tessera.operators import rules
+
+    monkeypatch.delattr(pyspark.ml.fpm, "FPGrowth")
+    rng = random.Random(4)
+    baskets = [rng.sample("abcdefg", rng.randrange(6)) + rng.choice([[], ["a", "a"]]) for _ in range(60)] * 3 + [None]
+    df = spark.createDataFrame([(b,) for b in baskets], "items array<string>")
+    for support in (0.0, 0.05, 0.2, 1.0):
+        counts = {}
+        for b in baskets[:-1]:
+            for k in range(1, 8):
+                for s in combinations(sorted(set(b)), k):
+                    counts[s] = counts.get(s, 0) + 1
+        got = [(tuple(r["items"]), r["n"]) for r in rules.itemsets(df, support).collect()]
+        assert sorted(got) == sorted((s, n) for s, n in counts.items() if n >= support * 180)
+    assert rules.itemsets(df.where("items IS NULL"), 0.5).count() == 0
