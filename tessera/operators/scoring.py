@@ -112,19 +112,25 @@ def relief(df: DataFrame, columns: list[str], cls: str, key: str, m: int | None
     return sums.select(F.get(names, "i").alias("variable"), (F.col("s") / (F.col("_m") * k)).alias("relieff"))
 
 
-#: Rows of a part, and of a block of reference rows.
-RELIEF_PART, RELIEF_BLOCK = 20_000, 5_000
+#: Rows of a part, of a block of reference rows, and of a leaf of either.
+RELIEF_PART, RELIEF_BLOCK, RELIEF_LEAF = 100_000, 5_000, 64
+#: Pairs of a class and a block that are compared without leaves.
+RELIEF_PLAIN = 4_000_000
 
 
 def _near_by_class(rows: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """k0, c0, key, cls, d: of each part of the rows the k nearest of each class to each reference row, with differences by column.
 
-    Parts of the rows and blocks of reference rows meet in tasks. What the workers
-    need is defined in here, so that it travels with the task.
+    Parts of the rows and blocks of reference rows meet in tasks. There both are cut
+    into leaves of near rows, and a leaf of reference rows is compared with the leaves
+    of a class that may hold one of the k nearest. What the workers need is defined in
+    here, so that it travels with the task.
     """
     spark = rows.sparkSession
-    parts = max(1, min(-(-rows.count() // 250), max(-(-rows.count() // RELIEF_PART), spark.sparkContext.defaultParallelism)))
+    total = rows.count()
     blocks = max(1, -(-refs.count() // RELIEF_BLOCK))
+    parts = max(1, min(-(-total // 250), max(-(-total // RELIEF_PART), -(-spark.sparkContext.defaultParallelism // blocks))))
+    leaf, plain = RELIEF_LEAF, RELIEF_PLAIN
     pack = lambda t, name, n, key: t.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"_{name}")).agg(F.collect_list(F.struct(*t.columns)).alias(name))
     own = pack(rows, "rows", parts, "key").withColumn("_refs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = pack(refs, "refs", blocks, "k0").withColumn("_rows", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -143,6 +149,54 @@ def _near_by_class(rows: DataFrame, refs: DataFrame, k: int) -> DataFrame:
         d = np.abs(a - b)
         return np.where(np.isnan(d), 0.5, d)
 
+    def leaves(x, own):
+        """Parts of the rows, halved along the column in which they lie widest apart."""
+        out, todo = [], [own]
+        while todo:
+            i = todo.pop()
+            if len(i) <= leaf:
+                out.append(i)
+                continue
+            v = x[i]
+            c = int(np.argmax(np.ptp(np.where(np.isnan(v), 0.5, v), axis=0)))
+            i = i[np.argpartition(v[:, c], len(i) // 2)]
+            todo += [i[: len(i) // 2], i[len(i) // 2 :]]
+        return out
+
+    def box(x, i):
+        """Bounds of rows by column; none where a value is missing."""
+        low, high = x[i].min(0), x[i].max(0)
+        return np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+
+    def sums(x, own, x0, q):
+        d = np.zeros((len(q), len(own)))
+        for v in range(x.shape[1]):
+            d += apart(x[own, v][None], x0[q, v][:, None])
+        return d
+
+    def compared(x, own, x0, asked, names):
+        """Reference rows and the rows of a class among which their k nearest are."""
+        everyone = np.arange(len(asked))
+        if len(own) * len(asked) <= plain:
+            step = max(1, 500_000 // len(own))
+            for s in range(0, len(asked), step):
+                yield everyone[s : s + step], own
+            return
+        cells = leaves(x, own)
+        lows, highs = (np.array(v) for v in zip(*(box(x, i) for i in cells), strict=True))
+        for q in leaves(x0, everyone):
+            low, high = box(x0, q)
+            least = np.maximum(0.0, np.maximum(lows - high[None], low[None] - highs)).sum(1)
+            order = np.argsort(least, kind="stable")
+            first = np.concatenate([cells[j] for j in order[: 2 + 2 * k // leaf]])
+            d = sums(x, first, x0, q)
+            d[asked[q][:, None] == names[first][None]] = np.inf
+            most = np.partition(d, k - 1, axis=1)[:, k - 1].max() if len(first) > k else np.inf
+            own_of = np.concatenate([cells[j] for j in order[: max(1, int((least <= most + 1e-9).sum()))]])
+            step = max(1, 500_000 // len(own_of))
+            for s in range(0, len(q), step):
+                yield q[s : s + step], own_of
+
     def run(it):
         for batch in it:
             for n in range(batch.num_rows):
@@ -154,20 +208,16 @@ def _near_by_class(rows: DataFrame, refs: DataFrame, k: int) -> DataFrame:
                 asked = k0.to_numpy(zero_copy_only=False)
                 of_class = np.unique(np.array(classes.to_pylist(), object), return_inverse=True)[1]
                 for c in range(of_class.max() + 1 if len(of_class) else 0):
-                    own = np.nonzero(of_class == c)[0]
-                    step = max(1, 500_000 // len(own))
-                    for s in range(0, len(asked), step):
-                        d = np.zeros((len(asked[s : s + step]), len(own)))
-                        for v in range(x.shape[1]):
-                            d += apart(x[own, v][None], x0[s : s + step, v][:, None])
-                        d[asked[s : s + step][:, None] == names[own][None]] = np.inf
+                    for refs_of, own in compared(x, np.nonzero(of_class == c)[0], x0, asked, names):
+                        d = sums(x, own, x0, refs_of)
+                        d[asked[refs_of][:, None] == names[own][None]] = np.inf
                         most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(own) > k else np.full(len(d), np.finfo(float).max)
                         q, i = np.nonzero((d <= most[:, None]) & (d < np.inf))
                         order = np.lexsort((place[own[i]], d[q, i], q))
                         q, i = q[order], own[i[order]]
                         first = np.r_[0, np.cumsum(np.bincount(q, minlength=len(d)))[:-1]]
                         kept = np.arange(len(q)) - first[q] < k
-                        q, i = q[kept] + s, i[kept]
+                        q, i = refs_of[q[kept]], i[kept]
                         far = apart(x[i], x0[q])
                         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * x.shape[1], pa.int32()), pa.array(far.ravel()))
                         yield pa.RecordBatch.from_arrays([k0.take(pa.array(q)), c0.take(pa.array(q)), keys.take(pa.array(i)), classes.take(pa.array(i)), lists], ["k0", "c0", "key", "cls", "d"])

@@ -224,3 +224,18 @@ def test_itemsets_of_equal_baskets_counted_first(spark, monkeypatch):
         got = [(tuple(r["items"]), r["n"]) for r in rules.itemsets(df, support).collect()]
         assert sorted(got) == sorted((s, n) for s, n in counts.items() if n >= support * 180)
     assert rules.itemsets(df.where("items IS NULL"), 0.5).count() == 0
+
+
+def test_relief_by_leaves_is_that_of_all_pairs(spark, monkeypatch):
+    """With missing values, copies and few rows of a class; leaves smaller than the k nearest and larger."""
+    from tessera.operators import scoring
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, rng.random(), 0.5, 0.25]), float(rng.randrange(4)), "aab"[rng.randrange(3)] if i else "c") for i in range(260)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, c string")
+    one = {r.variable: r.relieff for r in scoring.relief(df, ["x", "y"], "c", "id", m=None).collect()}
+    monkeypatch.setattr(scoring, "RELIEF_PLAIN", 0)
+    for leaf in (3, 16):
+        monkeypatch.setattr(scoring, "RELIEF_LEAF", leaf)
+        two = {r.variable: r.relieff for r in scoring.relief(df, ["x", "y"], "c", "id", m=None).collect()}
+        assert one.keys() == two.keys() and all(abs(one[v] - two[v]) < 1e-9 for v in one)
