@@ -184,7 +184,7 @@ def test_nearest_by_products_are_the_nearest_by_differences(spark):
 
 
 def test_rows_of_a_matrix_follow_each_other_by_key(spark):
-    """Runs of the greater key, each with the lesser keys in order: no pair is compared twice, files stay small."""
+    """Runs of the greater key, each with the lesser keys in order."""
     from tessera.operators import distances
 
     rows = [(i * 37 % 101, [float(i % 7)]) for i in range(101)]
