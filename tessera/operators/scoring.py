@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -91,59 +92,47 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 def relief(df: DataFrame, columns: list[str], cls: str, key: str, m: int | None = 50, k: int = 5) -> DataFrame:
     """variable, relieff: the k nearest hits and misses of m reference rows (a sampling operator), or of all rows for None.
 
-    Reference rows go to the workers in blocks. Every part of the rows keeps its own k
-    nearest of each class, and only these meet.
+    Few reference rows go to every task. Many are dealt over cells of near rows, and
+    meet only the cells that may hold one of their nearest.
     """
     from ..plans.transforms import ranges
     from .sampling import order_key
 
     r = ranges(df, columns)
     rows = df.where(F.col(cls).isNotNull()).select(F.col(key).alias("key"), F.col(cls).alias("cls"), F.array(*[((F.col(c) - r[c]["min"]) / ((r[c]["max"] - r[c]["min"]) or 1.0)).cast("double") for c in columns]).alias("x"))
-    refs = (rows.orderBy(order_key(["key"]), "key").limit(m) if m is not None else rows).select(F.col("key").alias("k0"), F.col("cls").alias("c0"), F.col("x").alias("x0"))
-    found = _near_by_class(rows, refs, k)
-    near = found.withColumn("rank", F.row_number().over(Window.partitionBy("k0", "cls").orderBy(F.aggregate("d", F.lit(0.0), lambda s, x: s + x), "key"))).where(F.col("rank") <= k)
+    total = rows.count()
+    asked = total if m is None else min(m, total)
+    refs = (rows if m is None else rows.orderBy(order_key(["key"]), "key").limit(m)).select(F.col("key").alias("k0"), F.col("cls").alias("c0"), F.col("x").alias("x0"))
+    sums = _sums_of_few(rows, refs, k) if asked <= RELIEF_FEW else _sums_by_cells(rows, None if m is None else refs, k)
     share = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     share = share.join(F.broadcast(share.agg(F.sum("n").alias("t")))).select(F.col("cls"), (F.col("n") / F.col("t")).alias("p"))
-    asked = refs.agg(F.count(F.lit(1)).alias("_m"))
-    w = near.join(F.broadcast(share), "cls").join(F.broadcast(share.select(F.col("cls").alias("c0"), F.col("p").alias("p0"))), "c0")
-    part = w.select(F.when(F.col("cls") == F.col("c0"), F.lit(-1.0)).otherwise(F.col("p") / (1 - F.col("p0"))).alias("f"), F.posexplode("d").alias("i", "v"))
+    w = sums.join(F.broadcast(share), "cls").join(F.broadcast(share.select(F.col("cls").alias("c0"), F.col("p").alias("p0"))), "c0")
+    part = w.select(F.when(F.col("cls") == F.col("c0"), F.lit(-1.0)).otherwise(F.col("p") / (1 - F.col("p0"))).alias("f"), F.posexplode("s").alias("i", "v"))
     names = F.array(*[F.lit(c) for c in columns])
-    sums = part.groupBy("i").agg(F.sum(F.col("f") * F.col("v")).alias("s")).crossJoin(F.broadcast(asked))
-    return sums.select(F.get(names, "i").alias("variable"), (F.col("s") / (F.col("_m") * k)).alias("relieff"))
+    return part.groupBy("i").agg(F.sum(F.col("f") * F.col("v")).alias("s")).select(F.get(names, "i").alias("variable"), (F.col("s") / F.lit(float(asked * k))).alias("relieff"))
 
 
-#: Rows of a part, of a block of reference rows, and of a leaf of either.
-RELIEF_PART, RELIEF_BLOCK, RELIEF_LEAF = 100_000, 5_000, 64
+#: Reference rows that every task is given; more of them are dealt over cells.
+RELIEF_FEW = 1_000
+#: Rows that are compared at a time, of a cell, of a block of reference rows, and of a leaf of either.
+RELIEF_PART, RELIEF_CELL, RELIEF_BLOCK, RELIEF_LEAF = 100_000, 5_000, 5_000, 64
 #: Pairs of a class and a block that are compared without leaves.
 RELIEF_PLAIN = 4_000_000
+#: Rows by which the cells are laid out, of a cell and of all.
+RELIEF_SAMPLE, RELIEF_SAMPLES = 32, 200_000
 
 
-def _near_by_class(rows: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    """k0, c0, key, cls, d: of each part of the rows the k nearest of each class to each reference row, with differences by column.
+def _search(k: int):
+    """For the workers: vectors of a column, and the k nearest rows of each class to each reference row.
 
-    Parts of the rows and blocks of reference rows meet in tasks. There both are cut
-    into leaves of near rows, and a leaf of reference rows is compared with the leaves
-    of a class that may hold one of the k nearest. What the workers need is defined in
-    here, so that it travels with the task.
+    Both are cut into leaves of near rows, and a leaf of reference rows is compared
+    with the leaves of a class that may hold one of the k nearest.
     """
-    spark = rows.sparkSession
-    total = rows.count()
-    blocks = max(1, -(-refs.count() // RELIEF_BLOCK))
-    parts = max(1, min(-(-total // 250), max(-(-total // RELIEF_PART), -(-spark.sparkContext.defaultParallelism // blocks))))
     leaf, plain = RELIEF_LEAF, RELIEF_PLAIN
-    pack = lambda t, name, n, key: t.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"_{name}")).agg(F.collect_list(F.struct(*t.columns)).alias(name))
-    own = pack(rows, "rows", parts, "key").withColumn("_refs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = pack(refs, "refs", blocks, "k0").withColumn("_rows", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    spread = parts * blocks
-    met = own.repartition(spread, "_rows", "_refs").join(asked.repartition(spread, "_rows", "_refs"), ["_rows", "_refs"]).select("rows", "refs")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def members(side: pa.ListArray, n: int) -> tuple:
-        start, end = side.offsets[n].as_py(), side.offsets[n + 1].as_py()
-        block = side.values.slice(start, end - start)
-        x = block.field(2)
-        flat = x.flatten().to_numpy(zero_copy_only=False).astype(float)
-        return block.field(0), block.field(1), np.where(x.flatten().is_null().to_numpy(zero_copy_only=False), np.nan, flat).reshape(len(block), -1)
+
+    def vectors(x: pa.Array) -> np.ndarray:
+        flat = x.flatten()
+        return np.where(flat.is_null().to_numpy(zero_copy_only=False), np.nan, flat.to_numpy(zero_copy_only=False).astype(float)).reshape(len(x), len(flat) // max(1, len(x)))
 
     def apart(a, b):
         d = np.abs(a - b)
@@ -197,32 +186,289 @@ def _near_by_class(rows: DataFrame, refs: DataFrame, k: int) -> DataFrame:
             for s in range(0, len(q), step):
                 yield q[s : s + step], own_of
 
+    def nearest(names, of_class, x, asked, x0):
+        """Places of reference rows and of their nearest, with differences by column, the nearest first."""
+        place = np.empty(len(names), int)
+        place[np.argsort(names, kind="stable")] = np.arange(len(names))
+        for c in np.unique(of_class):
+            for refs_of, own in compared(x, np.nonzero(of_class == c)[0], x0, asked, names):
+                d = sums(x, own, x0, refs_of)
+                d[asked[refs_of][:, None] == names[own][None]] = np.inf
+                most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(own) > k else np.full(len(d), np.finfo(float).max)
+                q, i = np.nonzero((d <= most[:, None]) & (d < np.inf))
+                order = np.lexsort((place[own[i]], d[q, i], q))
+                q, i = q[order], own[i[order]]
+                first = np.r_[0, np.cumsum(np.bincount(q, minlength=len(d)))[:-1]]
+                kept = np.arange(len(q)) - first[q] < k
+                q, i = refs_of[q[kept]], i[kept]
+                yield q, i, apart(x[i], x0[q])
+
+    return vectors, nearest
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+def _sums_of_few(rows: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """c0, cls, s: differences by column of the k nearest of each class to reference rows that every task is given.
+
+    A task reads its rows in parts, of which each keeps its own k nearest, and only these meet.
+    """
+    vectors, nearest = _search(k)
+    lists, part = _lists, RELIEF_PART
+    kinds = dict(rows.dtypes)
+    given = refs.toArrow()
+    k0, c0, x0 = (given.column(i).combine_chunks() for i in range(3))
+    asked, at = k0.to_numpy(zero_copy_only=False), vectors(x0)
+
+    def near(held):
+        t = pa.Table.from_batches(held)
+        keys, classes, x = (t.column(i).combine_chunks() for i in range(3))
+        codes = classes.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        for q, i, far in nearest(keys.to_numpy(zero_copy_only=False), codes, vectors(x), asked, at):
+            yield pa.RecordBatch.from_arrays([k0.take(pa.array(q)), c0.take(pa.array(q)), keys.take(pa.array(i)), classes.take(pa.array(i)), lists(far)], ["k0", "c0", "key", "cls", "d"])
+
     def run(it):
+        held, n = [], 0
+        for batch in it:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= part:
+                yield from near(held)
+                held, n = [], 0
+        if n:
+            yield from near(held)
+
+    found = rows.mapInArrow(run, f"k0 {kinds['key']}, c0 {kinds['cls']}, key {kinds['key']}, cls {kinds['cls']}, d array<double>")
+    return _first_of(found, k).select("c0", "cls", F.col("d").alias("s"))
+
+
+def _first_of(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each reference row and class; ties to the lesser key."""
+    order = Window.partitionBy("k0", "cls").orderBy(F.aggregate("d", F.lit(0.0), lambda s, x: s + x), "key")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _laid_out(sample: np.ndarray, cells: int, first: int) -> tuple[tuple, int]:
+    """A tree of cells, numbered from `first`, that parts a sample evenly; the number after the last.
+
+    A node is its bounds and either its number or a column, a cut and the nodes below and from it.
+    """
+    at = first
+
+    def node(v, n, low, high):
+        nonlocal at
+        wide = np.ptp(v, axis=0) if len(v) else np.zeros(v.shape[1])
+        c = int(np.argmax(wide))
+        if n > 1 and wide[c] > 0:
+            values = np.sort(v[:, c])
+            # the gap next to the place of the cut
+            edges = np.nonzero(np.diff(values) > 0)[0]
+            e = edges[np.argmin(np.abs(edges + 1 - len(values) * (n // 2) / n))]
+            cut = float((values[e] + values[e + 1]) / 2)
+            if values[e] < cut:
+                below, above = high.copy(), low.copy()
+                below[c] = above[c] = cut
+                side = v[:, c] < cut
+                return low, high, c, cut, node(v[side], n // 2, low, below), node(v[~side], n - n // 2, above, high)
+        at += 1
+        return low, high, at - 1
+
+    d = sample.shape[1]
+    return node(sample, cells, np.full(d, -np.inf), np.full(d, np.inf)), at
+
+
+#: Where rows lie in a column in which they have no value: beyond all others.
+_NOWHERE = 2.0
+
+
+def _sums_by_cells(rows: DataFrame, refs: DataFrame | None, k: int) -> DataFrame:
+    """c0, cls, s: differences by column of the k nearest of each class to reference rows, all rows for None.
+
+    Each class has its own cells, laid out by a sample, which changes the work, never
+    the result. A reference row meets the cell in which it lies; if one beside it may
+    hold nearer rows, it meets all that may, and the nearest of these are ranked. Of
+    equal rows of a class only the k + 1 of least keys can be near to any, and the
+    others of them ask the same, so that one asks for all. What the workers need is
+    defined in functions, so that it travels with the task.
+    """
+    from ..lineage import cut
+
+    vectors, nearest = _search(k)
+    lists = _lists
+    kinds = dict(rows.dtypes)
+    key, cls = kinds["key"], kinds["cls"]
+    same = Window.partitionBy("cls", "x").orderBy("key")
+    kept = cut(rows.withColumn("rank", F.dense_rank().over(same)).where(F.col("rank") <= k + 1).drop("rank"))
+    if refs is None:
+        one = lambda t, n: t.select("key", "cls", "x", F.lit(n).alias("w"))
+        rest = one(rows, 1.0).unionAll(one(kept, -1.0)).groupBy("cls", "x").agg(F.max("key").alias("key"), F.sum("w").alias("w")).where("w > 0")
+        refs = one(kept, 1.0).unionByName(rest).select(F.col("key").alias("k0"), F.col("cls").alias("c0"), F.col("x").alias("x0"), "w")
+    else:
+        refs = refs.withColumn("w", F.lit(1.0))
+    refs = cut(refs.withColumn("h", F.xxhash64("k0")))
+
+    counts = kept.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).orderBy("cls").toArrow()
+    classes, sizes = counts.column(0).combine_chunks(), counts.column(1).to_pylist()
+    wanted = [-(-n // RELIEF_CELL) for n in sizes]
+    every = max(1, sum(sizes) // min(RELIEF_SAMPLES, RELIEF_SAMPLE * sum(wanted)))
+    sample = kept.where(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(every)) == 0).select("cls", "x").toArrow()
+    code_of = lambda c: pc.index_in(c, value_set=classes).to_numpy(zero_copy_only=False).astype(int)
+    known = lambda x: np.where(np.isnan(x), _NOWHERE, x)
+    points, codes = known(vectors(sample.column(1).combine_chunks())), code_of(sample.column(0).combine_chunks())
+    width = len(kept.select("x").first()[0])
+    trees, cells = [], 0
+    for c, n in enumerate(wanted):
+        own = points[codes == c] if n > 1 else np.zeros((0, width))
+        tree, cells = _laid_out(own, n, cells)
+        trees.append(tree)
+    class_of = np.empty(cells, int)
+
+    def number(node, c):
+        if len(node) == 3:
+            class_of[node[2]] = c
+        else:
+            number(node[4], c)
+            number(node[5], c)
+
+    for c, tree in enumerate(trees):
+        number(tree, c)
+    nowhere = _NOWHERE
+
+    def placed(x, c):
+        """The cell of a class in which each row lies."""
+        out, todo = np.empty(len(x), int), [(trees[c], np.arange(len(x)))]
+        while todo:
+            node, i = todo.pop()
+            if len(node) == 3:
+                out[i] = node[2]
+            elif len(i):
+                side = x[i, node[2]] < node[3]
+                todo += [(node[4], i[side]), (node[5], i[~side])]
+        return out
+
+    def reached(x, c, bounds):
+        """Rows and the cells of a class that may hold a row within their bounds."""
+        at, found, todo = [], [], [(trees[c], np.arange(len(x)))]
+        while todo:
+            node, i = todo.pop()
+            low, high = node[0][None], node[1][None]
+            gap = np.maximum(0.0, np.maximum(low - x[i], x[i] - high))
+            gap = np.where(low > 1.0, 0.5, np.where(high >= nowhere, np.minimum(gap, 0.5), gap))
+            i = i[np.where(x[i] == nowhere, 0.5, gap).sum(1) <= bounds[i] + 1e-9]
+            if not len(i):
+                continue
+            if len(node) == 3:
+                at.append(i)
+                found.append(np.full(len(i), node[2]))
+            else:
+                todo += [(node[4], i), (node[5], i)]
+        return np.concatenate([np.zeros(0, int), *at]), np.concatenate([np.zeros(0, int), *found])
+
+    def counted(it):
+        n = np.zeros(cells, int)
+        for batch in it:
+            x = known(vectors(batch.column(0)))
+            for c in range(len(trees)):
+                n += np.bincount(placed(x, c), minlength=cells)
+        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(n)[0], pa.int32()), pa.array(n[n > 0])], ["cell", "n"])
+
+    def blocks_of(asked):
+        """The number of blocks into which the reference rows of each cell are dealt."""
+        out = np.zeros(cells, int)
+        for r in asked.collect():
+            out[r["cell"]] = -(-r["n"] // RELIEF_BLOCK)
+        return out
+
+    def dealt(blocks):
+        """Rows go to each block of their cell's reference rows."""
+
+        def run(it):
+            for batch in it:
+                keys, own, x = (batch.column(i) for i in range(3))
+                v, codes = known(vectors(x)), code_of(own)
+                at = np.empty(len(v), int)
+                for c in np.unique(codes):
+                    i = np.nonzero(codes == c)[0]
+                    at[i] = placed(v[i], c)
+                for s in range(blocks[at].max(initial=0)):
+                    i = np.nonzero(blocks[at] > s)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(at[i], pa.int32()), pa.array(np.full(len(i), s), pa.int32()), keys.take(pa.array(i)), x.take(pa.array(i))], ["cell", "block", "key", "x"])
+
+        return kept.select("key", "cls", "x").mapInArrow(run, f"cell int, block int, key {key}, x array<double>")
+
+    def met(asked, blocks, run, schema):
+        spread = int(max(1, min(4096, blocks.sum())))
+        by = ("cell", "block")
+        return asked.repartition(spread, *by).groupBy(*by).cogroup(dealt(blocks).repartition(spread, *by).groupBy(*by)).applyInArrow(run, schema)
+
+    def sides(asked, own):
+        col = lambda t, name: t.column(name).combine_chunks()
+        keys, x0 = col(own, "key"), vectors(col(asked, "x0"))
+        x = vectors(col(own, "x")) if own.num_rows else np.zeros((0, width))
+        found = list(nearest(keys.to_numpy(zero_copy_only=False), np.zeros(len(x), int), x, col(asked, "k0").to_numpy(zero_copy_only=False), x0)) if len(x) and len(x0) else []
+        q, i = (np.concatenate([np.zeros(0, int), *[f[n] for f in found]]) for n in (0, 1))
+        return keys, x0, q, i, np.concatenate([np.zeros((0, width)), *[f[2] for f in found]])
+
+    def at_home(it):
         for batch in it:
-            for n in range(batch.num_rows):
-                keys, classes, x = members(batch.column(0), n)
-                k0, c0, x0 = members(batch.column(1), n)
-                names = keys.to_numpy(zero_copy_only=False)
-                place = np.empty(len(keys), int)
-                place[np.argsort(names, kind="stable")] = np.arange(len(keys))
-                asked = k0.to_numpy(zero_copy_only=False)
-                of_class = np.unique(np.array(classes.to_pylist(), object), return_inverse=True)[1]
-                for c in range(of_class.max() + 1 if len(of_class) else 0):
-                    for refs_of, own in compared(x, np.nonzero(of_class == c)[0], x0, asked, names):
-                        d = sums(x, own, x0, refs_of)
-                        d[asked[refs_of][:, None] == names[own][None]] = np.inf
-                        most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(own) > k else np.full(len(d), np.finfo(float).max)
-                        q, i = np.nonzero((d <= most[:, None]) & (d < np.inf))
-                        order = np.lexsort((place[own[i]], d[q, i], q))
-                        q, i = q[order], own[i[order]]
-                        first = np.r_[0, np.cumsum(np.bincount(q, minlength=len(d)))[:-1]]
-                        kept = np.arange(len(q)) - first[q] < k
-                        q, i = refs_of[q[kept]], i[kept]
-                        far = apart(x[i], x0[q])
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * x.shape[1], pa.int32()), pa.array(far.ravel()))
-                        yield pa.RecordBatch.from_arrays([k0.take(pa.array(q)), c0.take(pa.array(q)), keys.take(pa.array(i)), classes.take(pa.array(i)), lists], ["k0", "c0", "key", "cls", "d"])
-
-    return met.mapInArrow(run, f"k0 {kinds['key']}, c0 {kinds['cls']}, key {kinds['key']}, cls {kinds['cls']}, d array<double>")
+            v, h = known(vectors(batch.column(2))), batch.column(4).to_numpy(zero_copy_only=False).astype(np.uint64)
+            for c in range(len(trees)):
+                at = placed(v, c)
+                block = (h % homes[at].astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(block), *[batch.column(i) for i in range(4)]], ["cell", "block", "k0", "c0", "x0", "w"])
+
+    def first(asked, own):
+        """Sums of the reference rows that are done; the others with the cells that they reach."""
+        if not asked.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(out, [asked.schema.field("k0").type, classes.type, pa.list_(pa.float64()), pa.float64(), classes.type, pa.list_(pa.int32()), pa.list_(pa.float64())], strict=True)})
+        _, x0, q, _, far = sides(asked, own)
+        total = np.zeros(len(q))
+        for v in range(width):
+            total += far[:, v]
+        bounds = np.zeros(len(x0))
+        np.maximum.at(bounds, q, total)
+        bounds[np.bincount(q, minlength=len(x0)) < k] = np.inf
+        c = int(class_of[asked.column("cell")[0].as_py()])
+        at, to = reached(known(x0), c, bounds)
+        order = np.argsort(at, kind="stable")
+        at, to = at[order], to[order]
+        n = np.bincount(at, minlength=len(x0))
+        done = n <= 1
+        w = asked.column("w").to_numpy()
+        coded = asked.column("c0").combine_chunks().dictionary_encode()
+        of = coded.indices.to_numpy(zero_copy_only=False)
+        s = np.zeros((len(coded.dictionary), width))
+        np.add.at(s, of[q[done[q]]], far[done[q]] * w[q[done[q]]][:, None])
+        left = pa.array(np.nonzero(~done)[0])
+        ends = np.r_[0, np.cumsum(n[~done])]
+        col = lambda name: pa.concat_arrays([asked.column(name).combine_chunks().take(left), pa.nulls(len(s), asked.schema.field(name).type)])
+        reach = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(to[~done[at]], pa.int32()))
+        parts = [
+            col("k0"), pa.concat_arrays([asked.column("c0").combine_chunks().take(left), coded.dictionary]), col("x0"), col("w"), classes.take(pa.array(np.full(len(left) + len(s), c))),
+            pa.concat_arrays([reach, pa.nulls(len(s), reach.type)]), pa.concat_arrays([pa.nulls(len(left), lists(s).type), lists(s)]),
+        ]
+        return pa.table(dict(zip(out, parts, strict=True)))
+
+    def second(asked, own):
+        keys, _, q, i, far = sides(asked, own)
+        got = [asked.column(n).combine_chunks().take(pa.array(q)) for n in ("k0", "c0", "cls", "w")]
+        return pa.table(dict(zip(("k0", "c0", "cls", "w", "key", "d"), [*got, keys.take(pa.array(i)), lists(far)], strict=True)))
+
+    out = ("k0", "c0", "x0", "w", "cls", "cells", "s")
+    homes = blocks_of(refs.select("x0").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+    home = refs.mapInArrow(at_home, f"cell int, block int, k0 {key}, c0 {cls}, x0 array<double>, w double")
+    gone = cut(met(home, homes, first, f"k0 {key}, c0 {cls}, x0 array<double>, w double, cls {cls}, cells array<int>, s array<double>"))
+    sums = gone.where("s IS NOT NULL").select("c0", "cls", "s")
+    further = gone.where("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "k0", "c0", "x0", "w", "cls")
+    blocks = blocks_of(further.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+    if not blocks.any():
+        return sums
+    listed = rows.sparkSession.createDataFrame([(int(c), int(blocks[c])) for c in np.nonzero(blocks)[0]], "cell int, _blocks int")
+    further = further.join(F.broadcast(listed), "cell").withColumn("block", F.pmod(F.xxhash64("k0"), F.col("_blocks")).cast("int")).drop("_blocks")
+    found = met(further, blocks, second, f"k0 {key}, c0 {cls}, cls {cls}, w double, key {key}, d array<double>")
+    return sums.unionByName(_first_of(found, k).select("c0", "cls", F.transform("d", lambda x: x * F.col("w")).alias("s")))
 
 
 def best_on_the_fly(items: DataFrame, score: str, name: str, seed: int = 0) -> DataFrame:

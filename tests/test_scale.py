@@ -239,3 +239,52 @@ def test_relief_by_leaves_is_that_of_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(scoring, "RELIEF_LEAF", leaf)
         two = {r.variable: r.relieff for r in scoring.relief(df, ["x", "y"], "c", "id", m=None).collect()}
         assert one.keys() == two.keys() and all(abs(one[v] - two[v]) < 1e-9 for v in one)
+
+
+def test_relief_by_cells_is_that_of_a_plain_search(spark, monkeypatch):
+    """Many cells and blocks, a class of few rows, missing values, more copies of a row than are kept; all rows or some as references."""
+    from tessera.operators import sampling, scoring
+
+    rng = random.Random(5)
+    value = lambda: rng.choice([None, rng.random(), rng.random(), rng.random()])
+    rows = [(i, value(), float(rng.randrange(5)), "ab"[i % 2]) for i in range(300)]
+    rows += [(300 + i, 0.5, 2.0, "ab"[i % 3 > 0]) for i in range(40)] + [(340 + i, rng.random(), 1.0, "c") for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, c string").repartition(3)
+    x = np.array([[np.nan if v is None else v for v in r[1:3]] for r in rows])
+    x = (x - np.nanmin(x, 0)) / (np.nanmax(x, 0) - np.nanmin(x, 0))
+    names, cls = np.unique([r[3] for r in rows], return_inverse=True)
+    share = np.bincount(cls) / len(cls)
+    for name, n in {"RELIEF_FEW": 0, "RELIEF_CELL": 20, "RELIEF_BLOCK": 16, "RELIEF_LEAF": 8, "RELIEF_PLAIN": 50}.items():
+        monkeypatch.setattr(scoring, name, n)
+    for m in (None, 60):
+        asked = range(len(rows)) if m is None else [r.id for r in df.orderBy(sampling.order_key(["id"]), "id").limit(m).collect()]
+        sums = np.zeros(2)
+        for q in asked:
+            d = np.abs(x - x[q])
+            d[np.isnan(d)] = 0.5
+            total = d[:, 0] + d[:, 1]
+            for c in range(len(names)):
+                own = np.array([i for i in np.nonzero(cls == c)[0] if i != q])
+                sums += d[own[np.lexsort((own, total[own]))[:5]]].sum(0) * (-1 if c == cls[q] else share[c] / (1 - share[cls[q]]))
+        got = {r.variable: r.relieff for r in scoring.relief(df, ["x", "y"], "c", "id", m=m).collect()}
+        assert all(abs(got[v] - s / (len(asked) * 5)) < 1e-9 for v, s in zip("xy", sums, strict=True))
+
+
+def test_cells_of_relief_part_evenly(spark):
+    """Values that occur often are not cut, and every row lies in one cell."""
+    from tessera.operators import scoring
+
+    x = np.random.default_rng(1).random((4_000, 2))
+    x[:1_000, 0] = 0.5
+    tree, n = scoring._laid_out(x, 16, 3)
+    sizes, todo = {}, [(tree, x)]
+    while todo:
+        node, own = todo.pop()
+        if len(node) == 3:
+            sizes[node[2]] = len(own)
+            assert (own >= node[0]).all() and (own <= node[1]).all()
+        else:
+            side = own[:, node[2]] < node[3]
+            todo += [(node[4], own[side]), (node[5], own[~side])]
+    assert n == 19 and sorted(sizes) == list(range(3, 19)) and sum(sizes.values()) == 4_000 and max(sizes.values()) < 1_000
+    assert scoring._laid_out(np.ones((50, 2)), 8, 0)[1] == 1
