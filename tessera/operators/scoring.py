@@ -123,9 +123,9 @@ RELIEF_SAMPLE, RELIEF_SAMPLES = 32, 200_000
 
 
 def _search(k: int):
-    """For the workers: vectors of a column, and the k nearest rows of each class to each reference row.
+    """For the workers: vectors of a column and a column of vectors, and the k nearest rows of each class to each reference row.
 
-    Both are cut into leaves of near rows, and a leaf of reference rows is compared
+    Rows of both kinds are cut into leaves of near rows, and a leaf of reference rows is compared
     with the leaves of a class that may hold one of the k nearest.
     """
     leaf, plain = RELIEF_LEAF, RELIEF_PLAIN
@@ -134,6 +134,9 @@ def _search(k: int):
         flat = x.flatten()
         return np.where(flat.is_null().to_numpy(zero_copy_only=False), np.nan, flat.to_numpy(zero_copy_only=False).astype(float)).reshape(len(x), len(flat) // max(1, len(x)))
 
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
     def apart(a, b):
         d = np.abs(a - b)
         return np.where(np.isnan(d), 0.5, d)
@@ -203,11 +206,7 @@ def _search(k: int):
                 q, i = refs_of[q[kept]], i[kept]
                 yield q, i, apart(x[i], x0[q])
 
-    return vectors, nearest
-
-
-def _lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+    return vectors, lists, nearest
 
 
 def _sums_of_few(rows: DataFrame, refs: DataFrame, k: int) -> DataFrame:
@@ -215,8 +214,8 @@ def _sums_of_few(rows: DataFrame, refs: DataFrame, k: int) -> DataFrame:
 
     A task reads its rows in parts, of which each keeps its own k nearest, and only these meet.
     """
-    vectors, nearest = _search(k)
-    lists, part = _lists, RELIEF_PART
+    vectors, lists, nearest = _search(k)
+    part = RELIEF_PART
     kinds = dict(rows.dtypes)
     given = refs.toArrow()
     k0, c0, x0 = (given.column(i).combine_chunks() for i in range(3))
@@ -295,8 +294,7 @@ def _sums_by_cells(rows: DataFrame, refs: DataFrame | None, k: int) -> DataFrame
     """
     from ..lineage import cut
 
-    vectors, nearest = _search(k)
-    lists = _lists
+    vectors, lists, nearest = _search(k)
     kinds = dict(rows.dtypes)
     key, cls = kinds["key"], kinds["cls"]
     same = Window.partitionBy("cls", "x").orderBy("key")

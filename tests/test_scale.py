@@ -288,3 +288,20 @@ def test_cells_of_relief_part_evenly(spark):
             todo += [(node[4], own[side]), (node[5], own[~side])]
     assert n == 19 and sorted(sizes) == list(range(3, 19)) and sum(sizes.values()) == 4_000 and max(sizes.values()) < 1_000
     assert scoring._laid_out(np.ones((50, 2)), 8, 0)[1] == 1
+
+
+def test_rows_stay_where_they_are_for_few_references_of_relief(spark, monkeypatch):
+    """Read in parts of any size with the same result; only the nearest are shuffled."""
+    from tessera.operators import scoring
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, rng.random(), 0.25]), rng.random(), "abc"[rng.randrange(3)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, c string")
+    found = {}
+    for part in (7, 100_000):
+        monkeypatch.setattr(scoring, "RELIEF_PART", part)
+        out = scoring.relief(df, ["x", "y"], "c", "id")
+        assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+        found[part] = {r.variable: r.relieff for r in out.collect()}
+    assert all(abs(found[7][v] - found[100_000][v]) < 1e-12 for v in "xy")
+    assert scoring.relief(df.selectExpr("id", "x", "y", "CAST(NULL AS string) AS c"), ["x", "y"], "c", "id").count() == 0
