@@ -21,7 +21,7 @@ def cell(c: Column, missing: tuple[str, ...] = MISSING) -> Column:
 
 def number(c: Column) -> Column:
     """A number with a decimal point or comma; null if it is none."""
-    return F.regexp_replace(c, ",", ".").try_cast("double")
+    return F.translate(c, ",", ".").try_cast("double")
 
 
 def head(spark: SparkSession, path: str, n: int) -> list[str]:
@@ -92,19 +92,26 @@ def tokens(line: str, sep: str, quote: str | None = '"', escape: str = "\\") ->
 
 
 def _body(spark: SparkSession, path: str, sep: str, width: int, skip: int, missing: tuple[str, ...], quote: str | None = None, comment: str | None = None) -> DataFrame:
-    """The rows after a header as columns _c0, _c1, ...: short lines are padded, long ones fail, blank lines and lines of empty cells go.
+    """The rows after a header as columns _c0, _c1, ...: short lines are padded, long ones fail, blank lines (of white space only) and lines of empty cells go.
 
     Header lines are told by their place at the start of a file, so that the file
-    can still be split and rows may repeat them. Quotes keep separators, and a
-    backslash keeps a quote; a line that starts with the comment character goes.
+    can still be split and rows may repeat them; Spark's own reader drops a single
+    one. Quotes keep separators, and a backslash keeps a quote; a line that starts
+    with the comment character goes.
     """
+    names = [f"_c{i}" for i in range(width)]
+    if quote and not comment and skip == 1 and width:
+        how = {"sep": sep, "quote": quote, "escape": "\\", "mode": "PERMISSIVE"}
+        # the text of a line of another number of cells, which is rare
+        parsed = spark.read.schema(", ".join(f"{c} string" for c in [*names, "_line"])).options(**how, header=True, columnNameOfCorruptRecord="_line").csv(path)
+        again = F.from_csv("_line", ", ".join(f"{c} string" for c in [*names, "_more"]), how)
+        return _checked(parsed, [F.col(c) for c in names], F.trim(F.coalesce(again["_more"], F.lit(""))) != "", "_line", missing)
     places = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     # a row for each file
     starts = places.where("_block = 0").groupBy(F.col("_file").alias("_f")).agg(F.min("_at").alias("_start"))
-    lines = places.join(F.broadcast(starts), F.col("_file") == F.col("_f")).where(~((F.col("_block") == 0) & (F.col("_at") < F.col("_start") + skip)) & (F.trim("value") != ""))
+    lines = places.join(F.broadcast(starts), F.col("_file") == F.col("_f")).where(~((F.col("_block") == 0) & (F.col("_at") < F.col("_start") + skip)) & F.col("value").rlike(r"[^\x00-\x20]"))
     if comment:
         lines = lines.where(~F.col("value").startswith(comment))
-    names = [f"_c{i}" for i in range(width)]
     if quote:
         schema = ", ".join(f"{c} string" for c in [*names, "_more"])
         parsed = lines.select("value", F.from_csv("value", schema, {"sep": sep, "quote": quote, "escape": "\\", "mode": "PERMISSIVE"}).alias("p"))
@@ -115,26 +122,40 @@ def _body(spark: SparkSession, path: str, sep: str, width: int, skip: int, missi
         parsed = lines.select("value", parts.alias("p"))
         cells = [F.get("p", i) for i in range(width)]
         more = F.size(F.filter(F.slice("p", width + 1, 1 << 20), lambda x: F.trim(x) != "")) > 0
-    checked = F.when(more, F.raise_error(F.concat(F.lit("example of invalid length: "), F.col("value"))).cast("string"))
+    return _checked(parsed, cells, more, "value", missing)
+
+
+def _checked(parsed: DataFrame, cells: list[Column], more: Column, line: str, missing: tuple[str, ...]) -> DataFrame:
+    """The cells as columns _c0, _c1, ...; a line with more of them fails."""
+    checked = F.when(more, F.raise_error(F.concat(F.lit("example of invalid length: "), F.col(line))).cast("string"))
     rows = parsed.select(*[cell(F.coalesce(checked, c) if i == 0 else c, missing).alias(f"_c{i}") for i, c in enumerate(cells)])
-    return rows if width == 0 else rows.where(" OR ".join(f"{c} IS NOT NULL" for c in names))
+    return rows if not cells else rows.where(" OR ".join(f"_c{i} IS NOT NULL" for i in range(len(cells))))
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """c, v, n: how often each value occurs in each column."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])).alias("x")
+    return df.select(each).where("x.v IS NOT NULL").groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def infer_kinds(df: DataFrame, columns: list[str]) -> dict[str, str]:
     """Kinds by the distinct values: single digits only are codes, numbers continuous, the rest discrete or, if there are more than 20 and most occur once, text."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])).alias("x")
-    values = df.select(each).where("x.v IS NOT NULL").groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    return _kinds_by(value_counts(df, columns), columns)
+
+
+def _kinds_by(values: DataFrame, columns: list[str]) -> dict[str, str]:
     found = values.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.bool_and(F.col("v").rlike("^[0-9]$")).alias("d"), F.bool_and(number(F.col("v")).isNotNull()).alias("f"))
     rows = {r.c: r for r in found.collect()}
     kind = lambda r: DISCRETE if r is None or r.d else CONTINUOUS if r.f else STRING if r.k > 20 and 2 * r.k > r.n else DISCRETE
     return {c: kind(rows.get(c)) for c in columns}
 
 
-def _typed(body: DataFrame, variables: list[Variable | None]) -> DataFrame:
-    """Columns under their names and types; undeclared value lists are gathered in one pass."""
+def _typed(body: DataFrame, variables: list[Variable | None], found: dict[str, list[str]] | None = None) -> DataFrame:
+    """Columns under their names and types; undeclared value lists are `found`, or gathered in one pass."""
     used = [(f"_c{i}", v) for i, v in enumerate(variables) if v is not None]
     open_ = [c for c, v in used if v.kind == DISCRETE and not v.values]
-    found = body.agg(*[F.collect_set(c).alias(c) for c in open_]).first() if open_ else {}
+    if found is None:
+        found = body.agg(*[F.collect_set(c).alias(c) for c in open_]).first() if open_ else {}
     made = [Variable(v.name, v.kind, v.role, tuple(value_order(found[c])), v.ordered, v.flags) if c in open_ else v for c, v in used]
     cols = []
     for (c, _), v in zip(used, made, strict=True):
@@ -198,12 +219,20 @@ def read_prefixed(spark: SparkSession, path: str, sep: str = "\t", no_class: boo
     described = prefixed_variables(names, no_class)
     body = _body(spark, path, sep, len(names), 1, missing, quote, comment)
     open_ = [f"_c{i}" for i, (_, k, _, ign) in enumerate(described) if k is None and not ign]
-    kinds = infer_kinds(body, open_) if open_ else {}
+    listed = [f"_c{i}" for i, (_, k, _, ign) in enumerate(described) if k in (None, DISCRETE) and not ign]
+    # one pass over the file tells kinds and values
+    values = value_counts(body, listed).persist() if listed else None
+    kinds = _kinds_by(values.where(F.col("c").isin(open_)), open_) if open_ else {}
     variables = []
     for i, (name, kind, role, ignored) in enumerate(described):
         kind = kind or kinds.get(f"_c{i}")
         variables.append(None if ignored else Variable(name, kind, META if kind in (STRING, BASKET) else role))
-    return _typed(body, variables)
+    found: dict[str, list[str]] = {c: [] for c in listed}
+    if values is not None:
+        for r in values.where(F.col("c").isin([f"_c{i}" for i, v in enumerate(variables) if v is not None and v.kind == DISCRETE])).collect():
+            found[r.c].append(r.v)
+        values.unpersist()
+    return _typed(body, variables, found)
 
 
 def basket_map(line: Column) -> Column:

@@ -1,8 +1,8 @@
-"""Writers of annotated text formats: one file a partition, each with the header lines, which the readers drop from every file."""
+"""Writers of annotated text formats: one file a partition that has rows, each with the header lines, which the readers drop from every file."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schema import ATTRIBUTE, BASKET, CLASS, CONTINUOUS, DISCRETE, META, STRING, WEIGHT, Variable, class_column, domain
 
@@ -37,27 +37,30 @@ def basket_text(items: Column) -> Column:
     return F.array_join(F.transform(F.map_entries(items), lambda e: F.when(e["value"] == 1.0, e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ", ")
 
 
-def _quoted(c: Column, sep: str) -> Column:
-    """A cell in quotes where it holds the separator or a quote; a backslash keeps a quote."""
+def _quoted(c: Column, sep: str, first: bool = False) -> Column:
+    """A cell in quotes where it holds the separator or a quote, or as the first would leave a line blank; a backslash keeps a quote."""
     safe = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return F.when(F.contains(c, F.lit(sep)) | F.contains(c, F.lit('"')), safe).otherwise(c)
+    held = F.contains(c, F.lit(sep)) | F.contains(c, F.lit('"'))
+    return F.when(held | ((c != "") & ~c.rlike(r"[^\x00-\x20]")) if first else held, safe).otherwise(c)
 
 
 def _cells(df: DataFrame, sep: str, quote: bool = False) -> DataFrame:
-    cols = [basket_text(F.col(v.name)) if v.kind == BASKET else F.col(f"`{v.name}`").cast("string") for v in domain(df)]
-    return df.select(F.concat_ws(sep, *[F.coalesce(_quoted(c, sep) if quote else c, F.lit("?")) for c in cols]).alias("value"))
+    plain = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)} if sep in ",;\t" else set()
+    cols = [(v.name, basket_text(F.col(v.name)) if v.kind == BASKET else F.col(f"`{v.name}`").cast("string")) for v in domain(df)]
+    return df.select(F.concat_ws(sep, *[F.coalesce(_quoted(c, sep, i == 0) if quote and name not in plain else c, F.lit("?")) for i, (name, c) in enumerate(cols)]).alias("value"))
 
 
 def _with_header(df: DataFrame, lines: list[str], path: str) -> None:
-    """Every part begins with the header lines."""
-    import pyarrow as pa
-
-    def headed(it):
-        yield pa.record_batch({"value": pa.array(lines, pa.string())})
-        for batch in it:
-            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
-
-    df.mapInArrow(headed, "value string").write.mode("overwrite").option("compression", "none").text(path)
+    """Every file begins with the header lines; a table without rows has one file of them."""
+    spark = df.sparkSession
+    write = lambda t: t.write.mode("overwrite").option("compression", "none").option("maxRecordsPerFile", 0).text(path)
+    header = F.lit("\n".join(lines))
+    # rows of a part are numbered from 0 in the lower 33 bits
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    write(df.select(F.when(first, F.concat(header, F.lit("\n"), "value")).otherwise(F.col("value")).alias("value")))
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength():
+        write(spark.range(1, numPartitions=1).select(header.alias("value")))
 
 
 def write_tab(df: DataFrame, path: str) -> None:

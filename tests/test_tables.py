@@ -159,3 +159,42 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = online.windowed_stats(rows, "ts", "v", ["k"], "1 hour", "10 minutes")
     assert sorted(map(str, spark.table("online_stats").collect())) == sorted(map(str, batch.collect()))
+
+
+@pytest.mark.parametrize("ending", ["csv", "txt"])
+def test_a_file_is_read_once_for_kinds_and_values_and_once_for_its_rows(spark, tmp_path, ending):
+    """No second look for the starts of files; a table by parts, whose rows may equal the header or hold white space only."""
+    rows = [("mS#code", 1.0), ("\t", 2.0), ('a, "b"', None), (" \t ", 3.0), (None, 4.0), ("\\", 5.0), *((f"v{i}", float(i)) for i in range(40))]
+    df = schema.with_roles(spark.createDataFrame(rows, "code string, x double").repartition(5), [schema.Variable("code", schema.STRING, schema.META), schema.Variable("x")])
+    path = str(tmp_path / f"out.{ending}")
+    writers.write(df, path)
+    again = readers.read(spark, path)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(((r[0].strip(" ") if r[0] else r[0], r[1]) for r in rows), key=str)
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 1
+    # one column of white space, alone on its lines
+    one = schema.with_roles(df.where("x IN (1, 2, 3) AND code NOT LIKE 'v%'"), [schema.Variable("code", schema.STRING, schema.META)])
+    writers.write(one, path)
+    assert sorted(r[0] for r in readers.read(spark, path).collect()) == ["\t", "\t", "mS#code"]
+
+
+def test_every_file_has_the_header_and_a_table_without_rows_too(spark, tmp_path):
+    df = spark.range(10).selectExpr("CAST(id AS double) AS x", "CAST(id % 2 AS string) AS c").repartition(4, "c")
+    path = str(tmp_path / "out.csv")
+    for table, n in ((df, 10), (df.where("x < 0"), 0)):
+        with_roles = schema.with_roles(table, [schema.Variable("x"), schema.Variable("c", schema.DISCRETE, schema.CLASS, ("0", "1"))])
+        writers.write(with_roles, path)
+        files = [f.read_text().splitlines() for f in (tmp_path / "out.csv").glob("part-*") if f.stat().st_size]
+        assert files and all(f[0] == files[0][0] for f in files) and sum(len(f) - 1 for f in files) == n
+        again = readers.read(spark, path)
+        assert again.columns == ["x", "c"] and again.count() == n and schema.class_column(again) == "c"
+
+
+def test_short_and_long_lines_with_quotes(spark, tmp_path):
+    """Short lines are padded, cells too many may be empty."""
+    path = tmp_path / "t.csv"
+    path.write_text('C#a,mS#b,D#c\n1\n2,"x, y"\n3,"x, ""y""",1,, \n"4",z,0\n')
+    assert [(r[0], r[2]) for r in readers.read(spark, str(path)).collect()] == [(1.0, None), (2.0, None), (3.0, "1"), (4.0, "0")]
+    path.write_text('C#a,mS#b,D#c\n1,b,0\n2,"x, y",1,more\n')
+    with pytest.raises(Exception, match="invalid length.*x, y"):
+        readers.read(spark, str(path)).collect()
