@@ -16,12 +16,13 @@ from ..schema import ATTRIBUTE, BASKET, CLASS, CONTINUOUS, DISCRETE, META, MISSI
 def cell(c: Column, missing: tuple[str, ...] = MISSING) -> Column:
     """Trimmed text, null where it stands for a missing value."""
     t = F.trim(c)
-    return F.when(t.isin(*missing), None).otherwise(t)
+    # an array makes less code than a list of comparisons, which Java would not compile for many cells
+    return F.when(F.array_contains(F.array(*map(F.lit, missing)), t), None).otherwise(t) if missing else t
 
 
 def number(c: Column) -> Column:
     """A number with a decimal point or comma; null if it is none."""
-    return F.translate(c, ",", ".").try_cast("double")
+    return F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
 
 
 def head(spark: SparkSession, path: str, n: int) -> list[str]:
@@ -125,6 +126,37 @@ def _body(spark: SparkSession, path: str, sep: str, width: int, skip: int, missi
     return _checked(parsed, cells, more, "value", missing)
 
 
+def _cut_counts(spark: SparkSession, path: str, sep: str, header: str, missing: tuple[str, ...], quote: str, width: int, columns: list[str]) -> DataFrame:
+    """c, v, n as by `value_counts` over lines other than the header, cut at each separator.
+
+    Under c = '' stands each file, with `plain`: whether its first line is the only one
+    like the header, and no line needs more than a cut: none has a quote, more cells
+    than the header, other bytes than UTF-8, or only characters that make it blank.
+    """
+    value = F.col("value")
+    blank = (value < "!") & ~value.rlike(r"[^\x00-\x20]") & (F.translate(value, sep + " ", "") != "")
+    odd = F.contains(value, F.lit(quote)) | (F.size("_p") > width) | ~F.is_valid_utf8(value) | blank
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") == 0).alias("_top"), F.split("value", re.escape(sep)).alias("_p"))
+    marked = lines.withColumns({"_like": value == header, "_odd": (value != header) & odd})
+    each = [F.struct(F.lit(c).alias("c"), F.when(~F.col("_like"), cell(F.get("_p", int(c[2:])), missing)).alias("v")) for c in columns]
+    file = F.struct(F.lit("").alias("c"), F.when(F.col("_top") | F.col("_like") | F.col("_odd"), F.col("_file")).alias("v"))
+    rows = marked.select("_at", "_top", "_like", "_odd", F.explode(F.array(*each, file)).alias("x")).where("x.v IS NOT NULL")
+    first = F.min(F.when(F.col("_top"), F.col("_at"))) == F.min(F.when(F.col("_top") & F.col("_like"), F.col("_at")))
+    plain = F.coalesce(first, F.lit(False)) & (F.count_if("_like") == 1) & (F.count_if("_odd") == 0)
+    return rows.groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n"), plain.alias("plain"))
+
+
+def _cut_body(spark: SparkSession, path: str, sep: str, header: str, missing: tuple[str, ...], width: int) -> DataFrame:
+    """What `_body` gives for plain files (see `_cut_counts`): no parser, and headers are told by their text."""
+    said = f" *(?:{'|'.join(map(re.escape, missing))}) *"
+    empty = F.col("value").rlike(rf"\A{said}(?:{re.escape(sep)}{said})*\z")
+    # most lines are told by their first cell
+    first = cell(F.substring_index("value", sep, 1), missing)
+    lines = spark.read.text(path).where((F.col("value") != header) & F.when(first.isNotNull(), True).otherwise(~empty))
+    parts = lines.select(F.split("value", re.escape(sep)).alias("p"))
+    return parts.select(*[cell(F.get("p", i), missing).alias(f"_c{i}") for i in range(width)])
+
+
 def _checked(parsed: DataFrame, cells: list[Column], more: Column, line: str, missing: tuple[str, ...]) -> DataFrame:
     """The cells as columns _c0, _c1, ...; a line with more of them fails."""
     checked = F.when(more, F.raise_error(F.concat(F.lit("example of invalid length: "), F.col(line))).cast("string"))
@@ -215,13 +247,23 @@ def find_file(spark: SparkSession, name: str, folders: tuple[str, ...] = (), end
 
 def read_prefixed(spark: SparkSession, path: str, sep: str = "\t", no_class: bool = False, missing: tuple[str, ...] = MISSING, quote: str | None = '"', comment: str | None = None) -> DataFrame:
     """A file with one header line; kinds that it doesn't say are inferred."""
-    names = tokens(head(spark, path, 1)[0], sep, quote)
+    top = head(spark, path, 100)
+    header = top[0]
+    names = tokens(header, sep, quote)
     described = prefixed_variables(names, no_class)
-    body = _body(spark, path, sep, len(names), 1, missing, quote, comment)
     open_ = [f"_c{i}" for i, (_, k, _, ign) in enumerate(described) if k is None and not ign]
     listed = [f"_c{i}" for i, (_, k, _, ign) in enumerate(described) if k in (None, DISCRETE) and not ign]
-    # one pass over the file tells kinds and values
-    values = value_counts(body, listed).persist() if listed else None
+    # one pass over the file tells kinds and values, and whether all of its lines are plain
+    body = values = None
+    if listed and quote and not comment and not any(quote in x for x in top[1:]):
+        values = _cut_counts(spark, path, sep, header, missing, quote, len(names), listed).persist()
+        if values.where("c = '' AND NOT plain").isEmpty():
+            body = _cut_body(spark, path, sep, header, missing, len(names))
+        else:
+            values.unpersist()
+    if body is None:
+        body = _body(spark, path, sep, len(names), 1, missing, quote, comment)
+        values = value_counts(body, listed).persist() if listed else None
     kinds = _kinds_by(values.where(F.col("c").isin(open_)), open_) if open_ else {}
     variables = []
     for i, (name, kind, role, ignored) in enumerate(described):

@@ -198,3 +198,31 @@ def test_short_and_long_lines_with_quotes(spark, tmp_path):
     path.write_text('C#a,mS#b,D#c\n1,b,0\n2,"x, y",1,more\n')
     with pytest.raises(Exception, match="invalid length.*x, y"):
         readers.read(spark, str(path)).collect()
+
+
+@pytest.mark.parametrize("odd", [None, "mS#a\tword\tC#x", '"q"\tw\t1', "b\tw\t1\t \t", "\x01", "other"])
+def test_files_of_plain_lines_need_no_parser(spark, tmp_path, odd):
+    """Lines are cut at separators where that says all; one odd line, and Spark's reader takes the files. Both give the same rows."""
+    header = "mS#a\tword\tC#x"
+    lines = ["a\tw\t1,5", "?\t NA \t", "", "  ", "\t\t", " b \t~\t2", "?\t?\t3", "c", "\\\tv\tword", "d\tw\t4\t \t"[:5], *(f"r{i}\tw{i % 3}\t{i}" for i in range(90))]
+    path = tmp_path / "t.txt"
+    path.mkdir()
+    for k in range(3):
+        top, more = (odd, []) if k == 1 and odd == "other" else (header, [odd] if k == 1 and odd else [])
+        (path / f"part-{k}").write_text("\n".join([top, *lines, *more]) + "\n")
+    again = readers.read(spark, str(path))
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and ("Relation [value" in plan) == (odd is None)
+    slow = readers._typed(readers._body(spark, str(path), "\t", 3, 1, schema.MISSING, '"'), schema.domain(again))
+    assert sorted(map(str, again.collect())) == sorted(map(str, slow.collect()))
+    assert again.count() == 3 * 96 + (odd not in (None, "\x01", "other"))
+    assert {"w", "w0", "w1", "w2", "v"} <= set(next(v.values for v in schema.domain(again) if v.name == "word"))
+
+
+def test_bytes_and_long_lines_of_plain_files(spark, tmp_path):
+    path = tmp_path / "t.txt"
+    path.write_bytes(b"word\tmS#b\na\t\xe4\nb\tx\n")
+    assert sorted(map(tuple, readers.read(spark, str(path)).collect())) == [("a", "�"), ("b", "x")]
+    path.write_text("word\tmS#b\na\tx\nb\ty\tz\n")
+    with pytest.raises(Exception, match="invalid length.*b"):
+        readers.read(spark, str(path)).count()
